@@ -23,9 +23,9 @@ from palimpsest.llm.common import slices
 from palimpsest.session import ship, table
 
 #: Bound on the labelled documents that the CRF is fitted on.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 2000
 #: Lines of one training sequence; longer documents give several sequences.
-TRAIN_LINES = 64
+TRAIN_LINES = 32
 #: Least share of code points on content lines that keeps a document.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
@@ -102,7 +102,7 @@ def viterbi(emit: np.ndarray, chain: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def fit_crf(docs: list[tuple[np.ndarray, int]], steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(docs: list[tuple[np.ndarray, int]], steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Weights [features] for content and the 2 x 2 chain, from line features and labels of documents.
 
     Documents have one label for all lines, but a rejected document may hold good lines. So a fit
@@ -118,14 +118,24 @@ def fit_crf(docs: list[tuple[np.ndarray, int]], steps: int = 150) -> tuple[np.nd
         x[i, : len(f)] = f
         mask[i, : len(f)] = True
         y[i] = label
-    w, _ = climb(x, mask, y, steps, chained=False)
+    w = climb_lines(x[mask], y[mask], steps)
     good = (x @ w > 0) & mask
     mixed = (y[:, 0] == 0) & (good.sum(1) < mask.sum(1))
     y[mixed] = good[mixed]
-    return climb(x, mask, y, steps, chained=True)
+    return climb(x, mask, y, steps)
 
 
-def climb(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int, chained: bool, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def climb_lines(x: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-3) -> np.ndarray:
+    """Logistic weights for single lines, the start that decides which lines of rejected documents are good."""
+    w, first, second = np.zeros(x.shape[1]), 0.0, 0.0
+    for step in range(1, 2 * steps + 1):
+        g = (y - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))) @ x / len(x) - l2 * w
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w = w + 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    return w
+
+
+def climb(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Gradient ascent (Adam) on the log-likelihood of label sequences; forward-backward gives expectations."""
     n, longest, k = x.shape
     w, chain = np.zeros(k), np.zeros((2, 2))
@@ -147,17 +157,16 @@ def climb(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int, chained: b
         p1 = np.where(mask, np.exp(np.minimum(0, alpha[:, :, 1] + beta[:, :, 1] - total[:, None])), 0)
         grad = np.einsum("nl,nlk->k", np.where(mask, y - p1, 0), x)
         gchain = np.zeros((2, 2))
-        if chained:
-            for i in (0, 1):
-                for j in (0, 1):
-                    log_p = alpha[:, :-1, i] + chain[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - total[:, None]
-                    gchain[i, j] = (pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() - np.where(pair, np.exp(np.minimum(0, log_p)), 0).sum()
+        for i in (0, 1):
+            for j in (0, 1):
+                log_p = alpha[:, :-1, i] + chain[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - total[:, None]
+                gchain[i, j] = (pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() - np.where(pair, np.exp(np.minimum(0, log_p)), 0).sum()
         g = np.concatenate([grad, gchain.ravel()]) / rows - l2 * np.concatenate([w, chain.ravel()])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = 0.2 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-9)
         w = w + move[:k]
-        chain = chain + move[k:].reshape(2, 2) * chained
+        chain = chain + move[k:].reshape(2, 2)
     return w, chain
 
 
