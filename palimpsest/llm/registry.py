@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, quality
+from palimpsest.llm import bpe, chat, language, mixing, pii, quality, toxicity, vafile
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_language": language.op4_language,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_vafile": vafile.op7_vafile,
+    "op8_pii": pii.op8_pii,
     "op9_chat": chat.op9_chat,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op7_vafile": vafile.ORACLE_OP7,
     "op9_chat": chat.ORACLE_OP9,
 }
