@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, language, mixing, pii, quality, toxicity, vafile
+from palimpsest.llm import bpe, chat, jaccard, language, mixing, pii, quality, toxicity, vafile
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_bpe": bpe.op2_bpe,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language": language.op4_language,
