@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm.common import slices
 from palimpsest.session import ship, table
 
-#: Words whose encoding a worker keeps; the store starts again when it is full, so memory is bounded.
-CACHE_WORDS = 300_000
+#: Words of one generation of the store of encodings. A full generation becomes the old one, whose words
+#: move on when they are met again, and the old one before it goes: memory is bounded, frequent words stay.
+CACHE_WORDS = 400_000
 #: Texts whose distinct words make one trie.
 TRIE_TEXTS = 512
 END = "</w>"
@@ -53,12 +54,19 @@ class WordBpe:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.letters = byte_letters()
         self.table = [self.letters[b] for b in range(256)]
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.words = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, tuple[str, ...]] = {}
         self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
+        # Sizes of the vocabulary entries that end in given two letters (with or without a word end).
+        sizes: dict[tuple[str, bool], set[int]] = {}
+        for token in self.vocab:
+            body = token.removesuffix(END) if len(token) > len(END) else token
+            sizes.setdefault((body[-2:], body != token), set()).add(len(body))
+        self.sizes = {key: tuple(sorted(found, reverse=True)) for key, found in sizes.items()}
 
     # -- words ---------------------------------------------------------------------------------
 
@@ -100,12 +108,21 @@ class WordBpe:
     def last_token(self, path: list[str], states: list[str], ended: bool) -> str:
         """The last token of the prefix spelled by ``path``, from the states of its own prefixes."""
         n = len(path)
-        text = "".join(path)
+        text = "".join(path[-self.longest :])
+        m = len(text)
         tail = END if ended else ""
-        vocab = self.vocab
-        for size in range(min(n, self.longest), 0, -1):
-            token = text[n - size :] + tail
-            if token in vocab and self.whole(token) and (size == n or self.joins(states[n - size - 1], token)):
+        vocab, parts, pairs = self.vocab, self.parts, self.pairs
+        for size in self.sizes.get((text[-2:], ended), ()) + ((1,) if n > 1 else ()):
+            if size > n:
+                continue
+            token = text[m - size :] + tail
+            if token not in vocab or not (len(parts[token]) == 1 if token in parts else self.whole(token)):
+                continue
+            if size == n:
+                return token
+            before = states[n - size - 1]
+            ok = pairs.get((before, token))
+            if self.joins(before, token) if ok is None else ok:
                 return token
         raise ValueError(f"no token ends {text!r}")
 
@@ -166,16 +183,19 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Add the encodings of words to the store: ids, and tokens joined by a space."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = words - known.keys()
+        for word in new & older.keys():
+            known[word] = older[word]
+        new -= known.keys()
         plain = new - self.special.keys()
         vocab = self.vocab
         for word, tokens in self.encode_words(plain).items():
-            self.known[word] = (" ".join([str(vocab[t]) for t in tokens]), " ".join(tokens))
+            known[word] = (" ".join([str(vocab[t]) for t in tokens]), " ".join(tokens))
         for word in new - plain:
-            self.known[word] = (str(self.special[word]), word)
+            known[word] = (str(self.special[word]), word)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
