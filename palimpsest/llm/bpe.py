@@ -17,8 +17,10 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices
 from palimpsest.session import ship, table
@@ -207,6 +209,23 @@ class WordBpe:
         """The tokens of ids joined by a space, which is what a file without a decoder asks for."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
+    def arrays(self, texts: list[str]) -> tuple[list[int], pa.ListArray, list[str]]:
+        """n_tokens, ids as one Arrow list array, and decoded_sha256 of each text."""
+        cut = [self.pieces(t) for t in texts]
+        self.learn(set().union(*cut))
+        known = self.known
+        lines, sizes, decoded = [], [], []
+        for words in cut:
+            got = [known[w] for w in words]
+            ids = " ".join([x[0] for x in got])
+            sizes.append(ids.count(" ") + 1 if ids else 0)
+            if ids:
+                lines.append(ids)
+            decoded.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
+        flat = np.fromstring(" ".join(lines), np.int32, sep=" ") if lines else np.zeros(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return sizes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded
+
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
         cut = [self.pieces(t) for t in texts]
@@ -250,6 +269,20 @@ def digest_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, ids and decoded_sha256 of every row of ``documents``."""
+    ship(docs.sparkSession)
+    names = ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path or tokenizer_path())
+        for part in slices(batches, TRIE_TEXTS):
+            n, ids, decoded = bpe.arrays([t or "" for t in part["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["source"].cast(pa.string()), pa.array(n, pa.int64()), ids, pa.array(decoded, pa.string())], names=names)
+
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, the ids of every text and what they decode to."""
     ship(docs.sparkSession)

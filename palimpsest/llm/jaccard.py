@@ -458,5 +458,24 @@ def jaccard_components(docs: DataFrame, k: int = K, share: tuple[int, int] = SHA
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(own.isNotNull(), F.coalesce("class_id", own)).alias("class_id"), F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
 
 
+def drop_duplicates(docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id, and without repeated rows.
+
+    Rows with a null id stay. A repeated id goes when all documents that bear it would; of rows alike in
+    id and text one stays.
+    """
+    named = cut(jaccard_components(docs, k, share).select("doc_id", "component_id").where("doc_id is not null"))
+    per_id = named.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("component_id").alias("last"))
+    gone = per_id.where("last < doc_id").select("doc_id")
+    twice = per_id.where("last >= doc_id and rows > 1").select("doc_id")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, "doc_id", "left_anti")
+    if not twice.isEmpty():
+        again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(twice, "doc_id", "left_anti").unionByName(again)
+    return left.select(*docs.columns)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

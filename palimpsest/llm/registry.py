@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, jaccard, language, mixing, pii, quality, toxicity, vafile
+from palimpsest.llm import bpe, chat, jaccard, language, lm, mixing, pii, quality, toxicity, vafile
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language": language.op4_language,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_lm_score": lm.op6_lm_score,
     "op7_vafile": vafile.op7_vafile,
     "op8_pii": pii.op8_pii,
     "op9_chat": chat.op9_chat,
