@@ -35,6 +35,7 @@ STEPS, ROUNDS = 6, 5
 #: Most sources whose weights are broadcast; above, the join is salted.
 BROADCAST_SOURCES = 100_000
 SALTS = 64
+MIX = ("mix_source", "mix_tokens", "mix_epoch", "mix_block", "mix_order")
 
 
 def tokens_of(text: Column) -> Column:
@@ -84,7 +85,7 @@ def find_exponent(shares: DataFrame, target_entropy: float | None, max_repeats:
     return high
 
 
-def mix(
+def placed(
     docs: DataFrame,
     target_entropy_share: float | None = TARGET_ENTROPY_SHARE,
     max_repeats: float | None = MAX_REPEATS,
@@ -92,10 +93,7 @@ def mix(
     block_tokens: int = BLOCK_TOKENS,
     seed: int = SEED,
 ) -> DataFrame:
-    """A row for each reading of a document: its columns, mix_source, mix_tokens, mix_epoch, mix_block and mix_order.
-
-    Blocks in order, and rows of a block by mix_order, are the training order.
-    """
+    """A row for each reading of a document: its row as mix_doc, and the columns of MIX."""
     table_of = cut(source_table(docs))
     total, n, n_rows = table_of.agg(F.sum("mix_total"), F.count_if(F.col("mix_total") > 0), F.sum("mix_rows")).first()
     total = total or 0
@@ -117,13 +115,14 @@ def mix(
         F.greatest(F.lit(1), F.ceil(F.col("mix_rows") / SLICE_ROWS)).cast("long").alias("mix_slices"),
         F.greatest(F.lit(1.0), weight * F.lit(float(block_tokens))).alias("mix_quota"),
     )
-    rows = docs.withColumns({"mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "mix_tokens": tokens_of(F.col("text"))})
+    # The row travels as one column, so its names cannot meet those used here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), tokens_of(F.col("text")).alias("mix_tokens"), F.col("doc_id").alias("mix_id"))
     if table_of.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(plan), "mix_source")
     else:
         salted = plan.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
-    hashed = F.xxhash64(F.col("doc_id"), F.col("mix_source"), F.col("mix_epoch"), F.lit(seed))
+        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("mix_id", F.lit(seed)), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
+    hashed = F.xxhash64(F.col("mix_id"), F.col("mix_source"), F.col("mix_epoch"), F.lit(seed))
     rows = (
         rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_epochs"))))
         .where((F.col("mix_epoch") == 1) | (F.col("mix_tokens") > 0))
@@ -134,16 +133,24 @@ def mix(
     sums = rows.groupBy(*key).agg(F.sum("mix_tokens").alias("mix_sum"))
     before = F.sum("mix_sum").over(Window.partitionBy("mix_source", "mix_epoch").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(*key, F.coalesce(before, F.lit(0)).alias("mix_offset"))
-    inside = F.sum("mix_tokens").over(Window.partitionBy(*key).orderBy("mix_order", F.col("doc_id"), "mix_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("mix_inside", F.coalesce(inside, F.lit(0))).join(offsets, key)
+    inside = F.sum("mix_tokens").over(Window.partitionBy(*key).orderBy("mix_order", "mix_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    counted = rows.withColumn("mix_inside", F.coalesce(inside, F.lit(0))).join(offsets, key)
     start = (F.col("mix_epoch") - 1) * F.col("mix_total") + F.col("mix_offset") + F.col("mix_inside")
-    kept = placed.withColumn("mix_start", start).where((F.col("mix_start") < F.col("mix_target")) | ((F.col("mix_tokens") == 0) & (F.col("mix_epoch") == 1)))
-    return kept.select(*docs.columns, "mix_source", "mix_tokens", "mix_epoch", F.floor(F.col("mix_start") / F.col("mix_quota")).cast("long").alias("mix_block"), "mix_order")
+    kept = counted.withColumn("mix_start", start).where((F.col("mix_start") < F.col("mix_target")) | ((F.col("mix_tokens") == 0) & (F.col("mix_epoch") == 1)))
+    return kept.select("mix_doc", "mix_source", "mix_tokens", "mix_epoch", F.floor(F.col("mix_start") / F.col("mix_quota")).cast("long").alias("mix_block"), "mix_order")
+
+
+def mix(docs: DataFrame, **how: object) -> DataFrame:
+    """A row for each reading of a document: its columns and those of MIX, which take the place of columns so named.
+
+    Blocks in order, and rows of a block by mix_order, are the training order.
+    """
+    return placed(docs, **how).select(*[F.col(f"mix_doc.`{c}`") for c in docs.columns if c not in MIX], *MIX)
 
 
 def mix_documents(docs: DataFrame, **how: object) -> DataFrame:
     """The readings of :func:`mix` as documents: same columns as ``docs``, a document as often as it is read."""
-    return mix(docs, **how).select(*docs.columns)
+    return placed(docs, **how).select("mix_doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,9 +225,13 @@ def luhn(body: list[int]) -> int:
 
 
 def replace_pii(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> DataFrame:
-    """``docs`` with surrogates in the text; with ``counts`` also n_entities and the number of each kind."""
+    """``docs`` with surrogates in the text; with ``counts`` also n_entities and the number of each kind.
+
+    These counts take the place of columns so named.
+    """
     ship(docs.sparkSession)
     extra = ["n_entities", *(f"n_{k}" for k in KINDS)] if counts else []
+    docs = docs.drop(*extra)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in extra)])
     at = docs.columns.index("text")
 

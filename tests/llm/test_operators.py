@@ -1,0 +1,466 @@
+"""The training-data operators on small tables: brute force, round trips, held-out accuracy and odd rows."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, chat, jaccard, language, lm, mixing, pii, quality, toxicity, vafile
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, cls string, kept string"
+
+
+def docs_of(spark, texts, ids=None):
+    """Documents with extra columns whose names clash with those inside operators."""
+    rows = [(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 0.5, "x", "y") for i, t in zip(ids or range(len(texts)), texts, strict=True)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def prose(seed, n, words=300):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(words)]
+    return [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 120))) for _ in range(n)]
+
+
+ODD = [None, "", " \t\n ", "one", "two words", "a b c", "\x00\x1c\x85 \xa0 x", "word " * 3000, "é" * 500, "#" * 200, "same text here again", "same text here again"]
+
+
+# -- n-gram Jaccard join ------------------------------------------------------------------------------
+
+
+def brute_components(texts, ids, k, num, den):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            inter = len(sets[i] & sets[j])
+            if inter and den * inter >= num * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for i, x in zip(ids, label, strict=True):
+        least[x] = min(least.get(x, i), i)
+    return {i: (len(s), least[x]) for i, s, x in zip(ids, sets, label, strict=True)}
+
+
+def near_copies(seed, bases=6, copies=12):
+    rng = random.Random(seed)
+    out = prose(seed, 20)
+    for b in prose(seed + 1, bases):
+        for _ in range(copies):
+            w = b.split()
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+        out.append(b.upper())
+    return out
+
+
+@pytest.mark.parametrize("long_list", [2, 24])
+def test_jaccard_against_brute_force(spark, monkeypatch, long_list):
+    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    texts = near_copies(3) + ODD
+    ids = [7 * i + 1 for i in range(len(texts))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts, ids)).collect()}
+    assert got == brute_components(texts, ids, 4, 85, 100)
+
+
+def test_jaccard_odd_ids_and_empty_table(spark):
+    rows = jaccard.jaccard_components(docs_of(spark, ["a b c d e", "a b c d e", "x y z q"], [None, 5, 5])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (5, 5), (5, 5)]
+    assert jaccard.jaccard_components(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_components_agree(spark):
+    rng = random.Random(1)
+    links = spark.createDataFrame([(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)], "a long, b long")
+    one = {(r.node, r.label) for r in jaccard.components(links).collect()}
+    assert one == {(r.node, r.label) for r in jaccard.components(links, local=0).collect()}
+    assert {x[1] for x in one if x[0] >= 100} == {100}
+
+
+def test_drop_duplicates_keeps_one_of_each_group(spark):
+    base = prose(9, 1)[0]
+    kept = jaccard.drop_duplicates(docs_of(spark, [base, base + " more", base, "other words in this text", base], [4, 3, 9, 10, 3]), 5, (80, 100))
+    assert sorted(r.doc_id for r in kept.collect()) in ([3, 3, 10], [3, 10])
+    assert kept.columns == docs_of(spark, ["a"]).columns
+
+
+# -- BPE ----------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    texts = ["Hello  World, it's I'LL 123 <|endoftext|> x<|startoftext|>y", "naïve ﬁ É İ ß ΑΣ", "日本語 ½² 😀👍🏽", "ab" * 3000, *ODD, *prose(2, 5)]
+    for r in bpe.encode(docs_of(spark, texts)).collect():
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids == want
+        assert r.decoded == library.decode(want, skip_special_tokens=False)
+    for r in bpe.digest_tokens(docs_of(spark, texts)).collect():
+        want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+    for r in bpe.encode_documents(docs_of(spark, texts)).collect():
+        assert r.ids == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+
+
+# -- toxicity -----------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_folds_and_exceptions(spark):
+    rng = random.Random(5)
+    plain = prose(5, 450)
+    clean = [t + (" grumbo can" if i % 12 == 0 else "") for i, t in enumerate(plain[:300])]
+    toxic = [t.replace(" ", f" {rng.choice(['grumbo', 'zlopp', 'vakel' + rng.choice('abcd')])} ", 3) for t in plain[300:]]
+    texts = clean + toxic
+    labels = spark.createDataFrame([(i, int(i >= 300), 1) for i in range(450)], "doc_id long, toxic int, quality int")
+    docs = docs_of(spark, texts)
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in got if got[i].held_out]
+    assert held and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert sum(got[i].predicted == (i >= 300) for i in held) / len(held) > 0.95
+    assert "grumbo can" in model["exceptions"]
+    new = docs_of(spark, ["you are a zl0pp and a gгumbо today", "a vakelzz appears", "put it in the grumbo can please", *ODD])
+    scored = {r.doc_id: r for r in toxicity.score(new, model).collect()}
+    assert [scored[i].predicted for i in range(3)] == [1, 1, 0]
+    assert all(0 <= r.score <= 1 and r.predicted == 0 for i, r in scored.items() if i > 2)
+
+
+def test_toxicity_without_labels(spark):
+    docs = docs_of(spark, ODD)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {0.0}
+
+
+# -- language -----------------------------------------------------------------------------------------
+
+
+def test_language(spark):
+    rng = random.Random(8)
+    make = lambda syllables, n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    languages = {"xa": ["ba", "no", "ri", "tel"], "xb": ["sch", "en", "ung", "ß"], "xc": ["дом", "на", "ли", "кот"]}
+    rows = [(i, make(languages[lang], 30), lang) for i, lang in enumerate(list(languages) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = language.learn_prototypes(docs.where(F.col("doc_id") < 90))
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, prototypes).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    odd = {r.doc_id: r for r in language.predict(docs_of(spark, [*ODD, "123 456 !!"]), prototypes).collect()}
+    assert [odd[i].lang_pred for i in (0, 1, 2, 9, 12)] == ["und"] * 5
+    assert all(0 <= r.score <= 1 for r in odd.values())
+    assert {r.lang_pred for r in language.predict(docs, {}).collect()} == {"und"}
+
+
+def test_language_sorted_triples_agree(monkeypatch):
+    texts = [*prose(4, 3), "日本語 テスト", "", None]
+    a, has = language.Encoder().encode(texts)
+    monkeypatch.setattr(language, "DIRECT", 0)
+    b, _ = language.Encoder().encode(texts)
+    assert np.allclose(a, b) and has.tolist() == [True] * 4 + [False] * 2
+
+
+# -- quality ------------------------------------------------------------------------------------------
+
+
+def brute_quality(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines, dup = (text or "").split("\n"), 0
+    for i, line in enumerate(lines):
+        dup += bool(re.search(r"[^\x20\x09-\x0D]", line)) and line in lines[:i]
+    counts = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = {i + d for i in range(len(words) - 2) if counts[tuple(words[i : i + 3])] > 1 for d in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_quality_counts_and_verdicts(spark):
+    good = [x + ".\n" + y + "." for x, y in zip(prose(1, 60), prose(2, 60), strict=True)]
+    bad = [x.replace(" ", "### ").upper() + "\n" + " | ".join(x.split()) for x in prose(3, 60)]
+    texts = good + bad + ODD + ["a a a a\na a a a\n\n\nb", "x y z x y z w"]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120) if i % 2], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(t), repr(t)[:80]
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    assert all(got[i].kept for i in range(60)) and not any(got[i].kept for i in range(60, 120))
+    kept = quality.filter_quality(docs, labels)
+    assert {r.doc_id for r in kept.collect()} == {i for i in got if got[i].kept} and kept.columns == docs.columns
+    assert quality.score_quality(docs, labels.limit(0)).count() == len(texts)
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        emit, chain = rng.normal(size=(6, 2)), rng.normal(size=(2, 2))
+        value = lambda p: sum(emit[i, x] for i, x in enumerate(p)) + sum(chain[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: E731, B023
+        best = max(([b >> i & 1 for i in range(6)] for b in range(64)), key=value)
+        assert quality.viterbi(emit, chain) == best
+
+
+# -- language model -----------------------------------------------------------------------------------
+
+
+def test_base_score_and_counts(spark):
+    texts = prose(1, 40) + ODD + ["The THE the"]
+    counts = collections.Counter()
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            counts.update([*(t or "").encode().lower().split(), None])
+    n, v = sum(counts.values()), len(counts)
+    for r in lm.score_lm(docs_of(spark, texts)).collect():
+        tokens = [*(texts[r.doc_id] or "").encode().lower().split(), None]
+        base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(tokens), sum(counts[t] > 0 for t in tokens), n)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert r.score < 0
+    assert lm.score_lm(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_blocks_do_not_change_scores(spark, monkeypatch):
+    docs = docs_of(spark, prose(3, 30) + ODD)
+    one = {r.doc_id: r.score for r in lm.score_lm(docs).collect()}
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    many = {r.doc_id: r.score for r in lm.score_lm(docs).collect()}
+    assert many == pytest.approx(one, rel=1e-5)
+
+
+def brute_ctw(train, test, depth):
+    code = lambda t: [*t.encode(), lm.END_BYTE]
+
+    def steps(t):
+        b = [lm.END_BYTE] * depth + code(t)
+        for i in range(depth, len(b)):
+            yield tuple(b[i - j] for j in range(1, depth + 1)), b[i]
+
+    count, below = collections.Counter(), collections.defaultdict(set)
+    for t in train:
+        for cx, x in steps(t):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    count[cx[:d], bit, x >> (8 - bit), x >> (7 - bit) & 1] += 1
+                    if d:
+                        below[cx[: d - 1], bit, x >> (8 - bit)].add(cx[:d])
+
+    def own(cx, bit, p):
+        a, b = count[cx, bit, p, 0], count[cx, bit, p, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def weighted(cx, bit, p):
+        return own(cx, bit, p) if len(cx) == depth else np.logaddexp(own(cx, bit, p), sum(weighted(c, bit, p) for c in below[cx, bit, p])) - math.log(2)
+
+    def chance(cx, full, bit, p, v):
+        a, n = count[cx, bit, p, v], count[cx, bit, p, 0] + count[cx, bit, p, 1]
+        kt, child = (a + 0.5) / (n + 1), full[: len(cx) + 1]
+        if len(cx) == depth or not count[child, bit, p, 0] + count[child, bit, p, 1]:
+            return kt
+        w = math.exp(own(cx, bit, p) - math.log(2) - weighted(cx, bit, p))
+        return w * kt + (1 - w) * chance(child, full, bit, p, v)
+
+    return [sum(math.log10(chance((), cx, bit, x >> (8 - bit), x >> (7 - bit) & 1)) for cx, x in steps(t) for bit in range(8)) for t in test]
+
+
+def test_context_tree_weighting_against_brute_force(spark):
+    texts = ["the cat sat", "a cat", "thé", "", "the hat", "the cat", "zz q", "a", "hat the", "cat cat", "that", "chat"]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    want = brute_ctw(train, texts, lm.DEPTH)
+    got = {r.doc_id: r.score for r in lm.score_lm(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+
+
+# -- vectors ------------------------------------------------------------------------------------------
+
+
+def test_vafile_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 8)).astype(np.float32)
+    v[50:90] = v[0]
+    v[300] *= 1e4
+    rows = [(int(i), [float(x) for x in r], 1) for i, r in enumerate(v)]
+    rows += [(1000, None, 1), (1050, [1.0, None] + [0.0] * 6, 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (1200, [1.0, 2.0], 1), (399, rows[399][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
+    whole = [(i, [math.floor(256 * x) for x in e]) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in np.array(e, object)) for e in [[float(np.float32(x)) for x in e]]]
+    want = {}
+    for q, a in whole:
+        if q % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(a) == len(b))[:5]
+            want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(scored)}
+    monkeypatch.setattr(vafile, "CANDIDATE_BLOCK", 64)
+    monkeypatch.setattr(vafile, "QUERY_BLOCK", 3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vafile.top_k(df, df.where("vec_id % 50 = 0")).collect()}
+    assert got == want
+    assert vafile.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+# -- PII ----------------------------------------------------------------------------------------------
+
+
+def test_permutations_are_bijections_without_fixed_points():
+    for bases in ([10, 10], [7], [26, 3, 10], [2]):
+        total = math.prod(bases)
+        seen = set()
+        for value in range(total):
+            x, rest = [], value
+            for b in bases:
+                rest, d = divmod(rest, b)
+                x.append(d)
+            y = pii.permute(x, bases, b"k", "t")
+            assert y != x and all(0 <= d < b for d, b in zip(y, bases, strict=True))
+            seen.add(tuple(y))
+        assert len(seen) == total
+
+
+def test_pii_surrogates(spark):
+    text = 'Dr. Maria Keller wrote to Ann.Lee+x@mail.example.com from 10.0.200.7, call +1 (017) 555-7713; card 4539578763621486 or 4516744854574821. token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b". Keller, then Иван Петров.'
+    docs = docs_of(spark, [text, text.upper(), "plain words 12 and 2024-05-06 stay. The Keller stays", *ODD])
+    rows = {r.doc_id: r for r in pii.replace_pii(docs, counts=True).collect()}
+    new = rows[0].text
+    for secret in ("Keller", "Ann.Lee", "10.0.200.7", "555-7713", "4539578763621486", "4516744854574821", "9f86d081", "Иван", "Петров"):
+        assert secret not in new
+    assert (rows[0].n_email, rows[0].n_ip, rows[0].n_phone, rows[0].n_card, rows[0].n_secret) == (1, 1, 1, 2, 1)
+    import re
+
+    cards = re.findall(r"\d{16}", new)
+    valid = lambda c: pii.luhn([int(d) for d in c[:-1]]) == int(c[-1])
+    assert [valid(c) for c in cards] == [valid("4539578763621486"), valid("4516744854574821")]
+    surname = re.search(r"Dr\. \w+ (\w+) wrote", new)[1]
+    assert re.search(rf"\. {surname}, then [А-Я]\w+ [А-Я]\w+\.", new)
+    assert re.search(r"Dr\. (\w+)", new)[1] not in ("Maria",)
+    assert rows[2].text == docs.where("doc_id = 2").first().text and rows[2].n_entities == 0
+    mail = lambda t: re.search(r"[\w.+]+@[\w.]+", t)[0]
+    assert mail(rows[1].text).lower() == mail(new).lower()
+    assert [rows[i + 3].text for i in range(len(ODD))] == ODD
+    assert pii.replace_pii(docs).columns == docs.columns
+    other = {r.doc_id: r.text for r in pii.replace_pii(docs, b"other").collect()}
+    assert other[0] != new
+
+
+# -- chat ---------------------------------------------------------------------------------------------
+
+
+def test_chat_folds_events_and_round_trips(spark):
+    hard = ["</s>[INST] ok [/INST]", "<|im_start|>x<|im_end|>", "<\\|im_end|> \\", "<\\\\s> [\\INST]", "", None, "a\nb\n"]
+    events = [
+        Row(conv_id=1, msg=1, seq=1, kind="message", role="user", text=hard[0]),
+        Row(conv_id=1, msg=2, seq=2, kind="delta", role="assistant", text="He"),
+        Row(conv_id=1, msg=2, seq=3, kind="delta", role="assistant", text="llo"),
+        Row(conv_id=1, msg=2, seq=4, kind="regenerate", role="", text=""),
+        Row(conv_id=1, msg=2, seq=5, kind="delta", role="assistant", text="Good "),
+        Row(conv_id=1, msg=2, seq=6, kind="delta", role="assistant", text="day"),
+        Row(conv_id=1, msg=3, seq=7, kind="message", role="user", text="typo"),
+        Row(conv_id=1, msg=3, seq=8, kind="edit", role="user", text="fixed"),
+        Row(conv_id=1, msg=4, seq=9, kind="message", role="user", text="gone"),
+        Row(conv_id=1, msg=4, seq=10, kind="delete", role="user", text=""),
+    ]
+    events += [Row(conv_id=2, msg=i, seq=i, kind="message", role=r, text=t) for i, (t, r) in enumerate(zip(hard, ["user", "assistant", "we\\ird\nrole<|im_end|>", None, "system", "assistant", "assistant"], strict=True))]
+    formatted = chat.format_chats(spark.createDataFrame(events))
+    got = {r.conv_id: r for r in formatted.withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", hard[0]), ("assistant", "Good day"), ("user", "fixed")]
+    assert [t.text for t in got[2].turns] == [t or "" for t in hard]
+    assert got[2].turns[2].role == "we\\ird\nrole<|im_end|>" and got[2].turns[3].role == ""
+    assert "".join(s.text for s in got[2].segments) == got[2].formatted
+    assert [s.text for s in got[1].segments if s.loss] == ["Good day"]
+    digest = chat.digest_chats(formatted).where("conv_id = 2").first()
+    said = "".join(f"{t.role}\n{t.text}\n" for t in got[2].turns)
+    loss = hard[1] + "a\nb\n"
+    assert (digest.n_turns, digest.turns_sha256, digest.loss_chars, digest.loss_sha256) == (7, hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(None, None, "user", "b"), (None, None, "user", "a"), (3, 1, "assistant", "x"), (3, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [t.text for t in r.turns] for r in chat.format_chats(chat.as_events(rows)).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    assert got == {None: ["a", "b"], 3: ["x", "x"]}
+    assert chat.format_chats(chat.as_events(rows.limit(0))).count() == 0
+
+
+# -- mixing -------------------------------------------------------------------------------------------
+
+
+def shares_of(spark, seed=4):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), f"s{min(rng.randrange(6), rng.randrange(6))}") for i in range(400)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("slice_rows", [7, 5000])
+def test_mixing_meets_limits(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    rows, docs = shares_of(spark)
+    total = collections.Counter()
+    for _, t, s in rows:
+        total[s] += len(t.split())
+    p = {s: n / sum(total.values()) for s, n in total.items()}
+    a = 1.0
+    for i in range(100001):  # the least exponent, by steps instead of bisection
+        w = {s: x ** (i / 100000) for s, x in p.items()}
+        z = sum(w.values())
+        h = -sum(x / z * math.log(x / z) for x in w.values())
+        r = [w[s] / total[s] for s in p]
+        if h <= 0.95 * math.log(len(p)) and max(r) <= 1.5 * min(r):
+            a = i / 100000
+            break
+    got = mixing.mix(docs, block_tokens=500).collect()
+    read = collections.Counter()
+    for r in got:
+        read[r.mix_source] += r.mix_tokens
+    z = sum(x**a for x in p.values())
+    budget = max(total[s] * z / p[s] ** a for s in p)
+    for s in p:
+        assert abs(read[s] - p[s] ** a / z * budget) <= 61 + 1e-3 * budget
+    assert {r.doc_id for r in got} == {i for i, _, _ in rows}
+    assert len({(r.doc_id, r.mix_epoch) for r in got}) == len(got)
+    share = collections.Counter()
+    for r in got:
+        share[r.mix_source, r.mix_block] += r.mix_tokens
+    for s in p:
+        for b in range(max(x for t, x in share if t == s)):
+            assert abs(share[s, b] - p[s] ** a / z * 500) <= 61
+
+
+def test_mixing_budget_and_salted_join(spark, monkeypatch):
+    rows, docs = shares_of(spark)
+    whole = {(r.doc_id, r.mix_epoch, r.mix_block) for r in mixing.mix(docs, budget_tokens=3000).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert {(r.doc_id, r.mix_epoch, r.mix_block) for r in mixing.mix(docs, budget_tokens=3000).collect()} == whole
+    assert sum(r.mix_tokens for r in mixing.mix(docs, budget_tokens=3000).collect()) == pytest.approx(3000, abs=60 * 6)
+
+
+def test_mixing_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None, None, "a"), (1, "", None, "b"), (2, "x y", "s", "c"), (2, "x y", "s", "c"), (3, None, "t", "d")], "doc_id long, text string, source string, mix_source string")
+    got = mixing.mix_documents(docs)
+    assert got.columns == docs.columns and sorted(r.mix_source for r in got.collect()) == ["a", "b", "c", "c", "d"]
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+# -- every operator on odd rows -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", [None, [None, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 9]])
+def test_odd_rows_pass_every_operator(spark, ids):
+    docs = docs_of(spark, ODD, ids)
+    labels = spark.createDataFrame([(None, None, None), (1, 1, 0), (1, 0, 1), (2, None, 1)], "doc_id long, quality int, toxic int")
+    n = len(ODD)
+    assert jaccard.jaccard_components(docs).count() == n
+    assert bpe.digest_tokens(docs).count() == n
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == n
+    assert language.predict(docs, language.learn_prototypes(docs.where("text is not null"))).count() == n
+    assert quality.score_quality(docs, labels).count() == n
+    assert lm.score_lm(docs).count() == n
+    assert pii.replace_pii(docs, counts=True).count() == n
+    assert mixing.mix_documents(docs).count() >= n
