@@ -2,8 +2,9 @@
 
 Folding lower-cases, maps look-alike letters of other scripts to Latin ones and digits and signs that
 stand for letters to those letters. The lexicon (words, and beginnings of words that stand for a whole
-family) is learned from a bounded sample of labelled training rows; a phrase of a term and a neighbour
-that occurs in clean rows only cancels the match. A logistic curve over the sum of matched weights,
+family) is learned from a bounded sample of labelled training rows: terms that toxic rows hold more
+often are looked at with their neighbours, phrases that clean rows alone hold become exceptions, and the
+weights are the log-odds of what remains outside them. A logistic curve over the sum of matched weights,
 that sum per 100 words, and the strongest match gives the score.
 
 Defined results: null and empty texts have no match and get the curve's value for that; without
@@ -32,6 +33,10 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 5000, 10000
 LEXICON_TERMS = 4000
 PREFIXES = (4, 5, 6)
 LEAST_SUPPORT, LEAST_SHARE, LEAST_WEIGHT = 5, 0.005, 2.5
+#: Log-odds from which a term is looked at.
+LOOK = 0.5
+#: Clean rows that make a phrase an exception, and how many times as many they must be as toxic ones.
+EXCEPTION_ROWS, EXCEPTION_TIMES = 3, 10
 
 # Letters that look like Latin ones, and signs that stand for letters.
 LOOKALIKE = dict(zip("аеорсухіјѕһԁӏвкмнтαεικνορτυχ", "aeopcyxijshdlbkmhtaeiknoptux", strict=True))
@@ -51,54 +56,45 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of a bounded, hash-picked sample of training rows."""
+def log_odds(pos: int, neg: int, toxic: int, clean: int) -> float:
+    return float(np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """text and toxic of a bounded, hash-picked sample of training rows; and its toxic and clean rows."""
     known = (
         labels.where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic > 0").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic <= 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = {bool(r.t): r.n for r in picked.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return sample, rows.get(True, 0), rows.get(False, 0)
 
 
-def learn_terms(sample: DataFrame) -> tuple[dict[str, float], int, int]:
-    """Weights of terms that toxic rows hold far more often than clean ones; and the rows of either kind."""
+def learn_terms(sample: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, float]:
+    """Terms that toxic rows hold more often, with their log-odds; at most LEXICON_TERMS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        rows = [0, 0]
         seen: set[int] = set()
         for part in slices(batches):
             for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist(), strict=True):
                 k = int(toxic > 0)
-                rows[k] += 1
                 if (h := hash((text, k))) not in seen:  # copies of a text are one witness
                     seen.add(h)
                     counts[k].update(terms_of(text))
-        toxic = list(counts[1])  # terms of clean rows alone cannot enter the lexicon, other tasks count theirs
-        clean = [t for t, n in counts[0].items() if t not in counts[1]]
-        for at in range(0, len(toxic), 20000):
-            some = toxic[at : at + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[1][t] for t in some], pa.int64()), pa.array([counts[0][t] for t in some], pa.int64())], names=["term", "pos", "neg"])
-        for at in range(0, len(clean), 20000):
-            some = clean[at : at + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([0] * len(some), pa.int64()), pa.array([counts[0][t] for t in some], pa.int64())], names=["term", "pos", "neg"])
-        yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([rows[1]], pa.int64()), pa.array([rows[0]], pa.int64())], names=["term", "pos", "neg"])
+        terms = list(counts[0].keys() | counts[1].keys())
+        for at in range(0, len(terms), 20000):
+            some = terms[at : at + 20000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([counts[k][t] for t in some], pa.int64()) for k in (1, 0))], names=["term", "pos", "neg"])
 
     summed = sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    frequent = summed.where(F.col("pos") >= LEAST_SUPPORT).where(F.col("pos") > 2 * F.col("neg")).where("term <> ''")
-    # The empty term carries the row counts, and comes first because no term occurs in more rows.
-    got = frequent.unionByName(summed.where("term = ''")).orderBy(F.desc(F.expr("if(term = '', pos + neg + 1, pos)")), "term").limit(LEXICON_TERMS + 1).collect()
-    totals = next(((r.pos, r.neg) for r in got if r.term == ""), (0, 0))
-    pos, neg = totals
-    out = {}
-    for r in got:
-        if r.term and r.pos >= LEAST_SHARE * pos:
-            weight = float(np.log((r.pos + 0.5) / (pos + 1)) - np.log((r.neg + 0.5) / (neg + 1)))
-            if weight >= LEAST_WEIGHT:
-                out[r.term] = round(weight, 4)
-    return out, pos, neg
+    odds = F.log((F.col("pos") + 0.5) / (toxic_rows + 1)) - F.log((F.col("neg") + 0.5) / (clean_rows + 1))
+    least = max(LEAST_SUPPORT, int(LEAST_SHARE * toxic_rows))
+    got = summed.where((F.col("pos") >= least) & (odds >= LOOK)).orderBy(F.desc("pos"), "term").limit(LEXICON_TERMS).collect()
+    return {r.term: round(log_odds(r.pos, r.neg, toxic_rows, clean_rows), 4) for r in got}
 
 
 class Matcher:
@@ -111,44 +107,43 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         whole: dict[str, list] = {}
         for term, weight in weights.items():
-            body = term.removesuffix("*")
-            whole.setdefault(body, [0.0, 0.0])[term.endswith("*")] = weight
+            whole.setdefault(term.removesuffix("*"), [None, None])[term.endswith("*")] = (weight, term)
         for body, (exact, start) in whole.items():
             self.automaton.add_word(body, (len(body), exact, start))
         if whole:
             self.automaton.make_automaton()
         self.empty = not whole
 
-    def matches(self, folded: str) -> list[tuple[float, str, str]]:
-        """Weight of the best term at each matched word, with the phrases that it makes with its neighbours."""
+    def matches(self, folded: str) -> list[tuple[float, str, str, str]]:
+        """Weight and name of the best term at each matched word, and the phrases it makes with its neighbours."""
         if self.empty:
             return []
-        best: dict[int, float] = {}
+        best: dict[int, tuple[float, str]] = {}
         n = len(folded)
         for end, (size, exact, start) in self.automaton.iter(folded):
             at = end - size + 1
             if at and (folded[at - 1].isalnum() or folded[at - 1] == "_"):
                 continue
             inside = end + 1 < n and (folded[end + 1].isalnum() or folded[end + 1] == "_")
-            weight = start if inside else exact
-            if weight > best.get(at, 0.0):
-                best[at] = weight
+            found = start if inside else exact
+            if found and found > best.get(at, (0.0, "")):
+                best[at] = found
         out = []
-        for at, weight in best.items():
+        for at, (weight, term) in best.items():
             word = WORD.match(folded, at).group()
             before = WORD.findall(folded[max(0, at - 60) : at])
             after = WORD.findall(folded[at + len(word) : at + len(word) + 60])
-            out.append((weight, f"{before[-1]} {word}" if before else "", f"{word} {after[0]}" if after else ""))
+            out.append((weight, term, f"{before[-1]} {word}" if before else "", f"{word} {after[0]}" if after else ""))
         return out
 
     def features(self, text: str | None) -> list[float]:
         text = text or ""
-        return curve_features([m for m in self.matches(fold(text)) if m[1] not in self.exceptions and m[2] not in self.exceptions], text.count(" ") + 1)
+        return curve_features([m[0] for m in self.matches(fold(text)) if m[2] not in self.exceptions and m[3] not in self.exceptions], text.count(" ") + 1)
 
 
-def curve_features(matches: list[tuple[float, str, str]], words: int) -> list[float]:
-    total = sum(m[0] for m in matches)
-    return [float(np.log1p(total)), float(np.log1p(100 * total / words)), max((m[0] for m in matches), default=0.0), 1.0]
+def curve_features(weights: list[float], words: int) -> list[float]:
+    total = sum(weights)
+    return [float(np.log1p(total)), float(np.log1p(100 * total / words)), max(weights, default=0.0), 1.0]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -164,26 +159,32 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Lexicon, exception phrases and curve, all from the bounded sample."""
     ship(docs.sparkSession)
-    sample = labelled(docs, labels)
-    weights, pos, neg = learn_terms(sample)
-    if not pos + neg:
+    sample, toxic_rows, clean_rows = labelled(docs, labels)
+    if not toxic_rows + clean_rows:
         return {"weights": {}, "exceptions": frozenset(), "curve": None}
+    looked = learn_terms(sample, toxic_rows, clean_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(weights)
+        matcher = Matcher(looked)
+        kind = pa.list_(pa.struct([("t", pa.string()), ("b", pa.string()), ("a", pa.string())]))
         for part in slices(batches):
             texts = part["text"].to_pylist()
-            found = [[{"w": w, "b": b, "a": a} for w, b, a in matcher.matches(fold(t))] for t in texts]
-            kind = pa.list_(pa.struct([("w", pa.float64()), ("b", pa.string()), ("a", pa.string())]))
+            found = [[{"t": t, "b": b, "a": a} for _, t, b, a in matcher.matches(fold(x))] for x in texts]
             yield pa.RecordBatch.from_arrays([part["toxic"].cast(pa.int32()), pa.array([t.count(" ") + 1 for t in texts], pa.int64()), pa.array(found, kind)], names=["toxic", "words", "found"])
 
-    rows = sample.mapInArrow(run, "toxic int, words long, found array<struct<w:double,b:string,a:string>>").collect()
+    rows = sample.mapInArrow(run, "toxic int, words long, found array<struct<t:string,b:string,a:string>>").collect()
     phrases: tuple[Counter, Counter] = (Counter(), Counter())
     for r in rows:
         phrases[int(r.toxic > 0)].update({p for m in r.found for p in (m.b, m.a) if p})
-    exceptions = frozenset(p for p, n in phrases[0].items() if n >= 3 and phrases[1][p] * 10 < n)
-    data = sorted((curve_features([(m.w, m.b, m.a) for m in r.found if m.b not in exceptions and m.a not in exceptions], r.words), int(r.toxic > 0)) for r in rows)
-    return {"weights": weights, "exceptions": exceptions, "curve": fit_curve(np.array([f for f, _ in data]), np.array([y for _, y in data]))}
+    exceptions = frozenset(p for p, n in phrases[0].items() if n >= EXCEPTION_ROWS and phrases[1][p] * EXCEPTION_TIMES < n)
+    outside = [[m.t for m in r.found if m.b not in exceptions and m.a not in exceptions] for r in rows]
+    terms: tuple[Counter, Counter] = (Counter(), Counter())
+    for r, found in zip(rows, outside, strict=True):
+        terms[int(r.toxic > 0)].update(set(found))
+    odds = {t: log_odds(n, terms[0][t], toxic_rows, clean_rows) for t, n in terms[1].items() if n >= LEAST_SUPPORT}
+    weights = {t: round(w, 4) for t, w in odds.items() if w >= LEAST_WEIGHT}
+    data = sorted((curve_features([weights[t] for t in found if t in weights], r.words), int(r.toxic > 0)) for r, found in zip(rows, outside, strict=True))
+    return {"weights": weights, "exceptions": exceptions, "curve": fit_curve(np.array([f for f, _ in data]), np.array([y for _, y in data])) if data else None}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
