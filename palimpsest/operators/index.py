@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN
 from palimpsest.functions.thresholds import benchmark_column, required_column
+from palimpsest.session import cut
 
 #: Most rows of query tokens that are broadcast to the texts; above, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a side that was counted and is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` written out once, with a broadcast hint if its counted rows are few enough."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -40,6 +42,7 @@ def candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
     A text that shares ``need`` of k tokens shares one of any k - need + 1, so only the rarest ones of
     each query meet the postings. Frequencies are counted for the queries' tokens alone.
     """
+    queries = small(queries.select("query_id", "counted", "need"))
     asked = queries.select("query_id", "need", F.size("counted").alias("k"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, ""))
     vocabulary = small(asked.select("token").distinct())
     held = postings(texts).join(vocabulary, "token")
@@ -47,7 +50,7 @@ def candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
     probes = asked.join(frequency, "token").withColumn("r", rank).where(F.col("r") <= F.col("k") - F.greatest(F.col("need"), F.lit(1)) + 1)
     met = held.join(small(probes.select("token", "query_id")), "token").select("query_id", "text_id").distinct()
-    full = met.join(small(queries.select("query_id", "counted", "need")), "query_id").join(texts.select("text_id", "tokens"), "text_id")
+    full = met.join(queries, "query_id").join(texts.select("text_id", "tokens"), "text_id")
     shared = full.select("query_id", "text_id", F.size(F.array_intersect(F.array_distinct("tokens"), F.array_except("counted", F.array(F.lit(UNKNOWN), F.lit(""))))).alias("shared"), "need")
     return shared.where(F.col("shared") >= F.greatest(F.col("need"), F.lit(1))).select("query_id", "text_id", "shared")
 

@@ -18,9 +18,9 @@ def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...
     ``queries``: (query_id, tokens, tol). ``texts``: (text_id, tokens). result_id counts a query's hits
     by text and place. Sorting for display is left to the caller.
     """
-    asked = with_threshold(queries, kind, stop)
+    asked = small(with_threshold(queries, kind, stop))
     pairs = candidates(asked, texts).select("query_id", "text_id")
-    full = pairs.join(small(asked.select("query_id", F.col("tokens").alias("q"), "tol")), "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
+    full = pairs.join(asked.select("query_id", F.col("tokens").alias("q"), "tol"), "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
     hits = (inner_hits if kind == INNER else token_hits)(F.col("q"), F.col("t"), F.col("tol"))
     rows = full.select("query_id", "text_id", F.posexplode(hits).alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("text_id", "place")) - 1
@@ -53,9 +53,9 @@ def find_reuse(sources: DataFrame, texts: DataFrame, window: int, stride: int, t
     or in its core project if it has one, can be left out.
     """
     asked = window_queries(sources, window, stride, tolerance, stop, lowered, min_tokens)
-    once = asked.withColumn("first", F.min("window_no").over(Window.partitionBy("own_id", "tokens"))).where("first = window_no").drop("first")
+    once = small(asked.withColumn("first", F.min("window_no").over(Window.partitionBy("own_id", "tokens"))).where("first = window_no").drop("first"))
     found = search(once.select("query_id", "tokens", "tol"), texts, kind, stop)
-    named = found.join(small(once.select("query_id", "own_id", join_tokens(F.col("tokens")).alias("query"))), "query_id")
+    named = found.join(once.select("query_id", "own_id", join_tokens(F.col("tokens")).alias("query")), "query_id")
     if ignore_itself:
         named = named.where(F.col("text_id") != F.col("own_id"))
     if ignore_core_project:

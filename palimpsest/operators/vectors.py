@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import ENTITY_CLASSES, UNKNOWN_CHUNK, words_for_overlap
-from palimpsest.session import ship
+from palimpsest.session import cut, ship
 
 #: Shares of the vector score and the lexical score, and how many candidates and cells a search looks at.
 MODELS = {
@@ -21,6 +23,8 @@ MODELS = {
     "minilm": {"embed": 0.7, "lex": 0.3, "candidates": 1000, "probes": 128, "query_prefix": "", "passage_prefix": ""},
 }
 TOP_K = 50
+#: Queries that go to the tasks at once.
+QUERY_BLOCK = 4096
 ENTITY_WEIGHT = 0.3
 #: Parts of tokens that stand for entity classes.
 ENTITY_PARTS = tuple(c.lower() for c in ENTITY_CLASSES)
@@ -69,16 +73,52 @@ def hashing_encoder(dimensions: int = 64, seed: int = 7) -> Callable[[list[str]]
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, embed_score, rank): exact search of a counted set of queries over all chunks.
+    """(query_id, chunk_id, embed_score, rank): exact search of a set of queries over all chunks.
 
-    The queries are broadcast in one row; every chunk is scored where it lies. Ranks are cut per
-    partition before the shuffle (Spark limits the window's groups there), then once more.
+    Queries go out in blocks of at most about ``QUERY_BLOCK``. Each task keeps k results a query; scores
+    have nine decimals, ties go to the smaller id.
     """
-    listed = queries.select(F.struct("query_id", F.col("vector").alias("q")).alias("s")).agg(F.collect_list("s").alias("all"))
-    scored = chunks.select("chunk_id", "vector").join(F.broadcast(listed)).select("chunk_id", "vector", F.explode("all").alias("s"))
-    rows = scored.select("s.query_id", "chunk_id", dot(F.col("vector"), F.col("s.q")).alias("embed_score"))
+    spark = chunks.sparkSession
+    ship(spark)
+    asked = cut(queries.select("query_id", "vector").where("query_id is not null and vector is not null"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kinds = dict(chunks.dtypes) | {"query_id": dict(asked.dtypes)["query_id"]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, embed_score double"
+    parts = []
+    for b in range(blocks):
+        mine = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        ids, matrix = mine["query_id"], stacked(mine["vector"])
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple[float, object]]] = [[] for _ in range(len(matrix))]
+            for batch in batches:
+                batch = batch.filter(pc.and_(batch["chunk_id"].is_valid(), batch["vector"].is_valid()))
+                if not batch.num_rows or not len(matrix):
+                    continue
+                names = batch["chunk_id"].to_pylist()
+                scores = np.round(matrix @ stacked(batch["vector"]).T, 9)
+                for q in range(len(matrix)):
+                    row = scores[q]
+                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    least = max(least, -best[q][-1][0]) if len(best[q]) == k else least
+                    best[q] = sorted(best[q] + [(-row[i], names[i]) for i in np.flatnonzero(row >= least).tolist()])[:k]
+            rows = [(q, c, -s) for q, found in zip(ids.to_pylist(), best, strict=True) for s, c in found]
+            for at in range(0, len(rows), 50_000):
+                q, c, s = zip(*rows[at : at + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, ids.type), pa.array(c, batch["chunk_id"].type), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "embed_score"])
+
+        parts.append(chunks.select("chunk_id", "vector").mapInArrow(run, schema))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("embed_score"), "chunk_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def stacked(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
 def cell_count(n: int) -> int:
