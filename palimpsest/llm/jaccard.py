@@ -6,14 +6,14 @@
    order that all share makes prefix filtering exact; the sketch only makes it selective.
 3. Classes with the same prefix and size form one group. Groups are posted under the tokens of their
    prefix, as binary blocks dealt by token.
-4. Groups that share a prefix token make a list. Lists of the same members are one. Lists are expanded
-   to member classes.
-5. Members are verified on whole sets. In each list all members are first compared with one hub. Members
-   linked with the hub are connected already, and 1 - Jaccard is a metric, so the exact distances to the
-   hub rule out most other pairs: |d(x, hub) - d(y, hub)| > 1 - t means that x and y do not link. All
-   pairs that stay open, between different components, are verified in the next rounds. No pair that
-   could join two components is left out, and a dense group of m near copies costs about m comparisons.
-6. Links are contracted by alternating large and small stars, written to the shared folder each time.
+4. Groups that share a prefix token make a list. Short lists give pairs of groups, which are filtered:
+   the tokens that both prefixes hold, and the larger tokens that are left, must suffice for a link.
+   Pairs that pass are expanded to member classes and verified on their whole sets.
+5. Long lists, crowded groups and large products of groups give no pairs. Those with common members are
+   put together to clusters, a cluster's sets are compared in blocks of ``BLOCK`` classes (each task holds
+   two blocks), by exact counts, and only links that join something leave the task: fewer than its classes.
+6. Links are contracted: up to ``LOCAL_LINKS`` of them in one task, more by alternating large and small stars
+   that are written to the shared folder each time.
 
 Defined results: documents without words or text have an empty set, link with nothing and are their own
 component. Fewer than k words count as one shingle. A null id is kept as a row with a null component
@@ -40,12 +40,14 @@ SKETCH_BITS, SKETCH_PARTS, SKETCH_SALTS = 20, 64, 16
 BUCKET_POSTINGS = 300_000
 #: Postings a task gathers before it hands them on.
 FLUSH = 2_000_000
-#: Lists up to this size are settled by all open pairs at once; larger ones by hubs.
-SMALL_LIST = 64
-#: Open pairs that a large list may have verified in its first round, for each member; four times as many in the next.
-PAIRS_PER_MEMBER = 8
-#: Rounds by hubs; all that is open then is verified in one more.
-HUB_ROUNDS = 4
+#: Lists of more groups, and products of more classes, are compared as clusters.
+LONG_LIST, LARGE_PRODUCT = 24, 64
+#: Classes of a block of a cluster.
+BLOCK = 1024
+#: Cells of a table of tokens by classes held at once.
+CELLS = 20_000_000
+#: Most links that one task contracts; above, stars do it in parallel.
+LOCAL_LINKS = 1_000_000
 #: Word hashes a worker keeps.
 CACHE_WORDS = 400_000
 #: Most classes whose ids are broadcast to find their texts; above, the join shuffles.
@@ -164,13 +166,14 @@ def prefix_tokens(s: np.ndarray, sketch: np.ndarray, share: tuple[int, int]) ->
     return np.sort(tokens)
 
 
-ENTRY = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+#: A posting; within its bucket 32 bits of the token's hash tell tokens apart well enough for a filter.
+ENTRY = np.dtype([("token", "<u4"), ("group", "<i8"), ("n", "<u4")])
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, k: int, share: tuple[int, int]) -> DataFrame:
-    """Blocks of postings by bucket (cls null), and the group of each class (bucket null)."""
+    """Blocks of postings by bucket (cls null), and each class with its group, size and prefix (bucket null)."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    names = ["bucket", "block", "cls", "grp", "n"]
+    names = ["bucket", "block", "cls", "grp", "n", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -179,18 +182,18 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, k: int, share: t
         seen: set[int] = set()
         groups: set[int] = set()
         held: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            entries = np.concatenate(held)
-            bucket = (entries["token"] & U((1 << 40) - 1)) % U(buckets)
+            entries, bucket = np.concatenate(held), np.concatenate(places)
             at = np.argsort(bucket, kind="stable")
             entries, bucket = entries[at], bucket[at]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             blocks = [x.tobytes() for x in np.split(entries, starts[1:])]
             for i in range(0, len(blocks), 64):
                 m = len(blocks[i : i + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[i : i + 64]].astype(np.int32), pa.int32()), pa.array(blocks[i : i + 64], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts[i : i + 64]].astype(np.int32), pa.int32()), pa.array(blocks[i : i + 64], pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.binary())], names=names)
 
         for part in slices(batches):
             rows = []
@@ -202,28 +205,29 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, k: int, share: t
                 tokens = prefix_tokens(s, order, share)
                 h = xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(s))
                 group = h - (1 << 64) if h >= 1 << 63 else h
-                rows.append((key, group, len(s)))
+                rows.append((key, group, len(s), tokens.tobytes()))
                 if group not in groups:
                     groups.add(group)
                     e = np.empty(len(tokens), ENTRY)
-                    e["token"], e["group"], e["n"], e["pos"] = tokens, group, len(s), np.arange(len(tokens))
+                    e["token"], e["group"], e["n"] = (tokens >> U(8)) & U(0xFFFFFFFF), group, len(s)
                     held.append(e)
+                    places.append(((tokens & U((1 << 40) - 1)) % U(buckets)).astype(np.int32))
                     size += len(e)
             if rows:
                 m = len(rows)
-                c, g, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=names)
+                c, g, n, prefix = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(c, pa.int64()), pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.binary())], names=names)
             if size > FLUSH:
                 yield from flush()
-                held, size = [], 0
+                held, places, size = [], [], 0
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, block binary, cls long, grp long, n long")
+    return docs.select("text").mapInArrow(run, "bucket int, block binary, cls long, grp long, n long, prefix binary")
 
 
 def group_lists(blocks: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Lists (lid, grp, n) of groups that share a prefix token and can link by size and place."""
+    """Pairs of groups (lid null, a, b) of short lists, and members (lid, a) of long ones; sizes allow a link."""
     num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,30 +241,52 @@ def group_lists(blocks: DataFrame, share: tuple[int, int]) -> DataFrame:
         # A list is cut where sizes jump too far for any link across the gap.
         near &= e["n"][:-1].astype(np.int64) * den >= e["n"][1:].astype(np.int64) * num
         starts = np.flatnonzero(np.concatenate([[True], ~near]))
-        ends = np.concatenate([starts[1:], [len(e)]])
+        lengths = np.diff(np.concatenate([starts, [len(e)]]))
+        rank = np.arange(len(e)) - np.repeat(starts, lengths)
+        mine = np.repeat(lengths, lengths)
+        group, n = e["group"], e["n"].astype(np.int64)
+        pairs: list[np.ndarray] = []
+        for step in range(1, LONG_LIST):
+            at = np.flatnonzero((mine <= LONG_LIST) & (rank + step < mine))
+            if not len(at):
+                break
+            at = at[n[at] * den >= n[at + step] * num]
+            pairs.append(np.stack([np.minimum(group[at], group[at + step]), np.maximum(group[at], group[at + step])], 1))
+        if pairs:
+            p = np.unique(np.concatenate(pairs), axis=0)
+            for at in range(0, len(p), 50_000):
+                some = p[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some[:, 0]), pa.array(some[:, 1])], names=["lid", "a", "b"])
         done: set[int] = set()
-        lids, groups, sizes = [], [], []
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            m = e[a:b]
-            n, pos = m["n"].astype(np.int64), m["pos"].astype(np.int64)
-            if b - a == 2:
-                reach = pos.min() + 1 + (n - pos - 1).min()
-                if reach < needed_overlap(int(n[0]), int(n[1]), share):
-                    continue
-            g = np.sort(m["group"])
-            lid = xxhash.xxh3_64_intdigest(g.tobytes())
-            if lid in done:
-                continue
-            done.add(lid)
-            lids.append(np.full(b - a, lid, U))
-            groups.append(m["group"])
-            sizes.append(n)
-        if lids:
-            lid, group, size = np.concatenate(lids).view(np.int64), np.concatenate(groups), np.concatenate(sizes)
-            for at in range(0, len(lid), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(lid[at : at + 50_000]), pa.array(group[at : at + 50_000]), pa.array(size[at : at + 50_000])], names=["lid", "grp", "n"])
-
-    return blocks.groupBy("bucket").applyInArrow(run, "lid long, grp long, n long").distinct()
+        for s, m in zip(starts[lengths > LONG_LIST].tolist(), lengths[lengths > LONG_LIST].tolist(), strict=True):
+            g = np.sort(group[s : s + m])
+            h = xxhash.xxh3_64_intdigest(g.tobytes())
+            if h not in done:
+                done.add(h)
+                yield pa.RecordBatch.from_arrays([pa.array([h - (1 << 64) if h >= 1 << 63 else h] * m, pa.int64()), pa.array(g), pa.nulls(m, pa.int64())], names=["lid", "a", "b"])
+
+    return blocks.groupBy("bucket").applyInArrow(run, "lid long, a long, b long")
+
+
+def promising(pairs: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of groups (a, b) whose prefixes leave room for a link.
+
+    Of the group whose prefix ends first, all tokens up to that end are in its prefix; common tokens
+    beyond it are at most what the group has left.
+    """
+    side = lambda c: groups.select(F.col("grp").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2048):
+            keep = []
+            for na, nb, x, y in zip(*(part[c].to_pylist() for c in ("na", "nb", "pa", "pb")), strict=True):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                left = na - len(x) if x[-1] <= y[-1] else nb - len(y)
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) + left >= needed_overlap(na, nb, share))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 # -- verification -----------------------------------------------------------------------------------
@@ -299,70 +325,117 @@ def linked(checked: DataFrame, share: tuple[int, int]) -> DataFrame:
     return checked.where(F.lit(den) * F.col("inter") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("inter")))
 
 
-def open_pairs(lists: DataFrame, share: tuple[int, int], per_member: int | None) -> DataFrame:
-    """(a, b, lid, open) to verify next.
+def forest(keys: list[int], sets: list[np.ndarray], second: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that connect what the links among these sets connect.
 
-    ``lists``: one row for each list with an array of (cls, n, label, d): its members, their component,
-    and their distance to the list's hub where it is known. A large list gives about ``per_member``
-    pairs for each member (None: all) and then stays open.
+    ``second`` marks the sets of a second block: if there are any, only links between blocks count.
     """
     num, den = share
-    slack = 1 - num / den + 1e-9
-
-    def of(members: list[dict]) -> tuple[list[tuple[int, int]], bool]:
-        members.sort(key=lambda m: (m["n"], m["cls"]))
-        cls = [m["cls"] for m in members]
-        n = np.array([m["n"] for m in members], np.int64)
-        names: dict[int, int] = {}
-        label = np.array([names.setdefault(m["label"], len(names)) for m in members])
-        if len(names) < 2:
-            return [], False
-        d = np.array([np.nan if m["d"] is None else m["d"] for m in members])
-        top = np.searchsorted(n * num, n * den, side="right")  # members that are not too large for i
-        size = np.bincount(label)
-        room = len(members) * per_member if len(members) > SMALL_LIST and per_member else None
-        out: list[tuple[int, int]] = []
-        # Members of small components first: they are what keeps a list open.
-        done = np.zeros(len(members), bool)
-        for i in sorted(range(len(members)), key=lambda i: (size[label[i]], n[i], cls[i])):
-            if room is not None and len(out) > room:
-                return out, True
-            j0 = int(np.searchsorted(n * den, n[i] * num))
-            j = np.arange(j0, top[i])
-            j = j[(label[j] != label[i]) & ~done[j]]
-            gap = np.abs(d[j] - d[i])
-            j = j[~(gap > slack)]
-            out += [(min(cls[i], c), max(cls[i], c)) for c in (cls[x] for x in j)]
-            done[i] = True
-        return out, False
+    m = len(keys)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    common = counts[inverse] > 1  # a token of one set alone is in no intersection
+    rows, cols, width = owner[common], column[inverse][common], int((counts > 1).sum())
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    label = np.arange(m)
+    crossed = second.any() and not second.all()
+    out: list[tuple[int, int]] = []
+    step = max(64, CELLS // max(1, 2 * m))
+    for at in range(0, m, step):
+        inter = np.zeros((min(step, m - at), m), np.float32)
+        for c0 in range(0, width, step):
+            lo, hi = np.searchsorted(cols, [c0, c0 + step])
+            table = np.zeros((m, min(step, width - c0)), np.float32)
+            table[rows[lo:hi], cols[lo:hi] - c0] = 1
+            inter += table[at : at + step] @ table.T
+        inter = np.rint(inter).astype(np.int64)
+        links = inter * den >= num * (sizes[at : at + step, None] + sizes[None] - inter)
+        if crossed:
+            links &= second[at : at + step, None] != second[None]
+        for i in range(len(links)):
+            others = np.flatnonzero(links[i])
+            names, first = np.unique(label[others], return_index=True)
+            for name, j in zip(names.tolist(), others[first].tolist(), strict=True):
+                if name != label[at + i]:
+                    out.append((keys[at + i], keys[j]))
+            if len(names):
+                merged = np.union1d(names, label[at + i : at + i + 1])
+                if len(merged) > 1:
+                    label[np.isin(label, merged)] = merged[0]
+    return out
+
+
+def cluster_links(members: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect the classes of each cluster (cluster, cls) as all its links would.
+
+    Clusters are dealt in pairs of blocks, so no task holds more than two blocks.
+    """
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("o", other).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cls").join(texts, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            a, b, lids, opens = [], [], [], []
-            for lid, members in zip(part["lid"].to_pylist(), part["members"].to_pylist(), strict=True):
-                pairs, more = of(members)
-                a += [p[0] for p in pairs]
-                b += [p[1] for p in pairs]
-                lids += [lid] * len(pairs)
-                opens += [more] * len(pairs)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lids, pa.int64()), pa.array(opens, pa.bool_())], names=["a", "b", "lid", "open"])
+        keys, sets, blocks, i = [], [], [], None
+        for part in slices(batches):
+            i = part["i"][0].as_py()
+            keys += part["cls"].to_pylist()
+            blocks += part["block"].to_pylist()
+            sets += [shingles(t, k) for t in part["text"].to_pylist()]
+        found = forest(keys, sets, np.array(blocks) != i, share)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long, lid long, open boolean")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 # -- components -------------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) with the smallest node of each component, from links (a, b); unlinked nodes are absent."""
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """(node, label) with the smallest node of each component, from links (a, b); unlinked nodes are absent.
+
+    Up to ``local`` links one task contracts them; more go through alternating large and small stars.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    return contracted(edges) if edges.count() <= local else stars(edges)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Components of a counted number of edges, by union and find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for b in batches:
+            for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+                x, y = find(u), find(v)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        for at in range(0, len(nodes), 50_000):
+            some = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], names=["node", "label"])
+
+    return cut(edges.coalesce(1).mapInArrow(run, "node long, label long"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Components of any number of edges (u > v), by large and small stars until nothing moves."""
     sign = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
@@ -370,7 +443,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == sign:
             break
         sign = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct())
 
 
 # -- the join ---------------------------------------------------------------------------------------
@@ -388,50 +461,34 @@ def link_classes(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(width, -(-total * (share[1] - share[0]) // (share[1] * BUCKET_POSTINGS)))
     second = cut(postings(docs, sketch, buckets, k, share))
-    members = second.where("bucket is null").select("cls", "grp").distinct()
-    crowded = members.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
-    lists = group_lists(second.where("bucket is not null").select("bucket", "block"), share).select("lid", "grp")
-    # A group of several classes is a list of its own.
-    lists = lists.unionByName(crowded.select(F.col("grp").alias("lid"), "grp"))
-    listed = cut(lists.join(members, "grp").join(classes.select("cls", "n"), "cls").select("lid", "cls", "n").distinct())
-    if listed.isEmpty():
-        return rows, spark.createDataFrame([], "a long, b long")
-
-    needed = listed.select("cls").distinct().join(classes.where("rep is not null"), "cls").select("cls", F.col("rep").alias("doc_id"))
+    members = second.where("bucket is null").select("cls", "grp", "n", "prefix").dropDuplicates(["cls"])
+    groups = members.groupBy("grp").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    lists = cut(group_lists(second.where("bucket is not null").select("bucket", "block"), share))
+    close = cut(promising(lists.where("lid is null").select("a", "b").distinct(), groups, share))
+
+    # Pairs of groups as pairs of classes, where they are few; the rest goes the way of long lists.
+    of = members.select("cls", "grp")
+    count = groups.where("m > 1").select("grp", "m")
+    counted = close.join(count.select(F.col("grp").alias("a"), F.col("m").alias("ma")), "a", "left").join(count.select(F.col("grp").alias("b"), F.col("m").alias("mb")), "b", "left")
+    counted = counted.select("a", "b", (F.coalesce("ma", F.lit(1)) * F.coalesce("mb", F.lit(1))).alias("product"))
+    few = counted.where(F.col("product") <= LARGE_PRODUCT).select("a", "b")
+    pairs = few.join(of.select(F.col("cls").alias("x"), F.col("grp").alias("a")), "a").join(of.select(F.col("cls").alias("y"), F.col("grp").alias("b")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    many = counted.where(F.col("product") > LARGE_PRODUCT).select(F.xxhash64("a", "b").alias("lid"), F.explode(F.array("a", "b")).alias("grp"))
+    long_lists = lists.where("lid is not null").select("lid", F.col("a").alias("grp")).distinct().unionByName(many).unionByName(count.select(F.col("grp").alias("lid"), "grp"))
+    listed = cut(long_lists.join(of, "grp").select("lid", "cls").distinct())
+    pairs = cut(pairs)
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(listed.select("cls")).distinct().join(classes.where("rep is not null"), "cls").select("cls", F.col("rep").alias("doc_id"))
+    needed = cut(needed)
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     texts = cut(with_class(docs.select("doc_id", "text").join(needed, "doc_id"), k))
-
-    # Round 1: all members of a list against its hub, the class in most lists.
-    weight = listed.groupBy("cls").agg(F.count("*").alias("w"))
-    hubs = listed.join(weight, "cls").groupBy("lid").agg(F.max(F.struct("w", "cls")).alias("h")).select("lid", F.col("h.cls").alias("hub"))
-    sizes = classes.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
-    hubbed = cut(listed.join(hubs, "lid").join(sizes, "hub").select("lid", "cls", "n", "hub", "hub_n"))
-    reach = F.least("n", "hub_n") * F.lit(share[1]) >= F.greatest("n", "hub_n") * F.lit(share[0])
-    star = hubbed.where("cls <> hub").where(reach).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    checked = cut(verified(star, texts, k))
-    links = linked(checked, share).select("a", "b")
-    live = hubbed
-    for step in range(HUB_ROUNDS + 1):
-        labels = components(links)
-        named = live.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        still = named.groupBy("lid").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("lid")
-        far = checked.select("a", "b", (F.lit(1.0) - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-        part = named.join(still, "lid").withColumns({"a": F.least("cls", "hub"), "b": F.greatest("cls", "hub")}).join(far, ["a", "b"], "left")
-        distance = F.when(F.col("cls") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d"))
-        gathered = part.groupBy("lid").agg(F.collect_list(F.struct("cls", "n", "label", distance.alias("d"))).alias("members"))
-        todo = cut(open_pairs(gathered, share, PAIRS_PER_MEMBER * 4**step if step < HUB_ROUNDS else None))
-        new = todo.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        result = cut(verified(new, texts, k))
-        if result.isEmpty():
-            break
-        checked = checked.unionByName(result)
-        links = links.unionByName(linked(result, share).select("a", "b"))
-        more = todo.where("open").select("lid").distinct()
-        if more.isEmpty():
-            break
-        live = cut(live.join(more, "lid", "left_semi"))
-    return rows, links
+    links = linked(verified(pairs, texts, k), share).select("a", "b")
+    if not listed.isEmpty():
+        hub = listed.groupBy("lid").agg(F.min("cls").alias("b"))
+        clusters = components(listed.join(hub, "lid").select(F.col("cls").alias("a"), "b"))
+        links = links.unionByName(cluster_links(clusters.select(F.col("label").alias("cluster"), F.col("node").alias("cls")), texts, k, share))
+    return rows, cut(links)
 
 
 def with_class(rows: DataFrame, k: int) -> DataFrame:
