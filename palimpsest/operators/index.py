@@ -11,6 +11,8 @@ from palimpsest.session import cut
 
 #: Most rows of query tokens that are broadcast to the texts; above, the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Tokens that a larger share of texts holds are left out of the first count where the threshold allows it.
+COMMON_SHARE = 0.01
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -39,17 +41,21 @@ def with_threshold(queries: DataFrame, kind: str, stop: tuple[str, ...]) -> Data
 def candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, text_id, shared) with at least max(need, 1) shared counted tokens.
 
-    A text that shares ``need`` of k tokens shares one of any k - need + 1, so only the rarest ones of
-    each query meet the postings. Frequencies are counted for the queries' tokens alone.
+    A text that shares ``need`` of a query's tokens shares need - d of those that are left when d are left
+    out. So up to need - 1 tokens that many texts hold never meet the postings, and pairs are counted on
+    the others before any full text is joined. Frequencies are counted for the queries' tokens alone.
     """
     queries = small(queries.select("query_id", "counted", "need"))
-    asked = queries.select("query_id", "need", F.size("counted").alias("k"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, ""))
+    asked = queries.select("query_id", F.greatest("need", F.lit(1)).alias("least"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, ""))
     vocabulary = small(asked.select("token").distinct())
     held = postings(texts).join(vocabulary, "token")
     frequency = held.groupBy("token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))
-    probes = asked.join(frequency, "token").withColumn("r", rank).where(F.col("r") <= F.col("k") - F.greatest(F.col("need"), F.lit(1)) + 1)
-    met = held.join(small(probes.select("token", "query_id")), "token").select("query_id", "text_id").distinct()
+    many = COMMON_SHARE * texts.count()
+    own = Window.partitionBy("query_id")
+    ranked = asked.join(frequency, "token").withColumn("r", F.row_number().over(own.orderBy("df", "token"))).withColumn("common", F.sum((F.col("df") > many).cast("int")).over(own)).withColumn("all", F.count("*").over(own))
+    dropped = F.least(F.col("least") - 1, F.col("common"))
+    probes = small(ranked.where(F.col("r") <= F.col("all") - dropped).select("token", "query_id", (F.col("least") - dropped).alias("floor")))
+    met = held.join(probes, "token").groupBy("query_id", "text_id").agg(F.count("*").alias("n"), F.first("floor").alias("floor")).where("n >= floor").select("query_id", "text_id")
     full = met.join(queries, "query_id").join(texts.select("text_id", "tokens"), "text_id")
     shared = full.select("query_id", "text_id", F.size(F.array_intersect(F.array_distinct("tokens"), F.array_except("counted", F.array(F.lit(UNKNOWN), F.lit(""))))).alias("shared"), "need")
     return shared.where(F.col("shared") >= F.greatest(F.col("need"), F.lit(1))).select("query_id", "text_id", "shared")
