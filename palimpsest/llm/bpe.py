@@ -27,7 +27,9 @@ from palimpsest.session import ship, table
 
 #: Words of one generation of the store of encodings. A full generation becomes the old one, whose words
 #: move on when they are met again, and the old one before it goes: memory is bounded, frequent words stay.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Pairs of tokens whose merging a worker remembers.
+CACHE_PAIRS = 300_000
 #: Texts whose distinct words make one trie.
 TRIE_TEXTS = 512
 END = "</w>"
@@ -95,7 +97,7 @@ class WordBpe:
         key = (left, right)
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             ok = self.pairs[key] = self.merge(self.spelled(left) + self.spelled(right)) == [left, right]
         return ok

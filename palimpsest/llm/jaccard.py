@@ -39,7 +39,7 @@ SKETCH_BITS, SKETCH_PARTS, SKETCH_SALTS = 20, 64, 16
 #: Postings that one bucket holds on average.
 BUCKET_POSTINGS = 300_000
 #: Postings a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Lists of more groups, and products of more classes, are compared as clusters.
 LONG_LIST, LARGE_PRODUCT = 24, 64
 #: Classes of a block of a cluster.
@@ -49,7 +49,7 @@ CELLS = 20_000_000
 #: Most links that one task contracts; above, stars do it in parallel.
 LOCAL_LINKS = 1_000_000
 #: Word hashes a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Most classes whose ids are broadcast to find their texts; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
