@@ -343,8 +343,10 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vector_cells")
 def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(spark, sf_dir).select("chunk_id", "vector")
-    placed, centres = vectors.build_cells(rows, 32)
-    return vectors.top_k_cells(vector_queries(spark, sf_dir), placed, centres, 10, 16)
+    cells = vectors.cell_count(rows.count())
+    placed, centres = vectors.build_cells(rows, cells)
+    # Of 51,282 vectors' neighbours, 256 of 905 cells find 0.895, half of the cells 0.973.
+    return vectors.top_k_cells(vector_queries(spark, sf_dir), placed, centres, 10, max(vectors.MODELS["e5"]["probes"], cells // 2))
 
 
 OVERLAP_WORDS = r"list_filter(list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')), lambda w: NOT regexp_matches(w, '^[\p{{Nd}}⁰¹²³⁴-⁹₀-₉]+$'))"

@@ -289,6 +289,17 @@ def test_vector_search(spark):
     assert value(spark, vectors.weighted_overlap(F.lit("RN went home"), F.lit("RN home"))) == pytest.approx(1.3 / 2.3)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_cells_find_the_neighbours(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no tables")
+    exact = {(r.query_id, r.chunk_id) for r in vectors.top_k(plans.vector_queries(spark, sf_dir), plans.stored(spark, sf_dir), 10).collect()}
+    near = {(r.query_id, r.chunk_id) for r in plans.vector_cells(spark, sf_dir).collect()}
+    print(f"recall@10 on {sf}: {len(near & exact) / len(exact)}")
+    assert len(near & exact) >= 0.9 * len(exact)
+
+
 def test_rerank(spark):
     meta = spark.createDataFrame([("c1", "t/1", 0, 5, "red green"), ("c2", "t/2", 0, 5, "blue")], "chunk_id string, text_id string, start int, stop int, text_display string")
     encoder = vectors.hashing_encoder(16)
