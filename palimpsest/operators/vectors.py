@@ -101,7 +101,8 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                     row = scores[q]
                     least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
                     least = max(least, -best[q][-1][0]) if len(best[q]) == k else least
-                    best[q] = sorted(best[q] + [(-row[i], names[i]) for i in np.flatnonzero(row >= least).tolist()])[:k]
+                    if len(more := np.flatnonzero(row >= least).tolist()):
+                        best[q] = sorted(best[q] + [(-row[i], names[i]) for i in more])[:k]
             rows = [(q, c, -s) for q, found in zip(ids.to_pylist(), best, strict=True) for s, c in found]
             for at in range(0, len(rows), 50_000):
                 q, c, s = zip(*rows[at : at + 50_000], strict=True)
@@ -160,13 +161,18 @@ def weighted_overlap(query: Column, text: Column, entity_weight: float = ENTITY_
 # -- similarity of strings --------------------------------------------------------------------------
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    if not a or not b:
-        return 0
+def places_of(a: str) -> dict[str, int]:
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def common(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows."""
+    if not a or not b:
+        return 0
+    places = places_of(a) if places is None else places
     row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
     for c in b:
         u = row & places.get(c, 0)
@@ -185,11 +191,21 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    m, best = len(a), 0.0
-    for at in range(1 - m, len(b)):
-        best = max(best, ratio(a, b[max(0, at) : at + m]))
-        if best == 100.0:
-            break
+    m, places = len(a), places_of(a)
+    # A stretch moved by j holds at most j more in common: those that cannot exceed the best are passed over.
+    at, most = 0, 0
+    while at <= len(b) - m:
+        c = common(a, b[at : at + m], places)
+        most = max(most, c)
+        at += most - c + 1
+    best = 200.0 * most / (2 * m)
+    # Stretches cut by an end of the longer string, the longest first; a shorter one never has more in common.
+    for cut_at in (lambda n: b[:n], lambda n: b[len(b) - n :]):
+        c = m
+        for n in range(m - 1, 0, -1):
+            if 200.0 * min(c, n) / (m + n) > best:
+                c = common(a, cut_at(n), places)
+                best = max(best, 200.0 * c / (m + n))
     if len(a) == len(b):
         return max(best, ratio(a, b))
     return best

@@ -374,10 +374,10 @@ def lexical_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reranked(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     share = vectors.MODELS[model]
-    meta = windows.chunks(corpus.passages(spark, sf_dir), windows.TAGS["forms"], *windows.chunk_size("forms"))
+    meta = windows.chunks(corpus.documents(spark, sf_dir), windows.TAGS["forms"], *windows.chunk_size("forms"))
     encoder = vectors.hashing_encoder()
     coded = vectors.encode(meta.select("chunk_id", "text_embed"), "text_embed", encoder, share["passage_prefix"]).select("chunk_id", "vector")
-    rewritten = T.join_tokens(T.to_entities(T.head(F.col("tokens"), 6))) if model == "e5" else T.join_tokens(T.head(F.col("tokens"), 6))
+    rewritten = T.join_tokens(T.to_entities(F.col("tokens")) if model == "e5" else F.col("tokens"))
     asked_for = corpus.passages(spark, sf_dir).select(F.col("text_id").alias("query_id"), rewritten.alias("text"))
     queries = vectors.encode(asked_for, "text", encoder, share["query_prefix"])
     return vectors.rerank(vectors.top_k(queries, coded, share["candidates"]), meta.drop("text_embed"), queries, model)

@@ -312,6 +312,17 @@ def test_rerank(spark):
         vectors.rerank(vectors.top_k(queries, coded, 5), meta, queries, "none")
 
 
+@pytest.mark.parametrize("name", ["rerank_e5", "rerank_minilm"])
+def test_registered_rerank_finds_documents_by_whole_queries(spark, tmp_path, name):
+    said = [f"word{chr(97 + i)}" for i in range(16)]
+    docs = [(0, "other things entirely stand here", "src0"), (1, " ".join(said[6:]), "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(said))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = plans.QUERIES[name](spark, str(tmp_path)).orderBy("rank").collect()
+    assert {r.query_id for r in rows} == {"benchmark/7"} and {r.text_id for r in rows} == {"src0/0", "src1/1"}
+    assert (rows[0].text_id, rows[0].lex) == ("src1/1", pytest.approx(10 / 16) if name == "rerank_e5" else 1.0)
+
+
 # -- ingest -------------------------------------------------------------------------------------------
 
 
