@@ -237,6 +237,18 @@ def text_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_reuse(texts.where(F.col("text_id") == TEXT_ID), texts, WINDOW, STRIDE, TOLERANCE, INNER, STOP)
 
 
+REUSE_ALL = f"""own AS (SELECT source || '/' || doc_id AS text_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS tokens FROM documents WHERE doc_id % 100 = 0),
+{sql_windows("own", WINDOW, STRIDE)},
+asked AS (SELECT text_id || '#' || min(window_no) AS query_id, text_id AS own_id, tokens, CASE WHEN {K_WORDS} = 2 THEN 0 ELSE {TOLERANCE} END AS tol FROM wins WHERE {K_WORDS} >= 2 GROUP BY text_id, tokens)"""
+
+
+@query("document_reuse", f"""WITH {DOCS}, {REUSE_ALL}, {sql_search("SELECT own_id, array_to_string(a.tokens, ' ') AS query, result_id, h.text_id, matched_sequence, edit_distance FROM hits h JOIN asked a USING (query_id) WHERE h.text_id <> own_id")}""")
+def document_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose doc_id is divisible by 100, searched in all documents."""
+    own = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(corpus.doc_id_text().alias("text_id"), corpus.tokens(F.col("text")).alias("tokens"))
+    return search.find_reuse(own, corpus.documents(spark, sf_dir), WINDOW, STRIDE, TOLERANCE, INNER, STOP)
+
+
 @query("passage_reuse", f"""WITH {DOCS}, {ITEMS}, {sql_windows("items", WINDOW, STRIDE)},
 asked AS (SELECT text_id || '#' || min(window_no) AS query_id, text_id AS own_id, tokens, CASE WHEN {K_WORDS} = 2 THEN 0 ELSE {TOLERANCE} END AS tol FROM wins WHERE {K_WORDS} >= 2 GROUP BY text_id, tokens),
 {sql_search("SELECT own_id, array_to_string(a.tokens, ' ') AS query, result_id, h.text_id, matched_sequence, edit_distance FROM hits h JOIN asked a USING (query_id)")}""")

@@ -456,6 +456,14 @@ def test_registered_queries(spark, name):
         assert sorted(want.columns) == columns and normal(got, columns) == normal(want, columns)
 
 
+def test_document_reuse_asks_with_every_hundredth_document(spark, tmp_path):
+    said = " ".join(f"word{chr(97 + i)}" for i in range(12))
+    docs = [(100, said, "src3"), (200, "none of these ever stands anywhere else", "src1"), (300, said, "src4"), (301, said, "src5")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.own_id, r.text_id) for r in plans.QUERIES["document_reuse"](spark, str(tmp_path)).collect()}
+    assert found == {("src3/100", t) for t in ("src4/300", "src5/301")} | {("src4/300", t) for t in ("src3/100", "src5/301")}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "result_id", "text_id", "matched_sequence", "edit_distance"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
