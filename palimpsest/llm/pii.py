@@ -36,15 +36,15 @@ KINDS = ("email", "phone", "card", "ip", "secret", "ssn", "iban", "person")
 
 # Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Alice Barbara Carmen Charlotte Claudia Dorothy Elizabeth Emily Francesca Gabriela Heidi Isabella Jennifer Johanna Katharina Linda Margaret Michelle Patricia Rebecca Sophie Susan Ursula Victoria".split(),
-    ("latin", "m"): "Alexander Andrew Benjamin Charles Christopher Daniel Edward Fernando Francisco George Guillermo Heinrich James Joseph Klaus Michael Nicholas Patrick Philippe Richard Robert Thomas William Wolfgang".split(),
+    ("latin", "f"): "Alice Barbara Carmen Charlotte Claudia Dorothy Elizabeth Emily Francesca Gabriela Heidi Isabella Jennifer Johanna Katharina Linda Margaret Michelle Patricia Rebecca Sophie Susan Ursula Victoria Abigail Amanda Amy Angela Anna Anne Annette Antonia Ashley Beatrice Beatriz Birgit Brenda Brigitte Camille Carla Carol Caroline Catherine Cecilia Céline Chantal Christina Christine Cristina Cynthia Deborah Denise Diana Diane Donna Elena Emma Eva Françoise Gisela Hannah Helen Helga Ingrid Isabel Isabelle Jacqueline Jane Janet Jessica Joanna Juana Judith Julia Julie Karen Karin Katherine Kathleen Kimberly Laura Lauren Lisa Louise Lucía Manuela María Maria Marie Martha Martina Mary Melissa Monica Monika Monique Nancy Natalie Nathalie Nicole Olivia Pamela Petra Pilar Rachel Renate Rosa Ruth Sabine Samantha Sandra Sara Sarah Sharon Silvia Stephanie Susanne Sylvie Teresa Theresa Valérie Vanessa Véronique Virginia".split(),
+    ("latin", "m"): "Alexander Andrew Benjamin Charles Christopher Daniel Edward Fernando Francisco George Guillermo Heinrich James Joseph Klaus Michael Nicholas Patrick Philippe Richard Robert Thomas William Wolfgang Adam Alain Albert Alberto Alejandro Alfred Álvaro Andreas Anthony Antoine Antonio Arthur Bernard Bernd Brandon Brian Bruno Carlos Christian David Dennis Diego Dieter Dirk Donald Douglas Dylan Enrique Eric Ernst Ethan Eugene Felix Florian François Frédéric Friedrich Gabriel Gary Gerhard Giovanni Gregory Guillaume Günter Hans Harald Harold Helmut Henri Henry Horst Hugo Ian Ignacio Jacques Jason Javier Jean Jeffrey Jerry Joachim Joe Johann John Jonas Jonathan Jorge José Joshua Juan Julien Jürgen Karl Kenneth Kevin Larry Laurent Lawrence Luis Lukas Manfred Manuel Marcel Marco Mario Markus Martin Matthew Matthias Mathieu Miguel Nathan Nicolas Olivier Oscar Otto Pablo Paul Pedro Peter Pierre Rafael Ralph Raymond Ronald Ryan Samuel Scott Sebastian Sergio Simon Stefan Stephen Steven Thierry Timothy Tyler Vincent Walter Werner Xavier".split(),
     ("cyrillic", "f"): "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей".split(),
     ("greek", "f"): "Αικατερίνη Βασιλική Γεωργία Ειρήνη Ελένη Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Βασίλειος Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος".split(),
 }
 NAME_LISTS = {name.lower(): names for names in GIVEN.values() for name in names}
-TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Sra|Sr|Mme"
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Sra|Sr|Mme|MR|MRS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA|MME"
 
 #: Alphabets that letters stay in; anything else in an entity stays as it is.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëíîïñóôöùúûü", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
@@ -54,16 +54,18 @@ HEX = "0123456789abcdef"
 FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w+%-][\w.+%-]*@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)(?![ .-]\d\d[ .-]\d\d(?!\d))|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\w+])\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![.]?\d)"
+    r"|(?<![\w.+-])\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4}(?![\w-]|\.\d)|(?<![\w.+-])0\d(?P<pair>[ .-])\d\d(?:(?P=pair)\d\d){3}(?![\w-]|\.\d)"
+    r"|(?<![\w.+-])0\d{2,4}[ /-]\d{3,4} ?\d{3,4}(?![\w-]|\.\d| \d{4}(?!\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))"
 )
 ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*([\"']?)([^\s\"']{6,})\1")
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω"
 PERSON = re.compile(rf"\b(?:(?P<title>{TITLES})\.?\s+)?(?P<first>[{_UPPER}]\w+)\s+(?P<last>[{_UPPER}][\w'-]+)|\b(?P<alone_title>{TITLES})\.?\s+(?P<alone>[{_UPPER}][\w'-]+)")
-HINT = re.compile(rf"\b(?:{'|'.join([*TITLES.split('|'), *(n for names in GIVEN.values() for n in names)])})\b")
 
 
 def permute(symbols: list[int], bases: list[int], key: bytes, tweak: str) -> list[int]:
@@ -165,8 +167,6 @@ class Surrogates:
     def people(self, text: str) -> dict[str, Callable[[str], str]]:
         """The parts of names found in a text, and what replaces each."""
         parts: dict[str, Callable[[str], str]] = {}
-        if not HINT.search(text):
-            return parts
         at = 0
         while m := PERSON.search(text, at):
             at = m.end()

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -351,6 +352,22 @@ def test_pii_surrogates(spark):
     assert other[0] != new
 
 
+def test_pii_finds_names_in_capitals_and_usual_numbers():
+    make, names = pii.Surrogates(), [n.lower() for g in pii.GIVEN.values() for n in g]
+    assert len(names) == len(set(names))
+    for text, parts in {"ROBERT MILLER signed": ("ROBERT", "MILLER"), "so John Smith and Mary Jones, with David Brown, came": ("John", "Smith", "Mary", "Jones", "David", "Brown"), "then DR. KELLER left": ("KELLER",)}.items():
+        new, found = make.apply(text)
+        assert found.get("person", 0) == len(parts) and not any(p in new for p in parts)
+    for number in ("555-123-4567", "555.123.4567", "01 23 45 67 89", "+33 6 12 34 56 78", "+49 171 1234567", "020 7946 0958", "(555) 123-4567"):
+        for text in (f"call {number} now", f"{number} 10.0.200.7"):
+            new, found = make.apply(text)
+            assert found["phone"] == 1 and number not in new and (found.get("ip") == 1 or "ip" not in found and "10.0" not in text), text
+    new, found = make.apply("card 3782 822463 10005 and 4539 5787 6362 1486.")
+    assert found == {"card": 2} and pii.luhn([int(c) for c in new if c.isdigit()][:14]) == int(re.sub(r"\D", "", new)[14])
+    for plain in ("on 2024-05-06 at 10.30", "123-45-6789"[:6] + " pages", "The House of 1999 and 12 345 678 900 more", "version 1.2.3"):
+        assert make.apply(plain) == (plain, {})
+
+
 # -- chat ---------------------------------------------------------------------------------------------
 
 
