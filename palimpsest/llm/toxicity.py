@@ -60,17 +60,18 @@ def log_odds(pos: int, neg: int, toxic: int, clean: int) -> float:
     return float(np.log((pos + 0.5) / (toxic + 1)) - np.log((neg + 0.5) / (clean + 1)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """text and toxic of a bounded, hash-picked sample of training rows; and its toxic and clean rows."""
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int, float, float]:
+    """text and toxic of a bounded, hash-picked sample of training rows; its toxic and clean rows; and how many of all each stands for."""
     known = (
         labels.where("doc_id is not null and toxic is not null").where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic > 0").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic <= 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    rows = {bool(r.t): r.n for r in picked.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    every = {r.t: r.n for r in known.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    toxic_rows, clean_rows = min(every.get(True, 0), SAMPLE_TOXIC), min(every.get(False, 0), SAMPLE_CLEAN)
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return sample, rows.get(True, 0), rows.get(False, 0)
+    return sample, toxic_rows, clean_rows, every.get(True, 0) / max(1, toxic_rows), every.get(False, 0) / max(1, clean_rows)
 
 
 def learn_terms(sample: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, float]:
@@ -146,20 +147,20 @@ def curve_features(weights: list[float], words: int) -> list[float]:
     return [float(np.log1p(total)), float(np.log1p(100 * total / words)), max(weights, default=0.0), 1.0]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic weights by Newton's method."""
+def fit_curve(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Logistic weights by Newton's method; each row counts as so many ``rows``."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+        hessian = (x * (rows * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, x.T @ (rows * (y - p)) - ridge * w)
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Lexicon, exception phrases and curve, all from the bounded sample."""
     ship(docs.sparkSession)
-    sample, toxic_rows, clean_rows = labelled(docs, labels)
+    sample, toxic_rows, clean_rows, toxic_each, clean_each = labelled(docs, labels)
     if not toxic_rows + clean_rows:
         return {"weights": {}, "exceptions": frozenset(), "curve": None}
     looked = learn_terms(sample, toxic_rows, clean_rows)
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     phrases: tuple[Counter, Counter] = (Counter(), Counter())
     for r in rows:
         phrases[int(r.toxic > 0)].update({p for m in r.found for p in (m.b, m.a) if p})
-    exceptions = frozenset(p for p, n in phrases[0].items() if n >= EXCEPTION_ROWS and phrases[1][p] * EXCEPTION_TIMES < n)
+    exceptions = frozenset(p for p, n in phrases[0].items() if n >= EXCEPTION_ROWS and phrases[1][p] * toxic_each * EXCEPTION_TIMES < n * clean_each)
     outside = [[m.t for m in r.found if m.b not in exceptions and m.a not in exceptions] for r in rows]
     terms: tuple[Counter, Counter] = (Counter(), Counter())
     for r, found in zip(rows, outside, strict=True):
@@ -184,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     odds = {t: log_odds(n, terms[0][t], toxic_rows, clean_rows) for t, n in terms[1].items() if n >= LEAST_SUPPORT}
     weights = {t: round(w, 4) for t, w in odds.items() if w >= LEAST_WEIGHT}
     data = sorted((curve_features([weights[t] for t in found if t in weights], r.words), int(r.toxic > 0)) for r, found in zip(rows, outside, strict=True))
-    return {"weights": weights, "exceptions": exceptions, "curve": fit_curve(np.array([f for f, _ in data]), np.array([y for _, y in data])) if data else None}
+    y = np.array([y for _, y in data])
+    return {"weights": weights, "exceptions": exceptions, "curve": fit_curve(np.array([f for f, _ in data]), y, np.where(y > 0, toxic_each, clean_each)) if data else None}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

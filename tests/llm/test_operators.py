@@ -140,6 +140,15 @@ def test_toxicity_learns_folds_and_exceptions(spark):
     assert all(0 <= r.score <= 1 and r.predicted == 0 for i, r in scored.items() if i > 2)
 
 
+def test_toxicity_keeps_the_prior_when_classes_are_capped(spark, monkeypatch):
+    texts = [f"a{i} grumbo b{i}" if i < 100 or i % 20 == 0 else f"a{i} c{i} b{i}" for i in range(1700)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, int(i < 100)) for i in range(1700)], "doc_id long, toxic int")
+    asked = docs_of(spark, ["plain grumbo words"])
+    whole = toxicity.score(asked, toxicity.fit(docs, labels)).first().score
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 320)
+    assert 0.4 < whole < 0.7 and abs(toxicity.score(asked, toxicity.fit(docs, labels)).first().score - whole) < 0.12
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
