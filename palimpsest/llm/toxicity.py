@@ -29,8 +29,6 @@ from palimpsest.session import ship, table
 FOLDS, HELD_OUT = 5, 0
 #: Bounds on the labelled rows that the lexicon and the curve are fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5000, 10000
-#: Bound on the lexicon; the terms of largest support stay.
-LEXICON_TERMS = 4000
 PREFIXES = (4, 5, 6)
 LEAST_SUPPORT, LEAST_SHARE, LEAST_WEIGHT = 5, 0.005, 2.5
 #: Log-odds from which a term is looked at.
@@ -75,7 +73,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int, f
 
 
 def learn_terms(sample: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, float]:
-    """Terms that toxic rows hold more often, with their log-odds; at most LEXICON_TERMS."""
+    """Terms that toxic rows hold more often, with their log-odds. The bounded sample and the least support bound their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -94,7 +92,7 @@ def learn_terms(sample: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str
     summed = sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (toxic_rows + 1)) - F.log((F.col("neg") + 0.5) / (clean_rows + 1))
     least = max(LEAST_SUPPORT, int(LEAST_SHARE * toxic_rows))
-    got = summed.where((F.col("pos") >= least) & (odds >= LOOK)).orderBy(F.desc("pos"), "term").limit(LEXICON_TERMS).collect()
+    got = summed.where((F.col("pos") >= least) & (odds >= LOOK)).orderBy(F.desc("pos"), "term").collect()
     return {r.term: round(log_odds(r.pos, r.neg, toxic_rows, clean_rows), 4) for r in got}
 
 

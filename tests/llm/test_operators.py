@@ -149,6 +149,13 @@ def test_toxicity_keeps_the_prior_when_classes_are_capped(spark, monkeypatch):
     assert 0.4 < whole < 0.7 and abs(toxicity.score(asked, toxicity.fit(docs, labels)).first().score - whole) < 0.12
 
 
+def test_toxicity_keeps_rare_strong_terms(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON_TERMS", 3, raising=False)
+    rows = [(f"q{i} oft aft ift uft" + " zlop" * (i < 6), 1) for i in range(40)] + [(f"r{i}" + " oft aft ift uft" * (i < 10), 0) for i in range(40)]
+    found = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"), 40, 40)
+    assert set(found) == {"oft", "aft", "ift", "uft", toxicity.fold("zlop")} and found[toxicity.fold("zlop")] >= toxicity.LEAST_WEIGHT
+
+
 def test_toxicity_without_labels(spark):
     docs = docs_of(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
