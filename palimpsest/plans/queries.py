@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.functions.modes import project_modes
+from palimpsest.functions.modes import named_entities, project_modes
 from palimpsest.functions.thresholds import INNER, TOKENS, benchmark_column, required_column
 from palimpsest.operators import index, search, stats, vectors, windows
 from palimpsest.plans import corpus
@@ -438,6 +438,36 @@ def json_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project_modes(parsed).where(F.col("mode").isin("forms", "normalised", "forms_pos", "signs")).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
 
 
+FORM_SQL, CF_SQL, NORM_SQL = "t", "lower(t)", f"regexp_replace(lower(t), {EDGE_SQL}, '', 'g')"
+
+
+def sql_marked(word: str, entities: bool = False, strip: bool = False) -> str:
+    """Tokens by ``word``, with entity classes and without index digits where asked for."""
+    named = rf"WHEN regexp_matches(t, '^\p{{Lu}}') THEN 'PN_RN' " if entities else ""
+    marked = f"CASE {named}WHEN {word} IN ('x', 'X') THEN '■' ELSE {word} END"
+    return f"list_transform(tokens, lambda t: {f"translate({marked}, '{T.SUBSCRIPTS}', '')" if strip else marked})"
+
+
+MODES_SQL = {
+    "forms": sql_marked(FORM_SQL), "lemma": sql_marked(CF_SQL), "normalised": sql_marked(NORM_SQL),
+    "forms_pos": sql_marked(FORM_SQL, True), "lemma_pos": sql_marked(CF_SQL, True), "normalised_pos": sql_marked(NORM_SQL, True),
+    "signs": sql_marked(FORM_SQL), "signs_gdl": "CAST([] AS VARCHAR[])", "signs_normalised": sql_marked(FORM_SQL, strip=True),
+    "forms_normalised": sql_marked(FORM_SQL, strip=True), "forms_pos_normalised": sql_marked(FORM_SQL, True, True),
+}
+
+
+@query("json_all_modes", f"""WITH {DOCS}, m AS ({" UNION ALL ".join(f"SELECT text_id, '{m}' AS mode, {t} AS t FROM docs" for m, t in MODES_SQL.items())})
+SELECT text_id, mode, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM m""")
+def json_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir)))
+    return project_modes(parsed).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
+
+
+@query("json_entities", rf"""WITH {DOCS}, e AS (SELECT text_id, unnest(tokens) AS t FROM docs) SELECT text_id, 'PN_RN' AS category, lower(t) AS lemma FROM e WHERE regexp_matches(t, '^\p{{Lu}}')""")
+def json_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return named_entities(ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir))))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages found again in documents."""
     return search_inner(spark, sf_dir)

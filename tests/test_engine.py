@@ -464,6 +464,12 @@ def test_document_reuse_asks_with_every_hundredth_document(spark, tmp_path):
     assert found == {("src3/100", t) for t in ("src4/300", "src5/301")} | {("src4/300", t) for t in ("src3/100", "src5/301")}
 
 
+def test_registered_modes_and_entities(spark, tmp_path):
+    spark.createDataFrame([(1, "Big x wo₂rds", "src0")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.mode: r.n_tokens for r in plans.QUERIES["json_all_modes"](spark, str(tmp_path)).collect()} == {m: 0 if m == "signs_gdl" else 3 for m in T.MODES}
+    assert [tuple(r) for r in plans.QUERIES["json_entities"](spark, str(tmp_path)).collect()] == [("src0/1", "PN_RN", "big")]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "result_id", "text_id", "matched_sequence", "edit_distance"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
