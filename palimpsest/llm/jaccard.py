@@ -478,11 +478,15 @@ def link_classes(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     listed = cut(long_lists.join(of, "grp").select("lid", "cls").distinct())
     pairs = cut(pairs)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(listed.select("cls")).distinct().join(classes.where("rep is not null"), "cls").select("cls", F.col("rep").alias("doc_id"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(listed.select("cls")).distinct().join(classes, "cls").select("cls", F.col("rep").alias("doc_id"))
     needed = cut(needed)
+    nameless = cut(needed.where("doc_id is null").select("cls"))
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    texts = cut(with_class(docs.select("doc_id", "text").join(needed, "doc_id"), k))
+    texts = with_class(docs.select("doc_id", "text").join(needed, "doc_id"), k)
+    if not nameless.isEmpty():  # classes of rows without an id are found by their own keys
+        texts = texts.unionByName(own_class(docs.where("doc_id is null"), k).join(nameless, "cls", "left_semi"))
+    texts = cut(texts)
     links = linked(verified(pairs, texts, k), share).select("a", "b")
     if not listed.isEmpty():
         hub = listed.groupBy("lid").agg(F.min("cls").alias("b"))
@@ -502,6 +506,17 @@ def with_class(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("cls", "text").mapInArrow(run, "cls long, text string").dropDuplicates(["cls"])
 
 
+def own_class(docs: DataFrame, k: int) -> DataFrame:
+    """(cls, text) of documents that have a class; one row a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [(class_key(s), t) for t in part["text"].to_pylist() if len(s := shingles(t, k))]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["cls", "text"])
+
+    return docs.select("text").mapInArrow(run, "cls long, text string").dropDuplicates(["cls"])
+
+
 def jaccard_components(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every document."""
     rows, links = link_classes(docs, k, share)

@@ -82,6 +82,16 @@ def test_jaccard_odd_ids_and_empty_table(spark):
     assert jaccard.jaccard_components(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_jaccard_links_through_rows_without_id(spark):
+    words = [f"w{i}" for i in range(99 + jaccard.K)]
+    d = int(75 * (1 - jaccard.SHARE[0] / jaccard.SHARE[1]))
+    texts = [(1, " ".join(words[d:])), (None, " ".join(words)), (None, " ".join(words)), (2, " ".join(words[:-d])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3, None: None}
+    apart = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs.where("doc_id is not null")).collect()}
+    assert apart == {1: 1, 2: 2, 3: 3}
+
+
 def test_components_agree(spark):
     rng = random.Random(1)
     links = spark.createDataFrame([(rng.randrange(-40, 40), rng.randrange(-40, 40)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)], "a long, b long")
