@@ -49,16 +49,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (local mode, tests) a temporary folder takes its place.
+    All folders of an application stand in one, which goes when the application ends. Only local masters
+    may do without the setting (tests): a temporary folder takes its place there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_palimpsest_dir", None)
-        if base is None:
-            base = tempfile.mkdtemp(prefix="palimpsest-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            spark.sparkContext._palimpsest_dir = base
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    home = getattr(sc, "_palimpsest_dir", None)
+    if home is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            home = f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+            path = sc._jvm.org.apache.hadoop.fs.Path(home)
+            files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+        elif sc.master.startswith("local"):
+            home = tempfile.mkdtemp(prefix="palimpsest-")
+            atexit.register(shutil.rmtree, home, ignore_errors=True)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc._palimpsest_dir = home
+    return f"{home}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
