@@ -6,19 +6,30 @@ import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts handled at once inside a Python worker.
-SLICE_ROWS = 256
+#: Texts handled at once inside a Python worker, and their bytes (one longer text goes alone).
+SLICE_ROWS, SLICE_BYTES = 256, 4_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into small slices, so that few texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of few rows and few bytes of text, so that few texts are Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.num_rows and "text" in batch.schema.names:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+                yield batch.slice(at, stop - at)
+                at = stop
+        else:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
     tidy()
 
 

@@ -5,7 +5,8 @@ letters, each permuted by its place; a text's vector bundles its trigrams; a lan
 bundles the unit vectors of its training texts. The language of largest cosine wins.
 
 Prototypes cover all training rows: tasks sum integer vectors, Spark adds them up per language and
-dimension, and only one vector per language reaches the driver.
+dimension, and only one vector per language reaches the driver. Texts are counted in stretches, so
+memory does not depend on the length of a text.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, and so is every text
 when nothing can be learned. A null id is never held out and never trained on. Ties go to the smaller
@@ -30,6 +31,8 @@ DIMENSIONS, SEED = 1024, 20240607
 SCALE = 10_000
 #: Largest table of letter triples counted directly; wider alphabets are sorted instead.
 DIRECT = 8_000_000
+#: Letters whose trigrams are counted at once, and counters (texts times trigrams) held at once.
+STRETCH, COUNTS = 1_000_000, 4_000_000
 #: Trigram vectors a worker keeps.
 KEPT_VECTORS = 20_000
 UNKNOWN = "und"
@@ -76,24 +79,49 @@ class Encoder:
         out = np.where(ok, codes, 32)
         return out[~((out == 32) & np.concatenate([[False], out[:-1] == 32]))]
 
+    def stretches(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, letters) in stretches of at most ``STRETCH`` code points; a text's stretches share two letters."""
+        for i, t in enumerate(texts):
+            text = f" {(t or '').lower()} "
+            held = np.zeros(0, np.int64)
+            for at in range(0, len(text), STRETCH):
+                codes = np.frombuffer(text[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                held = self.letters(np.concatenate([held, codes]))
+                if len(held) > 2:
+                    yield i, held
+                    held = held[-2:]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors [texts, dimensions], and which texts have a letter."""
-        pieces = []
-        for t in texts:
-            codes = self.letters(np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
-            pieces.append(codes if len(codes) > 2 else codes[:0])
-        has = np.array([len(p) > 0 for p in pieces], bool)
-        out = np.zeros((len(texts), self.dimensions), np.float32)
-        if not has.any():
-            return out, has
+        """Vectors [texts, dimensions], and which texts have a letter.
+
+        Trigrams are counted for stretches put together to about ``STRETCH`` letters and ``COUNTS`` counters,
+        so memory depends on neither the length of a text nor its alphabet.
+        """
+        out, has = np.zeros((len(texts), self.dimensions)), np.zeros(len(texts), bool)
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, letters in self.stretches(texts):
+            has[i] = True
+            held.append((i, letters))
+            size += len(letters)
+            if size > STRETCH:
+                self.bundle(held, out)
+                held, size = [], 0
+        if held:
+            self.bundle(held, out)
+        return out, has
+
+    def bundle(self, held: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
+        """Add the trigram vectors of stretches to their texts' rows; sums are whole numbers, so their order is free."""
+        pieces = [p for _, p in held]
+        rows, mine = np.unique([i for i, _ in held], return_inverse=True)
         codes = np.concatenate(pieces)
-        owner = np.repeat(np.arange(len(texts)), [max(0, len(p) - 2) for p in pieces])
+        owner = np.repeat(mine, [len(p) - 2 for p in pieces])
         alphabet = np.unique(codes)
         size = len(alphabet)
         index = np.searchsorted(alphabet, codes)
-        ends = np.cumsum([len(p) for p in pieces])
         start = np.ones(len(codes), bool)
-        for e in ends[[len(p) > 0 for p in pieces]]:
+        for e in np.cumsum([len(p) for p in pieces]):
             start[e - 2 : e] = False
         at = np.flatnonzero(start)
         gram = (index[at] * size + index[at + 1]) * size + index[at + 2]
@@ -104,12 +132,18 @@ class Encoder:
             inverse = place[gram]
         else:
             present, inverse = np.unique(gram, return_inverse=True)
-        counts = np.bincount(owner * len(present) + inverse, minlength=len(texts) * len(present)).reshape(len(texts), -1).astype(np.float32)
-        # Trigrams in blocks: their vectors stay few at a time.
-        for at in range(0, len(present), 4096):
-            some = present[at : at + 4096]
-            out += counts[:, at : at + 4096] @ self.table(np.stack([alphabet[some // size**2], alphabet[some // size % size], alphabet[some % size]], 1))
-        return out, has
+        m = len(rows)
+        step = max(64, COUNTS // m)
+        if len(present) > step:
+            order = np.argsort(inverse, kind="stable")
+            inverse, owner = inverse[order], owner[order]
+        for at in range(0, len(present), step):
+            some = present[at : at + step]
+            lo, hi = (0, len(inverse)) if len(present) <= step else np.searchsorted(inverse, [at, at + step])
+            counts = np.bincount(owner[lo:hi] * len(some) + inverse[lo:hi] - at, minlength=m * len(some)).reshape(m, -1).astype(np.float32)
+            for c in range(0, len(some), 4096):  # trigrams in blocks: their vectors stay few at a time
+                part = some[c : c + 4096]
+                out[rows] += counts[:, c : c + 4096] @ self.table(np.stack([alphabet[part // size**2], alphabet[part // size % size], alphabet[part % size]], 1))
 
 
 _ENCODER: list[Encoder] = []
@@ -172,6 +206,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row of documents, by prototypes of the training folds.
+
+    Null ids are predicted and never held out; null texts and texts without a letter are ``und`` with score 0;
+    ties go to the smaller language name; an empty table gives no rows. Other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     train = docs.where("doc_id is not null and lang is not null and text is not null").where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     return predict(docs, learn_prototypes(train))
