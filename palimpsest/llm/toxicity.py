@@ -7,16 +7,20 @@ often are looked at with their neighbours, phrases that clean rows alone hold be
 weights are the log-odds of what remains outside them. A logistic curve over the sum of matched weights,
 that sum per 100 words, and the strongest match gives the score.
 
+The sample is one text for each picked label, and each text of it once for either label, whatever the
+number of rows that bear them; all counts are sums over it, so they do not depend on partitions.
+
 Defined results: null and empty texts have no match and get the curve's value for that; without
-labels every score is 0. A null id is never held out and never trained on. Repeated rows are scored
-one by one, other columns are ignored.
+labels every score is 0. A null id is never held out and never trained on. Of several rows with a
+picked id the text of least hash is learned from. Repeated rows are scored one by one, other columns
+are ignored. Texts are matched whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fold_of, slices
-from palimpsest.session import ship, table
+from palimpsest.session import cut, ship, table
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds on the labelled rows that the lexicon and the curve are fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5000, 10000
 PREFIXES = (4, 5, 6)
 LEAST_SUPPORT, LEAST_SHARE, LEAST_WEIGHT = 5, 0.005, 2.5
+#: Counters of terms that a task holds before it hands them on.
+HELD_TERMS = 500_000
 #: Log-odds from which a term is looked at.
 LOOK = 0.5
 #: Clean rows that make a phrase an exception, and how many times as many they must be as toxic ones.
@@ -68,31 +74,42 @@ def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int, f
     picked = known.where("toxic > 0").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(known.where("toxic <= 0").orderBy(*order).limit(SAMPLE_CLEAN))
     every = {r.t: r.n for r in known.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     toxic_rows, clean_rows = min(every.get(True, 0), SAMPLE_TOXIC), min(every.get(False, 0), SAMPLE_CLEAN)
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return sample, toxic_rows, clean_rows, every.get(True, 0) / max(1, toxic_rows), every.get(False, 0) / max(1, clean_rows)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    hashed = texts.withColumn("h", F.struct(F.xxhash64("text").alias("x"), F.crc32("text").alias("y"), F.length("text").alias("z")))
+    one = hashed.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic", "h"), "h").alias("r"))
+    sample = one.groupBy("r.h", "r.toxic").agg(F.first("r.text").alias("text")).select("text", "toxic")
+    return cut(sample), toxic_rows, clean_rows, every.get(True, 0) / max(1, toxic_rows), every.get(False, 0) / max(1, clean_rows)
 
 
-def learn_terms(sample: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, float]:
-    """Terms that toxic rows hold more often, with their log-odds. The bounded sample and the least support bound their number."""
+def counted(sample: DataFrame, of: Callable[[str], set[str]]) -> DataFrame:
+    """(term, pos, neg): how many toxic and clean texts of the sample give each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
-        seen: set[int] = set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            terms = list(counts[0].keys() | counts[1].keys())
+            for at in range(0, len(terms), 20000):
+                some = terms[at : at + 20000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([counts[k][t] for t in some], pa.int64()) for k in (1, 0))], names=["term", "pos", "neg"])
+            for c in counts:
+                c.clear()
+
         for part in slices(batches):
             for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist(), strict=True):
-                k = int(toxic > 0)
-                if (h := hash((text, k))) not in seen:  # copies of a text are one witness
-                    seen.add(h)
-                    counts[k].update(terms_of(text))
-        terms = list(counts[0].keys() | counts[1].keys())
-        for at in range(0, len(terms), 20000):
-            some = terms[at : at + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([counts[k][t] for t in some], pa.int64()) for k in (1, 0))], names=["term", "pos", "neg"])
-
-    summed = sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+                counts[toxic].update(of(text))
+            if len(counts[0]) + len(counts[1]) > HELD_TERMS:
+                yield from flush()
+        yield from flush()
+
+    return sample.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def learn_terms(sample: DataFrame, toxic_rows: int, clean_rows: int) -> dict[str, float]:
+    """Terms that toxic rows hold more often, with their log-odds. The bounded sample and the least support bound their number."""
     odds = F.log((F.col("pos") + 0.5) / (toxic_rows + 1)) - F.log((F.col("neg") + 0.5) / (clean_rows + 1))
     least = max(LEAST_SUPPORT, int(LEAST_SHARE * toxic_rows))
-    got = summed.where((F.col("pos") >= least) & (odds >= LOOK)).orderBy(F.desc("pos"), "term").collect()
+    got = counted(sample, terms_of).where((F.col("pos") >= least) & (odds >= LOOK)).orderBy(F.desc("pos"), "term").collect()
     return {r.term: round(log_odds(r.pos, r.neg, toxic_rows, clean_rows), 4) for r in got}
 
 
@@ -102,7 +119,7 @@ class Matcher:
     def __init__(self, weights: dict[str, float], exceptions: frozenset[str] = frozenset()):
         import ahocorasick
 
-        self.exceptions = exceptions
+        self.weights, self.exceptions = weights, exceptions
         self.automaton = ahocorasick.Automaton()
         whole: dict[str, list] = {}
         for term, weight in weights.items():
@@ -113,6 +130,9 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not whole
 
+    def __reduce__(self) -> tuple:
+        return Matcher, (self.weights, self.exceptions)  # tasks build the automaton anew
+
     def matches(self, folded: str) -> list[tuple[float, str, str, str]]:
         """Weight and name of the best term at each matched word, and the phrases it makes with its neighbours."""
         if self.empty:
@@ -127,22 +147,28 @@ class Matcher:
             found = start if inside else exact
             if found and found > best.get(at, (0.0, "")):
                 best[at] = found
+        if not best:
+            return []
+        words = [(m.start(), m.group()) for m in WORD.finditer(folded)]
+        place = {at: i for i, (at, _) in enumerate(words)}
         out = []
         for at, (weight, term) in best.items():
-            word = WORD.match(folded, at).group()
-            before = WORD.findall(folded[max(0, at - 60) : at])
-            after = WORD.findall(folded[at + len(word) : at + len(word) + 60])
-            out.append((weight, term, f"{before[-1]} {word}" if before else "", f"{word} {after[0]}" if after else ""))
+            i = place[at]
+            word = words[i][1]
+            out.append((weight, term, f"{words[i - 1][1]} {word}" if i else "", f"{word} {words[i + 1][1]}" if i + 1 < len(words) else ""))
         return out
 
+    def outside(self, text: str) -> list[tuple[float, str]]:
+        """Weight and name of the terms of a text's matches that stand in no exception phrase."""
+        return [(w, t) for w, t, before, after in self.matches(fold(text)) if before not in self.exceptions and after not in self.exceptions]
+
     def features(self, text: str | None) -> list[float]:
-        text = text or ""
-        return curve_features([m[0] for m in self.matches(fold(text)) if m[2] not in self.exceptions and m[3] not in self.exceptions], text.count(" ") + 1)
+        return curve_features([w for w, _ in self.outside(text or "")], len((text or "").split()))
 
 
 def curve_features(weights: list[float], words: int) -> list[float]:
     total = sum(weights)
-    return [float(np.log1p(total)), float(np.log1p(100 * total / words)), max(weights, default=0.0), 1.0]
+    return [float(np.log1p(total)), float(np.log1p(100 * total / max(1, words))), max(weights, default=0.0), 1.0]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -162,27 +188,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     if not toxic_rows + clean_rows:
         return {"weights": {}, "exceptions": frozenset(), "curve": None}
     looked = learn_terms(sample, toxic_rows, clean_rows)
+    first = Matcher(looked)
+
+    def phrases_of(text: str) -> set[str]:
+        return {p for _, _, before, after in first.matches(fold(text)) for p in (before, after) if p}
+
+    known = F.col("pos") * (toxic_each * EXCEPTION_TIMES) < F.col("neg") * clean_each
+    exceptions = frozenset(r.term for r in counted(sample, phrases_of).where((F.col("neg") >= EXCEPTION_ROWS) & known).collect())
+    second = Matcher(looked, exceptions)
+    left = counted(sample, lambda text: {t for _, t in second.outside(text)}).where(F.col("pos") >= LEAST_SUPPORT).collect()
+    odds = {r.term: log_odds(r.pos, r.neg, toxic_rows, clean_rows) for r in left}
+    weights = {t: round(w, 4) for t, w in sorted(odds.items()) if w >= LEAST_WEIGHT}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(looked)
-        kind = pa.list_(pa.struct([("t", pa.string()), ("b", pa.string()), ("a", pa.string())]))
         for part in slices(batches):
-            texts = part["text"].to_pylist()
-            found = [[{"t": t, "b": b, "a": a} for _, t, b, a in matcher.matches(fold(x))] for x in texts]
-            yield pa.RecordBatch.from_arrays([part["toxic"].cast(pa.int32()), pa.array([t.count(" ") + 1 for t in texts], pa.int64()), pa.array(found, kind)], names=["toxic", "words", "found"])
-
-    rows = sample.mapInArrow(run, "toxic int, words long, found array<struct<t:string,b:string,a:string>>").collect()
-    phrases: tuple[Counter, Counter] = (Counter(), Counter())
-    for r in rows:
-        phrases[int(r.toxic > 0)].update({p for m in r.found for p in (m.b, m.a) if p})
-    exceptions = frozenset(p for p, n in phrases[0].items() if n >= EXCEPTION_ROWS and phrases[1][p] * toxic_each * EXCEPTION_TIMES < n * clean_each)
-    outside = [[m.t for m in r.found if m.b not in exceptions and m.a not in exceptions] for r in rows]
-    terms: tuple[Counter, Counter] = (Counter(), Counter())
-    for r, found in zip(rows, outside, strict=True):
-        terms[int(r.toxic > 0)].update(set(found))
-    odds = {t: log_odds(n, terms[0][t], toxic_rows, clean_rows) for t, n in terms[1].items() if n >= LEAST_SUPPORT}
-    weights = {t: round(w, 4) for t, w in odds.items() if w >= LEAST_WEIGHT}
-    data = sorted((curve_features([weights[t] for t in found if t in weights], r.words), int(r.toxic > 0)) for r, found in zip(rows, outside, strict=True))
+            rows = [curve_features([weights[t] for _, t in second.outside(x) if t in weights], len(x.split())) for x in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), part["toxic"].cast(pa.int32())], names=["x", "toxic"])
+
+    data = sorted((list(r.x), r.toxic) for r in sample.mapInArrow(run, "x array<double>, toxic int").collect())
     y = np.array([y for _, y in data])
     return {"weights": weights, "exceptions": exceptions, "curve": fit_curve(np.array([f for f, _ in data]), y, np.where(y > 0, toxic_each, clean_each)) if data else None}
 
@@ -205,5 +228,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of documents, by a model learned from labels of the training folds.
+
+    Null ids are scored and never held out; null and empty texts score what no match scores; repeated rows
+    come out alike; without labels all scores are 0; an empty table gives no rows. Other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
