@@ -1,25 +1,35 @@
-"""PII surrogates: every detected entity gets a keyed replacement of its own type, script and format.
-
-Replacements are permutations, not draws: the varying characters of an entity form a number in a
-mixed radix (digits stay digits, letters stay letters of their script, address bytes stay bytes), and a
-keyed Feistel network permutes all numbers of that format. So two different entities of a format never
-get the same replacement anywhere in the corpus, with no table shared between tasks, and one entity
-gets the same replacement wherever it stands. The permutation is conjugated with a shift, so nothing
-is ever mapped to itself. Given names move inside the list of their gender and script.
-
-Person names are found after a title, or as a listed given name before a capitalised word; later
-mentions of either part in the same text follow. Case is kept and plays no part in identity.
-
-Defined results: a null text stays null with no entities, an empty one stays empty. All input columns
-stay as they are but the text. Repeated rows get the same result. The key is a parameter.
+"""PII surrogates: every detected entity gets a keyed replacement of its own type, script, gender and format.
+
+What has a format (addresses, numbers, secrets) forms a number in a mixed radix: digits stay digits, letters
+letters of their script, address bytes bytes. A keyed Feistel network permutes all numbers of that format, and
+a shift inside it lets nothing map to itself; so different entities of a format differ afterwards. Spaces and
+brackets are no part of a number, so one number gets one replacement in every way of writing it. Given names
+move inside the list of their gender and script; other names are made of syllables of their script, with an
+ending of their gender.
+
+Collisions are checked over the whole corpus: the distinct entities of all texts are gathered in one table, and
+an entity whose replacement is a real entity of its kind, or that of another one, tries again with the next
+permutation or a longer name until none is left. Only entities that had to try again are told to the tasks: in
+a broadcast up to ``BROADCAST_TRIES`` of them (each a hash and a number), above that joined to the texts they
+stand in. A format of which more than a quarter of all values are real ones is left out of the check against
+real ones: its replacements are distinct, but may be another's real value.
+
+Person names are found after a title, or as a listed given name before a capitalised word; later mentions of
+either part in the same text follow. Case is kept and plays no part in identity.
+
+Defined results: a null text stays null with no entities, an empty one stays empty. All input columns stay as
+they are but the text. Repeated rows get the same result. The key comes from ``spark.palimpsest.pii.key``;
+where that is unset, each application draws one of its own, which nobody can know.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
-from collections.abc import Callable, Iterator
+import secrets
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import slices
-from palimpsest.session import ship, table
+from palimpsest.session import cut, ship, table
 
-#: For tests and demonstrations; production passes its own.
-KEY = b"palimpsest-surrogates"
+KEY_SETTING = "spark.palimpsest.pii.key"
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ip", "secret", "ssn", "iban", "person")
+#: Entities with further tries that are broadcast; above, they are joined to their texts.
+BROADCAST_TRIES = 200_000
+#: Entities a task remembers, so that it hands on each once.
+SEEN_ENTITIES = 100_000
 
 # Given names by script and gender.
 GIVEN = {
@@ -44,7 +57,35 @@ GIVEN = {
     ("greek", "m"): "Αλέξανδρος Βασίλειος Γεώργιος Δημήτριος Ιωάννης Κωνσταντίνος Νικόλαος".split(),
 }
 NAME_LISTS = {name.lower(): names for names in GIVEN.values() for name in names}
-TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora|Sra|Sr|Mme|MR|MRS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA|MME"
+TITLES = {
+    "m": "Mr Herr Monsieur Señor Sr MR HERR MONSIEUR SEÑOR".split(),
+    "f": "Mrs Ms Miss Frau Madame Señora Sra Mme MRS MISS FRAU MADAME SEÑORA MME".split(),
+    "x": "Dr Prof DR PROF".split(),
+}
+GENDER_OF = {t: g for g, titles in TITLES.items() for t in titles}
+#: Words after which a given name before them is a place.
+PLACES = frozenset("Airport Avenue Bridge Cathedral Church City College County Falls Hospital Hotel Island Lake Park River Road Square Station Street University".split())
+
+# Syllables and endings of made names by script.
+SYLLABLES = {
+    "latin": ("b d f g h k l m n p r s t v w br dr gr kr st tr".split(), "a e i o u".split()),
+    "cyrillic": ("б в г д з к л м н п р с т".split(), "а е и о у".split()),
+    "greek": ("β γ δ ζ κ λ μ ν π ρ σ τ φ".split(), "α ε ι ο".split()),
+}
+ENDINGS = {
+    ("surname", "latin", "x"): "man son berg ler ner ton ley ford well ard ing er".split(),
+    ("surname", "cyrillic", "m"): "ов ев ин ский".split(),
+    ("surname", "cyrillic", "f"): "ова ева ина ская".split(),
+    ("surname", "greek", "m"): "ίδης άκης όπουλος".split(),
+    ("surname", "greek", "f"): "ίδου άκη οπούλου".split(),
+    ("given", "latin", "f"): "a ia ina ette elle isa".split(),
+    ("given", "latin", "m"): "o us an en ert ik".split(),
+    ("given", "latin", "x"): "i y is".split(),
+    ("given", "cyrillic", "f"): "ина ана ия".split(),
+    ("given", "cyrillic", "m"): "ан ей ир".split(),
+    ("given", "greek", "f"): "ία ένη ώ".split(),
+    ("given", "greek", "m"): "ος ης ας".split(),
+}
 
 #: Alphabets that letters stay in; anything else in an entity stays as it is.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëíîïñóôöùúûü", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
@@ -59,13 +100,18 @@ FIND = re.compile(
     r"|(?<![\w.+-])\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4}(?![\w-]|\.\d)|(?<![\w.+-])0\d(?P<pair>[ .-])\d\d(?:(?P=pair)\d\d){3}(?![\w-]|\.\d)"
     r"|(?<![\w.+-])0\d{2,4}[ /-]\d{3,4} ?\d{3,4}(?![\w-]|\.\d| \d{4}(?!\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w))"
+    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)|(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:gh[pousr]|github_pat|glpat|sk|pk|xox[abprs])[_-][\w-]{16,}|(?<!\w)eyJ[\w-]{8,}(?:\.[\w-]{4,}){1,2})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))"
+)
+#: What introduces a secret, and the values that count: quoted ones of any length, others of six characters, or four with a digit.
+ASSIGNED = re.compile(
+    r"(?i)(?<![a-z0-9])(?:(?:api|access|secret|private|auth|client|encryption)[_ -]?key|(?:\w{1,40}[_-])?(?:token|secret|password|passwd|passphrase|pwd))\b[\"']?\s*[:=]\s*"
+    r"(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s\"']{6,}|(?=[^\s\"']*\d)[^\s\"']{4,5}(?![^\s])))"
 )
-ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[:=]\s*([\"']?)([^\s\"']{6,})\1")
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω"
-PERSON = re.compile(rf"\b(?:(?P<title>{TITLES})\.?\s+)?(?P<first>[{_UPPER}]\w+)\s+(?P<last>[{_UPPER}][\w'-]+)|\b(?P<alone_title>{TITLES})\.?\s+(?P<alone>[{_UPPER}][\w'-]+)")
+_TITLE = "|".join(GENDER_OF)
+PERSON = re.compile(rf"\b(?:(?P<title>{_TITLE})\.?\s+)?(?P<first>[{_UPPER}]\w+)\s+(?P<last>[{_UPPER}][\w'-]+)|\b(?P<alone_title>{_TITLE})\.?\s+(?P<alone>[{_UPPER}][\w'-]+)")
 
 
 def permute(symbols: list[int], bases: list[int], key: bytes, tweak: str) -> list[int]:
@@ -98,157 +144,368 @@ def permute(symbols: list[int], bases: list[int], key: bytes, tweak: str) -> lis
     return x
 
 
-class Surrogates:
-    """Replacements under one key."""
+def luhn(body: list[int]) -> int:
+    """The check digit that follows these digits."""
+    total = 0
+    for i, d in enumerate(reversed(body)):
+        total += d if i % 2 else 2 * d - 9 * (d > 4)
+    return -total % 10
 
-    def __init__(self, key: bytes = KEY):
-        self.key = key
 
-    def spelled(self, entity: str, tweak: str, alphabet: str | None = None, keep: int = 0) -> str:
-        """Characters of known alphabets permuted, all others kept, and the case of each place too."""
-        low = [c.lower() if len(c.lower()) == 1 else c for c in entity]
-        if alphabet:
-            at = [i for i, c in enumerate(low) if i >= keep and c in alphabet]
-            lists = [alphabet] * len(at)
-        else:
-            at = [i for i, c in enumerate(low) if i >= keep and c in PLACE]
-            lists = [ALPHABETS[PLACE[low[i]][0]] for i in at]
-        if not at:
-            return entity
-        layout = "".join("." if i in set(at) else c for i, c in enumerate(low))
-        got = permute([a.index(low[i]) for i, a in zip(at, lists, strict=True)], [len(a) for a in lists], self.key, f"{tweak}|{layout}")
-        out = list(entity)
-        for i, a, s in zip(at, lists, got, strict=True):
-            out[i] = a[s].upper() if entity[i] != low[i] else a[s]
-        return "".join(out)
+def script_of(name: str) -> str:
+    low = name[:1].lower()
+    return "cyrillic" if "\u0400" <= low <= "\u04ff" else "greek" if "\u0370" <= low <= "\u03ff" else "latin"
+
 
-    def email(self, e: str) -> str:
-        name, _, host = e.rpartition("@")
-        labels = host.split(".")
-        whole = "\n".join([name, *labels[:-1]])
-        return "@".join([(parts := self.spelled(whole, "email").split("\n"))[0], ".".join([*parts[1:], labels[-1]])])
+def entity_key(kind: str, identity: str) -> bytes:
+    """A hash of fixed size that stands for an entity."""
+    return hashlib.blake2b(f"{kind}\n{identity}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    def ip(self, e: str) -> str:
-        return ".".join(map(str, permute([int(x) for x in e.split(".")], [256] * 4, self.key, "ip")))
 
-    def phone(self, e: str) -> str:
-        country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", e)
-        return self.spelled(e, "phone", keep=country.end() if country else 0)
+def cased(name: str, like: str) -> str:
+    return name.upper() if like.isupper() and len(like) > 1 else name if like.islower() else name[:1].upper() + name[1:]
 
-    def card(self, e: str) -> str:
-        """The last digit keeps its distance from the check digit: valid numbers stay valid."""
-        digits = [int(c) for c in e if c.isdigit()]
-        body = permute(digits[:-1], [10] * (len(digits) - 1), self.key, "card")
-        new = iter([*body, (luhn(body) + digits[-1] - luhn(digits[:-1])) % 10])
-        return "".join(str(next(new)) if c.isdigit() else c for c in e)
 
-    def secret(self, e: str) -> str:
-        return self.spelled(e, "secret", alphabet=HEX)
+class Surrogates:
+    """Replacements under one key. ``tries`` tells how often entities had to try again."""
 
-    def ssn(self, e: str) -> str:
-        return self.spelled(e, "ssn")
+    def __init__(self, key: bytes, tries: dict[bytes, int] | None = None):
+        self.key, self.tries = key, tries or {}
 
-    def iban(self, e: str) -> str:
-        return self.spelled(e, "iban", keep=2)
+    def numbered(self, symbols: str, keep: int, tweak: str, alphabet: str | None = None) -> tuple[list[int], list[str], str]:
+        """Places that vary, their alphabets, and what tells the format."""
+        at = [i for i, c in enumerate(symbols) if i >= keep and (c in alphabet if alphabet else c in PLACE)]
+        held = set(at)
+        return at, [alphabet or ALPHABETS[PLACE[symbols[i]][0]] for i in at], f"{tweak}|" + "".join("." if i in held else c for i, c in enumerate(symbols))
 
-    def given(self, e: str) -> str:
-        names = NAME_LISTS.get(e.lower())
-        if names is None:
-            return self.spelled(e, "name")
-        low = [n.lower() for n in names]
-        new = names[permute([low.index(e.lower())], [len(names)], self.key, names[0])[0]]
-        return new.upper() if e.isupper() and len(e) > 1 else new.lower() if e.islower() else new
+    def permuted(self, symbols: str, keep: int, tweak: str, attempt: int, alphabet: str | None = None) -> str:
+        at, lists, layout = self.numbered(symbols, keep, tweak, alphabet)
+        if not at:
+            return symbols
+        got = permute([a.index(symbols[i]) for i, a in zip(at, lists, strict=True)], [len(a) for a in lists], self.key, f"{layout}|{attempt}")
+        out = list(symbols)
+        for i, a, x in zip(at, lists, got, strict=True):
+            out[i] = a[x]
+        return "".join(out)
 
-    def surname(self, e: str) -> str:
-        return self.spelled(e, "name")
+    # -- one entity ------------------------------------------------------------------------------
+
+    def identity(self, kind: str, surface: str, gender: str = "x") -> str:
+        """What all ways of writing an entity have in common."""
+        if kind == "phone":
+            country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", surface)
+            n = country.end() if country else 0
+            return surface[:n] + ":" + re.sub(r"\D", "", surface[n:])
+        if kind in ("card", "ssn"):
+            return re.sub(r"\D", "", surface)
+        if kind == "iban":
+            return surface.replace(" ", "").lower()
+        if kind in ("email", "surname"):
+            return "".join(c.lower() if len(c.lower()) == 1 else c for c in surface)
+        if kind == "given":
+            return surface.lower() if surface.lower() in NAME_LISTS else f"{gender}|{surface.lower()}"
+        return surface
+
+    def format_of(self, kind: str, identity: str) -> tuple[str, float]:
+        """The format of an entity and the logarithm (base 2) of how many values it has; infinite for made names."""
+        if kind == "ip":
+            return "ip", 32.0
+        if kind == "given" and "|" not in identity:
+            names = NAME_LISTS[identity]
+            return f"given {names[0]}", math.log2(len(names))
+        if kind in ("given", "surname"):
+            return kind, 1e9
+        if kind == "card":
+            return f"card {len(identity)}", (len(identity) - 1) * math.log2(10)
+        if kind == "secret":
+            low, alphabet = self.low(identity)
+            _, lists, layout = self.numbered(low, 0, "secret", alphabet)
+        elif kind == "email":
+            _, lists, layout = self.numbered(identity, 0, "email")
+        else:
+            _, lists, layout = self.numbered(identity.rpartition(":")[2], 2 if kind == "iban" else 0, kind)
+        return layout, sum(math.log2(len(a)) for a in lists)
+
+    @staticmethod
+    def low(secret: str) -> tuple[str, str | None]:
+        whole = re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", secret)
+        return "".join(c.lower() if len(c.lower()) == 1 else c for c in secret), HEX if whole else None
+
+    def surrogate(self, kind: str, identity: str, attempt: int = 0) -> str:
+        """The identity that replaces one."""
+        if kind == "phone":  # with or without its country a number stays the same
+            country, _, digits = identity.partition(":")
+            return f"{country}:{self.permuted(digits, 0, 'phone', attempt)}"
+        if kind == "card":  # the last digit keeps its distance from the check digit: valid numbers stay valid
+            digits = [int(c) for c in identity]
+            body = permute(digits[:-1], [10] * (len(digits) - 1), self.key, f"card|{attempt}")
+            return "".join(map(str, [*body, (luhn(body) + digits[-1] - luhn(digits[:-1])) % 10]))
+        if kind == "ip":
+            return ".".join(map(str, permute([int(x) for x in identity.split(".")], [256] * 4, self.key, f"ip|{attempt}")))
+        if kind == "ssn":
+            return self.permuted(identity, 0, "ssn", attempt)
+        if kind == "iban":
+            return self.permuted(identity, 2, "iban", attempt)
+        if kind == "email":  # what follows the last dot stays
+            n = identity.rindex(".")
+            return self.permuted(identity[:n], 0, f"email{identity[n:]}", attempt) + identity[n:]
+        if kind == "secret":
+            low, alphabet = self.low(identity)
+            n = len(re.match(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|pk-|xox[abprs]-|eyJ|", identity)[0])
+            new = self.permuted(low, n, "secret", attempt, alphabet)
+            return "".join(c.upper() if old != was else c for c, old, was in zip(new, identity, low, strict=True))
+        if kind == "given" and "|" not in identity:
+            names = NAME_LISTS[identity]
+            low = [n.lower() for n in names]
+            return low[permute([low.index(identity)], [len(names)], self.key, f"{names[0]}|{attempt}")[0]]
+        gender, _, name = identity.rpartition("|")
+        made = self.made(kind, name, gender or self.gender_of_surname(name), attempt)
+        return f"{gender}|{made}" if gender else made
+
+    @staticmethod
+    def gender_of_surname(name: str) -> str:
+        script = script_of(name)
+        return "x" if script == "latin" else "f" if name.endswith(("а", "я", "ου", "η", "α")) else "m"
+
+    def made(self, kind: str, name: str, gender: str, attempt: int) -> str:
+        """A name of syllables; every second try adds one, so there is always a free name."""
+        script = script_of(name)
+        endings = ENDINGS.get((kind, script, gender)) or ENDINGS.get((kind, script, "m")) or ENDINGS[kind, script, "x"]
+        heads, vowels = SYLLABLES[script]
+        seed = hmac.new(self.key, f"{kind}|{gender}|{name}|{attempt}".encode("utf-8", "surrogatepass"), hashlib.sha512).digest()
+        n = 2 + attempt // 2
+        draw = iter(hashlib.shake_256(seed).digest(4 * (2 * n + 2)))
+        pick = lambda items: items[int.from_bytes(bytes(next(draw) for _ in range(4))) % len(items)]
+        return "".join(pick(heads) + pick(vowels) for _ in range(n)) + pick(heads)[:1] + pick(endings)
+
+    def written(self, kind: str, surface: str, new: str) -> str:
+        """A replacement in the way its entity is written."""
+        if kind == "phone":
+            n = len(new.partition(":")[0])
+            digits = iter(new.partition(":")[2])
+            return surface[:n] + "".join(next(digits) if c.isdigit() else c for c in surface[n:])
+        if kind in ("card", "ssn", "iban"):
+            symbols = iter(new)
+            return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(symbols)) else c for c in surface)
+        if kind == "email":
+            return "".join(x.upper() if c != c.lower() else x for x, c in zip(new, surface, strict=True))
+        if kind in ("given", "surname"):
+            return cased(new.rpartition("|")[2], surface)
+        return new
+
+    def replacement(self, kind: str, surface: str, identity: str) -> str:
+        tries = self.tries.get(entity_key(kind, identity), 0) if self.tries else 0
+        return self.written(kind, surface, self.surrogate(kind, identity, tries))
 
     # -- texts -----------------------------------------------------------------------------------
 
-    def people(self, text: str) -> dict[str, Callable[[str], str]]:
-        """The parts of names found in a text, and what replaces each."""
-        parts: dict[str, Callable[[str], str]] = {}
+    def people(self, text: str) -> dict[str, tuple[str, str]]:
+        """The parts of names found in a text: kind and identity of each."""
+        parts: dict[str, tuple[str, str]] = {}
         at = 0
+
+        def put(part: str, kind: str, gender: str = "x") -> None:
+            got = parts.setdefault(part, (kind, self.identity(kind, part, gender)))
+            if len(part) > 3:  # the same name in capitals, or without
+                parts.setdefault(part.upper(), got)
+                parts.setdefault(part[:1] + part[1:].lower(), got)
+
         while m := PERSON.search(text, at):
             at = m.end()
             if m["alone"]:
-                parts.setdefault(m["alone"], self.surname)
-            elif m["title"] or m["first"].lower() in NAME_LISTS:
-                parts[m["first"]] = self.given
-                parts.setdefault(m["last"], self.surname)
-            elif m["first"] in TITLES.split("|"):
-                parts.setdefault(m["last"], self.surname)
+                put(m["alone"], "surname")
+            elif m["title"] or m["first"].lower() in NAME_LISTS and m["last"] not in PLACES:
+                put(m["first"], "given", GENDER_OF.get(m["title"], "x"))
+                put(m["last"], "surname")
+            elif m["first"] in GENDER_OF:
+                put(m["last"], "surname")
             else:
                 at = m.start() + len(m["first"])
         return parts
 
+    def entities(self, text: str | None) -> list[tuple[int, int, str, str]]:
+        """(start, stop, kind, identity) of every entity of a text in order; none overlap."""
+        if not text:
+            return []
+        spans: list[tuple[int, int, str, str]] = []
+        low = text.lower()
+        # Assigned values come first, whatever they look like; what is found is blanked for what comes after.
+        if ("=" in text or ":" in text) and any(w in low for w in ("token", "secret", "pass", "pwd", "key")):
+            for m in ASSIGNED.finditer(text):
+                value = m[m.lastgroup]
+                if m.lastgroup == "bare":
+                    value = value.rstrip(".,;!")
+                start = m.start(m.lastgroup)
+                spans.append((start, start + len(value), "secret", value))
+            text = blanked(text, spans)
+        if "@" in text or any(d in text for d in "0123456789") or "eyJ" in text or re.search(r"[0-9A-Fa-f]{32}|gh[pousr]_|_pat_|glpat|[sp]k[_-]|xox", text):
+            found = [(m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else "phone", m[0]) for m in FIND.finditer(text)]
+            spans += [(a, b, kind, self.identity(kind, surface)) for a, b, kind, surface in found]
+            text = blanked(text, found)
+        if parts := self.people(text):
+            names = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")\b")
+            spans += [(m.start(), m.end(), *parts[m[0]]) for m in names.finditer(text)]
+        return sorted(spans)
+
     def apply(self, text: str | None) -> tuple[str | None, dict[str, int]]:
         """The text with surrogates, and the entities of each kind."""
         found: dict[str, int] = {}
-        if not text:
+        spans = self.entities(text)
+        if not spans:
             return text, found
+        out, at = [], 0
+        for start, stop, kind, identity in spans:
+            name = "person" if kind in ("given", "surname") else kind
+            found[name] = found.get(name, 0) + 1
+            out += [text[at:start], self.replacement(kind, text[start:stop], identity)]
+            at = stop
+        return "".join([*out, text[at:]]), found
 
-        def put(kind: str, new: str) -> str:
-            found[kind] = found.get(kind, 0) + 1
-            return new
 
-        low = text.lower()
-        digit = any(d in text for d in "0123456789")
-        marks = any(w in low for w in ("token", "secret", "passw", "key"))
-        # Assigned values come first, whatever they look like; they are held out of the other patterns.
-        held: list[str] = []
-
-        def assigned(m: re.Match) -> str:
-            value = m[2].rstrip(".,;!") if not m[1] else m[2]
-            full = HEX if re.fullmatch(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}", value) else None
-            held.append(put("secret", self.spelled(value, "secret", alphabet=full)))
-            at = m.start(2) - m.start()
-            return f"{m[0][:at]}\ue000{len(held) - 1}\ue001{m[0][at + len(value) :]}"
-
-        if marks and "\ue000" not in text:
-            text = ASSIGNED.sub(assigned, text)
-        if digit or "@" in text:
-            text = FIND.sub(lambda m: put(m.lastgroup, getattr(self, m.lastgroup)(m[0])), text)
-        if parts := self.people(text):
-            names = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(parts, key=len, reverse=True))) + r")\b")
-            text = names.sub(lambda m: put("person", parts[m[0]](m[0])), text)
-        if held:
-            text = re.sub("\ue000(\\d+)\ue001", lambda m: held[int(m[1])], text)
-        return text, found
+def blanked(text: str, spans: list[tuple]) -> str:
+    """The text with spans made characters that are in no entity, so that places stay."""
+    out, at = [], 0
+    for start, stop, *_ in spans:
+        out += [text[at:start], "\0" * (stop - start)]
+        at = stop
+    return "".join([*out, text[at:]])
 
 
-def luhn(body: list[int]) -> int:
-    """The check digit that follows these digits."""
-    total = 0
-    for i, d in enumerate(reversed(body)):
-        total += d if i % 2 else 2 * d - 9 * (d > 4)
-    return -total % 10
+# -- collision checks -------------------------------------------------------------------------------
+
+
+def found_entities(docs: DataFrame) -> DataFrame:
+    """(kind, identity, format, bits) of the distinct entities of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Surrogates(b"")
+        seen: set[bytes] = set()
+        for part in slices(batches):
+            rows = []
+            for text in part["text"].to_pylist():
+                for _, _, kind, identity in make.entities(text):
+                    if (k := entity_key(kind, identity)) not in seen:
+                        if len(seen) >= SEEN_ENTITIES:
+                            seen.clear()
+                        seen.add(k)
+                        rows.append((kind, identity, *make.format_of(kind, identity)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=["kind", "identity", "format", "bits"])
+
+    return docs.select("text").mapInArrow(run, "kind string, identity string, format string, bits double").groupBy("kind", "identity").agg(F.first("format").alias("format"), F.first("bits").alias("bits"))
+
+
+def with_surrogates(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Surrogates(key)
+        for part in slices(batches):
+            new = [make.surrogate(k, i, attempt) for k, i in zip(part["kind"].to_pylist(), part["identity"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part["kind"], part["identity"], pa.array(new, pa.string())], names=["kind", "identity", "surrogate"])
+
+    return entities.select("kind", "identity").mapInArrow(run, "kind string, identity string, surrogate string")
+
+
+def further_tries(found: DataFrame, key: bytes) -> DataFrame | None:
+    """(kind, identity, tries) of the entities whose first replacement is a real entity or another's; None if there are none."""
+    crowded = found.groupBy("kind", "format").agg(F.count("*").alias("n"), F.first("bits").alias("bits")).where(F.log2(F.col("n").cast("double")) + 2 > F.col("bits"))
+    pending = found.join(crowded, ["kind", "format"], "left_anti").select("kind", "identity")
+    real = found.select("kind", F.col("identity").alias("surrogate"))
+    taken, again, attempt = None, None, 0
+    while True:
+        tried = cut(with_surrogates(pending, key, attempt))
+        free = tried.join(real, ["kind", "surrogate"], "left_anti")
+        if taken is not None:
+            free = free.join(taken, ["kind", "surrogate"], "left_anti")
+        won = cut(free.groupBy("kind", "surrogate").agg(F.min("identity").alias("identity")))
+        if attempt:
+            mine = won.select("kind", "identity", F.lit(attempt).alias("tries"))
+            again = mine if again is None else again.unionByName(mine)
+        taken = won.select("kind", "surrogate") if taken is None else taken.unionByName(won.select("kind", "surrogate"))
+        pending = cut(tried.join(won, ["kind", "identity"], "left_anti").select("kind", "identity"))
+        if pending.isEmpty():
+            return again
+        attempt += 1
+
+
+def tries_by_text(docs: DataFrame, again: DataFrame, mark: str, tries: str) -> DataFrame:
+    """(mark, tries): for each text with entities that tried again, their keys and tries. Texts go by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Surrogates(b"")
+        for part in slices(batches):
+            rows = [(h, k) for h, t in zip(part["h"].to_pylist(), part["text"].to_pylist(), strict=True) for k in {entity_key(kind, i) for _, _, kind, i in make.entities(t)}]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.binary())], names=["h", "k"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            keys = [entity_key(k, i) for k, i in zip(part["kind"].to_pylist(), part["identity"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part["tries"].cast(pa.int32())], names=["k", "tries"])
+
+    held = docs.where("text is not null").select(F.sha2("text", 256).alias("h"), "text").mapInArrow(run, "h string, k binary").distinct()
+    told = held.join(again.mapInArrow(keyed, "k binary, tries int"), "k")
+    return told.groupBy(F.col("h").alias(mark)).agg(F.collect_list(F.struct("k", "tries")).alias(tries))
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The configured key, or one that this application drew."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return given.encode()
+    sc = spark.sparkContext
+    if not hasattr(sc, "_palimpsest_pii_key"):
+        sc._palimpsest_pii_key = secrets.token_bytes(32)
+    return sc._palimpsest_pii_key
+
+
+def replace_pii(docs: DataFrame, key: bytes | None = None, counts: bool = False) -> DataFrame:
     """``docs`` with surrogates in the text; with ``counts`` also n_entities and the number of each kind.
 
     These counts take the place of columns so named.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    key = key or key_of(spark)
     extra = ["n_entities", *(f"n_{k}" for k in KINDS)] if counts else []
     docs = docs.drop(*extra)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in extra)])
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, *extra]
+    again = further_tries(cut(found_entities(docs)), key)
+    tries: dict[bytes, int] = {}
+    own = None
+    if again is not None:
+        again = cut(again)
+        if again.count() <= BROADCAST_TRIES:
+            tries = {entity_key(r.kind, r.identity): r.tries for r in again.toLocalIterator()}
+        else:
+            mark, own = "_" * (1 + max(map(len, names))), "_" * (2 + max(map(len, names)))  # longer than any column's name
+            docs = docs.withColumn(mark, F.sha2("text", 256)).join(tries_by_text(docs, again, mark, own), mark, "left").drop(mark)
+            at = docs.columns.index("text")
+    sent = spark.sparkContext.broadcast(tries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Surrogates(key)
+        make = Surrogates(key, sent.value)
         for part in slices(batches):
-            done = [make.apply(t) for t in part.column(at).to_pylist()]
-            columns = part.columns
-            columns[at] = pa.array([t for t, _ in done], part.schema.field(at).type)
+            if own is None:
+                done = [make.apply(t) for t in part.column(at).to_pylist()]
+            else:
+                told = part[own].to_pylist()
+                done = [Surrogates(key, {x["k"]: x["tries"] for x in o or ()}).apply(t) for t, o in zip(part.column(at).to_pylist(), told, strict=True)]
+            columns = [c for c, n in zip(part.columns, part.schema.names, strict=True) if n != own]
+            columns[at] = pa.array([t for t, _ in done], columns[at].type)
             if counts:
                 columns.append(pa.array([sum(f.values()) for _, f in done], pa.int64()))
                 columns += [pa.array([f.get(k, 0) for _, f in done], pa.int64()) for k in KINDS]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *extra])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text with surrogates, and how many entities of each kind it had, for every row of documents.
+
+    Null ids and null texts pass through, empty texts stay empty, repeated rows come out alike; an empty table
+    gives none. Other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
     return replace_pii(docs, counts=True)
