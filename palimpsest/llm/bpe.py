@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ CACHE_WORDS = 200_000
 CACHE_PAIRS = 300_000
 #: Texts whose distinct words make one trie.
 TRIE_TEXTS = 512
+#: Bytes from which a word is walked alone, without nodes.
+LONG_WORD = 1024
 END = "</w>"
 
 
@@ -57,20 +59,27 @@ class WordBpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
         self.letters = byte_letters()
-        self.table = [self.letters[b] for b in range(256)]
         self.words = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, tuple[str, ...]] = {}
+        self.wholes: dict[str, bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
-        self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
-        # Sizes of the vocabulary entries that end in given two letters (with or without a word end).
-        sizes: dict[tuple[str, bool], set[int]] = {}
+        # The vocabulary read backwards, as one table of steps: place and byte give the next place. Entries with
+        # a word end start at place 1, others at 0.
+        self.steps: dict[int, int] = {}
+        self.entry: list[str | None] = [None, None]
+        back = {c: b for b, c in self.letters.items()}
         for token in self.vocab:
-            body = token.removesuffix(END) if len(token) > len(END) else token
-            sizes.setdefault((body[-2:], body != token), set()).add(len(body))
-        self.sizes = {key: tuple(sorted(found, reverse=True)) for key, found in sizes.items()}
+            ends = token.endswith(END) and len(token) > len(END)
+            at = int(ends)
+            for c in reversed(token.removesuffix(END) if ends else token):
+                key = at << 8 | back[c]
+                if key not in self.steps:
+                    self.steps[key] = len(self.entry)
+                    self.entry.append(None)
+                at = self.steps[key]
+            self.entry[at] = token
 
     # -- words ---------------------------------------------------------------------------------
 
@@ -104,60 +113,102 @@ class WordBpe:
 
     def whole(self, token: str) -> bool:
         """Is a vocabulary entry the encoding of its own spelling?"""
-        got = self.parts.get(token)
-        if got is None:
-            got = self.parts[token] = tuple(self.merge(self.spelled(token)))
-        return len(got) == 1
-
-    def last_token(self, path: list[str], states: list[str], ended: bool) -> str:
-        """The last token of the prefix spelled by ``path``, from the states of its own prefixes."""
-        n = len(path)
-        text = "".join(path[-self.longest :])
-        m = len(text)
-        tail = END if ended else ""
-        vocab, parts, pairs = self.vocab, self.parts, self.pairs
-        for size in self.sizes.get((text[-2:], ended), ()) + ((1,) if n > 1 else ()):
-            if size > n:
-                continue
-            token = text[m - size :] + tail
-            if token not in vocab or not (len(parts[token]) == 1 if token in parts else self.whole(token)):
+        ok = self.wholes[token] = len(self.merge(self.spelled(token))) == 1
+        return ok
+
+    def last_token(self, path: Sequence[int], states: Sequence[str], ended: bool) -> tuple[str, int]:
+        """The last token of the prefix that ``path`` spells, from the states of its own prefixes; and its bytes.
+
+        Tokens that end here are found by reading the path backwards; the longest are tried first.
+        """
+        n = i = len(path)
+        steps, entry, pairs, wholes = self.steps, self.entry, self.pairs, self.wholes
+        at = int(ended)
+        found = []
+        while i:
+            i -= 1
+            at = steps.get(at << 8 | path[i])
+            if at is None:
+                break
+            if entry[at] is not None:
+                found.append((entry[at], i))
+        for token, i in reversed(found):
+            ok = wholes.get(token)
+            if not (self.whole(token) if ok is None else ok):
                 continue
-            if size == n:
-                return token
-            before = states[n - size - 1]
+            if not i:
+                return token, n
+            before = states[i - 1]
             ok = pairs.get((before, token))
             if self.joins(before, token) if ok is None else ok:
-                return token
-        raise ValueError(f"no token ends {text!r}")
+                return token, n - i
+        raise ValueError("no token ends here")
+
+    def tokens_of(self, path: Sequence[int], states: Sequence[str]) -> list[str]:
+        """All tokens of the word that ``path`` spells."""
+        token, size = self.last_token(path, states, True)
+        tokens, at = [token], len(path) - size
+        while at > 0:
+            tokens.append(states[at - 1])
+            at -= len(tokens[-1])
+        return tokens[::-1]
 
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word: insert them into a trie, then walk it depth first."""
-        # A node: [children by letter, words that end here]; letters stand for bytes.
-        root: list = [{}, None]
-        table = self.table
-        for word in words:
-            node = root
-            for b in word.encode("utf-8", "replace"):
-                node = node[0].setdefault(table[b], [{}, None])
-            node[1] = word
+        """Tokens of each distinct word: insert them into a trie, then walk it depth first.
+
+        A stretch without branches needs no nodes: the rest of a word hangs in place of a node. Words of more
+        than ``LONG_WORD`` bytes, which could share as many nodes, are walked alone.
+        """
+        # A node: {byte: node, -1: word that ends there}; a rest: (bytes of the whole word, place in it, word).
+        root: dict = {}
         out: dict[str, list[str]] = {}
-        path: list[str] = []
-        states: list[str] = []  # states[i]: last token of the first i + 1 letters, no word end
-        stack: list[tuple[int, str, list]] = [(0, c, x) for c, x in root[0].items()]
+        last = self.last_token
+        for word in words:
+            spelled = word.encode("utf-8", "replace")
+            n = len(spelled)
+            if n > LONG_WORD:
+                states: list[str] = []
+                seen = bytearray()
+                for b in spelled[:-1]:
+                    seen.append(b)
+                    states.append(last(seen, states, False)[0])
+                out[word] = self.tokens_of(spelled, states)
+                continue
+            node, at = root, 0
+            while at < n:
+                there = node.get(spelled[at])
+                if there is None:
+                    node[spelled[at]] = (spelled, at + 1, word)
+                    break
+                at += 1
+                if type(there) is tuple:  # the rest of another word: its next byte becomes a node
+                    other, place, name = there
+                    there = node[spelled[at - 1]] = {other[place]: (other, place + 1, name)} if place < len(other) else {-1: name}
+                node = there
+            else:
+                node[-1] = word
+        path: list[int] = []
+        states = []  # states[i]: last token of the first i + 1 bytes, no word end
+        stack: list[tuple[int, int, dict | tuple]] = [(0, c, x) for c, x in root.items() if c >= 0]
+        if -1 in root:
+            out[root[-1]] = []
         while stack:
-            depth, letter, node = stack.pop()
+            depth, byte, node = stack.pop()
             del path[depth:], states[depth:]
-            path.append(letter)
-            if node[1] is not None:
-                tokens = [self.last_token(path, states, True)]
-                at = depth + 1 - len(tokens[0].removesuffix(END))
-                while at > 0:
-                    tokens.append(states[at - 1])
-                    at -= len(tokens[-1])
-                out[node[1]] = tokens[::-1]
-            if node[0]:
-                states.append(self.last_token(path, states, False))
-                stack.extend((depth + 1, c, x) for c, x in node[0].items())
+            path.append(byte)
+            if type(node) is tuple:
+                spelled, at, word = node
+                for b in spelled[at:]:
+                    states.append(last(path, states, False)[0])
+                    path.append(b)
+                out[word] = self.tokens_of(path, states)
+                continue
+            word = node.pop(-1, None)
+            if word is not None:
+                out[word] = self.tokens_of(path, states)
+            if node:
+                states.append(last(path, states, False)[0])
+                stack.extend((depth + 1, c, x) for c, x in node.items())
         return out
 
     # -- texts ---------------------------------------------------------------------------------
@@ -299,4 +350,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of documents.
+
+    Null texts count as empty (no tokens, digests of the empty string); null ids pass through; repeated rows
+    come out alike; an empty table gives no rows. Other columns are not read.
+    """
     return digest_tokens(table(spark, sf_dir, "documents"))
