@@ -9,12 +9,16 @@ start from an empty context.
 
 Everything learned is gathered from all training rows and nothing of it is broadcast but tables of fixed
 size. Texts are dealt into blocks. A block asks for its distinct words and its distinct (context, byte)
-strings, each bucket adds up the counts of all blocks for its keys, and answers every block. The two
-shallow levels of the trees are summed over all buckets first; deeper levels are whole in one bucket.
-
-Defined results: a null text is empty and has one token, the end. A null id is scored, never held out
-and never trained on. Repeated rows count each. Other columns are ignored. With no training rows all
-counts are 0: the base score is that of one unseen token each, the model gives every bit one half.
+strings, dealt into buckets. Blocks are merged ``FAN`` at a time for each bucket, then what came out ``FAN`` at
+a time, until a bucket is one row of distinct keys; so no task takes in more than ``FAN`` lists, however many
+texts share a context, and a row grows with the distinct keys of its bucket only. Answers go back the same way.
+The two shallow levels of the trees are summed over all buckets first; deeper levels are whole in one bucket.
+
+Defined results: a null text is empty and has one token, the end. A-Z are lower-cased for words and coded
+bytes alike. A null id is scored, never held out and never trained on. Repeated rows count each. Other
+columns are ignored. With no training rows all counts are 0: the base score is that of one unseen token
+each, the model gives every bit one half. Words and byte strings are told apart by 64-bit keys; two of 10^8
+distinct words are expected to share one with probability 0.0003.
 """
 
 from __future__ import annotations
@@ -34,8 +38,9 @@ FOLDS, HELD_OUT = 10, 0
 DEPTH = 5
 END_BYTE = 0xFF  # never part of UTF-8
 ALPHA = 0.1
-#: Bytes of text in a block, and texts of it handled at once.
-BLOCK_BYTES = 16_000_000
+#: Bytes of text in a block, blocks merged at once, and most buckets.
+BLOCK_BYTES, FAN, MOST_BUCKETS = 16_000_000, 16, 16_384
+#: Texts of a block handled at once.
 SLICE_TEXTS = 512
 WORDS, GRAMS = 0, 1
 U = np.uint64
@@ -59,7 +64,7 @@ def stream(texts: list[str | None], depth: int = DEPTH) -> tuple[np.ndarray, np.
 
     A key has the context in its high bytes, latest byte first, and the coded byte in its lowest.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     gap = bytes([END_BYTE]) * depth
     b = np.frombuffer(gap + gap.join(raw) + gap, np.uint8)
     n = len(b) - depth
@@ -148,31 +153,42 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
             order, bucket = in_order(kind, keys, buckets)
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             k = [x.tobytes() for x in np.split(keys[order], starts[1:])]
-            c = [x.astype(np.uint32).tobytes() for x in np.split(counts[order], starts[1:])]
+            c = [x.astype(np.int64).tobytes() for x in np.split(counts[order], starts[1:])]
             m = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(bucket[starts], pa.int32()), pa.array([blk] * m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["kind", "bucket", "blk", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(bucket[starts], pa.int32()), pa.array([blk] * m, pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["kind", "bucket", "node", "keys", "counts"])
 
-    return docs.groupBy("blk").applyInArrow(run, "kind int, bucket int, blk long, keys binary, counts binary")
+    return docs.groupBy("blk").applyInArrow(run, "kind int, bucket int, node long, keys binary, counts binary")
 
 
-def totals(asked: DataFrame) -> DataFrame:
-    """A row for each bucket: its keys with their counts over all blocks, and for each block the places of its keys."""
+def merged(asked: DataFrame) -> DataFrame:
+    """A row for each bucket and ``FAN`` of its nodes: their keys with summed counts, and for each node the places of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blks, keys, counts, kind, bucket = [], [], [], None, None
+        nodes, keys, counts, at = [], [], [], None
         for b in batches:
-            kind, bucket = b["kind"][0].as_py(), b["bucket"][0].as_py()
-            blks += b["blk"].to_pylist()
+            at = at or [b[c][0].as_py() for c in ("kind", "bucket", "up")]
+            nodes += b["node"].to_pylist()
             keys += [np.frombuffer(x, U) for x in b["keys"].to_pylist()]
-            counts += [np.frombuffer(x, np.uint32).astype(np.int64) for x in b["counts"].to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in b["counts"].to_pylist()]
         k, c = counted(keys, counts)
         places = [np.searchsorted(k, x).astype(np.uint32).tobytes() for x in keys]
         yield pa.RecordBatch.from_arrays([
-            pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()),
-            pa.array([blks], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([int(c.sum())], pa.int64()), pa.array([int((c > 0).sum())], pa.int64()),
-        ], names=["kind", "bucket", "keys", "counts", "blks", "places", "n", "v"])
+            pa.array(at[:1], pa.int32()), pa.array(at[1:2], pa.int32()), pa.array(at[2:], pa.int64()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()),
+            pa.array([nodes], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([int(c.sum())], pa.int64()), pa.array([int((c > 0).sum())], pa.int64()),
+        ], names=["kind", "bucket", "up", "keys", "counts", "nodes", "places", "n", "v"])
+
+    schema = "kind int, bucket int, up long, keys binary, counts binary, nodes array<long>, places array<binary>, n long, v long"
+    return asked.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).groupBy("kind", "bucket", "up").applyInArrow(run, schema)
 
-    return asked.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, keys binary, counts binary, blks array<long>, places array<binary>, n long, v long")
+
+def totals(asked: DataFrame, blocks: int) -> list[DataFrame]:
+    """The levels of merging, the last with one row for each bucket."""
+    levels = []
+    while not levels or blocks > 1:
+        levels.append(cut(merged(asked)))
+        asked = levels[-1].select("kind", "bucket", F.col("up").alias("node"), "keys", "counts")
+        blocks = -(-blocks // FAN)
+    return levels
 
 
 # -- context trees ----------------------------------------------------------------------------------
@@ -325,21 +341,35 @@ def log10_bytes(keys: np.ndarray, counts: np.ndarray, shallow: Shallow, depth: i
 # -- scores -----------------------------------------------------------------------------------------
 
 
-def answers(sums: DataFrame, shallow: Shallow) -> DataFrame:
+ANSWER = "kind int, bucket int, node long, vals binary"
+
+
+def handed_down(kind: int, bucket: int, nodes: list[int], places: list[bytes], values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for node, place in zip(nodes, places, strict=True):
+        vals = values[np.frombuffer(place, np.uint32)].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([node], pa.int64()), pa.array([vals], pa.binary())], names=["kind", "bucket", "node", "vals"])
+
+
+def answers(levels: list[DataFrame], shallow: Shallow) -> DataFrame:
     """What each bucket answers each block: word counts, or log10 probabilities, in the order of the block's keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             kind, bucket = part["kind"][0].as_py(), part["bucket"][0].as_py()
             keys, counts = np.frombuffer(part["keys"][0].as_py(), U), np.frombuffer(part["counts"][0].as_py(), np.int64)
             values = counts.astype(np.uint64) if kind == WORDS else log10_bytes(keys, counts, shallow).astype(np.float32)
-            blks = part["blks"][0].as_py()
-            got = [values[np.frombuffer(p, np.uint32)].tobytes() for p in part["places"][0].as_py()]
-            for at in range(0, len(blks), 64):
-                m = len(blks[at : at + 64])
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array([bucket] * m, pa.int32()), pa.array(blks[at : at + 64], pa.int64()), pa.array(got[at : at + 64], pa.binary())], names=["kind", "bucket", "blk", "vals"])
+            yield from handed_down(kind, bucket, part["nodes"][0].as_py(), part["places"][0].as_py(), values)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            kind, bucket = part["kind"][0].as_py(), part["bucket"][0].as_py()
+            values = np.frombuffer(part["vals"][0].as_py(), np.uint64 if kind == WORDS else np.float32)
+            yield from handed_down(kind, bucket, part["nodes"][0].as_py(), part["places"][0].as_py(), values)
 
-    return sums.mapInArrow(run, "kind int, bucket int, blk long, vals binary")
+    told = levels[-1].mapInArrow(top, ANSWER)
+    for level in reversed(levels[:-1]):
+        told = level.select("kind", "bucket", F.col("up").alias("node"), "nodes", "places").join(told, ["kind", "bucket", "node"]).mapInArrow(down, ANSWER)
+    return told
 
 
 class Lookup:
@@ -364,11 +394,11 @@ class Lookup:
 
 def score_blocks(docs: DataFrame, answered: DataFrame, buckets: int, train_tokens: int, distinct: int) -> DataFrame:
     scale = float(np.log10(train_tokens + ALPHA * (distinct + 1)))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.bool_()), *([pa.array([], pa.int64())] * 3), *([pa.array([], pa.float64())] * 2)], names=names)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.bool_()), *([pa.array([], pa.int64())] * 3), *([pa.array([], pa.float64())] * 3)], names=names)
         values: dict[int, dict[int, bytes]] = {WORDS: {}, GRAMS: {}}
         for kind, bucket, vals in zip(*(right[c].to_pylist() for c in ("kind", "bucket", "vals")), strict=True):
             values[kind][bucket] = vals
@@ -410,30 +440,36 @@ def score_blocks(docs: DataFrame, answered: DataFrame, buckets: int, train_token
                 known.append(sum(map(known_of.__contains__, w)) + end_known)
                 base.append(sum(map(log_of.__getitem__, w), end_log))
             m = part.num_rows
-            out.append(pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * m, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=names))
+            out.append(pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * m, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(-score / (np.log10(2) * sizes), pa.float64())], names=names))
         return pa.Table.from_batches(out)
 
-    return docs.groupBy("blk").cogroup(answered.groupBy("blk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.groupBy("blk").cogroup(answered.groupBy("node")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def score_lm(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (end mark included) of every row."""
     spark = docs.sparkSession
     ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, MOST_BUCKETS))
     held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long").alias("blk"),
         F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"),
         (F.col("doc_id").isNotNull() & ~held).alias("train"),
     )
-    sums = cut(totals(requests(dealt, buckets)))
+    levels = totals(requests(dealt, buckets), blocks)
+    sums = levels[-1]
     row = sums.where(F.col("kind") == WORDS).agg(F.sum("n"), F.sum("v")).first()
     shallow = Shallow([(r["last"], r.v) for r in shallow_parts(sums.where(F.col("kind") == GRAMS).select("keys", "counts")).collect()])
-    return score_blocks(dealt, answers(sums, shallow), buckets, row[0] or 0, row[1] or 0)
+    return score_blocks(dealt, answers(levels, shallow), buckets, row[0] or 0, row[1] or 0)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of :func:`score_lm` for every row of documents, learned from the training folds.
+
+    Null texts count as empty (one token, the end); null ids are scored and not learned from; repeated rows
+    count each; an empty table gives no rows. Other columns are not read.
+    """
     return score_lm(table(spark, sf_dir, "documents"))

@@ -317,16 +317,18 @@ def test_base_score_and_counts(spark):
     assert lm.score_lm(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_blocks_do_not_change_scores(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [2, 16])
+def test_blocks_do_not_change_scores(spark, monkeypatch, fan):
     docs = docs_of(spark, prose(3, 30) + ODD)
-    one = {r.doc_id: r.score for r in lm.score_lm(docs).collect()}
+    one = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score_lm(docs).collect()}
     monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
-    many = {r.doc_id: r.score for r in lm.score_lm(docs).collect()}
-    assert many == pytest.approx(one, rel=1e-5)
+    monkeypatch.setattr(lm, "FAN", fan)
+    many = {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score_lm(docs).collect()}
+    assert many.keys() == one.keys() and all(many[i] == pytest.approx(one[i], rel=1e-5) for i in one)
 
 
 def brute_ctw(train, test, depth):
-    code = lambda t: [*t.encode(), lm.END_BYTE]
+    code = lambda t: [*t.encode().lower(), lm.END_BYTE]
 
     def steps(t):
         b = [lm.END_BYTE] * depth + code(t)
@@ -361,11 +363,13 @@ def brute_ctw(train, test, depth):
 
 
 def test_context_tree_weighting_against_brute_force(spark):
-    texts = ["the cat sat", "a cat", "thé", "", "the hat", "the cat", "zz q", "a", "hat the", "cat cat", "that", "chat"]
+    texts = ["the cat sat", "a cat", "thé", "", "the hat", "the cat", "zz q", "a", "hat the", "cat cat", "that", "chat", "THE Cat SAT", "É É"]
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
     want = brute_ctw(train, texts, lm.DEPTH)
-    got = {r.doc_id: r.score for r in lm.score_lm(docs_of(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+    rows = {r.doc_id: r for r in lm.score_lm(docs_of(spark, texts)).collect()}
+    assert [rows[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-5)
+    assert rows[texts.index("THE Cat SAT")].score == pytest.approx(rows[0].score)
+    assert [rows[i].bits_per_byte for i in range(len(texts))] == pytest.approx([-w * math.log2(10) / (len(t.encode()) + 1) for w, t in zip(want, texts, strict=True)], rel=1e-5)
 
 
 # -- vectors ------------------------------------------------------------------------------------------
