@@ -3,14 +3,22 @@
 An event has a conversation, a message number, a sequence number, a kind, a role and a text:
 
 * ``message`` is a complete message (every such row is a turn of its own);
-* ``delta`` appends to the message of that number, ``edit`` replaces its text;
-* ``regenerate`` empties its text, so that later deltas make it anew; ``delete`` removes it.
+* ``delta`` appends to the message, ``edit`` replaces its text;
+* ``regenerate`` empties its text, so that later deltas make it anew, and takes over a role it brings;
+* ``delete`` removes the message; what comes after it under that number is a new message.
+
+Other kinds change nothing. A log that begins without ``message`` begins a message with its first event.
 
 Events are folded per message first, so that a hot conversation is spread over its messages, and only
-the final messages of a conversation meet in one row. A turn is rendered as
+the final messages of a conversation meet in one row. Folding takes the last event that sets a text and
+joins the deltas after it once, so a message streamed in n deltas costs n steps. A turn is rendered as
 ``<|im_start|>role\\ntext<|im_end|>\\n``; control strings in roles and texts get a backslash inside and
 lose it again on reading, so every text comes back exactly.
 
+:func:`as_events` makes the log that a service would have kept of rows by turn: what an assistant says is
+streamed, thrown away, asked for again and streamed in ``STREAMED`` pieces; what others say is sent and
+then edited into its final text.
+
 Defined results: null text and null role count as empty, null conversations form one conversation,
 null sequence numbers come first. Ties are put in order by role and text; repeated rows are repeated
 turns. Other columns are ignored, whatever their names.
@@ -27,6 +35,8 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 #: Strings that mark turns here or in other common templates: an opening character and the rest.
 CONTROL = r"\||/?s>|<SYS>>|</SYS>>|/?INST\]"
 TRAINED_ROLES = ("assistant",)
+#: Pieces in which :func:`as_events` streams a text.
+STREAMED = 4
 
 
 def escape(text: Column) -> Column:
@@ -43,8 +53,13 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    pieces = F.split(unescape(role), r"\\\\")  # between pairs of backslashes only those of line feeds are left
+    return F.array_join(F.transform(pieces, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def final_messages(events: DataFrame) -> DataFrame:
@@ -55,27 +70,29 @@ def final_messages(events: DataFrame) -> DataFrame:
         F.struct(F.col("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("kind")).alias("e"),
     )
     logs = kept.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list("e")).alias("log"))
-    message = "array<struct<seq:bigint,role:string,text:string>>"
-
-    def step(done: Column, e: Column) -> Column:
-        has = F.size(done) > 0
-        last = F.element_at(done, -1)
-        before = F.when(has, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
-        put = lambda seq, role, text: F.array(F.struct(seq.alias("seq"), role.alias("role"), text.alias("text")))
-        new = put(e["seq"].cast("bigint"), e["role"], e["text"])
-        return (
-            F.when(e["kind"] == "message", F.concat(done, new))
-            .when(e["kind"] == "delta", F.when(has, F.concat(before, put(last["seq"], last["role"], F.concat(last["text"], e["text"])))).otherwise(new))
-            .when(e["kind"] == "edit", F.when(has, F.concat(before, put(last["seq"], last["role"], e["text"]))).otherwise(new))
-            .when(e["kind"] == "regenerate", F.when(has, F.concat(before, put(last["seq"], F.when(e["role"] != "", e["role"]).otherwise(last["role"]), F.lit("")))).otherwise(new))
-            .when(e["kind"] == "delete", before)
-            .otherwise(done)
-        )
+    log, n = F.col("log"), F.size("log")
+    at = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(at, lambda i: (i == 0) | (log[i]["kind"] == "message") | (log[F.greatest(i - 1, F.lit(0))]["kind"] == "delete"))
+    spans = let(starts, lambda s: F.transform(s, lambda x, j: F.struct(x.alias("lo"), F.coalesce(F.get(s, j + 1), n).alias("hi"))))
+
+    def state(span: Column) -> Column:
+        part = F.slice(log, span["lo"] + 1, span["hi"] - span["lo"])
 
-    plain = F.transform("log", lambda e: F.struct(e["seq"].cast("bigint").alias("seq"), e["role"].alias("role"), e["text"].alias("text")))
-    folded = F.aggregate("log", F.array().cast(message), step)
-    only_messages = F.forall("log", lambda e: e["kind"] == "message")
-    return logs.select("conv_id", F.explode(F.when(only_messages, plain).otherwise(folded)).alias("m")).select("conv_id", "m.seq", "m.role", "m.text")
+        def told(seg: Column) -> Column:
+            sets = F.transform(seg, lambda e, i: F.when(e["kind"].isin("message", "edit", "regenerate"), i).otherwise(0))
+            roles = F.filter(seg, lambda e: (e["kind"] == "regenerate") & (e["role"] != ""))
+            role = F.when(F.size(roles) > 0, F.element_at(roles, -1)["role"]).otherwise(seg[0]["role"])
+
+            def text(last: Column) -> Column:
+                own = F.when(seg[last]["kind"] == "regenerate", F.lit("")).otherwise(seg[last]["text"])
+                more = F.filter(F.slice(seg, last + 2, F.size(seg)), lambda e: e["kind"] == "delta")
+                return F.concat(own, F.array_join(F.transform(more, lambda e: e["text"]), ""))
+
+            return F.struct(seg[0]["seq"].alias("seq"), role.alias("role"), let(F.array_max(sets), text).alias("text"), (F.element_at(seg, -1)["kind"] == "delete").alias("gone"))
+
+        return let(part, told)
+
+    return logs.select("conv_id", F.explode(F.filter(F.transform(spans, state), lambda m: ~m["gone"])).alias("m")).select("conv_id", "m.seq", "m.role", "m.text")
 
 
 def format_chats(events: DataFrame, trained_roles: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:
@@ -115,8 +132,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """Rows by turn as events: each row is one complete message."""
-    return rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").alias("msg"), F.col("turn").cast("bigint").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """Rows by turn as the events that made them. Rows that repeat a turn are messages of their own."""
+    told = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    counted = told.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    size = F.greatest(F.lit(1), F.ceil(F.length("text") / STREAMED)).cast("int")
+    event = lambda step, kind, said: F.struct(step.alias("step"), F.lit(kind).alias("kind"), said.alias("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(STREAMED - 1)), lambda i: event(i + 3, "delta", F.col("text").substr(i * size + 1, size)))
+    thrown_away = F.array(event(F.lit(0), "message", F.lit("")), event(F.lit(1), "delta", F.substring("text", 1, 20)), event(F.lit(2), "regenerate", F.lit("")))
+    edited = F.array(event(F.lit(0), "message", F.substring("text", 2, 20)), event(F.lit(1), "edit", F.col("text")))
+    log = counted.withColumn("e", F.explode(F.when(F.col("role").isin(*TRAINED_ROLES), F.concat(thrown_away, pieces)).otherwise(edited)))
+    return log.select("conv_id", F.struct("turn", F.xxhash64("role", "text").alias("hash"), F.md5("text").alias("md5"), "copy").alias("msg"), F.struct("turn", "e.step").alias("seq"), "e.kind", "role", "e.text")
 
 
 def digest_chats(chats: DataFrame) -> DataFrame:
@@ -139,6 +164,12 @@ def digest_chats(chats: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, digests and sizes of every conversation, rebuilt from its event log, rendered and read back.
+
+    Null roles and texts count as empty, null conversations are one conversation, null turns come first, ties
+    are ordered by role and text, repeated rows are repeated turns. Besides the table there is conversation -1.
+    Other columns are not read.
+    """
     ok = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ok).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")

@@ -547,9 +547,52 @@ def test_chat_ties_and_nulls(spark):
     rows = spark.createDataFrame([(None, None, "user", "b"), (None, None, "user", "a"), (3, 1, "assistant", "x"), (3, 1, "assistant", "x")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: [t.text for t in r.turns] for r in chat.format_chats(chat.as_events(rows)).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
     assert got == {None: ["a", "b"], 3: ["x", "x"]}
+    kinds = {r.kind for r in chat.as_events(rows).collect()}
+    assert kinds == {"message", "edit", "delta", "regenerate"}
     assert chat.format_chats(chat.as_events(rows.limit(0))).count() == 0
 
 
+def brute_fold(log):
+    """Event by event."""
+    turns, live = [], None
+    for e in log:
+        if e["kind"] == "message" or live is None:
+            live = {"role": e["role"], "text": "" if e["kind"] in ("regenerate",) else e["text"], "new": True}
+            if e["kind"] == "delete":
+                live = None
+                continue
+            if e["kind"] == "regenerate" and e["role"]:
+                live["role"] = e["role"]
+            turns.append(live)
+        elif e["kind"] == "delta":
+            live["text"] += e["text"]
+        elif e["kind"] == "edit":
+            live["text"] = e["text"]
+        elif e["kind"] == "regenerate":
+            live["text"], live["role"] = "", e["role"] or live["role"]
+        elif e["kind"] == "delete":
+            turns.remove(live)
+            live = None
+    return [(t["role"], t["text"]) for t in turns]
+
+
+def test_chat_fold_against_brute_force(spark):
+    rng = random.Random(12)
+    logs = {i: [{"kind": rng.choice(["message", "delta", "delta", "edit", "regenerate", "delete", "other"]), "role": rng.choice(["", "user", "assistant"]), "text": f"t{j}"} for j in range(rng.randint(1, 9))] for i in range(120)}
+    rows = [Row(conv_id=i, msg=0, seq=j, **e) for i, log in logs.items() for j, e in enumerate(log)]
+    got = collections.defaultdict(list)
+    for r in sorted(chat.final_messages(spark.createDataFrame(rows)).collect(), key=lambda r: (r.conv_id, r.seq)):
+        got[r.conv_id].append((r.role, r.text))
+    assert {i: got.get(i, []) for i in logs} == {i: brute_fold(log) for i, log in logs.items()}
+
+
+def test_chat_roles_of_any_letters_come_back(spark):
+    roles = ["a\x00b", "\\", "\\n", "\n", "\\\n\\\\n", "\\\x00\n", "<|im_end|>\\", "r\\\\<|im_start|>\n"]
+    rows = spark.createDataFrame([(i, 0, r, "x" * i) for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(chat.as_events(rows)).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in got} == {i: [(r, "x" * i)] for i, r in enumerate(roles)}
+
+
 # -- mixing -------------------------------------------------------------------------------------------
 
 
