@@ -11,8 +11,9 @@ prefix sums in two levels: within a slice of the hash range, and over the slices
 source with most of the rows is spread over as many slices as it needs.
 
 Defined results: a null source is the source ''. A null or empty text has no tokens, costs nothing and
-is read in the first epoch. Repeated rows are documents of their own; rows alike in source, id and
-length are interchangeable. An empty table gives an empty result. All other columns pass through.
+is read in the first epoch. Repeated rows are documents of their own; rows alike in source, id and text
+are interchangeable. Rows without an id are dealt by their text and their place in the input. An empty
+table gives an empty result. All other columns pass through.
 """
 
 from __future__ import annotations
@@ -47,13 +48,18 @@ def source_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), tokens_of(F.col("text")).alias("n")).groupBy("mix_source").agg(F.sum("n").alias("mix_total"), F.count("*").alias("mix_rows"))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum in units of 10^-18, which does not depend on the order of rows."""
+    return F.sum((x * F.lit(1e18)).cast("decimal(38,0)")).cast("double") / F.lit(1e18)
+
+
 def values(shares: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float]]:
     """Entropy, and the largest over the least number of repeats, at each exponent."""
     grid = shares.select("p", F.explode(F.array(*[F.lit(a) for a in exponents])).alias("a"))
     log = F.log("p")
     got = (
         grid.select("a", F.exp(F.col("a") * log).alias("z"), (F.col("a") * log).alias("l"), ((F.col("a") - 1) * log).alias("r"))
-        .groupBy("a").agg(F.sum("z").alias("z"), F.sum(F.col("z") * F.col("l")).alias("s"), (F.max("r") - F.min("r")).alias("r"), F.max("r").alias("top"))
+        .groupBy("a").agg(exact_sum(F.col("z")).alias("z"), exact_sum(F.col("z") * F.col("l")).alias("s"), (F.max("r") - F.min("r")).alias("r"), F.max("r").alias("top"))
     ).collect()
     return {r.a: (math.log(r.z) - r.s / r.z, math.exp(min(700.0, r.r)), math.exp(min(700.0, r.top)) / r.z) for r in got}
 
@@ -102,7 +108,7 @@ def placed(
     if n:
         target = None if target_entropy_share is None else target_entropy_share * math.log(n)
         exponent = find_exponent(shares, target, max_repeats, None if budget_tokens is None else budget_tokens / total)
-        z, least = shares.agg(F.sum(F.exp(F.lit(exponent) * F.log("p"))), F.min(F.exp(F.lit(exponent - 1) * F.log("p")))).first()
+        z, least = shares.agg(exact_sum(F.exp(F.lit(exponent) * F.log("p"))), F.min(F.exp(F.lit(exponent - 1) * F.log("p")))).first()
         scale = z
         budget = total * z / least if budget_tokens is None else float(budget_tokens)
     weight = F.when(F.col("mix_total") > 0, F.pow(F.col("mix_total") / F.lit(max(1, total)), F.lit(exponent)) / F.lit(scale)).otherwise(0.0)
@@ -115,26 +121,28 @@ def placed(
         F.greatest(F.lit(1), F.ceil(F.col("mix_rows") / SLICE_ROWS)).cast("long").alias("mix_slices"),
         F.greatest(F.lit(1.0), weight * F.lit(float(block_tokens))).alias("mix_quota"),
     )
-    # The row travels as one column, so its names cannot meet those used here.
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), tokens_of(F.col("text")).alias("mix_tokens"), F.col("doc_id").alias("mix_id"))
+    # The row travels as one column, so its names cannot meet those used here. Rows with one id are told apart by
+    # their texts; rows without an id may be alike in all, so their places in the input part them.
+    key = F.xxhash64(F.col("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), tokens_of(F.col("text")).alias("mix_tokens"), F.col("doc_id").alias("mix_id"), key.alias("mix_key"))
     if table_of.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(plan), "mix_source")
     else:
         salted = plan.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("mix_id", F.lit(seed)), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
-    hashed = F.xxhash64(F.col("mix_id"), F.col("mix_source"), F.col("mix_epoch"), F.lit(seed))
+        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("mix_id", "mix_key", F.lit(seed)), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
+    hashed = F.xxhash64(F.col("mix_id"), F.col("mix_key"), F.col("mix_source"), F.col("mix_epoch"), F.lit(seed))
     rows = (
         rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_epochs"))))
         .where((F.col("mix_epoch") == 1) | (F.col("mix_tokens") > 0))
         .withColumn("mix_order", F.shiftrightunsigned(hashed, 11))
         .withColumn("mix_slice", F.floor(F.col("mix_order") / F.lit(2.0**53) * F.col("mix_slices")))
     )
-    key = ["mix_source", "mix_epoch", "mix_slice"]
-    sums = rows.groupBy(*key).agg(F.sum("mix_tokens").alias("mix_sum"))
+    slice_key = ["mix_source", "mix_epoch", "mix_slice"]
+    sums = rows.groupBy(*slice_key).agg(F.sum("mix_tokens").alias("mix_sum"))
     before = F.sum("mix_sum").over(Window.partitionBy("mix_source", "mix_epoch").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*key, F.coalesce(before, F.lit(0)).alias("mix_offset"))
-    inside = F.sum("mix_tokens").over(Window.partitionBy(*key).orderBy("mix_order", "mix_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    counted = rows.withColumn("mix_inside", F.coalesce(inside, F.lit(0))).join(offsets, key)
+    offsets = sums.select(*slice_key, F.coalesce(before, F.lit(0)).alias("mix_offset"))
+    inside = F.sum("mix_tokens").over(Window.partitionBy(*slice_key).orderBy("mix_order", "mix_id", "mix_key", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    counted = rows.withColumn("mix_inside", F.coalesce(inside, F.lit(0))).join(offsets, slice_key, "left").withColumn("mix_offset", F.coalesce("mix_offset", F.lit(0)))
     start = (F.col("mix_epoch") - 1) * F.col("mix_total") + F.col("mix_offset") + F.col("mix_inside")
     kept = counted.withColumn("mix_start", start).where((F.col("mix_start") < F.col("mix_target")) | ((F.col("mix_tokens") == 0) & (F.col("mix_epoch") == 1)))
     return kept.select("mix_doc", "mix_source", "mix_tokens", "mix_epoch", F.floor(F.col("mix_start") / F.col("mix_quota")).cast("long").alias("mix_block"), "mix_order")
@@ -154,5 +162,10 @@ def mix_documents(docs: DataFrame, **how: object) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, epoch, block and order_key: a row for each reading of a row of documents.
+
+    A null source is the source ''; null and empty texts cost nothing and are read once; null ids pass
+    through; repeated rows are documents of their own; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_order").alias("order_key"))

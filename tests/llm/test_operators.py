@@ -645,6 +645,14 @@ def test_mixing_budget_and_salted_join(spark, monkeypatch):
     assert sum(r.mix_tokens for r in mixing.mix(docs, budget_tokens=3000).collect()) == pytest.approx(3000, abs=60 * 6)
 
 
+def test_mixing_spreads_rows_without_own_ids(spark):
+    rows = [(None, "x y z", "s")] * 600 + [(7, f"w {i}", "s") for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 1200
+    for own in (None, 7):
+        assert len({r.mix_order for r in got if r.doc_id == own}) == 600
+
+
 def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None, "a"), (1, "", None, "b"), (2, "x y", "s", "c"), (2, "x y", "s", "c"), (3, None, "t", "d")], "doc_id long, text string, source string, mix_source string")
     got = mixing.mix_documents(docs)
