@@ -1,16 +1,22 @@
 """Exact top-k inner product search with vector-approximation files.
 
-Candidates are scanned in blocks. Each component is quantised to one of ``CELLS`` cells of its
-dimension; the cells give a lower and an upper bound of every inner product. Exact vectors are read in
-order of their upper bounds until no bound reaches the kth score that is already certain. Each task
-keeps k results a query; Spark merges them.
-
-Queries go out in blocks of ``QUERY_BLOCK`` vectors, so a broadcast never grows with the data.
-
-Defined results: rows with a null id, a null vector or a null or non-finite component take no part;
-vectors of another length than the query's are no candidates. A query's own id is no candidate (rows
-that repeat it neither). Repeated candidate rows each count. Ties go to the smaller id. With fewer
-than k candidates all are returned, with none no row.
+1. The vector file has a row for each distinct integer vector: a number, the vector, and the k + 1 smallest ids
+   that bear it (with how often each does, up to k). Rows alike in their vector are alike in every score, and
+   ties go to smaller ids, so no other id can be in a result; a vector that a third of all rows bear costs one.
+2. The approximation file has blocks of vectors, each component quantised to one of ``CELLS`` cells of the
+   block's range in its dimension: one byte a component.
+3. Blocks of queries meet blocks of the approximation file, which give a lower and an upper bound of every
+   inner product; what is above the kth lower bound of its block stays, then what is above that of all blocks.
+4. Exact vectors are read from the vector file by number in the order of their bounds: the k of largest upper
+   bound first; the kth score that these give decides which of the others are read still. Then it is certain.
+
+Neither file, nor queries, nor what was found pass through the driver, and nothing of them is broadcast by hand.
+
+Defined results: rows with a null id, a null vector or a null or non-finite component (times 256) take no part;
+vectors of another length than the query's are no candidates. A query's own id is no candidate (rows that
+repeat it neither). A repeated query id asks with one of its vectors. Repeated candidate rows each count. Ties
+go to the smaller id. Scores beyond a long are its largest or smallest value. With fewer than k candidates all
+are returned, with none no row.
 """
 
 from __future__ import annotations
@@ -22,146 +28,167 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import ship, table
+from palimpsest.llm.common import slices
+from palimpsest.session import cut, ship, table
 
 K, EVERY = 5, 50
-CELLS = 32
-QUERY_BLOCK = 32_768
-CANDIDATE_BLOCK = 8_192
-#: Queries that one pass of bounds works on; bounds the worker's memory.
-BOUND_ROWS = 512
-#: Above this size a component could leave the range in which floats hold integers exactly.
-EXACT = 2.0**20
-
-
-def integers(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """ids and floor(256 * x) of the rows that take part, by vector length."""
-    out: dict[int, tuple[list, list]] = {}
-    for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist(), strict=True):
-        if i is None or v is None or any(x is None for x in v):
-            continue
-        a = np.asarray(v, dtype=np.float64)
-        if len(a) and np.isfinite(a).all():
-            ids, rows = out.setdefault(len(a), ([], []))
-            ids.append(i)
-            rows.append(np.floor(256 * a))
-    return {n: (np.array(ids, np.int64), np.stack(rows)) for n, (ids, rows) in out.items()}
-
-
-def exact_dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of rows of ``v`` with ``q``; beyond the exact range in Python's integers."""
-    if max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) < EXACT:
-        return (v @ q).astype(np.int64)
-    whole = [int(x) for x in q]
-    return np.array([sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in v], object)
-
-
-def better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: larger score first, then smaller id."""
-    return np.lexsort((ids, -scores if scores.dtype != object else np.array([-x for x in scores], object)))[:k]
-
-
-class Cells:
-    """Approximation of one block of candidates."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        low, high = vectors.min(0), vectors.max(0)
-        width = np.maximum((high - low) / CELLS, 1e-9)
-        self.code = np.minimum((vectors - low) / width, CELLS - 1).astype(np.uint8)
-        # Cell borders widened by rounding, so that bounds stay bounds.
-        self.half = width * (0.5 + 1e-6) + 1e-6
-        self.middle = (low + (self.code + 0.5) * width).astype(np.float64)
-
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds [queries, candidates]."""
-        near = q @ self.middle.T
-        slack = (np.abs(q) @ self.half)[:, None] + 1e-6 * (1 + np.abs(near))
-        return near - slack, near + slack
-
-    def search(self, qids: np.ndarray, q: np.ndarray, k: int, certain: list) -> None:
-        """Improve ``certain``, for each query its k best (scores, ids) so far."""
-        for at in range(0, len(q), BOUND_ROWS):
-            low, high = self.bounds(q[at : at + BOUND_ROWS])
-            for i in range(len(low)):
-                j = at + i
-                self.one(qids[j], q[j], low[i], high[i], k, certain, j)
-
-    def one(self, qid: int, q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, certain: list, j: int) -> None:
-        scores, ids = certain[j]
-        other = self.ids != qid
-        floor = scores[-1] if len(scores) == k else -np.inf
-        able = int(other.sum())
-        if able > k:
-            floor = max(floor, np.partition(np.where(other, low, -np.inf), len(low) - k)[len(low) - k])
-        left = np.flatnonzero(other & (high >= float(floor)))
-        left = left[np.argsort(-high[left], kind="stable")]
-        step = max(64, 4 * k)
-        for s in range(0, len(left), step):
-            part = left[s : s + step]
-            if len(scores) == k and high[part[0]] < float(scores[-1]):
-                break  # bounds fall from here on: the kth result is certain
-            found = exact_dot(q, self.vectors[part])
-            scores, ids = np.concatenate([scores, found]), np.concatenate([ids, self.ids[part]])
-            keep = better(scores, ids, k)
-            scores, ids = scores[keep], ids[keep]
-        certain[j] = scores, ids
+CELLS = 256
+#: Vectors of a block of the approximation file and of queries, and bytes that neither exceeds.
+VECTOR_BLOCK, QUERY_BLOCK, BLOCK_BYTES = 8192, 1024, 4_000_000
+#: Queries whose bounds are computed at once.
+BOUND_ROWS = 256
+#: Shares that the pairs of blocks are dealt into, at most.
+SLOTS = 4096
+#: Whole numbers below this are exact in floats.
+EXACT = 2.0**53
+LONG = 2**63 - 1
+
+
+def integers(rows: DataFrame) -> DataFrame:
+    """(vec_id, v) of the rows that take part; v holds floor(256 * x) as doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            ids, out = [], []
+            for i, v in zip(part["vec_id"].to_pylist(), part["embedding"].to_pylist(), strict=True):
+                if i is None or not v or any(x is None for x in v):
+                    continue
+                with np.errstate(over="ignore"):
+                    a = np.floor(256 * np.asarray(v, np.float64)) + 0.0
+                if np.isfinite(a).all():
+                    ids.append(i)
+                    out.append(a.tobytes())
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
+
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, v binary")
+
+
+def vector_file(rows: DataFrame, k: int) -> DataFrame:
+    """(cls, v, ids) of each distinct vector; ids: the k + 1 smallest with their rows, at most k."""
+    once = integers(rows).groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    few = once.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    whole = few.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    return cut(whole.select(F.monotonically_increasing_id().alias("cls"), "v", "ids"))
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(length, rows) with the last column of each row an array; rows of one length, few enough for a block."""
+    held: dict[int, list[tuple]] = {}
+    for part in slices(batches, 4096):
+        for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            a = np.frombuffer(row[-1], np.float64)
+            mine = held.setdefault(len(a), [])
+            mine.append((*row[:-1], a))
+            if len(mine) >= max(1, min(most, BLOCK_BYTES // (8 * len(a)))):
+                yield len(a), held.pop(len(a))
+    yield from held.items()
+
+
+def approximation_file(vectors: DataFrame) -> DataFrame:
+    """Blocks (dim, low, width, cls, single, only, code) of the vector file; ``only`` is the id of a vector that a single id bears."""
+    names = ["dim", "low", "width", "cls", "single", "only", "code"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, rows in blocks_of(batches, VECTOR_BLOCK):
+            v = np.stack([r[-1] for r in rows])
+            low = v.min(0)
+            width = np.maximum((v.max(0) - low) / CELLS, 1e-9)
+            code = np.minimum((v - low) / width, CELLS - 1).astype(np.uint8)
+            single = np.array([r[1] == 1 for r in rows])
+            parts = [low, width, np.array([r[0] for r in rows], np.int64), single, np.array([r[2] for r in rows], np.int64), code]
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=names)
+
+    seen = vectors.select("cls", F.size("ids").alias("m"), F.col("ids")[0]["vec_id"].alias("first"), "v")
+    return cut(seen.mapInArrow(run, "dim int, low binary, width binary, cls binary, single binary, only binary, code binary"))
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, rows in blocks_of(batches, QUERY_BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array([r[0] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([np.stack([r[1] for r in rows]).tobytes()], pa.binary())], names=["dim", "qids", "q"])
+
+    return queries.mapInArrow(run, "dim int, qids binary, q binary")
+
+
+def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds [queries, vectors] of inner products, cell borders and rounding included."""
+    near = q @ (low + (code + 0.5) * width).T
+    size = np.abs(q)
+    slack = size @ (width * (0.5 + 1e-6) + 1e-6) + 1e-12 * (size @ np.maximum(np.abs(low), np.abs(low + CELLS * width))) + 1e-6
+    hold = lambda x: np.clip(x, -float(LONG), float(LONG))
+    return hold(near - slack[:, None]), hold(near + slack[:, None])
+
+
+def scanned(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, cls, low, high) of the vectors whose upper bound reaches the kth lower bound of their block."""
+    n = max(1, min(SLOTS, codes.count()))
+    mine = codes.withColumn("slot", F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int"))
+    pairs = mine.join(asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ["dim", "slot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            row = part.to_pylist()[0]
+            dim = row["dim"]
+            cls, only = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["only"], np.int64)
+            single, code = np.frombuffer(row["single"], bool), np.frombuffer(row["code"], np.uint8).reshape(-1, dim)
+            qids, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["q"], np.float64).reshape(-1, dim)
+            for at in range(0, len(q), BOUND_ROWS):
+                low, high = bounds(q[at : at + BOUND_ROWS], np.frombuffer(row["low"]), np.frombuffer(row["width"]), code)
+                own = single & (only == qids[at : at + BOUND_ROWS, None])  # a query is no candidate of its own
+                low[own] = high[own] = -np.inf
+                floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
+                i, j = np.nonzero((high >= floor[:, None]) & ~own)
+                for s in range(0, len(i), 50_000):
+                    x, y = i[s : s + 50_000], j[s : s + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + x]), pa.array(cls[y]), pa.array(low[x, y]), pa.array(high[x, y])], names=["query_id", "cls", "low", "high"])
+
+    return pairs.select("dim", "low", "width", "cls", "single", "only", "code", "qids", "q").mapInArrow(run, "query_id long, cls long, low double, high double")
+
+
+def exact_dot(a: np.ndarray, b: np.ndarray) -> int:
+    """Inner product of whole numbers, in Python's integers where floats would round; held to a long."""
+    if np.abs(a).max() * np.abs(b).max() * len(a) < EXACT:
+        return int(a @ b)
+    return max(-LONG - 1, min(LONG, sum(int(x) * int(y) for x, y in zip(a, b, strict=True))))
+
+
+def read(found: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score), a row for each candidate row of the vectors (query_id, cls) that are read."""
+    rows = found.select("query_id", "cls").join(vectors, "cls").join(queries.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "ids", "v", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            scores = [exact_dot(np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)) for a, b in zip(part["v"].to_pylist(), part["q"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part["query_id"], part["ids"], pa.array(scores, pa.int64())], names=["query_id", "ids", "score"])
+
+    scored = rows.mapInArrow(run, "query_id long, ids array<struct<vec_id:long,n:int>>, score long").select("query_id", "score", F.explode("ids").alias("e")).where("e.vec_id <> query_id")
+    return scored.select("query_id", F.col("e.vec_id").alias("vec_id"), "score", F.explode(F.sequence(F.lit(1), F.col("e.n")))).drop("col")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score: the k largest integer inner products of each query."""
-    spark = rows.sparkSession
-    ship(spark)
-    schema = "query_id long, vec_id long, score long"
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    picked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    n = picked.count()
-    blocks = -(-n // QUERY_BLOCK)
-    parts = []
-    for b in range(blocks):
-        mine = picked if blocks == 1 else picked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got = mine.toArrow()
-        block = integers(pa.RecordBatch.from_arrays([got["vec_id"].combine_chunks(), got["embedding"].combine_chunks()], names=["vec_id", "embedding"])) if got.num_rows else {}
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            certain = {n: [empty] * len(ids) for n, (ids, _) in block.items()}
-            for batch in gathered(batches):
-                for n, (ids, vectors) in integers(batch).items():
-                    if n in block:
-                        Cells(ids, vectors).search(*block[n], k, certain[n])
-            out = [(int(qid), int(i), int(s)) for n, (qids, _) in block.items() for qid, (scores, ids) in zip(qids, certain[n], strict=True) for s, i in zip(scores, ids, strict=True)]
-            for at in range(0, len(out), 50_000):
-                q, v, s = zip(*out[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, schema))
-    if not parts:
-        found = rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
-    else:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches put together into candidate blocks."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= CANDIDATE_BLOCK:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.concat_batches(held)
+    ship(rows.sparkSession)
+    vectors = vector_file(rows, k)
+    asked = cut(integers(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")))
+    bounded = cut(scanned(approximation_file(vectors), query_blocks(asked), k))
+    best = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    floor = bounded.withColumn("r", best(F.desc("low"), "cls")).where(F.col("r") == k).select("query_id", F.col("low").alias("floor"))
+    left = bounded.join(floor, "query_id", "left").where("floor is null or high >= floor")
+    order = cut(left.withColumn("r", best(F.desc("high"), "cls")).select("query_id", "cls", "high", "r"))
+    first = cut(read(order.where(F.col("r") <= k), vectors, asked))
+    certain = first.withColumn("r", best(F.desc("score"), "vec_id")).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    rest = order.where(F.col("r") > k).join(certain, "query_id", "left").where("kth is null or high >= kth")
+    found = first.unionByName(read(rest, vectors, asked))
+    return found.withColumn("rank", best(F.desc("score"), "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score: the five best of all embeddings for every row whose vec_id is divisible by 50.
+
+    Rows with null ids, null vectors or null or non-finite components take no part; ties go to the smaller id;
+    an empty table gives no rows. Other columns are not read.
+    """
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0))
 

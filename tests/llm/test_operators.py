@@ -375,27 +375,45 @@ def test_context_tree_weighting_against_brute_force(spark):
 # -- vectors ------------------------------------------------------------------------------------------
 
 
-def test_vafile_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "query_block", "cells"), [(64, 3, 256), (8192, 1024, 256), (50, 7, 2)])
+def test_vafile_against_brute_force(spark, monkeypatch, block, query_block, cells):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 8)).astype(np.float32)
     v[50:90] = v[0]
     v[300] *= 1e4
+    v[350] *= np.float32(1e30)  # scores beyond a long
+    v[351] = -v[350]
     rows = [(int(i), [float(x) for x in r], 1) for i, r in enumerate(v)]
-    rows += [(1000, None, 1), (1050, [1.0, None] + [0.0] * 6, 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (1200, [1.0, 2.0], 1), (399, rows[399][1], 1)]
+    rows += [(1000, None, 1), (1050, [1.0, None] + [0.0] * 6, 1), (1100, [float("nan")] * 8, 1), (1150, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (1200, [1.0, 2.0], 1), (399, rows[399][1], 1), (1250, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
-    whole = [(i, [math.floor(256 * x) for x in e]) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in np.array(e, object)) for e in [[float(np.float32(x)) for x in e]]]
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e, _ in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
     want = {}
     for q, a in whole:
         if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole if i != q and len(a) == len(b))[:5]
+            scored = sorted((-held(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in whole if i != q and len(a) == len(b))[:5]
             want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(scored)}
-    monkeypatch.setattr(vafile, "CANDIDATE_BLOCK", 64)
-    monkeypatch.setattr(vafile, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vafile, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(vafile, "QUERY_BLOCK", query_block)
+    monkeypatch.setattr(vafile, "CELLS", cells)
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vafile.top_k(df, df.where("vec_id % 50 = 0")).collect()}
     assert got == want
     assert vafile.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vafile_reads_few_exact_vectors(spark, monkeypatch):
+    """The approximation decides: what is read grows neither with the vectors nor with copies of one."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 16)).astype(np.float32)
+    v[1000:2000] = v[0]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    counted = []
+    monkeypatch.setattr(vafile, "read", lambda found, vectors, queries, real=vafile.read: counted.append(found.count()) or real(found, vectors, queries))
+    assert vafile.vector_file(df, 5).count() == 2000
+    assert vafile.top_k(df, df.where("vec_id % 50 = 0")).count() == 60 * 5
+    assert sum(counted) < 60 * 40
+
+
 # -- PII ----------------------------------------------------------------------------------------------
 
 
