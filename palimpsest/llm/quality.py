@@ -1,7 +1,7 @@
 """Quality rules: a linear-chain CRF labels lines as content or boilerplate, the content share decides.
 
 Word statistics come from whole texts. The CRF is trained on a bounded sample of labelled documents
-(``SAMPLE_DOCS``), whose lines take their document's label; decoding is exact Viterbi over all lines.
+(``SAMPLE_DOCS``, ``SAMPLE_PIECES``), whose lines take their document's label; decoding is exact Viterbi over all lines.
 
 Defined results: a null or empty text has no words, all counts are 0, ``base_failed`` is true and
 ``kept`` false. Null ids pass through. Repeated rows are scored one by one. Columns of the input
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import slices
 from palimpsest.session import ship, table
 
-#: Bound on the labelled documents that the CRF is fitted on.
-SAMPLE_DOCS = 2000
+#: Bounds on the labelled documents that the CRF is fitted on, and on their pieces.
+SAMPLE_DOCS, SAMPLE_PIECES = 2000, 16_000
 #: Lines of one training sequence; longer documents give several sequences.
 TRAIN_LINES = 32
 #: Least share of code points on content lines that keeps a document.
@@ -135,32 +135,42 @@ def climb_lines(x: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-3) -> n
     return w
 
 
+def likelihood(x: np.ndarray, mask: np.ndarray, y: np.ndarray, w: np.ndarray, chain: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of label sequences and its gradient by weights and chain; forward-backward gives expectations."""
+    n, longest, _ = x.shape
+    pair = mask[:, 1:]
+    emit = np.zeros((n, longest, 2))
+    emit[:, :, 1] = x @ w
+    alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
+    alpha[:, 0] = emit[:, 0]
+    for t in range(1, longest):
+        step_in = np.logaddexp(alpha[:, t - 1, 0, None] + chain[0], alpha[:, t - 1, 1, None] + chain[1])
+        alpha[:, t] = np.where(mask[:, t, None], step_in + emit[:, t], alpha[:, t - 1])
+    total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    for t in range(longest - 2, -1, -1):
+        out = beta[:, t + 1] + emit[:, t + 1]
+        step_out = np.logaddexp(chain[:, 0] + out[:, 0, None], chain[:, 1] + out[:, 1, None])
+        beta[:, t] = np.where(mask[:, t + 1, None], step_out, 0)
+    p1 = np.where(mask, np.exp(np.minimum(0, alpha[:, :, 1] + beta[:, :, 1] - total[:, None])), 0)
+    grad = np.einsum("nl,nlk->k", np.where(mask, y - p1, 0), x)
+    gchain, said = np.zeros((2, 2)), np.where(mask, y * emit[:, :, 1], 0).sum() - total.sum()
+    for i in (0, 1):
+        for j in (0, 1):
+            log_p = alpha[:, :-1, i] + chain[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - total[:, None]
+            seen = (pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum()
+            said += seen * chain[i, j]
+            gchain[i, j] = seen - np.where(pair, np.exp(np.minimum(0, log_p)), 0).sum()
+    return float(said), grad, gchain
+
+
 def climb(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent (Adam) on the log-likelihood of label sequences; forward-backward gives expectations."""
-    n, longest, k = x.shape
+    """Gradient ascent (Adam) on :func:`likelihood`."""
+    k = x.shape[2]
     w, chain = np.zeros(k), np.zeros((2, 2))
     moments = [np.zeros(k + 4), np.zeros(k + 4)]
-    rows, pair = mask.sum(), mask[:, 1:]
+    rows = mask.sum()
     for step in range(1, steps + 1):
-        emit = np.zeros((n, longest, 2))
-        emit[:, :, 1] = x @ w
-        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            step_in = np.logaddexp(alpha[:, t - 1, 0, None] + chain[0], alpha[:, t - 1, 1, None] + chain[1])
-            alpha[:, t] = np.where(mask[:, t, None], step_in + emit[:, t], alpha[:, t - 1])
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        for t in range(longest - 2, -1, -1):
-            out = beta[:, t + 1] + emit[:, t + 1]
-            step_out = np.logaddexp(chain[:, 0] + out[:, 0, None], chain[:, 1] + out[:, 1, None])
-            beta[:, t] = np.where(mask[:, t + 1, None], step_out, 0)
-        p1 = np.where(mask, np.exp(np.minimum(0, alpha[:, :, 1] + beta[:, :, 1] - total[:, None])), 0)
-        grad = np.einsum("nl,nlk->k", np.where(mask, y - p1, 0), x)
-        gchain = np.zeros((2, 2))
-        for i in (0, 1):
-            for j in (0, 1):
-                log_p = alpha[:, :-1, i] + chain[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - total[:, None]
-                gchain[i, j] = (pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() - np.where(pair, np.exp(np.minimum(0, log_p)), 0).sum()
+        _, grad, gchain = likelihood(x, mask, y, w, chain)
         g = np.concatenate([grad, gchain.ravel()]) / rows - l2 * np.concatenate([w, chain.ravel()])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
@@ -199,7 +209,11 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, int]]:
-    """Line features of at most ``sample_docs`` labelled documents, picked by a hash of their id."""
+    """Line features of at most ``sample_docs`` labelled documents, picked by a hash of their id.
+
+    They come in pieces of ``TRAIN_LINES`` lines, of which the ``SAMPLE_PIECES`` of least hash reach the driver,
+    so what it holds depends on neither the length nor the number of the documents.
+    """
     picked = (
         labels.where("doc_id is not null and quality is not null")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -209,12 +223,16 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [(line_features(t.split("\n")), q) for t, q in zip(part["text"].to_pylist(), part["quality"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"f": pa.array([f.tobytes() for f, _ in rows], pa.binary()), "quality": pa.array([q for _, q in rows], pa.int32()), "k": part["doc_id"].cast(pa.int64())})
+            for t, q, k in zip(part["text"].to_pylist(), part["quality"].to_pylist(), part["doc_id"].to_pylist(), strict=True):
+                f = line_features(t.split("\n"))
+                pieces = [f[at : at + TRAIN_LINES].tobytes() for at in range(0, len(f), TRAIN_LINES)]
+                m = len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array([q] * m, pa.int32()), pa.array([k] * m, pa.int64()), pa.array(range(m), pa.int32())], names=["f", "quality", "k", "piece"])
 
-    got = joined.mapInArrow(run, "f binary, quality int, k long").collect()
-    rows = sorted(((r.k, bytes(r.f), r.quality) for r in got))[:sample_docs]
-    return [(np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)), int(q > 0)) for _, f, q in rows if f]
+    cut_up = joined.mapInArrow(run, "f binary, quality int, k long, piece int")
+    got = cut_up.orderBy(F.xxhash64("k", "piece", "f"), "k", "piece", "f").limit(SAMPLE_PIECES).collect()
+    rows = sorted((r.k, r.piece, bytes(r.f), r.quality) for r in got)
+    return [(np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)), int(q > 0)) for _, _, f, q in rows if f]
 
 
 def judge(text: str | None, w: np.ndarray, chain: np.ndarray) -> tuple:
@@ -260,4 +278,9 @@ def filter_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, content_share, base_failed and kept for every row of documents.
+
+    Null and empty texts have no words and fail; null ids pass through; repeated rows come out alike; without
+    labels the line model is ``PRIOR``; an empty table gives no rows. Other columns are not read.
+    """
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
