@@ -5,18 +5,41 @@ from __future__ import annotations
 import time
 import uuid
 from collections import OrderedDict
+from collections.abc import Callable
+from threading import Event, Thread
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import render
-from palimpsest.functions.text import flag, mode_of, stop_set
+from palimpsest.functions.text import SUBSCRIPTS, flag, mode_of, stop_set
 from palimpsest.functions.thresholds import INNER, TOKENS
 from palimpsest.operators import search
+from palimpsest.operators.index import kept_postings
+from palimpsest.operators.vectors import REQUESTS, VectorIndex, search_vectors
 from palimpsest.sources.sinks import to_csv, to_xlsx
 
 #: Names of the distances in requests.
-PROCESSING = {"edit_distance_inner": INNER, "edit_distance": TOKENS}
+PROCESSING = {"edit_distance_inner": INNER, "edit_distance_tokens": TOKENS, "edit_distance": TOKENS}
+#: Modes whose postings are kept at a time.
+KEPT_MODES = 4
+
+
+class RepeatedCancel(Thread):
+    """Cancels again and again from a deadline on: planning starts one job after another."""
+
+    def __init__(self, cancel: Callable[[], None], seconds: float, pause: float = 0.2):
+        super().__init__(daemon=True)
+        self.cancel, self.seconds, self.pause, self.over = cancel, seconds, pause, Event()
+
+    def run(self) -> None:
+        if not self.over.wait(self.seconds):
+            self.cancel()
+            while not self.over.wait(self.pause):
+                self.cancel()
+
+    def stop(self) -> None:
+        self.over.set()
 
 
 class Results:
@@ -42,15 +65,27 @@ class Results:
 
 
 class Engine:
-    """Searches one corpus, a table (text_id, mode, tokens)."""
+    """Searches one corpus, a table (text_id, mode, tokens).
+
+    Postings of the modes last asked for are kept. ``indexes``: vector indexes by mode and model.
+    """
 
-    def __init__(self, corpus: DataFrame, seconds: float = 60):
-        self.corpus, self.seconds, self.results = corpus, seconds, Results()
+    def __init__(self, corpus: DataFrame, seconds: float = 60, indexes: dict[tuple[str, str], VectorIndex] | None = None):
+        self.corpus, self.seconds, self.results, self.indexes = corpus, seconds, Results(), indexes or {}
+        self.posted: OrderedDict[str, DataFrame] = OrderedDict()
 
     def texts(self, mode: str) -> DataFrame:
         stop_set(mode)
         return self.corpus.where(F.col("mode") == mode).select("text_id", "tokens")
 
+    def postings(self, mode: str) -> DataFrame:
+        if mode not in self.posted:
+            self.posted[mode] = kept_postings(self.texts(mode))
+        self.posted.move_to_end(mode)
+        while len(self.posted) > KEPT_MODES:
+            self.posted.popitem(last=False)
+        return self.posted[mode]
+
     def healthy(self) -> dict[str, bool]:
         return {"ok": True}
 
@@ -59,15 +94,20 @@ class Engine:
         items = search.fetch(self.texts(mode_of(mode, flag(normalise_signs))), text_id)
         return " ".join(items[:n]) if items else None
 
-    def analyse_query(self, query: str, mode: str, processing: str, tolerance: int, normalise_signs: str = "false") -> dict:
-        """Hits of a free query."""
-        if processing not in PROCESSING:
-            raise ValueError(f"unknown processing: {processing}")
+    def analyse_query(self, query: str, mode: str, processing: str, tolerance: int = 0, normalise_signs: str = "false") -> dict:
+        """Hits of a free query, by edit distance or by vectors."""
         wanted = mode_of(mode, flag(normalise_signs))
         asked = query.replace("-", " ").replace(".", " ") if mode in ("signs", "signs_gdl") else query
         if wanted.endswith("_normalised"):
-            asked = asked.translate({0x2080 + i: None for i in range(10)})
-        found = search.one_query(self.texts(wanted), asked.split(), tolerance, PROCESSING[processing], stop_set(wanted))
+            asked = asked.translate(dict.fromkeys(map(ord, SUBSCRIPTS)))
+        if processing in REQUESTS:
+            index = self.indexes.get((wanted, REQUESTS[processing]))
+            if index is None:
+                raise ValueError(f"no {processing} index of {wanted}")
+            return self.answer(lambda: search_vectors(index, asked).drop("query_id").orderBy("rank"), lambda r: render.vector_hits(r, query, wanted, processing))
+        if processing not in PROCESSING:
+            raise ValueError(f"unknown processing: {processing}")
+        found = lambda: search.one_query(self.texts(wanted), asked.split(), tolerance, PROCESSING[processing], stop_set(wanted), self.postings(wanted))
         return self.answer(found, lambda r: render.query_hits(r, query, wanted, processing, tolerance))
 
     def analyse_text(self, text_id: str, mode: str, processing: str, tolerance: int, window: int, stride: int, ignore_itself: str = "true", ignore_core_project: str = "false", normalise_signs: str = "false") -> dict:
@@ -76,31 +116,31 @@ class Engine:
             raise ValueError(f"unknown processing: {processing}")
         if not 0 < stride <= window:
             raise ValueError("0 < stride <= window is needed")
-        wanted = mode_of(mode, flag(normalise_signs))
+        wanted, itself, core = mode_of(mode, flag(normalise_signs)), flag(ignore_itself), flag(ignore_core_project)
         texts = self.texts(wanted)
-        found = search.find_reuse(texts.where(F.col("text_id") == text_id), texts, window, stride, tolerance, PROCESSING[processing], stop_set(wanted), flag(ignore_itself), flag(ignore_core_project))
-        return self.answer(found, lambda r: render.text_hits(r, text_id, wanted, processing, flag(ignore_itself), flag(ignore_core_project)))
-
-    def answer(self, found: DataFrame, show) -> dict:
-        """Run under a deadline, keep the result, render it; a run past the deadline is cancelled."""
-        from threading import Timer
+        found = lambda: search.find_reuse(texts.where(F.col("text_id") == text_id), texts, window, stride, tolerance, PROCESSING[processing], stop_set(wanted), itself, core, posted=self.postings(wanted))
+        return self.answer(found, lambda r: render.text_hits(r, text_id, wanted, processing, itself, core))
 
+    def answer(self, find: Callable[[], DataFrame], show: Callable[[DataFrame], str]) -> dict:
+        """Plan and run under a deadline, keep the result, render it; jobs of either past the deadline are cancelled."""
         sc = self.corpus.sparkSession.sparkContext
         group = uuid.uuid4().hex
-        late: list[bool] = []
-        timer = Timer(self.seconds, lambda: (late.append(True), sc.cancelJobGroup(group)))
+        end = self.results.clock() + self.seconds
+        timer = RepeatedCancel(lambda: sc.cancelJobGroup(group), self.seconds)
         sc.setJobGroup(group, "search", interruptOnCancel=True)
         timer.start()
+        name = None
         try:
-            name = self.results.put(found)
+            name = self.results.put(find())
             html = show(self.results.get(name))
         except Exception:
-            if not late:
+            if self.results.clock() < end:
                 raise
-            self.results.held.pop(name)[1].unpersist()
+            if name in self.results.held:
+                self.results.held.pop(name)[1].unpersist()
             return {"status": "timeout"}
         finally:
-            timer.cancel()
+            timer.stop()
             sc.setLocalProperty("spark.jobGroup.id", None)
         return {"status": "ok", "data_for_download": name, "results_html": html}
 

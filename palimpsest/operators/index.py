@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN
@@ -26,39 +26,65 @@ def postings(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", F.explode(F.array_distinct("tokens")).alias("token")).where(~F.col("token").isin(UNKNOWN, "")).select("token", "text_id")
 
 
+def kept_postings(texts: DataFrame) -> DataFrame:
+    """:func:`postings` written once in the order of tokens, so that a query reads the row groups of its tokens alone."""
+    return cut(postings(texts).repartitionByRange("token", "text_id").sortWithinPartitions("token", "text_id"))
+
+
 def document_frequency(texts: DataFrame) -> DataFrame:
     """(token, df); counts are combined before the shuffle, so a token of all texts is no hot key."""
     return postings(texts).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def with_threshold(queries: DataFrame, kind: str, stop: tuple[str, ...]) -> DataFrame:
-    """Queries (query_id, tokens, tol) with their distinct counted tokens and the number a text must share."""
+def with_threshold(queries: DataFrame, kind: str, stop: tuple[str, ...], mark: float | None = None, corrected: bool = True) -> DataFrame:
+    """Queries (query_id, tokens, tol) with their distinct counted tokens and the number a text must share.
+
+    ``mark`` takes the place of the share that follows from the tolerance. Without ``corrected`` a query all of
+    whose tokens are needed is not let off one.
+    """
     counted = F.array_except(F.array_distinct("tokens"), F.array(*[F.lit(s) for s in stop]))
-    marked = queries.withColumn("counted", counted).withColumn("mark", benchmark_column(F.col("tokens"), F.col("tol"), kind))
-    return marked.withColumn("need", required_column(F.col("mark"), F.size("counted"))).drop("mark")
+    share = benchmark_column(F.col("tokens"), F.col("tol"), kind) if mark is None else F.lit(float(mark))
+    marked = queries.withColumn("counted", counted).withColumn("mark", share)
+    n = F.size("counted")
+    need = required_column(F.col("mark"), n) if corrected else F.ceil(F.col("mark") * n.cast("double")).cast("int")
+    return marked.withColumn("need", need).drop("mark")
+
+
+def shared_tokens() -> Column:
+    """How many counted tokens of a query (counted) a text (t) holds."""
+    return F.size(F.array_intersect(F.array_distinct("t"), F.array_except("counted", F.array(F.lit(UNKNOWN), F.lit("")))))
 
 
-def candidates(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, text_id, shared) with at least max(need, 1) shared counted tokens.
+def enough() -> Column:
+    return F.greatest(F.col("need"), F.lit(1))
+
+
+def met(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """(query_id, text_id) of pairs that can share max(need, 1) counted tokens.
 
     A text that shares ``need`` of a query's tokens shares need - d of those that are left when d are left
     out. So up to need - 1 tokens that many texts hold never meet the postings, and pairs are counted on
     the others before any full text is joined. Frequencies are counted for the queries' tokens alone.
     """
-    queries = small(queries.select("query_id", "counted", "need"))
-    asked = queries.select("query_id", F.greatest("need", F.lit(1)).alias("least"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, ""))
+    asked = queries.select("query_id", enough().alias("least"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, ""))
     vocabulary = small(asked.select("token").distinct())
-    held = postings(texts).join(vocabulary, "token")
+    held = (postings(texts) if posted is None else posted).join(vocabulary, "token")
+    if posted is None:
+        held = cut(held)  # texts are split into tokens once
     frequency = held.groupBy("token").agg(F.count("*").alias("df"))
     many = COMMON_SHARE * texts.count()
     own = Window.partitionBy("query_id")
     ranked = asked.join(frequency, "token").withColumn("r", F.row_number().over(own.orderBy("df", "token"))).withColumn("common", F.sum((F.col("df") > many).cast("int")).over(own)).withColumn("all", F.count("*").over(own))
     dropped = F.least(F.col("least") - 1, F.col("common"))
     probes = small(ranked.where(F.col("r") <= F.col("all") - dropped).select("token", "query_id", (F.col("least") - dropped).alias("floor")))
-    met = held.join(probes, "token").groupBy("query_id", "text_id").agg(F.count("*").alias("n"), F.first("floor").alias("floor")).where("n >= floor").select("query_id", "text_id")
-    full = met.join(queries, "query_id").join(texts.select("text_id", "tokens"), "text_id")
-    shared = full.select("query_id", "text_id", F.size(F.array_intersect(F.array_distinct("tokens"), F.array_except("counted", F.array(F.lit(UNKNOWN), F.lit(""))))).alias("shared"), "need")
-    return shared.where(F.col("shared") >= F.greatest(F.col("need"), F.lit(1))).select("query_id", "text_id", "shared")
+    return held.join(probes, "token").groupBy("query_id", "text_id").agg(F.count("*").alias("n"), F.first("floor").alias("floor")).where("n >= floor").select("query_id", "text_id")
+
+
+def candidates(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """(query_id, text_id, shared) with at least max(need, 1) shared counted tokens."""
+    queries = small(queries.select("query_id", "counted", "need"))
+    full = met(queries, texts, posted).join(queries, "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
+    return full.select("query_id", "text_id", shared_tokens().alias("shared"), "need").where(F.col("shared") >= enough()).select("query_id", "text_id", "shared")
 
 
 def texts_with(texts: DataFrame, token: str) -> DataFrame:

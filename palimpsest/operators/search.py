@@ -8,30 +8,31 @@ from pyspark.sql import functions as F
 from palimpsest.functions.distance import inner_hits, token_hits
 from palimpsest.functions.text import core_project, join_tokens
 from palimpsest.functions.thresholds import INNER, TOKENS
-from palimpsest.operators.index import candidates, small, with_threshold
+from palimpsest.operators.index import enough, met, shared_tokens, small, with_threshold
 from palimpsest.operators.windows import query_windows
 
 
-def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...]) -> DataFrame:
+def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...], posted: DataFrame | None = None, mark: float | None = None, corrected: bool = True) -> DataFrame:
     """(query_id, result_id, text_id, matched_sequence, edit_distance) of every hit.
 
-    ``queries``: (query_id, tokens, tol). ``texts``: (text_id, tokens). result_id counts a query's hits
-    by text and place. Sorting for display is left to the caller.
+    ``queries``: (query_id, tokens, tol). ``texts``: (text_id, tokens). ``posted``: kept postings of the texts.
+    result_id counts a query's hits by text and place. Sorting for display is left to the caller.
     """
-    asked = small(with_threshold(queries, kind, stop))
-    pairs = candidates(asked, texts).select("query_id", "text_id")
-    full = pairs.join(asked.select("query_id", F.col("tokens").alias("q"), "tol"), "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
+    asked = small(with_threshold(queries, kind, stop, mark, corrected))
+    own = asked.select("query_id", F.col("tokens").alias("q"), "tol", "counted", "need")
+    full = met(asked, texts, posted).join(own, "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
+    able = full.where(shared_tokens() >= enough())
     hits = (inner_hits if kind == INNER else token_hits)(F.col("q"), F.col("t"), F.col("tol"))
-    rows = full.select("query_id", "text_id", F.posexplode(hits).alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
+    rows = able.select("query_id", "text_id", F.posexplode(hits).alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("text_id", "place")) - 1
     return rows.select("query_id", number.alias("result_id"), "text_id", "matched_sequence", F.col("edit_distance").cast("int").alias("edit_distance"))
 
 
-def one_query(texts: DataFrame, query: list[str], tolerance: int, kind: str, stop: tuple[str, ...]) -> DataFrame:
+def one_query(texts: DataFrame, query: list[str], tolerance: int, kind: str, stop: tuple[str, ...], posted: DataFrame | None = None) -> DataFrame:
     """Hits of one query, best first, then by text and place."""
     spark = texts.sparkSession
     queries = spark.range(1).select(F.lit(0).alias("query_id"), F.array(*[F.lit(t) for t in query]).cast("array<string>").alias("tokens"), F.lit(tolerance).alias("tol"))
-    return search(queries, texts, kind, stop).drop("query_id").orderBy("edit_distance", "text_id", "result_id")
+    return search(queries, texts, kind, stop, posted).drop("query_id").orderBy("edit_distance", "text_id", "result_id")
 
 
 def window_queries(texts: DataFrame, window: int, stride: int, tolerance: int, stop: tuple[str, ...], lowered: int = 0, min_tokens: int = 2) -> DataFrame:
@@ -46,7 +47,7 @@ def window_queries(texts: DataFrame, window: int, stride: int, tolerance: int, s
     return kept.select(F.concat_ws("#", "text_id", F.col("window_no").cast("string")).alias("query_id"), F.col("text_id").alias("own_id"), "window_no", "tokens", tol.alias("tol"))
 
 
-def find_reuse(sources: DataFrame, texts: DataFrame, window: int, stride: int, tolerance: int, kind: str, stop: tuple[str, ...], ignore_itself: bool = True, ignore_core_project: bool = False, lowered: int = 0, min_tokens: int = 2) -> DataFrame:
+def find_reuse(sources: DataFrame, texts: DataFrame, window: int, stride: int, tolerance: int, kind: str, stop: tuple[str, ...], ignore_itself: bool = True, ignore_core_project: bool = False, lowered: int = 0, min_tokens: int = 2, posted: DataFrame | None = None, mark: float | None = None, corrected: bool = True) -> DataFrame:
     """Hits of every window of ``sources`` in ``texts``: (own_id, query, result_id, text_id, matched_sequence, edit_distance).
 
     One plan for all windows. Windows of a text with the same tokens ask once. Hits in the text itself,
@@ -54,7 +55,7 @@ def find_reuse(sources: DataFrame, texts: DataFrame, window: int, stride: int, t
     """
     asked = window_queries(sources, window, stride, tolerance, stop, lowered, min_tokens)
     once = small(asked.withColumn("first", F.min("window_no").over(Window.partitionBy("own_id", "tokens"))).where("first = window_no").drop("first"))
-    found = search(once.select("query_id", "tokens", "tol"), texts, kind, stop)
+    found = search(once.select("query_id", "tokens", "tol"), texts, kind, stop, posted, mark, corrected)
     named = found.join(once.select("query_id", "own_id", join_tokens(F.col("tokens")).alias("query")), "query_id")
     if ignore_itself:
         named = named.where(F.col("text_id") != F.col("own_id"))
@@ -63,9 +64,22 @@ def find_reuse(sources: DataFrame, texts: DataFrame, window: int, stride: int, t
     return named.select("own_id", "query", "result_id", "text_id", "matched_sequence", "edit_distance")
 
 
-def both_distances(sources: DataFrame, texts: DataFrame, window: int, stride: int, inner_tolerance: int, token_tolerance: int, stop: tuple[str, ...]) -> DataFrame:
-    """Hits of windows under either distance, each with its own tolerance; a column tells which."""
-    parts = [find_reuse(sources, texts, window, stride, tol, kind, stop).withColumn("distance", F.lit(kind)) for kind, tol in ((INNER, inner_tolerance), (TOKENS, token_tolerance))]
+def both_distances(
+    sources: DataFrame, texts: DataFrame, window: int, stride: int, inner_tolerance: int, token_tolerance: int, stop: tuple[str, ...],
+    mark: float | None = None, corrected: bool = True, lowered: int = 0, min_tokens: int = 2, ignore_itself: bool = True, keep_empty: bool = False,
+) -> DataFrame:
+    """Hits of windows under either distance, each with its own tolerance; a column tells which.
+
+    ``mark`` and ``corrected`` are those of :func:`index.with_threshold`. With ``keep_empty`` a window without
+    hits under a distance gives one row of nulls.
+    """
+    parts = []
+    for kind, tolerance in ((INNER, inner_tolerance), (TOKENS, token_tolerance)):
+        found = find_reuse(sources, texts, window, stride, tolerance, kind, stop, ignore_itself, lowered=lowered, min_tokens=min_tokens, mark=mark, corrected=corrected)
+        if keep_empty:
+            asked = window_queries(sources, window, stride, tolerance, stop, lowered, min_tokens).select("own_id", join_tokens(F.col("tokens")).alias("query")).distinct()
+            found = asked.join(found, ["own_id", "query"], "left")
+        parts.append(found.withColumn("distance", F.lit(kind)))
     return parts[0].unionByName(parts[1])
 
 

@@ -14,6 +14,11 @@ def corpus_statistics(texts: DataFrame) -> DataFrame:
     return texts.agg(F.count("*").alias("texts"), F.count_if(F.size("tokens") == 0).alias("empty"), F.count_if((F.size("tokens") > 0) & ~known).alias("unknown_only"), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("tokens"))
 
 
+def parse_statistics(parsed: DataFrame) -> DataFrame:
+    """One row: texts, texts with errors, texts without lemmas, lemmas of parsed texts (lemmas, has_error)."""
+    return parsed.agg(F.count("*").alias("texts"), F.count_if("has_error").alias("errors"), F.count_if(F.size("lemmas") == 0).alias("empty"), F.coalesce(F.sum(F.size("lemmas").cast("long")), F.lit(0)).alias("lemmas"))
+
+
 def project_statistics(projects: DataFrame, texts: DataFrame) -> DataFrame:
     """One row: projects, those with texts, head projects, subprojects, texts. Subprojects have a slash."""
     counts = texts.groupBy("core_project").agg(F.count("*").alias("n"))
@@ -22,18 +27,29 @@ def project_statistics(projects: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("projects"), F.count_if(F.col("n") > 0).alias("with_texts"), F.count_if(~sub).alias("head"), F.count_if(sub).alias("sub"), F.coalesce(F.sum("n"), F.lit(0)).alias("texts"))
 
 
+#: Ids on a page of a project's listing.
+PAGE_IDS = 100_000
+
+
 def project_texts(projects: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project, name, text_ids): projects without texts keep an empty list."""
-    lists = texts.groupBy("core_project").agg(F.sort_array(F.collect_list("text_id")).alias("text_ids"))
+    """(project, name, page, text_ids): projects without texts keep an empty list.
+
+    A project of more than about ``PAGE_IDS`` texts has several pages, dealt by the ids' hashes, so no row or
+    task holds all ids of a large project.
+    """
+    rows = texts.select("core_project", "text_id")
+    pages = rows.groupBy("core_project").agg(F.ceil(F.count("*") / PAGE_IDS).cast("int").alias("pages"))
+    dealt = rows.join(pages, "core_project").withColumn("page", F.pmod(F.xxhash64("text_id"), F.col("pages")).cast("int"))
+    lists = dealt.groupBy("core_project", "page").agg(F.sort_array(F.collect_list("text_id")).alias("text_ids"))
     joined = projects.join(lists, projects.project == lists.core_project, "left")
-    return joined.select("project", "name", F.coalesce("text_ids", F.array().cast("array<string>")).alias("text_ids"))
+    return joined.select("project", "name", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("text_ids", F.array().cast("array<string>")).alias("text_ids"))
 
 
 def project_map(projects: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project, json): an entry of the map that a front end loads, texts as {"value": id}."""
+    """(project, page, json): an entry of the map that a front end loads, texts as {"value": id}."""
     listed = project_texts(projects, texts)
     values = F.transform("text_ids", lambda t: F.struct(t.alias("value")))
-    return listed.select("project", F.to_json(F.struct(F.col("project").alias("value"), F.col("name").alias("label"), values.alias("texts"))).alias("json"))
+    return listed.select("project", "page", F.to_json(F.struct(F.col("project").alias("value"), F.col("name").alias("label"), values.alias("texts"))).alias("json"))
 
 
 def type_ahead(table: DataFrame, label: Column, value: Column, typed: str, limit: int | None = 50) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.text import ENTITY_CLASSES, UNKNOWN_CHUNK, words_for_overlap
+from palimpsest.functions.text import ENTITY_CLASSES, SIGN_MODES, UNKNOWN_CHUNK, join_tokens, to_entities, tokens, words_for_overlap
 from palimpsest.session import cut, ship
 
 #: Shares of the vector score and the lexical score, and how many candidates and cells a search looks at.
@@ -23,8 +24,10 @@ MODELS = {
     "minilm": {"embed": 0.7, "lex": 0.3, "candidates": 1000, "probes": 128, "query_prefix": "", "passage_prefix": ""},
 }
 TOP_K = 50
-#: Queries that go to the tasks at once.
-QUERY_BLOCK = 4096
+#: Queries and chunks of a block, rows that a task holds while it makes blocks, and most shares of the pairs of blocks.
+QUERY_BLOCK, CHUNK_BLOCK, HELD_ROWS, SLOTS = 512, 4096, 100_000, 4096
+#: Letters of a chunk that a result shows, where a cut is asked for.
+DISPLAY = 180
 ENTITY_WEIGHT = 0.3
 #: Parts of tokens that stand for entity classes.
 ENTITY_PARTS = tuple(c.lower() for c in ENTITY_CLASSES)
@@ -72,54 +75,84 @@ def hashing_encoder(dimensions: int = 64, seed: int = 7) -> Callable[[list[str]]
     return encoder
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, embed_score, rank): exact search of a set of queries over all chunks.
+def blocks(rows: DataFrame, name: str, most: int, cell: str | None = None) -> DataFrame:
+    """(dim, cell, ids, v): rows (name, vector) put together to blocks of one length, and of one cell if there are cells.
 
-    Queries go out in blocks of at most about ``QUERY_BLOCK``. Each task keeps k results a query; scores
-    have nine decimals, ties go to the smaller id.
+    Rows without an id or a vector are left out. A task holds at most ``HELD_ROWS`` rows.
     """
-    spark = chunks.sparkSession
-    ship(spark)
-    asked = cut(queries.select("query_id", "vector").where("query_id is not null and vector is not null"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    kinds = dict(chunks.dtypes) | {"query_id": dict(asked.dtypes)["query_id"]}
-    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, embed_score double"
-    parts = []
-    for b in range(blocks):
-        mine = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
-        ids, matrix = mine["query_id"], stacked(mine["vector"])
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple[float, object]]] = [[] for _ in range(len(matrix))]
-            for batch in batches:
-                batch = batch.filter(pc.and_(batch["chunk_id"].is_valid(), batch["vector"].is_valid()))
-                if not batch.num_rows or not len(matrix):
-                    continue
-                names = batch["chunk_id"].to_pylist()
-                scores = np.round(matrix @ stacked(batch["vector"]).T, 9)
-                for q in range(len(matrix)):
-                    row = scores[q]
-                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    least = max(least, -best[q][-1][0]) if len(best[q]) == k else least
-                    if len(more := np.flatnonzero(row >= least).tolist()):
-                        best[q] = sorted(best[q] + [(-row[i], names[i]) for i in more])[:k]
-            rows = [(q, c, -s) for q, found in zip(ids.to_pylist(), best, strict=True) for s, c in found]
-            for at in range(0, len(rows), 50_000):
-                q, c, s = zip(*rows[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, ids.type), pa.array(c, batch["chunk_id"].type), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "embed_score"])
-
-        parts.append(chunks.select("chunk_id", "vector").mapInArrow(run, schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    kind = dict(rows.dtypes)[name]
+    chosen = rows.select(F.col(name).alias("id"), "vector", (F.col(cell) if cell else F.lit(0)).cast("int").alias("cell")).where("id is not null and vector is not null and cell is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        n, ids_type = 0, None
+
+        def flush(keys: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            for key in keys:
+                ids, vs = held.pop(key)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids], pa.list_(ids_type)), pa.array([np.asarray(vs, np.float64).tobytes()], pa.binary())], names=["dim", "cell", "ids", "v"])
+
+        for batch in batches:
+            ids_type = batch["id"].type
+            for i, v, c in zip(batch["id"].to_pylist(), batch["vector"].to_pylist(), batch["cell"].to_pylist(), strict=True):
+                ids, vs = held.setdefault((len(v), c), ([], []))
+                ids.append(i)
+                vs.append(v)
+                n += 1
+                if len(ids) >= most:
+                    n -= len(ids)
+                    yield from flush([(len(v), c)])
+            if n > HELD_ROWS:
+                yield from flush(list(held))
+                n = 0
+        yield from flush(list(held))
+
+    return chosen.mapInArrow(run, f"dim int, cell int, ids array<{kind}>, v binary")
+
+
+def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, embed_score, rank) from pairs of blocks (dim, qids, q, ids, v): each pair gives k a query at most."""
+    kinds = dict(pairs.dtypes)
+    query, chunk = (kinds[c].removeprefix("array<").removesuffix(">") for c in ("qids", "ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                dim = batch["dim"][at].as_py()
+                qids, names = batch["qids"][at].values, batch["ids"][at].values
+                matrix, rows = (np.frombuffer(batch[c][at].as_buffer(), np.float64).reshape(-1, dim) for c in ("q", "v"))
+                scores = np.round(matrix @ rows.T, 9)
+                least = np.partition(scores, len(rows) - k, axis=1)[:, -k, None] if len(rows) > k else -np.inf
+                i, j = np.nonzero(scores >= least)
+                said = scores[i, j]
+                if len(i) > k * len(matrix):  # ties at the border: the smaller ids stay
+                    place = np.empty(len(rows), np.int64)
+                    place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(rows))
+                    order = np.lexsort((place[j], -said, i))
+                    rank = np.arange(len(i)) - np.repeat(np.flatnonzero(np.diff(i[order], prepend=-1)), np.bincount(i, minlength=len(matrix))[np.unique(i)])
+                    order = order[rank < k]
+                    i, j, said = i[order], j[order], said[order]
+                for s in range(0, len(i), 50_000):
+                    x, y = pa.array(i[s : s + 50_000]), pa.array(j[s : s + 50_000])
+                    yield pa.RecordBatch.from_arrays([qids.take(x), names.take(y), pa.array(said[s : s + 50_000])], names=["query_id", "chunk_id", "embed_score"])
+
+    found = pairs.select("dim", "qids", "q", "ids", "v").mapInArrow(run, f"query_id {query}, chunk_id {chunk}, embed_score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("embed_score"), "chunk_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def stacked(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows of doubles."""
-    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, embed_score, rank): exact search of a set of queries over all chunks.
+
+    Blocks of queries meet blocks of chunks, dealt over slots; nothing goes through the driver. Each pair of
+    blocks keeps k results a query; scores have nine decimals, ties go to the smaller id.
+    """
+    ship(chunks.sparkSession)
+    held = cut(blocks(chunks, "chunk_id", CHUNK_BLOCK))
+    slots = max(1, min(SLOTS, held.count()))
+    asked = blocks(queries, "query_id", QUERY_BLOCK).select("dim", F.col("ids").alias("qids"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    dealt = held.withColumn("slot", F.pmod(F.xxhash64("v"), F.lit(slots)).cast("int"))
+    return best_of_pairs(dealt.join(asked, ["dim", "slot"]), k)
 
 
 def cell_count(n: int) -> int:
@@ -141,12 +174,14 @@ def build_cells(chunks: DataFrame, cells: int, sample: int | None = None, seed:
 
 
 def top_k_cells(queries: DataFrame, placed: DataFrame, centres: DataFrame, k: int, probes: int) -> DataFrame:
-    """Like :func:`top_k`, over the ``probes`` cells whose centres score best; exact if that is all cells."""
+    """Like :func:`top_k`, over the ``probes`` cells whose centres score best; exact if that is all cells.
+
+    A cell is dealt in blocks, each of which gives k results a query at most.
+    """
     near = top_k(queries, centres.select(F.col("cell_id").alias("chunk_id"), F.col("centre").alias("vector")), probes)
-    wanted = near.select("query_id", F.col("chunk_id").alias("cell_id")).join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-    rows = placed.join(wanted, "cell_id").select("query_id", "chunk_id", dot(F.col("vector"), F.col("q")).alias("embed_score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("embed_score"), "chunk_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    wanted = near.select("query_id", F.col("chunk_id").alias("cell_id")).join(queries.select("query_id", "vector"), "query_id").repartition("cell_id")
+    asked = blocks(wanted, "query_id", QUERY_BLOCK, "cell_id").select("dim", "cell", F.col("ids").alias("qids"), F.col("v").alias("q"))
+    return best_of_pairs(blocks(placed, "chunk_id", CHUNK_BLOCK, "cell_id").join(asked, ["dim", "cell"]), k)
 
 
 def weighted_overlap(query: Column, text: Column, entity_weight: float = ENTITY_WEIGHT) -> Column:
@@ -239,10 +274,11 @@ def lexical_column(query: Column, text: Column) -> Column:
     return F.pandas_udf(similar, "double")(query, text)
 
 
-def rerank(found: DataFrame, meta: DataFrame, queries: DataFrame, model: str, k: int = TOP_K) -> DataFrame:
+def rerank(found: DataFrame, meta: DataFrame, queries: DataFrame, model: str, k: int = TOP_K, display: int | None = None) -> DataFrame:
     """(query_id, rank, score, embed_score, lex, chunk_id, text_id, start, stop, text_display).
 
     ``found``: candidates of :func:`top_k`; ``queries`` has the query's text. One row a chunk, the best.
+    ``display``: letters of the chunk's text that the result shows (None: all).
     """
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
@@ -254,4 +290,53 @@ def rerank(found: DataFrame, meta: DataFrame, queries: DataFrame, model: str, k:
     once = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score")))).where("n = 1")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     ranked = once.withColumn("rank", rank).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "score", "embed_score", "lex", "chunk_id", "text_id", "start", "stop", "text_display")
+    text = F.col("text_display") if display is None else F.substring("text_display", 1, display).alias("text_display")
+    return ranked.select("query_id", "rank", "score", "embed_score", "lex", "chunk_id", "text_id", "start", "stop", text)
+
+
+# -- the service's search ---------------------------------------------------------------------------
+
+#: Names of the models in requests.
+REQUESTS = {"vect_e5": "e5", "vect_MiniLM": "minilm"}
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """All that a search of one mode by one model needs: cells, what chunks show, and the encoder."""
+
+    placed: DataFrame
+    centres: DataFrame
+    meta: DataFrame
+    encoder: Callable[[list[str]], np.ndarray]
+    model: str
+
+
+def build_index(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], model: str) -> VectorIndex:
+    """Encode chunks (chunk_id, text_id, start, stop, text_display, text_embed) and deal them into cells."""
+    share = MODELS[model]
+    coded = cut(encode(chunks.select("chunk_id", "text_embed"), "text_embed", encoder, share["passage_prefix"]).select("chunk_id", "vector"))
+    n = coded.count()
+    placed, centres = build_cells(coded, min(cell_count(n), max(1, n)))
+    return VectorIndex(cut(placed), centres, chunks.select("chunk_id", "text_id", "start", "stop", "text_display"), encoder, model)
+
+
+def search_vectors(index: VectorIndex, query: str, k: int = TOP_K, display: int | None = None) -> DataFrame:
+    """The ``k`` best chunks for a free query, as :func:`rerank` gives them."""
+    share = MODELS[index.model]
+    spark = index.placed.sparkSession
+    words = tokens(F.lit(query))
+    asked = spark.range(1).select(F.lit(0).alias("query_id"), join_tokens(to_entities(words) if index.model == "e5" else words).alias("text"))
+    coded = encode(asked, "text", index.encoder, share["query_prefix"])
+    return rerank(top_k_cells(coded, index.placed, index.centres, max(k, share["candidates"]), share["probes"]), index.meta, coded, index.model, k, display)
+
+
+def compare_models(indexes: dict[tuple[str, str], VectorIndex], queries: dict[str, list[str]], k: int = TOP_K) -> DataFrame:
+    """Results of one text's first tokens in every mode and model side by side: (mode, model, …). Signs ask with 20 tokens, words with 6."""
+    parts = []
+    for (mode, model), index in sorted(indexes.items()):
+        head = queries[mode][: 20 if mode in SIGN_MODES else 6]
+        parts.append(search_vectors(index, " ".join(head), k).select(F.lit(mode).alias("mode"), F.lit(model).alias("model"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

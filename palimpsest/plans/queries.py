@@ -6,8 +6,11 @@ cells, encoders); the tests hold those against brute force.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,8 @@ from palimpsest.functions.modes import named_entities, project_modes
 from palimpsest.functions.thresholds import INNER, TOKENS, benchmark_column, required_column
 from palimpsest.operators import index, search, stats, vectors, windows
 from palimpsest.plans import corpus
-from palimpsest.session import ship, table
-from palimpsest.sources import ingest
+from palimpsest.session import shared_dir, ship, table
+from palimpsest.sources import ingest, sinks
 
 STOP = T.stop_set("forms")
 #: Defaults of the reading interface.
@@ -284,13 +287,13 @@ def project_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.project_statistics(corpus.projects(spark, sf_dir), corpus.documents(spark, sf_dir))
 
 
-@query("project_texts", "SELECT source AS project, 'Source ' || source AS name, CAST(count(*) AS INTEGER) AS n, md5(string_agg(source || '/' || doc_id, ' ' ORDER BY source || '/' || doc_id)) AS ids FROM documents GROUP BY source")
+@query("project_texts", "SELECT source AS project, 'Source ' || source AS name, 0 AS page, CAST(count(*) AS INTEGER) AS n, md5(string_agg(source || '/' || doc_id, ' ' ORDER BY source || '/' || doc_id)) AS ids FROM documents GROUP BY source")
 def project_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = stats.project_texts(corpus.projects(spark, sf_dir), corpus.documents(spark, sf_dir))
-    return listed.select("project", "name", F.size("text_ids").alias("n"), md5_of(F.col("text_ids")).alias("ids"))
+    return listed.select("project", "name", "page", F.size("text_ids").alias("n"), md5_of(F.col("text_ids")).alias("ids"))
 
 
-@query("project_map", """SELECT source AS project, '{"value":"' || source || '","label":"Source ' || source || '","texts":[' || string_agg('{"value":"' || source || '/' || doc_id || '"}', ',' ORDER BY source || '/' || doc_id) || ']}' AS json FROM documents GROUP BY source""")
+@query("project_map", """SELECT source AS project, 0 AS page, '{"value":"' || source || '","label":"Source ' || source || '","texts":[' || string_agg('{"value":"' || source || '/' || doc_id || '"}', ',' ORDER BY source || '/' || doc_id) || ']}' AS json FROM documents GROUP BY source""")
 def project_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.project_map(corpus.projects(spark, sf_dir), corpus.documents(spark, sf_dir))
 
@@ -422,9 +425,11 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("json_prune")
+@query("json_prune", """SELECT doc_id, '{"cdl":[{"f":{"form":"' || source || '"},"node":"l"},{"n":' || doc_id || '}],"z":{}}' AS json FROM documents""")
 def json_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.prune_json(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("json")), ("k",))
+    """Annotated JSON of every document with keys at every depth that no mode reads; they go."""
+    said = F.concat(F.lit('{"type":"x","cdl":[{"f":{"lang":"akk","form":"'), "source", F.lit('","sig":[1,{"id":2}]},"node":"l"},{"n":'), F.col("doc_id").cast("string"), F.lit(',"id":"a"}],"z":{"ref":{"form":"b"}}}'))
+    return ingest.prune_json(table(spark, sf_dir, "documents").select("doc_id", said.alias("json")))
 
 
 @query("json_modes", f"""WITH {DOCS}, m AS (
@@ -435,7 +440,7 @@ def json_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT text_id, mode, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM m""")
 def json_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir)))
-    return project_modes(parsed).where(F.col("mode").isin("forms", "normalised", "forms_pos", "signs")).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
+    return project_modes(parsed, ("forms", "normalised", "forms_pos", "signs")).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
 
 
 FORM_SQL, CF_SQL, NORM_SQL = "t", "lower(t)", f"regexp_replace(lower(t), {EDGE_SQL}, '', 'g')"
@@ -468,6 +473,115 @@ def json_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_entities(ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir))))
 
 
+# -- files ------------------------------------------------------------------------------------------
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, json): every seventh text cut off, every eleventh with a null list of signs."""
+    texts = corpus.annotated(corpus.documents(spark, sf_dir))
+    n = F.substring_index("text_id", "/", -1).cast("long")
+    null_signs = F.lit('{"cdl":[{"node":"l","f":{"form":"a","gdl":null}}]}')
+    return texts.withColumn("json", F.when(n % 7 == 0, F.expr("left(json, length(json) - 1)")).when(n % 11 == 0, null_signs).otherwise(F.col("json")))
+
+
+FAULTY = "(doc_id % 7 = 0 OR doc_id % 11 = 0)"
+
+
+@query("catalog_files", """WITH s AS (SELECT DISTINCT source FROM documents) SELECT source AS shortcut, 'Source ' || source AS name, true AS listed FROM s""")
+def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog written as CSV and as a list, read back and joined."""
+    path = shared_dir(spark)
+    projects = corpus.projects(spark, sf_dir).select("name", F.col("project").alias("shortcut"))
+    sinks.write_catalog(projects, f"{path}/csv")
+    sinks.write_shortcuts(projects, f"{path}/txt")
+    listed = sinks.read_shortcuts(spark, f"{path}/txt").withColumn("listed", F.lit(True))
+    return spark.read.csv(f"{path}/csv", header=True).join(listed, "shortcut", "left").select("shortcut", "name", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@query("archive_texts", r"""SELECT 'zip' || (doc_id % 5) AS project, source || '/corpusjson/' || doc_id || '.json' AS path, '{"n":' || doc_id || '}' AS json, CAST(NULL AS VARCHAR) AS error FROM documents
+UNION ALL SELECT 'bad', NULL, NULL, 'BadZipFile: File is not a zip file'""")
+def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts zipped by project and unpacked again, beside an archive that is none."""
+    ship(spark)
+
+    def zipped(key: tuple, rows: pa.Table) -> pa.Table:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for i, source in zip(rows["doc_id"].to_pylist(), rows["source"].to_pylist(), strict=True):
+                z.writestr(f"{source}/corpusjson/{i}.json", f'{{"n":{i}}}')
+                z.writestr(f"{source}/other/{i}.json", "{}")
+        return pa.table({"path": [f"/land/zip{key[0].as_py()}.zip"], "content": pa.array([held.getvalue()], pa.binary())})
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 5).alias("k"))
+    bad = spark.range(1).select(F.lit("/land/bad.zip").alias("path"), F.lit("no archive").cast("binary").alias("content"))
+    return ingest.unpack(docs.groupBy("k").applyInArrow(zipped, "path string, content binary").unionByName(bad))
+
+
+@query("text_ids", r"""SELECT doc_id, 'proj/' || source || '/X' || doc_id AS text_id FROM documents""")
+def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("source", F.lit("//corpusjson/X"), F.col("doc_id").cast("string"), F.lit(".json"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.text_id_of_path(path, F.lit("proj/")).alias("text_id"))
+
+
+@query("metadata_fields", """SELECT DISTINCT source AS project, 'Source ' || source AS name FROM documents""")
+def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.projects(spark, sf_dir).select("project", F.to_json(F.struct(F.struct(F.col("name"), F.lit(1).alias("v")).alias("config"))).alias("json"))
+    return ingest.metadata_names(files)
+
+
+@query("parse_errors", f"""SELECT source || '/' || doc_id AS text_id FROM documents WHERE {FAULTY}""")
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that could not be parsed, from their own table."""
+    path = shared_dir(spark)
+    sinks.write_errors(ingest.parse_texts(broken(spark, sf_dir)), path)
+    return spark.read.parquet(path).where("parse_error is not null").select("text_id")
+
+
+@query("parse_statistics", f"""WITH {DOCS} SELECT count(*) AS texts, count(*) FILTER ({FAULTY.replace("doc_id", "n")}) AS errors, count(*) FILTER ({FAULTY.replace("doc_id", "n")} OR len(tokens) = 0) AS empty,
+CAST(sum(CASE WHEN {FAULTY.replace("doc_id", "n")} THEN 0 ELSE len(tokens) END) AS BIGINT) AS lemmas FROM (SELECT *, CAST(string_split(text_id, '/')[2] AS BIGINT) AS n FROM docs)""")
+def parse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.parse_statistics(ingest.parse_texts(broken(spark, sf_dir)))
+
+
+@query("corpus_files", f"""WITH {DOCS} SELECT text_id, md5(array_to_string(tokens, ' ')) AS digest FROM docs WHERE core_project LIKE 'src1%'""")
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpora written project by project, and those whose name starts with src1 read as one."""
+    path = shared_dir(spark)
+    texts = corpus.documents(spark, sf_dir).withColumn("mode", F.lit("forms"))
+    texts.write.partitionBy("core_project", "mode").parquet(path)
+    return sinks.read_corpus(spark, path, "core_project=src1", "forms").select("text_id", md5_of(F.col("tokens")).alias("digest"))
+
+
+@query("chunk_files", f"""WITH {DOCS}, {WIN_SQL} SELECT text_id || ':f:' || s || '-' || least(s + {WINDOW}, len(tokens)) AS chunk_id, text_id, CAST(s AS VARCHAR) AS start, md5(array_to_string(tokens[s + 1:s + {WINDOW}], ' ')) AS shown FROM w
+WHERE len(list_filter(tokens[s + 1:s + {WINDOW}], lambda t: t <> '∎')) > 0""")
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written as the two CSVs, read back and joined."""
+    path = shared_dir(spark)
+    sinks.write_chunks(windows.chunks(corpus.documents(spark, sf_dir), windows.TAGS["forms"], *windows.chunk_size("forms")), f"{path}/embed", f"{path}/meta")
+    embed = sinks.read_chunks(spark, f"{path}/embed").select("chunk_id", "text")
+    meta = sinks.read_chunks(spark, f"{path}/meta")
+    return meta.join(embed, "chunk_id").where("text = text_display").select("chunk_id", "text_id", "start", F.md5(F.col("text_display").cast("binary")).alias("shown"))
+
+
+@query("network_files", f"WITH {DOCS}, {ENTITIES_SQL}, big AS (SELECT * FROM rel WHERE hits >= 5) SELECT 'edge' AS kind, rel_ne AS name, CAST(hits AS VARCHAR) AS n FROM big UNION ALL SELECT 'point', rel_ne, CAST(hits AS VARCHAR) FROM big UNION ALL SELECT 'point', '{ENTITY}', CAST(count(*) AS VARCHAR) FROM rel")
+def network_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and points of an entity's network written as CSV and read back."""
+    path = shared_dir(spark)
+    sinks.write_network(*stats.network(company(spark, sf_dir), ENTITY, 5), path)
+    edges = spark.read.csv(f"{path}/edges", header=True).select(F.lit("edge").alias("kind"), F.col("rel_ne").alias("name"), F.col("hits").alias("n"))
+    return edges.unionByName(spark.read.csv(f"{path}/points", header=True).select(F.lit("point").alias("kind"), F.col("point").alias("name"), F.col("size").alias("n")))
+
+
+@query("cell_files", "SELECT vec_id AS chunk_id, true AS whole FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL")
+def cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell index written and read back: every vector stands in the cell of a centre that was written too."""
+    path = shared_dir(spark)
+    rows = stored(spark, sf_dir).select("chunk_id", "vector")
+    sinks.write_cells(*vectors.build_cells(rows, 32), path)
+    placed, centres = sinks.read_cells(spark, path)
+    return placed.join(centres.withColumn("whole", F.lit(True)), "cell_id", "left").join(rows.withColumnRenamed("vector", "was"), "chunk_id").select("chunk_id", (F.col("whole") & (F.col("vector") == F.col("was"))).alias("whole"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages found again in documents."""
     return search_inner(spark, sf_dir)

@@ -7,7 +7,7 @@ import importlib.util
 import io
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,53 @@ def write_shortcuts(projects: DataFrame, path: str) -> None:
     projects.select("shortcut").write.mode("overwrite").text(path)
 
 
+def read_shortcuts(spark: SparkSession, path: str) -> DataFrame:
+    """(shortcut) of a list with one shortcut a line; empty lines are left out."""
+    return spark.read.text(path).select(F.col("value").alias("shortcut")).where("shortcut <> ''")
+
+
 def write_corpus(texts: DataFrame, path: str) -> None:
     """Texts by mode as Parquet; a search of one mode reads that mode's folder only."""
     texts.write.mode("overwrite").option("compression", "zstd").partitionBy("mode").parquet(path)
 
 
+def read_corpus(spark: SparkSession, root: str, prefix: str = "", mode: str | None = None) -> DataFrame:
+    """(text_id, mode, tokens) of all corpora below ``root`` whose name starts with ``prefix``, as one table.
+
+    Corpora are folders of :func:`write_corpus`. A mode reads its own folders only. No corpus: an empty table.
+    """
+    where = f"{root.rstrip('/')}/{prefix}*/mode="
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{where}{mode or '*'}")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    modes = sorted({f.getPath().getName().removeprefix("mode=") for f in found or ()})
+    out = spark.createDataFrame([], "text_id string, mode string, tokens array<string>")
+    for m in modes:
+        out = out.unionByName(spark.read.parquet(f"{where}{m}").select("text_id", F.lit(m).alias("mode"), "tokens"))
+    return out
+
+
+def write_vectors(coded: DataFrame, path: str) -> None:
+    """(chunk_id, vector): ids stand beside their vectors, so no order ties them."""
+    coded.select("chunk_id", "vector").write.mode("overwrite").parquet(path)
+
+
+def write_cells(placed: DataFrame, centres: DataFrame, path: str) -> None:
+    """A cell index: vectors by cell, and centres. A search reads the folders of its cells only."""
+    placed.select("cell_id", "chunk_id", "vector").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
+    centres.write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What :func:`write_cells` wrote: (placed, centres)."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centres")
+
+
+def write_network(edges: DataFrame, points: DataFrame, path: str) -> None:
+    """Edges and points of a network of entities as CSV with a header."""
+    edges.write.mode("overwrite").csv(f"{path}/edges", header=True)
+    points.write.mode("overwrite").csv(f"{path}/points", header=True)
+
+
 def write_errors(parsed: DataFrame, path: str) -> None:
     """Texts that could not be parsed, in a table of their own."""
     parsed.where("has_error").select("text_id", "parse_error").write.mode("overwrite").parquet(path)
@@ -38,7 +80,7 @@ def write_chunks(chunks: DataFrame, embed_path: str, meta_path: str) -> None:
     chunks.select("chunk_id", "text_id", "start", "stop", "text_display").write.mode("overwrite").csv(meta_path, **options)
 
 
-def read_chunks(spark, path: str) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunk CSVs as strings; words such as null or nan are texts."""
     return spark.read.csv(path, header=True, escape='"', nullValue="\x00", emptyValue="")
 
@@ -49,12 +91,12 @@ def write_project_map(entries: DataFrame, path: str) -> None:
 
 
 def map_document(listed: DataFrame) -> str:
-    """The front end's whole map as one JSON document; the listing has a row a project."""
-    rows = listed.orderBy("project").toLocalIterator()
+    """The front end's whole map as one JSON document; the listing has a row a page of a project."""
     out: dict = {"projects": [], "textsByProject": {}}
-    for r in rows:
-        out["projects"].append({"value": r.project, "label": r.name})
-        out["textsByProject"][r.project] = [{"value": t} for t in r.text_ids]
+    for r in listed.orderBy("project", "page").toLocalIterator():
+        if r.project not in out["textsByProject"]:
+            out["projects"].append({"value": r.project, "label": r.name})
+        out["textsByProject"].setdefault(r.project, []).extend({"value": t} for t in r.text_ids)
     return json.dumps(out, ensure_ascii=False)
 
 

@@ -1,8 +1,10 @@
 """The text reuse engine: worked examples, definitions restated in Python, and SQL on small tables."""
 
 import json
+import math
 import os
 import random
+import time
 import zipfile
 
 import pytest
@@ -122,9 +124,25 @@ def test_thresholds(spark):
         H.benchmark(["a"], 1, "other")
 
 
+def brute_need(query, tol, kind, stop):
+    """The rule written out: share of a query's tokens from the tolerance, then the number."""
+    k = tol
+    if kind == "inner":
+        k, total = 0, 0
+        for n in sorted(map(len, query)):
+            if total > tol:
+                break
+            k, total = k + 1, total + n
+    share = 1 - math.ceil(k / len(query) * 10) / 10 if tol else 0.0
+    share = share or 0.1
+    distinct = len(set(query) - set(stop))
+    need = math.ceil(share * distinct)
+    return distinct - 1 if need == distinct and share != 1 else need
+
+
 def brute_candidates(query, tol, kind, texts, stop):
-    need = H.required(H.benchmark(query, tol, kind), len(set(query) - set(stop)))
-    shared = {k: len(set(query) - set(stop) & {*t} - {"■", ""} & {*t}) if False else len((set(query) - set(stop)) & set(t) - {"■", ""}) for k, t in texts.items()}
+    need = brute_need(query, tol, kind, stop)
+    shared = {k: len((set(query) - set(stop)) & set(t) - {"■", ""}) for k, t in texts.items()}
     return {k: n for k, n in shared.items() if n >= max(need, 1)}
 
 
@@ -215,8 +233,9 @@ def test_search_against_brute_force(spark):
             want_h |= {(i, j): h for j, h in enumerate(hits)}
         got = {(r.query_id, r.text_id): r.shared for r in index.candidates(index.with_threshold(queries, kind, stop), df).collect()}
         assert got == want_c
-        found = {(r.query_id, r.result_id): (r.text_id, r.matched_sequence, r.edit_distance) for r in search.search(queries, df, kind, stop).collect()}
-        assert found == want_h
+        for posted in (None, index.kept_postings(df)):
+            found = {(r.query_id, r.result_id): (r.text_id, r.matched_sequence, r.edit_distance) for r in search.search(queries, df, kind, stop, posted).collect()}
+            assert found == want_h
 
 
 def test_reuse_options(spark):
@@ -236,6 +255,13 @@ def test_reuse_options(spark):
     assert search.fetch(df, "p/b")[0] == "zeta" and search.fetch(df, "none") == []
     both = search.both_distances(own, df, 5, 5, 0, 1, stop)
     assert {r.distance for r in both.collect()} == {"inner", "tokens"}
+    more = search.both_distances(own, df, 5, 5, 0, 1, stop, mark=0.8, corrected=False, ignore_itself=False, keep_empty=True)
+    assert {r.text_id for r in more.collect()} == {"p/a", "p/b", "q/c"}
+    asked = index.with_threshold(spark.createDataFrame([(0, ["a", "b", "c"], 1)], "query_id int, tokens array<string>, tol int"), "inner", stop, 0.8, False)
+    assert asked.first().need == 3  # a fixed share, and no token let off
+    lone = texts_of(spark, {"x": "one two three four five"})
+    empty = search.both_distances(lone, lone, 5, 5, 0, 0, stop, keep_empty=True).collect()
+    assert [(r.own_id, r.text_id) for r in empty] == [("x", None)] * 2 and search.both_distances(lone, lone, 5, 5, 0, 0, stop).count() == 0
 
 
 def test_streaming_equals_batch(spark, tmp_path):
@@ -366,7 +392,8 @@ def test_files(spark, tmp_path):
         z.writestr("proj/corpusjson/X2.json", "{}")
         z.writestr("proj/metadata.json", "{}")
     (root / "bad.zip").write_text("no archive")
-    assert [(r.project, r.path) for r in ingest.read_archives(spark, str(root)).collect()] == [("proj", "proj/corpusjson/X2.json")]
+    unpacked = ingest.read_archives(spark, str(root)).collect()
+    assert sorted((r.project, r.path or "", r.error or "") for r in unpacked) == [("bad", "", "BadZipFile: File is not a zip file"), ("proj", "proj/corpusjson/X2.json", "")]
     names = ingest.metadata_names(spark.createDataFrame([("p", '{"config":{"name":"Sub"}}'), ("q", "{}")], "project string, json string"))
     assert {r.project: r.name for r in names.collect()} == {"p": "Sub", "q": None}
     page = '<p>\n<a href="./one/two">First</a> <a href="./x">X</a>\n<a href="./three">Third</a>\n<a href="./one/two">Again</a>\n<a href="/no">No</a>'
@@ -374,12 +401,12 @@ def test_files(spark, tmp_path):
     assert [(r.idx, r.shortcut, r.name) for r in links.orderBy("idx").collect()] == [(0, "one-two", "First"), (1, "three", "Third")]
 
 
-def test_sinks(spark, tmp_path):
+def test_sinks(spark, tmp_path, monkeypatch):
     projects = spark.createDataFrame([(0, "First", "one")], "idx int, name string, shortcut string")
     sinks.write_catalog(projects, f"{tmp_path}/cat")
     assert spark.read.csv(f"{tmp_path}/cat", header=True).first().shortcut == "one"
     sinks.write_shortcuts(projects, f"{tmp_path}/short")
-    assert spark.read.text(f"{tmp_path}/short").first().value == "one"
+    assert [r.shortcut for r in sinks.read_shortcuts(spark, f"{tmp_path}/short").collect()] == ["one"]
     texts = texts_of(spark, {"a/1": "nan null", "a/2": 'say "x", y', "a/3": "∎"})
     made = windows.chunks(texts, "f", 3, 2, skip_all_unknown=False)
     sinks.write_chunks(made, f"{tmp_path}/e", f"{tmp_path}/m")
@@ -388,10 +415,17 @@ def test_sinks(spark, tmp_path):
     corpus = texts.withColumn("mode", F.lit("forms"))
     sinks.write_corpus(corpus, f"{tmp_path}/corpus")
     assert spark.read.parquet(f"{tmp_path}/corpus").where("mode = 'forms'").count() == 3
+    for name in ("prime", "primary", "other"):
+        sinks.write_corpus(corpus.withColumn("text_id", F.concat(F.lit(f"{name}/"), "text_id")), f"{tmp_path}/all/{name}")
+    assert sinks.read_corpus(spark, f"{tmp_path}/all", "prim").count() == 6 and sinks.read_corpus(spark, f"{tmp_path}/all", mode="forms").count() == 9
+    assert sinks.read_corpus(spark, f"{tmp_path}/all", mode="signs").count() == 0
     assert sinks.to_csv(projects) == "idx,name,shortcut\n0,First,one\n"
     texts = texts.withColumn("core_project", T.core_project(F.col("text_id")))
     listed = stats.project_texts(spark.createDataFrame([("a", "A"), ("b", "B")], "project string, name string"), texts)
     assert json.loads(sinks.map_document(listed)) == {"projects": [{"value": "a", "label": "A"}, {"value": "b", "label": "B"}], "textsByProject": {"a": [{"value": f"a/{i}"} for i in (1, 2, 3)], "b": []}}
+    monkeypatch.setattr(stats, "PAGE_IDS", 1)
+    paged = stats.project_texts(spark.createDataFrame([("a", "A"), ("b", "B")], "project string, name string"), texts)
+    assert paged.count() > 2 and {t for r in paged.collect() for t in r.text_ids} == {"a/1", "a/2", "a/3"}
 
 
 def test_statistics(spark):
@@ -424,6 +458,54 @@ def test_engine(spark):
             bad()
 
 
+def test_engine_keeps_postings_and_deadlines(spark, monkeypatch):
+    base = texts_of(spark, {f"p/{i}": f"w{i} rīm tuqumtim" for i in range(5)})
+    engine = api.Engine(base.withColumn("mode", F.lit("forms")))
+    built = []
+    monkeypatch.setattr(api, "kept_postings", lambda texts, real=api.kept_postings: built.append(1) or real(texts))
+    for _ in range(2):
+        assert engine.analyse_query("rīm tuqumtim", "forms", "edit_distance_tokens", 0)["status"] == "ok"
+    assert len(built) == 1
+    late = api.Engine(base.withColumn("mode", F.lit("forms")), seconds=0.05)
+    began = time.monotonic()
+    assert late.analyse_query("rīm tuqumtim", "forms", "edit_distance_inner", 4) == {"status": "timeout"}  # while postings are built
+    assert time.monotonic() - began < 5 and not late.results.held
+
+
+def test_engine_searches_vectors(spark):
+    texts = {"p/1": "red green blue white", "p/2": "one two three four", "p/3": "<b> LUGAL Red green"}
+    base = texts_of(spark, texts)
+    made = windows.chunks(base, "f", 3, 2)
+    encoder = vectors.hashing_encoder(16)
+    indexes = {("forms", m): vectors.build_index(made, encoder, m) for m in ("e5", "minilm")}
+    engine = api.Engine(base.withColumn("mode", F.lit("forms")), indexes=indexes)
+    for processing in vectors.REQUESTS:
+        got = engine.analyse_query("red green blue", "forms", processing)
+        assert got["status"] == "ok" and "red green blue" in got["results_html"] and "<b>" not in got["results_html"].replace("<tbody>", "")
+        assert engine.download_csv(got["data_for_download"]).startswith("rank,score")
+    best = vectors.search_vectors(indexes["forms", "minilm"], "one two three", 2, display=5).orderBy("rank").collect()
+    assert len(best) == 2 and best[0].text_id == "p/2" and best[0].text_display == "one t"
+    side = vectors.compare_models(indexes, {"forms": texts["p/1"].split()}, 1).collect()
+    assert sorted((r.mode, r.model, r["rank"]) for r in side) == [("forms", "e5", 1), ("forms", "minilm", 1)]
+    with pytest.raises(ValueError):
+        engine.analyse_query("red", "lemma", "vect_e5")
+
+
+def test_vector_blocks_do_not_change_results(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(f"c{i:03}", [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(150)] + [("none", None), (None, [1.0, 0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in range(9)], "query_id int, vector array<float>")
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(i, r + 1): c for i in range(9) for r, (_, c) in enumerate(sorted((-score(v, rows[i][1]), c) for c, v in rows[:150])[:4])}
+    placed, centres = vectors.build_cells(chunks.where("chunk_id is not null and vector is not null"), 5)
+    for block in (4096, 7):
+        monkeypatch.setattr(vectors, "CHUNK_BLOCK", block)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block // 2)
+        assert {(r.query_id, r["rank"]): r.chunk_id for r in vectors.top_k(queries, chunks, 4).collect()} == want
+        assert {(r.query_id, r["rank"]): r.chunk_id for r in vectors.top_k_cells(queries, placed, centres, 4, 5).collect()} == want
+
+
 def test_results_are_dropped(spark):
     now = [0.0]
     results = api.Results(most=2, seconds=10, clock=lambda: now[0])
