@@ -2,8 +2,9 @@
 
 1. Every document becomes a set of 64-bit shingle hashes. Documents with one set form a class; from
    there on classes stand for their documents, so thousands of copies cost one.
-2. A count sketch of fixed size over all classes gives a global order of shingles, rare ones first. Any
-   order that all share makes prefix filtering exact; the sketch only makes it selective.
+2. A count sketch over all classes gives a global order of shingles, rare ones first. Its width grows with the
+   text up to 2^24 counters of one byte. Any order that all share makes prefix filtering exact; the sketch
+   only makes it selective.
 3. Classes with the same prefix and size form one group. Groups are posted under the tokens of their
    prefix, as binary blocks dealt by token.
 4. Groups that share a prefix token make a list. Short lists give pairs of groups, which are filtered:
@@ -12,6 +13,8 @@
 5. Long lists, crowded groups and large products of groups give no pairs. Those with common members are
    put together to clusters, a cluster's sets are compared in blocks of ``BLOCK`` classes (each task holds
    two blocks), by exact counts, and only links that join something leave the task: fewer than its classes.
+   First each block is compared with itself and with the first block, which is linear in the cluster. What
+   that connects to the largest part needs no more: only the rest is compared with all blocks.
 6. Links are contracted: up to ``LOCAL_LINKS`` of them in one task, more by alternating large and small stars
    that are written to the shared folder each time.
 
@@ -23,7 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ from palimpsest.llm.common import slices
 from palimpsest.session import cut, ship, table
 
 K, SHARE = 4, (85, 100)
-#: Counters of the sketch, its parts, and the salts of its two-step sum.
-SKETCH_BITS, SKETCH_PARTS, SKETCH_SALTS = 20, 64, 16
+#: Least and most counters of the sketch (as powers of 2), bytes of text a counter, its parts, and the salts of its two-step sum.
+SKETCH_BITS, SKETCH_BYTES, SKETCH_PARTS, SKETCH_SALTS = (20, 24), 512, 64, 16
 #: Postings that one bucket holds on average.
 BUCKET_POSTINGS = 300_000
 #: Postings a task gathers before it hands them on.
@@ -43,11 +46,13 @@ FLUSH = 1_000_000
 #: Lists of more groups, and products of more classes, are compared as clusters.
 LONG_LIST, LARGE_PRODUCT = 24, 64
 #: Classes of a block of a cluster.
-BLOCK = 1024
+BLOCK = 512
 #: Cells of a table of tokens by classes held at once.
 CELLS = 20_000_000
 #: Most links that one task contracts; above, stars do it in parallel.
 LOCAL_LINKS = 1_000_000
+#: Shares that the classes of one component are dealt into when they get its name.
+LABEL_SALTS = 32
 #: Word hashes a worker keeps.
 CACHE_WORDS = 100_000
 #: Most classes whose ids are broadcast to find their texts; above, the join shuffles.
@@ -109,11 +114,17 @@ def needed_overlap(a: np.ndarray | int, b: np.ndarray | int, share: tuple[int, i
 # -- sets, classes and the order of shingles --------------------------------------------------------
 
 
-def classified(docs: DataFrame, k: int) -> DataFrame:
+def sketch_bits(docs: DataFrame) -> int:
+    """Width of the sketch for so much text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], (size // SKETCH_BYTES).bit_length()))
+
+
+def classified(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Rows (doc_id, n, cls) of all documents and, from each task, the parts of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << bits, np.uint32)
         seen: set[int] = set()
         for part in slices(batches):
             keys, sizes = [], []
@@ -123,44 +134,48 @@ def classified(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(class_key(s) if len(s) else None)
                 if len(s) and keys[-1] not in seen:
                     seen.add(keys[-1])
-                    np.add.at(sketch, s >> U(64 - SKETCH_BITS), 1)
+                    np.add.at(sketch, s >> U(64 - bits), 1)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "cls", "part", "salt", "counts"])
         if seen:
             salt = min(seen) % SKETCH_SALTS
-            pieces = sketch.reshape(SKETCH_PARTS, -1)
+            pieces = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
             m = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([salt] * m, pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["doc_id", "n", "cls", "part", "salt", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, part int, salt int, counts binary")
 
 
-def summed_sketch(parts: DataFrame) -> np.ndarray:
-    """The sketch of all tasks; what reaches the driver has a fixed size."""
+def summed_sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """The sketch of all tasks, each count as its logarithm in one byte; what reaches the driver has a bounded size."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first = None, None
-        for b in batches:
-            for x in b["counts"]:
-                v = np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64)
-                total = v if total is None else total + v
-            first = first or (b["part"][0].as_py(), b["salt"][0].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([first[0]], pa.int32()), pa.array([first[1]], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "salt", "counts"])
+    def add(kind: type, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, first = None, None
+            for b in batches:
+                for x in b["counts"]:
+                    v = np.frombuffer(x.as_buffer(), kind).astype(np.uint64)
+                    total = v if total is None else total + v
+                first = first or (b["part"][0].as_py(), b["salt"][0].as_py())
+            said = np.minimum(255, 8 * np.log2(1 + total.astype(float))).astype(np.uint8) if last else total
+            yield pa.RecordBatch.from_arrays([pa.array([first[0]], pa.int32()), pa.array([first[1]], pa.int32()), pa.array([said.tobytes()], pa.binary())], names=["part", "salt", "counts"])
+
+        return run
 
     schema = "part int, salt int, counts binary"
-    once = parts.groupBy("part", "salt").applyInArrow(add, schema)
-    got = once.groupBy("part").applyInArrow(add, schema).collect()
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
+    once = parts.groupBy("part", "salt").applyInArrow(add(np.uint8, False), schema)
+    got = once.groupBy("part").applyInArrow(add(np.uint64, True), schema).collect()
+    out = np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.uint8)
     for r in got:
-        out[r.part] = np.frombuffer(bytes(r.counts), np.uint32)
+        out[r.part] = np.frombuffer(bytes(r.counts), np.uint8)
     return out.ravel()
 
 
 def prefix_tokens(s: np.ndarray, sketch: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """The prefix of a set in the global order. A token is its shingle's count and 40 bits of its hash."""
-    n = len(s)
+    """The prefix of a set in the global order. A token is its shingle's count in the sketch and 40 bits of its hash."""
+    n, bits = len(s), len(sketch).bit_length() - 1
     p = n - -(-share[0] * n // share[1]) + 1
-    tokens = np.minimum(sketch[s >> U(64 - SKETCH_BITS)], (1 << 24) - 1).astype(U) << U(40) | (s & U((1 << 40) - 1))
+    tokens = sketch[s >> U(64 - bits)].astype(U) << U(40) | (s & U((1 << 40) - 1))
     if p < n:
         tokens = np.partition(tokens, p - 1)[:p]
     return np.sort(tokens)
@@ -371,12 +386,29 @@ def forest(keys: list[int], sets: list[np.ndarray], second: np.ndarray, share: t
 def cluster_links(members: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) that connect the classes of each cluster (cluster, cls) as all its links would.
 
-    Clusters are dealt in pairs of blocks, so no task holds more than two blocks.
+    Clusters are dealt in pairs of blocks, so no task holds more than two blocks. Pairs of classes that are
+    connected already are compared only where they share a pair of blocks with others.
     """
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("o", other).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cls").join(texts, "cls")
+    placed = cut(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    first = cut(compared(placed.withColumn("o", F.explode(others)), texts, k, share))
+    joined = placed.join(components(first).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    joined = cut(joined.select("cluster", "cls", "label"))
+    parts = joined.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("inside"), F.sum("n").alias("all"))
+    rest = largest.where(F.col("all") > F.col("inside"))
+    # Blocks of classes outside the largest part come first, those inside it after them.
+    counted = rest.select("cluster", "largest", F.ceil((F.col("all") - F.col("inside")) / BLOCK).cast("int").alias("out"), F.ceil(F.col("inside") / BLOCK).cast("int").alias("in"))
+    left = joined.join(counted, "cluster")
+    inside = F.col("label") == F.col("largest")
+    left = left.withColumn("block", F.when(inside, F.col("out") + F.pmod(F.xxhash64("cls"), F.col("in"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("out"))).cast("int"))
+    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("out")).otherwise(F.col("out") + F.col("in")) - 1)))
+    return first.unionByName(compared(left, texts, k, share))
+
+
+def compared(dealt: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) within each pair of blocks, from rows (cluster, cls, block, o): a class and a block that meets its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, blocks, i = [], [], [], None
@@ -390,7 +422,8 @@ def cluster_links(members: DataFrame, texts: DataFrame, k: int, share: tuple[int
             a, b = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    pairs = dealt.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "cls").join(texts.hint("merge"), "cls")
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 # -- components -------------------------------------------------------------------------------------
@@ -453,9 +486,10 @@ def link_classes(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     """(doc_id, n, cls) of every document, and links (a, b) that connect exactly the components of all links."""
     spark = docs.sparkSession
     ship(spark)
-    first = cut(classified(docs, k))
+    bits = sketch_bits(docs)
+    first = cut(classified(docs, k, bits))
     rows = first.where("part is null").select("doc_id", "n", "cls")
-    sketch = summed_sketch(first.where("part is not null").select("part", "salt", "counts"))
+    sketch = summed_sketch(first.where("part is not null").select("part", "salt", "counts"), bits)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -522,9 +556,11 @@ def jaccard_components(docs: DataFrame, k: int = K, share: tuple[int, int] = SHA
     rows, links = link_classes(docs, k, share)
     labels = components(links).withColumnRenamed("node", "cls")
     classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    joined = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = joined.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    names = cut(joined.join(least, "label").select("cls", "class_id", "component_id"))
+    linked_classes = cut(classes.join(labels, "cls"))
+    salt = F.pmod(F.xxhash64("cls"), F.lit(LABEL_SALTS)).cast("int")  # a component may hold a large share of all classes
+    least = linked_classes.groupBy("label").agg(F.min("class_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+    known = linked_classes.withColumn("salt", salt).join(least, ["label", "salt"]).select("cls", "component_id")
+    names = cut(classes.join(known, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
     named = rows.join(names, "cls", "left")
     own = F.col("doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(own.isNotNull(), F.coalesce("class_id", own)).alias("class_id"), F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
@@ -550,4 +586,10 @@ def drop_duplicates(docs: DataFrame, k: int, share: tuple[int, int]) -> DataFram
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row of documents.
+
+    Null and wordless texts have no shingles and are their own component; rows with a null id connect others
+    but have a null component; repeated ids are documents of their own; an empty table gives no rows. Other
+    columns are not read.
+    """
     return jaccard_components(table(spark, sf_dir, "documents"))
