@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ END_BYTE = 0xFF  # never part of UTF-8
 ALPHA = 0.1
 #: Bytes of text in a block, blocks merged at once, and most buckets.
 BLOCK_BYTES, FAN, MOST_BUCKETS = 16_000_000, 16, 16_384
+#: Most partitions of a shuffle; below that their number follows the blocks, so no task takes in more as texts grow.
+MOST_PARTITIONS = 100_000
 #: Texts of a block handled at once.
 SLICE_TEXTS = 512
 WORDS, GRAMS = 0, 1
@@ -160,7 +163,7 @@ def requests(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.groupBy("blk").applyInArrow(run, "kind int, bucket int, node long, keys binary, counts binary")
 
 
-def merged(asked: DataFrame) -> DataFrame:
+def merged(asked: DataFrame, partitions: int) -> DataFrame:
     """A row for each bucket and ``FAN`` of its nodes: their keys with summed counts, and for each node the places of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +181,18 @@ def merged(asked: DataFrame) -> DataFrame:
         ], names=["kind", "bucket", "up", "keys", "counts", "nodes", "places", "n", "v"])
 
     schema = "kind int, bucket int, up long, keys binary, counts binary, nodes array<long>, places array<binary>, n long, v long"
-    return asked.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).groupBy("kind", "bucket", "up").applyInArrow(run, schema)
+    return asked.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).repartition(partitions, "kind", "bucket", "up").groupBy("kind", "bucket", "up").applyInArrow(run, schema)
+
+
+def partitions_for(df: DataFrame, blocks: int, each: int = 1) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(each * blocks, MOST_PARTITIONS))
 
 
 def totals(asked: DataFrame, blocks: int) -> list[DataFrame]:
     """The levels of merging, the last with one row for each bucket."""
     levels = []
     while not levels or blocks > 1:
-        levels.append(cut(merged(asked)))
+        levels.append(cut(merged(asked, partitions_for(asked, blocks))))
         asked = levels[-1].select("kind", "bucket", F.col("up").alias("node"), "keys", "counts")
         blocks = -(-blocks // FAN)
     return levels
@@ -408,7 +415,7 @@ def score_blocks(docs: DataFrame, answered: DataFrame, buckets: int, train_token
             texts = part["text"].to_pylist()
             for t in texts:
                 words.update(words_of(t))
-            parts.append(np.unique(stream(texts)[0]))
+            parts.append(pd.unique(stream(texts)[0]))
             if len(parts) > 16:
                 parts = [np.unique(np.concatenate(parts))]
         listed = list(words)
@@ -423,8 +430,11 @@ def score_blocks(docs: DataFrame, answered: DataFrame, buckets: int, train_token
             return out
 
         counts = got(WORDS, word_keys, np.uint64)[np.searchsorted(word_keys, hashed)]
-        logs = np.log10(counts + ALPHA) - scale
-        log_of, known_of = dict(zip(listed, logs[1:].tolist(), strict=True)), {w for w, c in zip(listed, counts[1:].tolist(), strict=True) if c}
+        distinct_counts, place = np.unique(counts, return_inverse=True)
+        value = np.log10(distinct_counts.astype(np.float64) + ALPHA) - scale
+        logs = value[place]
+        log_of = dict(zip(listed, logs[1:].tolist(), strict=True))
+        unseen = float(value[0]) if not distinct_counts[0] else None  # what words have that training never met
         log_bytes, lookup = got(GRAMS, grams, np.float32).astype(np.float64), Lookup(grams)
         end_log, end_known = float(logs[0]), int(counts[0] > 0)
         out = []
@@ -437,8 +447,9 @@ def score_blocks(docs: DataFrame, answered: DataFrame, buckets: int, train_token
             for t in texts:
                 w = words_of(t)
                 n.append(len(w) + 1)
-                known.append(sum(map(known_of.__contains__, w)) + end_known)
-                base.append(sum(map(log_of.__getitem__, w), end_log))
+                said = [*map(log_of.__getitem__, w)]
+                known.append(len(w) - said.count(unseen) + end_known)
+                base.append(sum(said, end_log))
             m = part.num_rows
             out.append(pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([train_tokens] * m, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(-score / (np.log10(2) * sizes), pa.float64())], names=names))
         return pa.Table.from_batches(out)
@@ -459,6 +470,7 @@ def score_lm(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"),
         (F.col("doc_id").isNotNull() & ~held).alias("train"),
     )
+    dealt = dealt.repartition(partitions_for(docs, blocks, 4), "blk")  # few blocks meet in one partition then
     levels = totals(requests(dealt, buckets), blocks)
     sums = levels[-1]
     row = sums.where(F.col("kind") == WORDS).agg(F.sum("n"), F.sum("v")).first()
