@@ -297,6 +297,41 @@ def test_viterbi_is_the_best_path():
         assert quality.viterbi(emit, chain) == best
 
 
+def test_line_model_gradient_against_enumeration():
+    """The likelihood by all label paths, its gradient by differences."""
+    rng = np.random.default_rng(1)
+    x, mask, y = rng.normal(size=(3, 4, 2)), np.array([[1, 1, 1, 1], [1, 1, 0, 0], [1, 0, 0, 0]], bool), rng.integers(0, 2, (3, 4))
+    y[~mask] = 0
+    x[~mask] = 0
+
+    def value(w, chain):
+        total = 0.0
+        for i in range(3):
+            m = mask[i].sum()
+            score = lambda p: sum(x[i, t] @ w * p[t] for t in range(m)) + sum(chain[a, b] for a, b in zip(p, p[1:], strict=False))  # noqa: E731, B023
+            total += score(list(y[i, :m])) - np.logaddexp.reduce([score([b >> t & 1 for t in range(m)]) for b in range(1 << m)])
+        return total
+
+    w, chain = rng.normal(size=2), rng.normal(size=(2, 2))
+    said, grad, gchain = quality.likelihood(x, mask, y, w, chain)
+    assert said == pytest.approx(value(w, chain))
+    e = 1e-6
+    for k in range(2):
+        assert grad[k] == pytest.approx((value(w + e * np.eye(2)[k], chain) - value(w - e * np.eye(2)[k], chain)) / (2 * e), abs=1e-6)
+    for i in (0, 1):
+        for j in (0, 1):
+            d = np.zeros((2, 2))
+            d[i, j] = e
+            assert gchain[i, j] == pytest.approx((value(w, chain + d) - value(w, chain - d)) / (2 * e), abs=1e-6)
+
+
+def test_line_model_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PIECES", 7)
+    docs = docs_of(spark, ["a line of words\n" * 3000, "#\n" * 100, "b"])
+    got = quality.sample_features(docs, spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int"))
+    assert len(got) == 7 and all(len(f) <= quality.TRAIN_LINES for f, _ in got)
+
+
 # -- language model -----------------------------------------------------------------------------------
 
 
