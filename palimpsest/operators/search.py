@@ -23,7 +23,7 @@ def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...
     full = met(asked, texts, posted).join(own, "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
     able = full.where(shared_tokens() >= enough())
     hits = (inner_hits if kind == INNER else token_hits)(F.col("q"), F.col("t"), F.col("tol"))
-    rows = able.select("query_id", "text_id", F.posexplode(hits).alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
+    rows = able.select("query_id", "text_id", hits.alias("hits")).select("query_id", "text_id", F.posexplode("hits").alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("text_id", "place")) - 1
     return rows.select("query_id", number.alias("result_id"), "text_id", "matched_sequence", F.col("edit_distance").cast("int").alias("edit_distance"))
 

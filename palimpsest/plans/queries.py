@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import render
 from palimpsest.functions import text as T
 from palimpsest.functions.modes import named_entities, project_modes
 from palimpsest.functions.thresholds import INNER, TOKENS, benchmark_column, required_column
@@ -582,6 +583,29 @@ def cell_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(centres.withColumn("whole", F.lit(True)), "cell_id", "left").join(rows.withColumnRenamed("vector", "was"), "chunk_id").select("chunk_id", (F.col("whole") & (F.col("vector") == F.col("was"))).alias("whole"))
 
 
+# -- presentation -----------------------------------------------------------------------------------
+
+
+def sql_html(column: str) -> str:
+    """A value as HTML escapes it."""
+    out = f"CAST({column} AS VARCHAR)"
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        out = f"replace({out}, '{raw}', '{safe}')"
+    return out
+
+
+CELLS_SQL = " || ".join(f"'<td>' || {sql_html(c)} || '</td>'" for c in ("text_id", "matched_sequence", "edit_distance"))
+
+
+@query("rendered_hits", f"""WITH {DOCS}, {ASKED_ITEMS}, {sql_search(f"""SELECT '<h3>query: &lt;all&gt; passages, mode: forms, distance: edit_distance_inner, tolerance: {TOLERANCE}</h3><p>' || (SELECT count(*) FROM hits) || ' results' || CASE WHEN (SELECT count(*) FROM hits) > 100 THEN ', the first 100 are shown' ELSE '' END
+|| '</p><table><thead><tr><th>text_id</th><th>matched_sequence</th><th>edit_distance</th></tr></thead><tbody>' || string_agg('<tr>' || {CELLS_SQL} || '</tr>', '' ORDER BY edit_distance, text_id, query_id, result_id) || '</tbody></table>' AS html
+FROM (SELECT * FROM hits ORDER BY edit_distance, text_id, query_id, result_id LIMIT 100)""")}""")
+def rendered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of all passages as the page shows them: escaped, counted, the first hundred."""
+    hits = search_inner(spark, sf_dir).orderBy("edit_distance", "text_id", "query_id", "result_id")
+    return spark.createDataFrame([(render.query_hits(hits, "<all> passages", "forms", "edit_distance_inner", TOLERANCE),)], "html string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages found again in documents."""
     return search_inner(spark, sf_dir)

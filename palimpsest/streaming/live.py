@@ -27,4 +27,4 @@ def standing_search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple
     counted = lambda q: F.size(F.array_intersect(held, F.array_except(q["counted"], F.array(F.lit(UNKNOWN), F.lit("")))))
     met = texts.join(F.broadcast(row)).withColumn("q", F.explode(F.filter("asked", lambda q: counted(q) >= F.greatest(q["need"], F.lit(1))))).drop("asked")
     hits = (inner_hits if kind == INNER else token_hits)(F.col("q.tokens"), F.col("tokens"), F.col("q.tol"))
-    return met.select(F.col("q.query_id").alias("query_id"), "text_id", F.explode(hits).alias("h")).select("query_id", "text_id", join_tokens(F.col("h.matched")).alias("matched_sequence"), "h.edit_distance")
+    return met.select(F.col("q.query_id").alias("query_id"), "text_id", hits.alias("hits")).select("query_id", "text_id", F.explode("hits").alias("h")).select("query_id", "text_id", join_tokens(F.col("h.matched")).alias("matched_sequence"), "h.edit_distance")
