@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": jaccard.ORACLE_OP1,
     "op7_vafile": vafile.ORACLE_OP7,
     "op9_chat": chat.ORACLE_OP9,
 }
