@@ -499,10 +499,10 @@ def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(f"{path}/csv", header=True).join(listed, "shortcut", "left").select("shortcut", "name", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-@query("archive_texts", r"""SELECT 'zip' || (doc_id % 5) AS project, source || '/corpusjson/' || doc_id || '.json' AS path, '{"n":' || doc_id || '}' AS json, CAST(NULL AS VARCHAR) AS error FROM documents
+@query("archive_texts", r"""SELECT 'zip' || (doc_id // 1000) AS project, source || '/corpusjson/' || doc_id || '.json' AS path, '{"n":' || doc_id || '}' AS json, CAST(NULL AS VARCHAR) AS error FROM documents
 UNION ALL SELECT 'bad', NULL, NULL, 'BadZipFile: File is not a zip file'""")
 def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts zipped by project and unpacked again, beside an archive that is none."""
+    """Texts zipped a thousand ids at a time and unpacked again, beside an archive that is none."""
     ship(spark)
 
     def zipped(key: tuple, rows: pa.Table) -> pa.Table:
@@ -513,7 +513,7 @@ def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 z.writestr(f"{source}/other/{i}.json", "{}")
         return pa.table({"path": [f"/land/zip{key[0].as_py()}.zip"], "content": pa.array([held.getvalue()], pa.binary())})
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 5).alias("k"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 1000).alias("k"))
     bad = spark.range(1).select(F.lit("/land/bad.zip").alias("path"), F.lit("no archive").cast("binary").alias("content"))
     return ingest.unpack(docs.groupBy("k").applyInArrow(zipped, "path string, content binary").unionByName(bad))
 
