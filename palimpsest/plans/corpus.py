@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN, core_project, mark_unknown, normalise_signs, split_signs, to_entities, tokens
-from palimpsest.session import table
+from palimpsest.session import spread, table
 
 EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
@@ -17,7 +17,7 @@ def doc_id_text() -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(text_id, core_project, tokens): documents by the white space between their words."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select(doc_id_text().alias("text_id"), core_project(doc_id_text()).alias("core_project"), tokens(F.col("text")).alias("tokens"))
 
 
