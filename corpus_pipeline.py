@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, jaccard, mixing, pii, quality
-from palimpsest.session import cut, table
+from palimpsest.session import cut, spread, table
 
 #: Near duplicates: five words a shingle, and this similarity.
 NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
@@ -73,7 +73,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

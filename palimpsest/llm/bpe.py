@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices
-from palimpsest.session import ship, table
+from palimpsest.session import ship, spread, table
 
 #: Words of one generation of the store of encodings. A full generation becomes the old one, whose words
 #: move on when they are met again, and the old one before it goes: memory is bounded, frequent words stay.
@@ -355,4 +355,4 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts count as empty (no tokens, digests of the empty string); null ids pass through; repeated rows
     come out alike; an empty table gives no rows. Other columns are not read.
     """
-    return digest_tokens(table(spark, sf_dir, "documents"))
+    return digest_tokens(spread(table(spark, sf_dir, "documents")))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices
-from palimpsest.session import cut, ship, table
+from palimpsest.session import cut, ship, spread, table
 
 K, SHARE = 4, (85, 100)
 #: Least and most counters of the sketch (as powers of 2), bytes of text a counter, its parts, and the salts of its two-step sum.
@@ -561,7 +561,7 @@ def jaccard_components(docs: DataFrame, k: int = K, share: tuple[int, int] = SHA
     least = linked_classes.groupBy("label").agg(F.min("class_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
     known = linked_classes.withColumn("salt", salt).join(least, ["label", "salt"]).select("cls", "component_id")
     names = cut(classes.join(known, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
-    named = rows.join(names, "cls", "left")
+    named = rows.join(names.hint("merge"), "cls", "left")  # both sides grow with the documents
     own = F.col("doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(own.isNotNull(), F.coalesce("class_id", own)).alias("class_id"), F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
 
@@ -592,7 +592,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     but have a null component; repeated ids are documents of their own; an empty table gives no rows. Other
     columns are not read.
     """
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(spread(table(spark, sf_dir, "documents")))
 
 
 #: All pairs that share a shingle, and what they reach; fit for the small tables that it checks.

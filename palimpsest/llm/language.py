@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fold_of, slices
-from palimpsest.session import ship, table
+from palimpsest.session import ship, spread, table
 
 FOLDS, HELD_OUT = 4, 2
 DIMENSIONS, SEED = 1024, 20240607
@@ -211,6 +211,6 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null ids are predicted and never held out; null texts and texts without a letter are ``und`` with score 0;
     ties go to the smaller language name; an empty table gives no rows. Other columns are not read.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     train = docs.where("doc_id is not null and lang is not null and text is not null").where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     return predict(docs, learn_prototypes(train))

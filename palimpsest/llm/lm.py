@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fold_of, slices
-from palimpsest.session import cut, ship, table
+from palimpsest.session import cut, ship, spread, table
 
 FOLDS, HELD_OUT = 10, 0
 DEPTH = 5
@@ -484,4 +484,4 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null texts count as empty (one token, the end); null ids are scored and not learned from; repeated rows
     count each; an empty table gives no rows. Other columns are not read.
     """
-    return score_lm(table(spark, sf_dir, "documents"))
+    return score_lm(spread(table(spark, sf_dir, "documents")))

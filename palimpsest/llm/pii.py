@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import slices
-from palimpsest.session import cut, ship, table
+from palimpsest.session import cut, ship, spread, table
 
 KEY_SETTING = "spark.palimpsest.pii.key"
 ROUNDS = 8
@@ -507,5 +507,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null ids and null texts pass through, empty texts stay empty, repeated rows come out alike; an empty table
     gives none. Other columns are not read.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id"), F.col("text"))
     return replace_pii(docs, counts=True)

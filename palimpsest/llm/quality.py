@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices
-from palimpsest.session import ship, table
+from palimpsest.session import ship, spread, table
 
 #: Bounds on the labelled documents that the CRF is fitted on, and on their pieces.
 SAMPLE_DOCS, SAMPLE_PIECES = 2000, 16_000
@@ -283,4 +283,4 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and fail; null ids pass through; repeated rows come out alike; without
     labels the line model is ``PRIOR``; an empty table gives no rows. Other columns are not read.
     """
-    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import fold_of, slices
-from palimpsest.session import cut, ship, table
+from palimpsest.session import cut, ship, spread, table
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds on the labelled rows that the lexicon and the curve are fitted on.
@@ -233,5 +233,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null ids are scored and never held out; null and empty texts score what no match scores; repeated rows
     come out alike; without labels all scores are 0; an empty table gives no rows. Other columns are not read.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
