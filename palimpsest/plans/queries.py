@@ -524,6 +524,17 @@ def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.text_id_of_path(path, F.lit("proj/")).alias("text_id"))
 
 
+@query("scanned_files", "SELECT 'proj/sub' AS folder, CAST(item_id AS VARCHAR) AS n FROM benchmark")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as files of their own in a corpusjson folder, beside a folder that is none, found by a scan."""
+    path = shared_dir(spark)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"))
+    for folder in ("corpusjson", "other"):
+        items.write.option("maxRecordsPerFile", 1).json(f"{path}/land/proj/sub/{folder}")
+    found = ingest.read_json_texts(spark, f"{path}/land")
+    return found.select(T.core_project(F.col("text_id")).alias("folder"), F.get_json_object("json", "$.n").alias("n"))
+
+
 @query("metadata_fields", """SELECT DISTINCT source AS project, 'Source ' || source AS name FROM documents""")
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.projects(spark, sf_dir).select("project", F.to_json(F.struct(F.struct(F.col("name"), F.lit(1).alias("v")).alias("config"))).alias("json"))
