@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN
@@ -50,23 +50,16 @@ def with_threshold(queries: DataFrame, kind: str, stop: tuple[str, ...], mark: f
     return marked.withColumn("need", need).drop("mark")
 
 
-def shared_tokens() -> Column:
-    """How many counted tokens of a query (counted) a text (t) holds."""
-    return F.size(F.array_intersect(F.array_distinct("t"), F.array_except("counted", F.array(F.lit(UNKNOWN), F.lit("")))))
-
-
-def enough() -> Column:
-    return F.greatest(F.col("need"), F.lit(1))
-
-
-def met(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """(query_id, text_id) of pairs that can share max(need, 1) counted tokens.
+def candidates(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """(query_id, text_id, shared) with at least max(need, 1) shared counted tokens, from queries (query_id, counted, need).
 
     A text that shares ``need`` of a query's tokens shares need - d of those that are left when d are left
-    out. So up to need - 1 tokens that many texts hold never meet the postings, and pairs are counted on
-    the others before any full text is joined. Frequencies are counted for the queries' tokens alone.
+    out. So up to need - 1 tokens that many texts hold stay out of the first count; they are looked up for the
+    pairs that pass alone. Frequencies are counted for the queries' tokens alone. No text is read but for its
+    postings, which ``posted`` can hold ready.
     """
-    asked = queries.select("query_id", enough().alias("least"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, ""))
+    least = F.greatest(F.col("need"), F.lit(1))
+    asked = small(queries.select("query_id", least.alias("least"), F.explode("counted").alias("token")).where(~F.col("token").isin(UNKNOWN, "")))
     vocabulary = small(asked.select("token").distinct())
     held = (postings(texts) if posted is None else posted).join(vocabulary, "token")
     if posted is None:
@@ -76,15 +69,14 @@ def met(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -
     own = Window.partitionBy("query_id")
     ranked = asked.join(frequency, "token").withColumn("r", F.row_number().over(own.orderBy("df", "token"))).withColumn("common", F.sum((F.col("df") > many).cast("int")).over(own)).withColumn("all", F.count("*").over(own))
     dropped = F.least(F.col("least") - 1, F.col("common"))
-    probes = small(ranked.where(F.col("r") <= F.col("all") - dropped).select("token", "query_id", (F.col("least") - dropped).alias("floor")))
-    return held.join(probes, "token").groupBy("query_id", "text_id").agg(F.count("*").alias("n"), F.first("floor").alias("floor")).where("n >= floor").select("query_id", "text_id")
-
-
-def candidates(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """(query_id, text_id, shared) with at least max(need, 1) shared counted tokens."""
-    queries = small(queries.select("query_id", "counted", "need"))
-    full = met(queries, texts, posted).join(queries, "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
-    return full.select("query_id", "text_id", shared_tokens().alias("shared"), "need").where(F.col("shared") >= enough()).select("query_id", "text_id", "shared")
+    parted = cut(ranked.select("token", "query_id", "least", (F.col("least") - dropped).alias("floor"), (F.col("r") <= F.col("all") - dropped).alias("first")))
+    probes = small(parted.where("first").drop("first"))
+    met = held.join(probes, "token").groupBy("query_id", "text_id").agg(F.count("*").cast("int").alias("n"), F.first("floor").alias("floor"), F.first("least").alias("least")).where("n >= floor")
+    met = cut(met.drop("floor"))
+    late = small(parted.where("not first").select("query_id", "token"))
+    more = met.join(late, "query_id").join(held, ["token", "text_id"]).groupBy("query_id", "text_id").agg(F.count("*").cast("int").alias("more"))
+    shared = met.join(more, ["query_id", "text_id"], "left").withColumn("shared", F.col("n") + F.coalesce("more", F.lit(0)))
+    return shared.where(F.col("shared") >= F.col("least")).select("query_id", "text_id", "shared")
 
 
 def texts_with(texts: DataFrame, token: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.distance import inner_hits, token_hits
 from palimpsest.functions.text import core_project, join_tokens
 from palimpsest.functions.thresholds import INNER, TOKENS
-from palimpsest.operators.index import enough, met, shared_tokens, small, with_threshold
+from palimpsest.operators.index import candidates, small, with_threshold
 from palimpsest.operators.windows import query_windows
 
 
@@ -19,9 +19,8 @@ def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...
     result_id counts a query's hits by text and place. Sorting for display is left to the caller.
     """
     asked = small(with_threshold(queries, kind, stop, mark, corrected))
-    own = asked.select("query_id", F.col("tokens").alias("q"), "tol", "counted", "need")
-    full = met(asked, texts, posted).join(own, "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
-    able = full.where(shared_tokens() >= enough())
+    pairs = candidates(asked, texts, posted).select("query_id", "text_id")
+    able = pairs.join(asked.select("query_id", F.col("tokens").alias("q"), "tol"), "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
     hits = (inner_hits if kind == INNER else token_hits)(F.col("q"), F.col("t"), F.col("tol"))
     rows = able.select("query_id", "text_id", hits.alias("hits")).select("query_id", "text_id", F.posexplode("hits").alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("text_id", "place")) - 1
