@@ -66,10 +66,11 @@ def near_copies(seed, bases=6, copies=12):
     return out
 
 
-@pytest.mark.parametrize("long_list", [2, 24])
-def test_jaccard_against_brute_force(spark, monkeypatch, long_list):
-    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
-    monkeypatch.setattr(jaccard, "BLOCK", 5)
+@pytest.mark.parametrize(("long_list", "product", "broadcast", "bits"), [(2, 64, jaccard.BROADCAST_ROWS, (20, 24)), (24, 64, 0, (20, 24)), (4, 1, 0, (6, 6))])
+def test_jaccard_against_brute_force(spark, monkeypatch, long_list, product, broadcast, bits):
+    """Either side of every bound that decides how pairs are found gives the same components."""
+    for name, value in (("LONG_LIST", long_list), ("LARGE_PRODUCT", product), ("BROADCAST_ROWS", broadcast), ("SKETCH_BITS", bits), ("BLOCK", 5)):
+        monkeypatch.setattr(jaccard, name, value)
     texts = near_copies(3) + ODD
     ids = [7 * i + 1 for i in range(len(texts))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts, ids)).collect()}
