@@ -31,6 +31,8 @@ BLOCK_TOKENS = 1_000_000
 SEED = 17
 #: Rows of a slice of a source's permutation.
 SLICE_ROWS = 5000
+#: Tokens of a partition in which slices are ordered: the number of partitions follows the budget.
+PARTITION_TOKENS = 2_000_000
 #: Bisections that one aggregation decides, and aggregations.
 STEPS, ROUNDS = 6, 5
 #: Most sources whose weights are broadcast; above, the join is salted.
@@ -138,11 +140,12 @@ def placed(
         .withColumn("mix_slice", F.floor(F.col("mix_order") / F.lit(2.0**53) * F.col("mix_slices")))
     )
     slice_key = ["mix_source", "mix_epoch", "mix_slice"]
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(budget / PARTITION_TOKENS))
     sums = rows.groupBy(*slice_key).agg(F.sum("mix_tokens").alias("mix_sum"))
     before = F.sum("mix_sum").over(Window.partitionBy("mix_source", "mix_epoch").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select(*slice_key, F.coalesce(before, F.lit(0)).alias("mix_offset"))
     inside = F.sum("mix_tokens").over(Window.partitionBy(*slice_key).orderBy("mix_order", "mix_id", "mix_key", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    counted = rows.withColumn("mix_inside", F.coalesce(inside, F.lit(0))).join(offsets, slice_key, "left").withColumn("mix_offset", F.coalesce("mix_offset", F.lit(0)))
+    counted = rows.repartition(width, *slice_key).withColumn("mix_inside", F.coalesce(inside, F.lit(0))).join(offsets, slice_key, "left").withColumn("mix_offset", F.coalesce("mix_offset", F.lit(0)))
     start = (F.col("mix_epoch") - 1) * F.col("mix_total") + F.col("mix_offset") + F.col("mix_inside")
     kept = counted.withColumn("mix_start", start).where((F.col("mix_start") < F.col("mix_target")) | ((F.col("mix_tokens") == 0) & (F.col("mix_epoch") == 1)))
     return kept.select("mix_doc", "mix_source", "mix_tokens", "mix_epoch", F.floor(F.col("mix_start") / F.col("mix_quota")).cast("long").alias("mix_block"), "mix_order")
