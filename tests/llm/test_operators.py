@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -530,6 +531,38 @@ def test_pii_leaves_no_planted_secret_whatever_stands_beside_it():
     assert not missed
 
 
+def plain_entities(text):
+    """What stands between blanks and is an address, a number or a key by its parts alone; no pattern of the operator."""
+    out, words = set(), (text or "").split()
+    for i, w in enumerate(words):
+        bare = w.strip("\"'.,;!?()[]|*#$%&<>")
+        parts = bare.split(".")
+        if bare.count("@") == 1 and "." in bare.partition("@")[2]:
+            out.add(bare)
+        elif len(parts) == 4 and all(p.isdigit() and int(p) < 256 for p in parts):
+            out.add(bare)
+        elif bare.isdigit() and len(bare) == 16 or len(bare) == 40 and set(bare) <= set("0123456789abcdef"):
+            out.add(bare)
+        elif w == "+1" and i + 2 < len(words) and len(words[i + 1]) == 5:
+            out.add(f"{words[i + 1]} {words[i + 2][:8]}")
+    return out
+
+
+def test_pii_replaces_all_entities_of_a_corpus_and_keeps_them_apart(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    new = {r.doc_id: r.text for r in pii.replace_pii(docs, b"key").collect()}
+    real = {i: plain_entities(t) for i, t in old.items()}
+    assert sum(map(len, real.values())) > 20
+    assert not [(i, e) for i, found in real.items() for e in found if e in new[i]]
+    assert all(new[i] == old[i] for i, found in real.items() if not found and not pii.Surrogates(b"").entities(old[i]))
+    every, made = set().union(*real.values()), {e for t in new.values() for e in plain_entities(t)}
+    assert len(made) == len(every) and not made & every
+
+
 def test_pii_coreference_gender_and_script():
     make = pii.Surrogates(b"k")
     new, _ = make.apply("+1 (017) 555-7713, 017-555-7713, (017) 555-7713; 4539 5787 6362 1486 4539578763621486; Mr. Qwan Miller, Mrs. Qwin Miller; MILLER; Анна Петрова")
