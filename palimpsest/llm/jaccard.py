@@ -559,7 +559,7 @@ def jaccard_components(docs: DataFrame, k: int = K, share: tuple[int, int] = SHA
     linked_classes = cut(classes.join(labels, "cls"))
     salt = F.pmod(F.xxhash64("cls"), F.lit(LABEL_SALTS)).cast("int")  # a component may hold a large share of all classes
     least = linked_classes.groupBy("label").agg(F.min("class_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
-    known = linked_classes.withColumn("salt", salt).join(least, ["label", "salt"]).select("cls", "component_id")
+    known = linked_classes.withColumn("salt", salt).join(least.hint("merge"), ["label", "salt"]).select("cls", "component_id")
     names = cut(classes.join(known, "cls", "left").select("cls", "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
     named = rows.join(names.hint("merge"), "cls", "left")  # both sides grow with the documents
     own = F.col("doc_id")
