@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,13 +29,13 @@ from palimpsest.session import ship, spread, table
 #: Words of one generation of the store of encodings. A full generation becomes the old one, whose words
 #: move on when they are met again, and the old one before it goes: memory is bounded, frequent words stay.
 CACHE_WORDS = 100_000
-#: Pairs of tokens whose merging a worker remembers.
+#: Pairs of tokens whose merging a worker remembers, and moves of the automaton.
 CACHE_PAIRS = 300_000
 #: Texts whose distinct words make one trie.
 TRIE_TEXTS = 512
 #: Bytes from which a word is walked alone, without nodes.
 LONG_WORD = 1024
-END = "</w>"
+END, WORD_END = "</w>", 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,35 +62,55 @@ class WordBpe:
         self.letters = byte_letters()
         self.words = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.wholes: dict[str, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
-        # The vocabulary read backwards, as one table of steps: place and byte give the next place. Entries with
-        # a word end start at place 1, others at 0.
-        self.steps: dict[int, int] = {}
-        self.entry: list[str | None] = [None, None]
+        # The vocabulary as one automaton (Aho-Corasick): after each byte its place tells the vocabulary entries that
+        # end there, the longest first. WORD_END is a symbol of its own.
         back = {c: b for b, c in self.letters.items()}
+        self.step: dict[int, int] = {}
+        self.entry: list[str | None] = [None]
+        depth, above = [0], [(0, 0)]
         for token in self.vocab:
             ends = token.endswith(END) and len(token) > len(END)
-            at = int(ends)
-            for c in reversed(token.removesuffix(END) if ends else token):
-                key = at << 8 | back[c]
-                if key not in self.steps:
-                    self.steps[key] = len(self.entry)
+            at = 0
+            for x in [*map(back.__getitem__, token.removesuffix(END) if ends else token), *([WORD_END] if ends else [])]:
+                key = at << 9 | x
+                there = self.step.get(key)
+                if there is None:
+                    there = self.step[key] = len(depth)
+                    depth.append(depth[at] + 1)
+                    above.append((at, x))
                     self.entry.append(None)
-                at = self.steps[key]
+                at = there
             self.entry[at] = token
+        self.fall, self.next = [0] * len(depth), [0] * len(depth)  # the longest end that starts an entry, or is one
+        for place in sorted(range(1, len(depth)), key=depth.__getitem__):
+            at, x = above[place]
+            fall = 0
+            if at:
+                fall = self.fall[at]
+                while fall and fall << 9 | x not in self.step:
+                    fall = self.fall[fall]
+                fall = self.step.get(fall << 9 | x, 0)
+            self.fall[place] = fall
+            self.next[place] = fall if self.entry[fall] is not None else self.next[fall]
+        self.first = [place if entry is not None else more for place, (entry, more) in enumerate(zip(self.entry, self.next, strict=True))]
+        self.size = [n - (entry is not None and entry.endswith(END) and len(entry) > len(END)) for n, entry in zip(depth, self.entry, strict=True)]
+        self.wholes: list[bool | None] = [None] * len(depth)
+        self.moves: dict[int, int] = {}
 
     # -- words ---------------------------------------------------------------------------------
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: merge the pair of lowest rank, leftmost first, until none is left."""
-        symbols = list(symbols)
+        symbols, rank = list(symbols), self.rank.get
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: (self.rank.get((symbols[i], symbols[i + 1]), sys.maxsize), i))
-            if (symbols[best], symbols[best + 1]) not in self.rank:
+            ranks = [rank(pair, sys.maxsize) for pair in zip(symbols, symbols[1:], strict=False)]
+            lowest = min(ranks)
+            if lowest == sys.maxsize:
                 break
+            best = ranks.index(lowest)
             symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
         return symbols
 
@@ -101,56 +122,83 @@ class WordBpe:
             body[-1] += END
         return body
 
-    def joins(self, left: str, right: str) -> bool:
-        """Do two tokens stay as they are when they stand side by side?"""
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(self.spelled(left) + self.spelled(right)) == [left, right]
+    def joins(self, left: int, right: int) -> bool:
+        """Do the entries of two places stay as they are when they stand side by side?"""
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        a, b = self.entry[left], self.entry[right]
+        ok = self.pairs[left << 24 | right] = self.merge(self.spelled(a) + self.spelled(b)) == [a, b]
         return ok
 
-    def whole(self, token: str) -> bool:
+    def whole(self, place: int) -> bool:
         """Is a vocabulary entry the encoding of its own spelling?"""
-        ok = self.wholes[token] = len(self.merge(self.spelled(token))) == 1
+        ok = self.wholes[place] = len(self.merge(self.spelled(self.entry[place]))) == 1
         return ok
 
-    def last_token(self, path: Sequence[int], states: Sequence[str], ended: bool) -> tuple[str, int]:
-        """The last token of the prefix that ``path`` spells, from the states of its own prefixes; and its bytes.
-
-        Tokens that end here are found by reading the path backwards; the longest are tried first.
-        """
-        n = i = len(path)
-        steps, entry, pairs, wholes = self.steps, self.entry, self.pairs, self.wholes
-        at = int(ended)
-        found = []
-        while i:
-            i -= 1
-            at = steps.get(at << 8 | path[i])
-            if at is None:
-                break
-            if entry[at] is not None:
-                found.append((entry[at], i))
-        for token, i in reversed(found):
-            ok = wholes.get(token)
-            if not (self.whole(token) if ok is None else ok):
-                continue
-            if not i:
-                return token, n
-            before = states[i - 1]
-            ok = pairs.get((before, token))
-            if self.joins(before, token) if ok is None else ok:
-                return token, n - i
+    def move(self, at: int, x: int) -> int:
+        """The place after one more symbol."""
+        place = at
+        while place and place << 9 | x not in self.step:
+            place = self.fall[place]
+        if len(self.moves) > CACHE_PAIRS:
+            self.moves.clear()
+        there = self.moves[at << 9 | x] = self.step.get(place << 9 | x, 0)
+        return there
+
+    def last_token(self, place: int, n: int, states: Sequence[int]) -> int:
+        """The last token of a prefix of n bytes that ends at ``place``, from the states of its own prefixes."""
+        pairs, wholes, size, more = self.pairs, self.wholes, self.size, self.next
+        place = self.first[place]
+        while place:
+            ok = wholes[place]
+            if self.whole(place) if ok is None else ok:
+                rest = n - size[place]
+                if not rest:
+                    return place
+                before = states[rest - 1]
+                ok = pairs.get(before << 24 | place)
+                if self.joins(before, place) if ok is None else ok:
+                    return place
+            place = more[place]
         raise ValueError("no token ends here")
 
-    def tokens_of(self, path: Sequence[int], states: Sequence[str]) -> list[str]:
-        """All tokens of the word that ``path`` spells."""
-        token, size = self.last_token(path, states, True)
-        tokens, at = [token], len(path) - size
-        while at > 0:
-            tokens.append(states[at - 1])
-            at -= len(tokens[-1])
+    def follow(self, at: int, spelled: bytes, begin: int, states: list[int] | array) -> int:
+        """Append the states of the prefixes of a word that end at ``begin`` and later, but for the word itself."""
+        moves, first, wholes, size, pairs, more = self.moves, self.first, self.wholes, self.size, self.pairs, self.next
+        for n in range(begin, len(spelled)):
+            key = at << 9 | spelled[n - 1]
+            there = moves.get(key)
+            at = self.move(at, spelled[n - 1]) if there is None else there
+            place = first[at]
+            # The body of last_token, as this loop is where the time goes.
+            while place:
+                ok = wholes[place]
+                if self.whole(place) if ok is None else ok:
+                    rest = n - size[place]
+                    if not rest:
+                        break
+                    before = states[rest - 1]
+                    ok = pairs.get(before << 24 | place)
+                    if self.joins(before, place) if ok is None else ok:
+                        break
+                place = more[place]
+            else:
+                raise ValueError("no token ends here")
+            states.append(place)
+        return at
+
+    def tokens_of(self, at: int, spelled: Sequence[int], states: Sequence[int]) -> list[str]:
+        """All tokens of a word; ``at`` is the place after all its bytes but the last."""
+        n, moves = len(spelled), self.moves
+        for x in (spelled[-1], WORD_END):
+            there = moves.get(at << 9 | x)
+            at = self.move(at, x) if there is None else there
+        place = self.last_token(at, n, states)
+        tokens, rest = [self.entry[place]], n - self.size[place]
+        while rest > 0:
+            place = states[rest - 1]
+            tokens.append(self.entry[place])
+            rest -= self.size[place]
         return tokens[::-1]
 
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
@@ -162,17 +210,12 @@ class WordBpe:
         # A node: {byte: node, -1: word that ends there}; a rest: (bytes of the whole word, place in it, word).
         root: dict = {}
         out: dict[str, list[str]] = {}
-        last = self.last_token
         for word in words:
             spelled = word.encode("utf-8", "replace")
             n = len(spelled)
             if n > LONG_WORD:
-                states: list[str] = []
-                seen = bytearray()
-                for b in spelled[:-1]:
-                    seen.append(b)
-                    states.append(last(seen, states, False)[0])
-                out[word] = self.tokens_of(spelled, states)
+                alone = array("i")
+                out[word] = self.tokens_of(self.follow(0, spelled, 1, alone), spelled, alone)
                 continue
             node, at = root, 0
             while at < n:
@@ -187,28 +230,30 @@ class WordBpe:
                 node = there
             else:
                 node[-1] = word
-        path: list[int] = []
-        states = []  # states[i]: last token of the first i + 1 bytes, no word end
-        stack: list[tuple[int, int, dict | tuple]] = [(0, c, x) for c, x in root.items() if c >= 0]
         if -1 in root:
-            out[root[-1]] = []
+            out[root.pop(-1)] = []
+        path: list[int] = []
+        states: list[int] = []  # states[i]: last token of the first i + 1 bytes, no word end
+        # An entry: depth, place before the byte, byte, what hangs there.
+        stack: list[tuple[int, int, int, dict | tuple]] = [(0, 0, c, x) for c, x in root.items()]
+        moves = self.moves
         while stack:
-            depth, byte, node = stack.pop()
+            depth, at, byte, node = stack.pop()
             del path[depth:], states[depth:]
-            path.append(byte)
             if type(node) is tuple:
-                spelled, at, word = node
-                for b in spelled[at:]:
-                    states.append(last(path, states, False)[0])
-                    path.append(b)
-                out[word] = self.tokens_of(path, states)
+                spelled, begin, word = node
+                at = self.follow(at, spelled, begin, states)
+                out[word] = self.tokens_of(at, spelled, states)
                 continue
+            path.append(byte)
             word = node.pop(-1, None)
             if word is not None:
-                out[word] = self.tokens_of(path, states)
+                out[word] = self.tokens_of(at, path, states)
             if node:
-                states.append(last(path, states, False)[0])
-                stack.extend((depth + 1, c, x) for c, x in node.items())
+                there = moves.get(at << 9 | byte)
+                at = self.move(at, byte) if there is None else there
+                states.append(self.last_token(at, depth + 1, states))
+                stack.extend((depth + 1, at, c, x) for c, x in node.items())
         return out
 
     # -- texts ---------------------------------------------------------------------------------
