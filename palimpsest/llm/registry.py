@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, chat, jaccard, language, lm, mixing, pii, quality, toxicity, vafile
+from palimpsest.llm import alignment, bpe, chat, jaccard, language, lm, mixing, pii, quality, toxicity, vafile
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
+    "op11_token_alignment": alignment.op11_token_alignment,
 }
 
 ORACLE_SQL = {
