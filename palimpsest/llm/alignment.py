@@ -1,7 +1,8 @@
 """Cross-tokenizer alignment by an event sweep.
 
 1. Both tokenizers encode every whole text apart from each other. Where a token ends is an event; a row holds
-   the events of one side within one window of a text (``WINDOW`` bytes), so no row grows with its text.
+   the events of one side within one window of a text (``WINDOW`` bytes), so no row grows with its text. Ids tell
+   the lengths of tokens and so the offsets, so a row is its first offset and packed ids.
 2. The events of both sides are united, dealt by document and sorted by offset within each partition.
 3. A state machine passes over each partition once. It keeps the window at hand and the tokens of the group
    that is open; where both sides end, the group is closed and the two tokens are linked.
@@ -142,8 +143,21 @@ def side_of(kind: str, path: str | None) -> Side:
 
 # -- events -------------------------------------------------------------------------------------------
 
-EVENTS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()), ("side", pa.string()), ("begin", pa.int64()), ("copies", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary())])
-EVENTS_DDL = "doc_id long, text_key long, at int, side string, begin long, copies long, ids binary, lengths binary"
+EVENTS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()), ("side", pa.string()), ("begin", pa.int64()), ("copies", pa.int64()), ("ids", pa.binary())])
+EVENTS_DDL = "doc_id long, text_key long, at int, side string, begin long, copies long, ids binary"
+
+
+def pack(numbers: np.ndarray, size: int) -> bytes:
+    """Whole numbers below ``size``, in as few bytes as that takes and compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(np.min_scalar_type(size - 1)).tobytes())
+
+
+def unpack(packed: bytes, size: int) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.min_scalar_type(size - 1)).astype(np.int64)
 
 
 def text_key(text: str | None) -> int:
@@ -175,7 +189,7 @@ def end_events(docs: DataFrame, kind: str, path: str | None) -> DataFrame:
         seen: dict[tuple, int] = {}
 
         def again() -> Iterator[pa.RecordBatch]:
-            more = [(*key, -1, "", 0, n, None, None) for key, n in seen.items() if n] if kind == "a" else []
+            more = [(*key, -1, "", 0, n, None) for key, n in seen.items() if n] if kind == "a" else []
             seen.clear()
             if more:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*more, strict=True), EVENTS, strict=True)], schema=EVENTS)
@@ -193,11 +207,11 @@ def end_events(docs: DataFrame, kind: str, path: str | None) -> DataFrame:
             rows = []
             for key, text, ids in zip(keys, texts, side.whole(texts), strict=True):
                 if not text or ids is None:
-                    rows.append((*key, 0, kind, -1, 1, b"", b""))
+                    rows.append((*key, 0, kind, -1, 1, None))
                     continue
                 lengths = side.lengths[ids]
                 for at, begin, some in windows(ids, lengths):
-                    rows.append((*key, at, kind, begin, 1, ids[some].astype(np.uint32).tobytes(), lengths[some].astype(np.uint32).tobytes()))
+                    rows.append((*key, at, kind, begin, 1, pack(ids[some], len(side.spelled))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), EVENTS, strict=True)], schema=EVENTS)
             if len(seen) > SEEN:
@@ -262,7 +276,8 @@ def sweep(events: DataFrame, path_a: str | None, path_b: str | None) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_a, size_b = len(side_of("a", path_a).spelled), len(side_of("b", path_b).spelled)
+        sides = {"a": side_of("a", path_a), "b": side_of("b", path_b)}
+        size_a, size_b = (len(x.spelled) for x in sides.values())
         key, copies, void, window, held = None, 0, False, None, {}
         machine, rows = Machine(size_a, size_b), []
 
@@ -270,13 +285,14 @@ def sweep(events: DataFrame, path_a: str | None, path_b: str | None) -> DataFram
             if void or not held:
                 return
             one = {}
-            for kind in ("a", "b"):
-                begin, ids, lengths = held.get(kind, (0, b"", b""))
-                one[kind] = (begin + np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64), np.frombuffer(ids, np.uint32).astype(np.int64))
+            for kind, side in sides.items():
+                begin, ids = held.get(kind, (0, None))
+                ids = NONE if ids is None else unpack(ids, len(side.spelled))
+                one[kind] = (begin + np.cumsum(side.lengths[ids]), ids)
             linked = machine.step(one["a"], one["b"])
             if len(linked):
                 pairs, times = np.unique(linked, return_counts=True)
-                rows.append((*key, copies, None, None, None, None, None, pairs.tobytes(), times.astype(np.int64).tobytes()))
+                rows.append((*key, copies, None, None, None, None, None, pack(pairs, size_a * size_b), pack(times, 1 << 32)))
 
         def close_document() -> None:
             if void:
@@ -292,7 +308,7 @@ def sweep(events: DataFrame, path_a: str | None, path_b: str | None) -> DataFram
                 rows.clear()
 
         for part in slices(batches):
-            for i, k, at, side, begin, n, ids, lengths in zip(*(part[c].to_pylist() for c in EVENTS.names), strict=True):
+            for i, k, at, side, begin, n, ids in zip(*(part[c].to_pylist() for c in EVENTS.names), strict=True):
                 if (i, k) != key:
                     if key is not None:
                         close_window()
@@ -306,7 +322,7 @@ def sweep(events: DataFrame, path_a: str | None, path_b: str | None) -> DataFram
                     copies += n
                 void = void or begin < 0
                 if side:
-                    held.setdefault(side, (begin, ids, lengths))
+                    held.setdefault(side, (begin, ids))
             yield from out()
         if key is not None:
             close_window()
@@ -319,11 +335,11 @@ def sweep(events: DataFrame, path_a: str | None, path_b: str | None) -> DataFram
 # -- counts of pairs ----------------------------------------------------------------------------------
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """(pair, n) over all links, summed within tasks before they are dealt by pair."""
+def pair_counts(links: DataFrame, size: int) -> DataFrame:
+    """(pair, n) over all links, summed within tasks before they are dealt by pair; pairs are below ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, times, size = [], [], 0
+        pairs, times, held = [], [], 0
 
         def add() -> tuple[np.ndarray, np.ndarray]:
             all_pairs, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
@@ -335,22 +351,22 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
         for part in slices(batches):
             for p, t, c in zip(part["pairs"].to_pylist(), part["times"].to_pylist(), part["copies"].to_pylist(), strict=True):
-                pairs.append(np.frombuffer(p, np.int64))
-                times.append(np.frombuffer(t, np.int64) * c)
-                size += len(pairs[-1])
-            if size > DISTINCT:
+                pairs.append(unpack(p, size))
+                times.append(unpack(t, 1 << 32) * c)
+                held += len(pairs[-1])
+            if held > DISTINCT:
                 p, t = add()
-                pairs, times, size = [p], [t], len(p)
-                if size > DISTINCT // 2:
+                pairs, times, held = [p], [t], len(p)
+                if held > DISTINCT // 2:
                     yield from hand(p, t)
-                    pairs, times, size = [], [], 0
+                    pairs, times, held = [], [], 0
         if pairs:
             yield from hand(*add())
 
     return links.select("pairs", "times", "copies").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def scored(links: DataFrame, counts: DataFrame) -> DataFrame:
+def scored(links: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     """(doc_id, text_key, n_best, count_sum), some rows a document, of a copy's links; counts has (pair, n, best).
 
     Pairs that hold at least a ``COMMON``-th of all links, ``COMMON`` at most, go to the tasks; the rest is joined.
@@ -367,7 +383,7 @@ def scored(links: DataFrame, counts: DataFrame) -> DataFrame:
         for part in slices(batches):
             sums, rare = [], []
             for i, k, p, t in zip(*(part[c].to_pylist() for c in ("doc_id", "text_key", "pairs", "times")), strict=True):
-                p, t = np.frombuffer(p, np.int64), np.frombuffer(t, np.int64)
+                p, t = unpack(p, size), unpack(t, 1 << 32)
                 at = np.minimum(np.searchsorted(pair, p), max(len(pair) - 1, 0))
                 hit = pair[at] == p if len(pair) else np.zeros(len(p), bool)
                 found = at[hit]
@@ -393,12 +409,9 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
     return cut(sweep(events.repartition("doc_id", "text_key").sortWithinPartitions(*order), path_a, path_b))
 
 
-def id_pairs(links: DataFrame, path_b: str | None = None) -> DataFrame:
+def id_pairs(links: DataFrame, size_a: int, size_b: int) -> DataFrame:
     """(pair, n, best): how many links hold each pair of ids, and whether that is the highest of its B id."""
-    import public_tokenizers
-
-    size = len(side_of("b", path_b or public_tokenizers.path("piece_bpe_32k.model")).spelled)
-    counts = cut(pair_counts(links)).withColumn("b", F.col("pair") % size)
+    counts = cut(pair_counts(links, size_a * size_b)).withColumn("b", F.col("pair") % size_b)
     highest = counts.groupBy("b").agg(F.max("n").alias("most"))  # a row for each id of the vocabulary at most
     return cut(counts.join(F.broadcast(highest), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
 
@@ -409,7 +422,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     links = swept.where("pairs is not null")
     values = ["copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     stated = swept.where("pairs is null").select("doc_id", "text_key", *values, F.lit(None).cast("long").alias("n_best"), F.lit(None).cast("long").alias("count_sum"))
-    sums = scored(links, id_pairs(links, path_b))
+    size_a, size_b = len(side_of("a", path_a).spelled), len(side_of("b", path_b).spelled)
+    sums = scored(links, id_pairs(links, size_a, size_b), size_a * size_b)
     one = stated.unionByName(sums, allowMissingColumns=True).groupBy("doc_id", "text_key").agg(*(F.max(c).alias(c) for c in values), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_best", "count_sum")))
     return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
