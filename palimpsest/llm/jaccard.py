@@ -512,8 +512,22 @@ def link_classes(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
     listed = cut(long_lists.join(of, "grp").select("lid", "cls").distinct())
     pairs = cut(pairs)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(listed.select("cls")).distinct().join(classes, "cls").select("cls", F.col("rep").alias("doc_id"))
-    needed = cut(needed)
+    if listed.isEmpty():
+        return rows, confirmed(docs, classes, pairs, None, k, share)
+    hub = listed.groupBy("lid").agg(F.min("cls").alias("b"))
+    clusters = components(listed.join(hub, "lid").select(F.col("cls").alias("a"), "b"))
+    return rows, confirmed(docs, classes, pairs, clusters.select(F.col("label").alias("cluster"), F.col("node").alias("cls")), k, share)
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, clusters: DataFrame | None, k: int, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect as all links among the pairs (a, b) and within the clusters (cluster, cls) do, on whole sets.
+
+    ``classes`` has the smallest id (rep) of each class, by which its text is found.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    if clusters is not None:
+        needed = needed.unionByName(clusters.select("cls"))
+    needed = cut(needed.distinct().join(classes, "cls").select("cls", F.col("rep").alias("doc_id")))
     nameless = cut(needed.where("doc_id is null").select("cls"))
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
@@ -522,11 +536,9 @@ def link_classes(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) ->
         texts = texts.unionByName(own_class(docs.where("doc_id is null"), k).join(nameless, "cls", "left_semi"))
     texts = cut(texts)
     links = linked(verified(pairs, texts, k), share).select("a", "b")
-    if not listed.isEmpty():
-        hub = listed.groupBy("lid").agg(F.min("cls").alias("b"))
-        clusters = components(listed.join(hub, "lid").select(F.col("cls").alias("a"), "b"))
-        links = links.unionByName(cluster_links(clusters.select(F.col("label").alias("cluster"), F.col("node").alias("cls")), texts, k, share))
-    return rows, cut(links)
+    if clusters is not None:
+        links = links.unionByName(cluster_links(clusters, texts, k, share))
+    return cut(links)
 
 
 def with_class(rows: DataFrame, k: int) -> DataFrame:
@@ -553,7 +565,11 @@ def own_class(docs: DataFrame, k: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set) and component_id of every document."""
-    rows, links = link_classes(docs, k, share)
+    return named_components(*link_classes(docs, k, share))
+
+
+def named_components(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of rows (doc_id, n, cls), by links (a, b) of classes."""
     labels = components(links).withColumnRenamed("node", "cls")
     classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     linked_classes = cut(classes.join(labels, "cls"))

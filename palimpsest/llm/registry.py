@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import alignment, bpe, chat, jaccard, language, lm, mixing, pii, quality, toxicity, vafile
+from palimpsest.llm import alignment, bpe, chat, chosenpath, jaccard, language, lm, mixing, pii, quality, toxicity, vafile, whitening
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_mixing": mixing.op10_mixing,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_chosen_path": chosenpath.op12_chosen_path,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": jaccard.ORACLE_OP1,
     "op7_vafile": vafile.ORACLE_OP7,
     "op9_chat": chat.ORACLE_OP9,
+    "op12_chosen_path": chosenpath.ORACLE_OP12,
 }
