@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN
@@ -21,14 +21,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
+def text_key() -> Column:
+    """Tells apart texts that bear one id; rows alike in id and tokens have one key."""
+    return F.xxhash64("tokens")
+
+
 def postings(texts: DataFrame) -> DataFrame:
-    """(token, text_id): each distinct token of a text once; unknown and empty tokens are left out."""
-    return texts.select("text_id", F.explode(F.array_distinct("tokens")).alias("token")).where(~F.col("token").isin(UNKNOWN, "")).select("token", "text_id")
+    """(token, text_id, key): each distinct token of a text once; unknown and empty tokens are left out."""
+    rows = texts.select("text_id", text_key().alias("key"), F.explode(F.array_distinct("tokens")).alias("token"))
+    return rows.where(~F.col("token").isin(UNKNOWN, "")).select("token", "text_id", "key")
 
 
 def kept_postings(texts: DataFrame) -> DataFrame:
     """:func:`postings` written once in the order of tokens, so that a query reads the row groups of its tokens alone."""
-    return cut(postings(texts).repartitionByRange("token", "text_id").sortWithinPartitions("token", "text_id"))
+    return cut(postings(texts).repartitionByRange("token", "text_id").sortWithinPartitions("token", "text_id", "key"))
 
 
 def document_frequency(texts: DataFrame) -> DataFrame:
@@ -51,7 +57,9 @@ def with_threshold(queries: DataFrame, kind: str, stop: tuple[str, ...], mark: f
 
 
 def candidates(queries: DataFrame, texts: DataFrame, posted: DataFrame | None = None) -> DataFrame:
-    """(query_id, text_id, shared) with at least max(need, 1) shared counted tokens, from queries (query_id, counted, need).
+    """(query_id, text_id, key, shared) with at least max(need, 1) shared counted tokens, from queries (query_id, counted, need).
+
+    Texts are counted each by itself, also those that repeat an id; rows alike in id and tokens are one text here.
 
     A text that shares ``need`` of a query's tokens shares need - d of those that are left when d are left
     out. So up to need - 1 tokens that many texts hold stay out of the first count; they are looked up for the
@@ -69,14 +77,23 @@ def candidates(queries: DataFrame, texts: DataFrame, posted: DataFrame | None =
     own = Window.partitionBy("query_id")
     ranked = asked.join(frequency, "token").withColumn("r", F.row_number().over(own.orderBy("df", "token"))).withColumn("common", F.sum((F.col("df") > many).cast("int")).over(own)).withColumn("all", F.count("*").over(own))
     dropped = F.least(F.col("least") - 1, F.col("common"))
-    parted = cut(ranked.select("token", "query_id", "least", (F.col("least") - dropped).alias("floor"), (F.col("r") <= F.col("all") - dropped).alias("first")))
+    parted = cut(ranked.select("token", "query_id", "r", "least", (F.col("least") - dropped).alias("floor"), (F.col("r") <= F.col("all") - dropped).alias("first")))
+    distinct = distinct_tokens(parted)
     probes = small(parted.where("first").drop("first"))
-    met = held.join(probes, "token").groupBy("query_id", "text_id").agg(F.count("*").cast("int").alias("n"), F.first("floor").alias("floor"), F.first("least").alias("least")).where("n >= floor")
+    met = held.join(probes, "token").groupBy("query_id", "text_id", "key").agg(distinct.alias("n"), F.first("floor").alias("floor"), F.first("least").alias("least")).where("n >= floor")
     met = cut(met.drop("floor"))
-    late = small(parted.where("not first").select("query_id", "token"))
-    more = met.join(late, "query_id").join(held, ["token", "text_id"]).groupBy("query_id", "text_id").agg(F.count("*").cast("int").alias("more"))
-    shared = met.join(more, ["query_id", "text_id"], "left").withColumn("shared", F.col("n") + F.coalesce("more", F.lit(0)))
-    return shared.where(F.col("shared") >= F.col("least")).select("query_id", "text_id", "shared")
+    late = small(parted.where("not first").select("query_id", "token", "r"))
+    more = met.join(late, "query_id").join(held, ["token", "text_id", "key"]).groupBy("query_id", "text_id", "key").agg(distinct.alias("more"))
+    shared = met.join(more, ["query_id", "text_id", "key"], "left").withColumn("shared", F.col("n") + F.coalesce("more", F.lit(0)))
+    return shared.where(F.col("shared") >= F.col("least")).select("query_id", "text_id", "key", "shared")
+
+
+def distinct_tokens(parted: DataFrame) -> Column:
+    """How many of a query's numbered tokens (r, from 1) a group of postings holds; postings of repeated rows count once."""
+    widest = parted.agg(F.max("r")).first()[0] or 0
+    if widest > 63:
+        return F.count_distinct("r").cast("int")
+    return F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("r") - 1).cast("int")))).cast("int")
 
 
 def texts_with(texts: DataFrame, token: str) -> DataFrame:

@@ -2,29 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.distance import inner_hits, token_hits
+from palimpsest.functions.distance import Places, alignments, inner_hits
 from palimpsest.functions.text import core_project, join_tokens
 from palimpsest.functions.thresholds import INNER, TOKENS
-from palimpsest.operators.index import candidates, small, with_threshold
+from palimpsest.operators.index import candidates, small, text_key, with_threshold
 from palimpsest.operators.windows import query_windows
+from palimpsest.session import cut, ship
+
+
+#: Queries of one visit to a text.
+VISIT = 256
 
 
 def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...], posted: DataFrame | None = None, mark: float | None = None, corrected: bool = True) -> DataFrame:
     """(query_id, result_id, text_id, matched_sequence, edit_distance) of every hit.
 
     ``queries``: (query_id, tokens, tol). ``texts``: (text_id, tokens). ``posted``: kept postings of the texts.
-    result_id counts a query's hits by text and place. Sorting for display is left to the caller.
+    result_id counts a query's hits by text and place. Sorting for display is left to the caller. Texts that
+    repeat an id are searched each.
     """
     asked = small(with_threshold(queries, kind, stop, mark, corrected))
-    pairs = candidates(asked, texts, posted).select("query_id", "text_id")
-    able = pairs.join(asked.select("query_id", F.col("tokens").alias("q"), "tol"), "query_id").join(texts.select("text_id", F.col("tokens").alias("t")), "text_id")
-    hits = (inner_hits if kind == INNER else token_hits)(F.col("q"), F.col("t"), F.col("tol"))
-    rows = able.select("query_id", "text_id", hits.alias("hits")).select("query_id", "text_id", F.posexplode("hits").alias("place", "h")).select("query_id", "text_id", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("text_id", "place")) - 1
-    return rows.select("query_id", number.alias("result_id"), "text_id", "matched_sequence", F.col("edit_distance").cast("int").alias("edit_distance"))
+    pairs = candidates(asked, texts, posted).select("query_id", "text_id", "key")
+    keyed = texts.select("text_id", text_key().alias("key"), F.col("tokens").alias("t"))
+    if kind == INNER:
+        able = pairs.join(asked.select("query_id", F.col("tokens").alias("q"), "tol"), "query_id").join(keyed, ["text_id", "key"])
+        hits = inner_hits(F.col("q"), F.col("t"), F.col("tol"))
+        rows = able.select("query_id", "text_id", "key", hits.alias("hits")).select("query_id", "text_id", "key", F.posexplode("hits").alias("place", "h"))
+        rows = rows.select("query_id", "text_id", "key", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
+    else:
+        rows = aligned_rows(visits(pairs, asked, keyed))
+    return numbered(rows).select("query_id", "result_id", "text_id", "matched_sequence", F.col("edit_distance").cast("int").alias("edit_distance"))
+
+
+def visits(pairs: DataFrame, asked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(text_id, key, t, queries): each candidate text with the queries that ask for it, ``VISIT`` or so at a time."""
+    pairs = cut(pairs)
+    times = pairs.groupBy("text_id", "key").agg(F.ceil(F.count("*") / VISIT).alias("times"))
+    dealt = pairs.join(times, ["text_id", "key"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("times")))
+    asks = F.struct("query_id", "tokens", "tol")
+    whole = dealt.join(asked.select("query_id", "tokens", "tol"), "query_id").groupBy("text_id", "key", "turn").agg(F.collect_list(asks).alias("queries"))
+    return whole.join(keyed, ["text_id", "key"]).select("text_id", "key", "t", "queries")
+
+
+def aligned_rows(rows: DataFrame) -> DataFrame:
+    """(query_id, text_id, key, place, edit_distance, matched_sequence): a row for each place with a query's least token distance."""
+    ship(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    query = rows.schema["queries"].dataType.elementType["query_id"].dataType.simpleString()
+    names = ["query_id", "text_id", "key", "place", "edit_distance", "matched_sequence"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = [batch["queries"].type.value_type.field("query_id").type, batch["text_id"].type, pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            out = []
+            for at in range(batch.num_rows):
+                i, key, tokens = (batch[c][at].as_py() for c in ("text_id", "key", "t"))
+                text = Places(tokens)
+                for q in batch["queries"][at].as_py():
+                    found = alignments(q["tokens"], text, q["tol"])
+                    if found is not None:
+                        out += [(q["query_id"], i, key, place, found[0], " ".join(tokens[s:e])) for place, (s, e) in enumerate(found[1])]
+            for at in range(0, len(out), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 10_000], strict=True), kind, strict=True)], names=names)
+
+    return rows.mapInArrow(run, f"query_id {query}, text_id {kinds['text_id']}, key long, place int, edit_distance int, matched_sequence string")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with result_id, which counts a query's hits by text and place from 0.
+
+    Counts come from texts: no task sorts all hits of a query, only the texts that it hits and then each text's places.
+    """
+    held = cut(rows)
+    by_text = held.groupBy("query_id", "text_id").agg(F.count("*").alias("n"))
+    before = by_text.withColumn("before", F.sum("n").over(Window.partitionBy("query_id").orderBy("text_id").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.row_number().over(Window.partitionBy("query_id", "text_id").orderBy("key", "place")) - 1
+    return held.withColumn("own", own).join(before.select("query_id", "text_id", F.coalesce("before", F.lit(0)).alias("before")), ["query_id", "text_id"]).withColumn("result_id", (F.col("before") + F.col("own")).cast("int"))
 
 
 def one_query(texts: DataFrame, query: list[str], tolerance: int, kind: str, stop: tuple[str, ...], posted: DataFrame | None = None) -> DataFrame:

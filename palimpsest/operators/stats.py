@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN
+from palimpsest.session import cut, ship
 
 
 def corpus_statistics(texts: DataFrame) -> DataFrame:
@@ -59,6 +64,48 @@ def type_ahead(table: DataFrame, label: Column, value: Column, typed: str, limit
     return found if limit is None else found.limit(limit)
 
 
+#: Folders of a type-ahead index.
+GRAM_FOLDERS = 64
+
+
+def grams(text: Column) -> Column:
+    """Distinct stretches of one to three letters of a text in lower case."""
+    low = F.lower(text)
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - F.lit(n - 1), F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substring(low, i, F.lit(n))), lambda g: F.length(g) == n)
+
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def write_type_ahead(table: DataFrame, label: Column, value: Column, path: str) -> None:
+    """An index for :func:`look_ahead`: (label, value) by their stretches, in folders by a hash of these and sorted within."""
+    rows = table.select(label.alias("label"), value.alias("value")).distinct()
+    both = F.explode(F.array_distinct(F.concat(grams(F.coalesce("label", F.lit(""))), grams(F.coalesce("value", F.lit(""))))))
+    found = rows.select("label", "value", both.alias("gram")).withColumn("folder", F.pmod(F.xxhash64("gram"), F.lit(GRAM_FOLDERS)).cast("int"))
+    found.repartition("folder", F.pmod(F.xxhash64("label", "value"), F.lit(16))).sortWithinPartitions("folder", "gram", "label", "value").write.mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def look_ahead(spark: SparkSession, path: str, typed: str, limit: int | None = 50) -> DataFrame:
+    """(label, value) of an index that hold what was typed, as :func:`type_ahead` finds them; of the files only its stretches are read.
+
+    What was typed names its longest stretches: all of them for up to three letters, else each three in a row. Rows
+    that hold all are looked at whole.
+    """
+    index = spark.read.parquet(path)
+    low = typed.lower()
+    wanted = sorted({low[i : i + 3] for i in range(max(1, len(low) - 2))} - {""})
+    if wanted:
+        folders = [r.f for r in spark.createDataFrame([(g,) for g in wanted], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(GRAM_FOLDERS)).cast("int").alias("f")).distinct().collect()]
+        index = index.where(F.col("folder").isin(folders) & F.col("gram").isin(wanted))
+    held = index.groupBy("label", "value").agg(F.count("*").alias("n"))
+    if wanted:
+        held = held.where(F.col("n") == len(wanted))
+    found = held.where(F.contains(F.lower("label"), F.lit(low)) | F.contains(F.lower("value"), F.lit(low))).select("label", "value").orderBy("label", "value")
+    return found if limit is None else found.limit(limit)
+
+
 def co_occurrence(entities: DataFrame, wanted: str, category: str) -> DataFrame:
     """(query_ne, rel_ne, hits): lemmas of a category in texts that name ``wanted``, a text counted once each."""
     own = entities.where(F.col("category") == category).select("text_id", "lemma").distinct()
@@ -66,6 +113,70 @@ def co_occurrence(entities: DataFrame, wanted: str, category: str) -> DataFrame:
     return own.join(with_it, "text_id", "left_semi").where(F.col("lemma") != wanted).groupBy(F.lit(wanted).alias("query_ne"), F.col("lemma").alias("rel_ne")).agg(F.count("*").alias("hits"))
 
 
+#: Pairs of lemmas that a task counts at once.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def all_co_occurrences(entities: DataFrame, category: str, least: int = 30) -> DataFrame:
+    """(query_ne, rel_ne, hits): every two lemmas of a category that at least ``least`` texts name both, in both directions.
+
+    A lemma in fewer texts than that is in no such pair and goes first. A task counts the pairs of its texts
+    together before it hands them on, as a row for each lemma with its partners; these are added by pair, so a
+    lemma that most texts name is dealt by its partners and is no hot key.
+    """
+    ship(entities.sparkSession)
+    own = cut(entities.where(F.col("category") == category).select("text_id", "lemma").distinct())
+    often = own.groupBy("lemma").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lemma")
+    texts = own.join(often, "lemma").groupBy("text_id").agg(F.array_sort(F.collect_list("lemma")).alias("lemmas")).where(F.size("lemmas") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        names: dict[str, int] = {}
+        waiting, size = [], 0
+
+        def count() -> None:
+            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            for c, m in zip(codes.tolist(), n.tolist(), strict=True):
+                held[c] = held.get(c, 0) + m
+
+        def stripes() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            lemma = pa.array(list(names), pa.string())
+            codes = np.sort(np.fromiter(held, np.int64, len(held)))
+            hits = np.array([held[c] for c in codes.tolist()], np.int64)
+            first, other = codes >> 32, codes & 0xFFFFFFFF
+            starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+            offsets = pa.array(np.append(starts, len(codes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([lemma.take(pa.array(first[starts])), pa.ListArray.from_arrays(offsets, lemma.take(pa.array(other))), pa.ListArray.from_arrays(offsets, pa.array(hits))], names=["a", "partners", "hits"])
+            held.clear()
+            names.clear()
+
+        for batch in batches:
+            for lemmas in batch["lemmas"].to_pylist():  # sorted, so pairs have one direction in every task
+                at = np.array([names.setdefault(x, len(names)) for x in lemmas], np.int64)
+                step = max(1, PAIRS_AT_ONCE // len(at))
+                for lo in range(0, len(at), step):
+                    i, j = np.nonzero(np.arange(len(at))[lo : lo + step, None] < np.arange(len(at)))
+                    waiting.append(at[lo + i] << 32 | at[j])
+                    size += len(i)
+                    if size > PAIRS_AT_ONCE:
+                        count()
+                        size = 0
+                        if len(held) > PAIRS_AT_ONCE:
+                            yield from stripes()
+                            at = np.array([names.setdefault(x, len(names)) for x in lemmas], np.int64)
+        if waiting:
+            count()
+        yield from stripes()
+
+    some = texts.select("lemmas").mapInArrow(run, "a string, partners array<string>, hits array<long>")
+    each = some.select("a", F.explode(F.arrays_zip("partners", "hits")).alias("e")).groupBy("a", F.col("e.partners").alias("b")).agg(F.sum("e.hits").alias("hits"))
+    kept = cut(each.where(F.col("hits") >= least))
+    return kept.select(F.col("a").alias("query_ne"), F.col("b").alias("rel_ne"), "hits").unionByName(kept.select(F.col("b").alias("query_ne"), F.col("a").alias("rel_ne"), "hits"))
+
+
 def network(relations: DataFrame, wanted: str, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """Edges with enough hits, and points: the same partners by hits, and the query sized by all its partners."""
     edges = relations.where(F.col("hits") >= least)

@@ -8,14 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import ENTITY_CLASSES, SIGN_MODES, UNKNOWN_CHUNK, join_tokens, to_entities, tokens, words_for_overlap
+from palimpsest.operators.centres import MEASURES, SCORES, cell_count, matrix, measured, place, train
 from palimpsest.session import cut, ship
 
 #: Shares of the vector score and the lexical score, and how many candidates and cells a search looks at.
@@ -26,6 +24,12 @@ MODELS = {
 TOP_K = 50
 #: Queries and chunks of a block, rows that a task holds while it makes blocks, and most shares of the pairs of blocks.
 QUERY_BLOCK, CHUNK_BLOCK, HELD_ROWS, SLOTS = 512, 4096, 100_000, 4096
+#: Blocks of chunks of a slot, and results that a task holds.
+SLOT_BLOCKS, HELD_RESULTS = 16, 2_000_000
+#: A query's first cells: deviations above the mean by which they are ordered, and vectors that they hold for each result.
+FIRST_REACH, FIRST_EACH = 2.0, 16
+#: Share of the results that an inexact search expects to miss at most.
+MISSED = 0.02
 #: Letters of a chunk that a result shows, where a cut is asked for.
 DISPLAY = 180
 ENTITY_WEIGHT = 0.3
@@ -110,31 +114,71 @@ def blocks(rows: DataFrame, name: str, most: int, cell: str | None = None) -> Da
     return chosen.mapInArrow(run, f"dim int, cell int, ids array<{kind}>, v binary")
 
 
+class Best:
+    """The ``k`` best of each query that a task has met so far, as a table that is sorted and cut when it has grown.
+
+    Ties go to the smaller chunk id. ``floor`` is the kth score of each query: what is below it is no candidate.
+    """
+
+    def __init__(self, k: int):
+        self.k = k
+        self.places: dict = {}
+        self.floor = np.zeros(0)
+        self.parts: list[pa.Table] = []
+        self.rows, self.cut_at = 0, 0
+
+    def add(self, qids: pa.Array, names: pa.Array, scores: np.ndarray) -> None:
+        """Scores [queries, chunks] of a block of queries and one of chunks."""
+        at = np.array([self.places.setdefault(i, len(self.places)) for i in qids.to_pylist()], np.int64)
+        if len(self.floor) < len(self.places):
+            self.floor = np.concatenate([self.floor, np.full(2 * len(self.places) - len(self.floor), -np.inf)])
+        if scores.shape[1] > self.k:  # the block's own kth score bounds too
+            self.floor[at] = np.maximum(self.floor[at], np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero(scores >= self.floor[at, None])
+        self.parts.append(pa.table({"q": pa.array(at[i].astype(np.int32)), "embed_score": pa.array(scores[i, j]), "chunk_id": names.take(pa.array(j))}))
+        self.rows += len(i)
+        if self.rows > 2 * self.cut_at + 500_000:
+            self.shrink()
+
+    def shrink(self) -> pa.Table:
+        t = pa.concat_tables(self.parts).sort_by([("q", "ascending"), ("embed_score", "descending"), ("chunk_id", "ascending")]).combine_chunks()
+        q = t["q"].to_numpy()
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.floor[q[last]] = t["embed_score"].to_numpy()[last]
+        t = t.filter(pa.array(rank < self.k))
+        self.parts, self.rows, self.cut_at = [t], len(t), len(t)
+        return t
+
+    def out(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(list(self.places), kind)
+        for batch in self.shrink().to_batches(50_000) if self.parts else ():
+            yield pa.RecordBatch.from_arrays([ids.take(batch["q"]), batch["chunk_id"], batch["embed_score"]], names=["query_id", "chunk_id", "embed_score"])
+        self.__init__(self.k)
+
+
 def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, embed_score, rank) from pairs of blocks (dim, qids, q, ids, v): each pair gives k a query at most."""
+    """(query_id, chunk_id, embed_score, rank) from pairs of blocks (dim, qids, q, ids, v).
+
+    A task keeps the k best of each query over all blocks that it sees and hands on k a query at most, unless it
+    would hold more than ``HELD_RESULTS`` of them: then it hands on what it has and begins anew.
+    """
     kinds = dict(pairs.dtypes)
     query, chunk = (kinds[c].removeprefix("array<").removesuffix(">") for c in ("qids", "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = Best(k), None
         for batch in batches:
             for at in range(batch.num_rows):
                 dim = batch["dim"][at].as_py()
                 qids, names = batch["qids"][at].values, batch["ids"][at].values
-                matrix, rows = (np.frombuffer(batch[c][at].as_buffer(), np.float64).reshape(-1, dim) for c in ("q", "v"))
-                scores = np.round(matrix @ rows.T, 9)
-                least = np.partition(scores, len(rows) - k, axis=1)[:, -k, None] if len(rows) > k else -np.inf
-                i, j = np.nonzero(scores >= least)
-                said = scores[i, j]
-                if len(i) > k * len(matrix):  # ties at the border: the smaller ids stay
-                    place = np.empty(len(rows), np.int64)
-                    place[pc.array_sort_indices(names).to_numpy()] = np.arange(len(rows))
-                    order = np.lexsort((place[j], -said, i))
-                    rank = np.arange(len(i)) - np.repeat(np.flatnonzero(np.diff(i[order], prepend=-1)), np.bincount(i, minlength=len(matrix))[np.unique(i)])
-                    order = order[rank < k]
-                    i, j, said = i[order], j[order], said[order]
-                for s in range(0, len(i), 50_000):
-                    x, y = pa.array(i[s : s + 50_000]), pa.array(j[s : s + 50_000])
-                    yield pa.RecordBatch.from_arrays([qids.take(x), names.take(y), pa.array(said[s : s + 50_000])], names=["query_id", "chunk_id", "embed_score"])
+                kind = qids.type
+                block, rows = (np.frombuffer(batch[c][at].as_buffer(), np.float64).reshape(-1, dim) for c in ("q", "v"))
+                best.add(qids, names, np.round(block @ rows.T, 9))
+                if best.cut_at > HELD_RESULTS:
+                    yield from best.out(kind)
+        if kind is not None:
+            yield from best.out(kind)
 
     found = pairs.select("dim", "qids", "q", "ids", "v").mapInArrow(run, f"query_id {query}, chunk_id {chunk}, embed_score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("embed_score"), "chunk_id"))
@@ -144,44 +188,144 @@ def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, embed_score, rank): exact search of a set of queries over all chunks.
 
-    Blocks of queries meet blocks of chunks, dealt over slots; nothing goes through the driver. Each pair of
-    blocks keeps k results a query; scores have nine decimals, ties go to the smaller id.
+    Blocks of chunks are dealt over slots, a task each, and blocks of queries come to every slot; nothing goes
+    through the driver. A slot hands on k results a query, however many blocks it has. Scores have nine decimals,
+    ties go to the smaller id.
     """
-    ship(chunks.sparkSession)
+    spark = chunks.sparkSession
+    ship(spark)
     held = cut(blocks(chunks, "chunk_id", CHUNK_BLOCK))
-    slots = max(1, min(SLOTS, held.count()))
+    n = held.count()
+    slots = max(1, min(SLOTS, n, max(spark.sparkContext.defaultParallelism, n // SLOT_BLOCKS)))
     asked = blocks(queries, "query_id", QUERY_BLOCK).select("dim", F.col("ids").alias("qids"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     dealt = held.withColumn("slot", F.pmod(F.xxhash64("v"), F.lit(slots)).cast("int"))
-    return best_of_pairs(dealt.join(asked, ["dim", "slot"]), k)
+    return best_of_pairs(asked.join(dealt.hint("merge"), ["dim", "slot"]), k)
 
 
-def cell_count(n: int) -> int:
-    """Cells of an index over n vectors."""
-    return max(256, min(32768, int(4 * n**0.5)))
+def build_cells(chunks: DataFrame, cells: int, sample: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(chunks with cell_id, centres with what is known of their cells): see :mod:`centres`."""
+    points = train(chunks, cells, sample, seed)
+    if not len(points):
+        return chunks.withColumn("cell_id", F.lit(None).cast("int")), chunks.sparkSession.createDataFrame([], f"cell_id int, centre array<double>, {MEASURES}")
+    placed = place(chunks, points)
+    return placed, cut(measured(placed, points))
 
 
-def build_cells(chunks: DataFrame, cells: int, sample: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(chunks with cell_id, centroids): every vector gets its nearest of ``cells`` centres.
+def searched_cells(queries: DataFrame, placed: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Like :func:`top_k`, over the cells (query_id, cell_id) that each query wants.
 
-    Centres are fitted on ``sample`` rows (128 a cell by default), picked by a hash of the id.
+    Of vectors written by cell only the folders of wanted cells are read: their names (no more than an index has
+    cells) go to the scan, which prunes by them as it runs. A cell is dealt in blocks.
     """
-    bound = sample or 128 * cells
-    train = chunks.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(bound).select(array_to_vector("vector").alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(train)
-    placed = model.transform(chunks.withColumn("features", array_to_vector("vector"))).drop("features").withColumnRenamed("prediction", "cell_id")
-    centres = chunks.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell_id int, centre array<float>")
-    return placed, centres
+    ship(placed.sparkSession)
+    wanted = cut(wanted.select("query_id", "cell_id"))
+    names = wanted.where("cell_id >= 0").select("cell_id").distinct()
+    read = placed.join(F.broadcast(names), "cell_id", "left_semi")
+    asked = blocks(wanted.join(queries.select("query_id", "vector"), "query_id").repartition("cell_id"), "query_id", QUERY_BLOCK, "cell_id")
+    asked = asked.select("dim", "cell", F.col("ids").alias("qids"), F.col("v").alias("q"))
+    return best_of_pairs(blocks(read, "chunk_id", CHUNK_BLOCK, "cell_id").join(asked, ["dim", "cell"]), k)
 
 
 def top_k_cells(queries: DataFrame, placed: DataFrame, centres: DataFrame, k: int, probes: int) -> DataFrame:
-    """Like :func:`top_k`, over the ``probes`` cells whose centres score best; exact if that is all cells.
+    """Like :func:`top_k`, over the ``probes`` cells whose centres score best; exact if that is all cells."""
+    near = top_k(queries, centres.select(F.col("cell_id").alias("chunk_id"), F.col("centre").alias("vector")), probes)
+    return searched_cells(queries, placed, near.select("query_id", F.col("chunk_id").alias("cell_id")), k)
+
+
+class Known:
+    """Centres and what is known of their cells, as arrays, and which cells a query should look at."""
+
+    def __init__(self, rows: list):
+        rows = sorted((r for r in rows if r.n > 0), key=lambda r: r.cell_id)
+        self.cells = np.array([r.cell_id for r in rows], np.int64)
+        self.centres = np.array([r.centre for r in rows], np.float64)
+        self.n, self.mean, self.variance, self.off, self.low, self.high, self.far = (np.array([r[c] for r in rows], np.float64) for c in ("n", "mean", "variance", "off", "low", "high", "far"))
+
+    def sides(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products with centres, and what of each query's length is not along them."""
+        along = q @ self.centres.T
+        return along, np.sqrt(np.maximum((q * q).sum(1)[:, None] - along**2, 0))
+
+    def spread(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of the scores of each cell's vectors, as if what is off their centre had no direction."""
+        along, rest = self.sides(q)
+        dim = max(1, q.shape[1] - 1)
+        return along * self.mean, np.sqrt(along**2 * self.variance + rest**2 * self.off / dim) + 1e-12
+
+    def first(self, q: np.ndarray, k: int) -> np.ndarray:
+        """[queries, cells]: the likeliest cells that together hold enough vectors."""
+        mean, deviation = self.spread(q)
+        order = np.argsort(-(mean + FIRST_REACH * deviation), axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, before < FIRST_EACH * k, axis=1)
+        return out
+
+    def more(self, q: np.ndarray, kth: np.ndarray, k: int, missed: float) -> np.ndarray:
+        """Cells to look at once k scores of at least ``kth`` are known.
+
+        With ``missed`` 0 all that can hold a better one; else so many that the others are expected to hold no
+        more than that share of k results.
+        """
+        if missed == 0:
+            along, rest = self.sides(q)
+            return np.maximum(along * self.low, along * self.high) + rest * self.far + 1e-6 >= kth[:, None]
+        mean, deviation = self.spread(q)
+        better = self.n * above((kth[:, None] - mean) / deviation)
+        order = np.argsort(better, axis=1, kind="stable")
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.cumsum(np.take_along_axis(better, order, 1), axis=1) > missed * k, axis=1)
+        return out
 
-    A cell is dealt in blocks, each of which gives k results a query at most.
+
+def above(z: np.ndarray) -> np.ndarray:
+    """Share of a normal distribution above z, to seven decimals (Abramowitz and Stegun 26.2.17)."""
+    x = np.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    tail = np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, tail, 1 - tail)
+
+
+def chosen_cells(queries: DataFrame, known: Known, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(query_id, cell_id) of the cells that ``choose`` marks for vectors and kth scores, from (query_id, vector, kth)."""
+    kind = dict(queries.dtypes)["query_id"]
+    sent = queries.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = sent.value.cells
+        for batch in batches:
+            step = max(1, SCORES // max(1, len(cells)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                i, j = np.nonzero(choose(matrix(part["vector"]), part["kth"].to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([part["query_id"].take(pa.array(i)), pa.array(cells[j].astype(np.int32))], names=["query_id", "cell_id"])
+
+    return queries.select("query_id", "vector", "kth").mapInArrow(run, f"query_id {kind}, cell_id int")
+
+
+def search_cells(queries: DataFrame, placed: DataFrame, centres: DataFrame, k: int, missed: float = MISSED) -> DataFrame:
+    """Like :func:`top_k`, over the cells that may hold results: the stop follows from each query's own scores.
+
+    Each query looks at its likeliest cells first. The kth score found there and what is known of every cell (how
+    far its vectors reach along the centre and off it) decide which others it looks at: with ``missed`` 0 all that
+    can hold a better vector, so the result is exact; else the remaining cells are expected to hold no more than
+    that share of the k results.
     """
-    near = top_k(queries, centres.select(F.col("cell_id").alias("chunk_id"), F.col("centre").alias("vector")), probes)
-    wanted = near.select("query_id", F.col("chunk_id").alias("cell_id")).join(queries.select("query_id", "vector"), "query_id").repartition("cell_id")
-    asked = blocks(wanted, "query_id", QUERY_BLOCK, "cell_id").select("dim", "cell", F.col("ids").alias("qids"), F.col("v").alias("q"))
-    return best_of_pairs(blocks(placed, "chunk_id", CHUNK_BLOCK, "cell_id").join(asked, ["dim", "cell"]), k)
+    ship(placed.sparkSession)
+    rows = centres.where("n > 0").collect()  # no more than an index has cells
+    if not rows:
+        return top_k(queries, placed, k)
+    known = Known(rows)
+    asked = cut(queries.where("query_id is not null").where(F.size("vector") == known.centres.shape[1]).select("query_id", "vector"))
+    unknown = asked.withColumn("kth", F.lit(float("-inf")))
+    found = cut(searched_cells(asked, placed, chosen_cells(unknown, known, lambda q, kth: known.first(q, k)), k))
+    kth = found.where(F.col("rank") == k).select("query_id", F.col("embed_score").alias("kth"))
+    bounded = asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+    rest = lambda q, kth: known.more(q, kth, k, missed) & ~known.first(q, k)
+    more = searched_cells(asked, placed, chosen_cells(bounded, known, rest), k)
+    both = found.unionByName(more).drop("rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("embed_score"), "chunk_id"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def weighted_overlap(query: Column, text: Column, entity_weight: float = ENTITY_WEIGHT) -> Column:

@@ -64,10 +64,22 @@ def entities(texts: DataFrame) -> DataFrame:
 
 
 def annotated(texts: DataFrame) -> DataFrame:
-    """(text_id, json): plain texts written as nested annotated JSON, one lemma node a token."""
+    """(text_id, json): plain texts written as nested annotated JSON, one lemma node a token.
+
+    The length of a token decides what its lemma has: a norm of its own besides norm0, a class of entity beside that
+    of capitals, a sign with a second reading, and a sequence of signs.
+    """
+    size = F.char_length
     lemma = lambda t: F.struct(
         F.lit("l").alias("node"),
-        F.struct(t.alias("form"), F.lower(t).alias("cf"), F.lit("").alias("norm"), plain(t).alias("norm0"), F.when(t.rlike(r"^\p{Lu}"), "RN").alias("pos"), F.array(F.struct(t.alias("v"))).alias("gdl")).alias("f"),
-    )
+        F.struct(
+            t.alias("form"), F.lower(t).alias("cf"), F.when(size(t) % 2 == 0, F.lit("")).otherwise(F.concat(plain(t), F.lit("~"))).alias("norm"), plain(t).alias("norm0"),
+            F.when(t.rlike(r"^\p{Lu}"), "RN").alias("pos"), F.when(size(t) % 3 == 0, "DN").alias("epos"),
+            F.array(F.struct(
+                t.alias("v"), F.when(size(t) % 4 != 0, F.concat(F.lit("G"), t)).alias("gdl_sign"),
+                F.when(size(t) % 2 == 1, F.array(F.struct(F.concat(F.lit("s"), t).alias("v"), F.concat(F.lit("S"), t).alias("gdl_sign")), F.struct(F.when(size(t) % 3 == 0, F.lit("x")).alias("v"), F.lit(None).cast("string").alias("gdl_sign")))).alias("seq"),
+            )).alias("gdl"),
+        ).alias("f"),
+    )
     tree = F.struct(F.array(F.struct(F.lit("c").alias("node"), F.transform("tokens", lemma).alias("cdl"))).alias("cdl"))
     return texts.select("text_id", F.to_json(tree).alias("json"))

@@ -1,7 +1,6 @@
 """Queries over the driver's tables, one for each operator, and SQL of the same results.
 
-SQL is left out where it cannot express an operator (alignment with insertions, string ratios, trained
-cells, encoders); the tests hold those against brute force.
+SQL is left out where it cannot express an operator (string ratios, cells that may miss results, encoders); the tests hold those against brute force.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from palimpsest.operators import index, search, stats, vectors, windows
 from palimpsest.plans import corpus
 from palimpsest.session import shared_dir, ship, table
 from palimpsest.sources import ingest, sinks
+from palimpsest.streaming.grow import grow, read_grown
 
 STOP = T.stop_set("forms")
 #: Defaults of the reading interface.
@@ -68,15 +68,20 @@ COUNTED = f"list_filter(list_distinct(tokens), lambda t: NOT list_contains({STOP
 NEED = "CAST(CASE WHEN ceil(mark * len(counted)) = len(counted) AND mark <> 1 THEN len(counted) - 1 ELSE ceil(mark * len(counted)) END AS INTEGER)"
 
 
-def sql_search(tail: str) -> str:
-    """Hits of the rows of ``wins`` with tolerances (asked: query_id, tokens, tol) in ``docs``."""
+def sql_candidates(k: str) -> str:
+    """Texts of ``docs`` that share enough tokens with queries (asked: query_id, tokens, tol), of which ``k`` may differ."""
     return f"""
-marked AS (SELECT query_id, tokens, tol, {COUNTED} AS counted, {sql_mark(K_INNER)} AS mark FROM asked),
+marked AS (SELECT query_id, tokens, tol, {COUNTED} AS counted, {sql_mark(k)} AS mark FROM asked),
 needed AS (SELECT *, {NEED} AS need FROM marked),
 posted AS (SELECT DISTINCT text_id, unnest(tokens) AS token FROM docs),
 wanted AS (SELECT query_id, need, unnest(counted) AS token FROM needed),
 cands AS (SELECT query_id, text_id, CAST(count(*) AS INTEGER) AS shared FROM wanted JOIN posted USING (token)
-  WHERE token <> '■' AND token <> '' GROUP BY query_id, text_id, need HAVING count(*) >= greatest(need, 1)),
+  WHERE token <> '■' AND token <> '' GROUP BY query_id, text_id, need HAVING count(*) >= greatest(need, 1))"""
+
+
+def sql_search(tail: str) -> str:
+    """Hits of queries (asked) in ``docs`` by edit distances inside tokens."""
+    return f"""{sql_candidates(K_INNER)},
 places AS (SELECT c.query_id, c.text_id, n.tokens AS q, n.tol, d.tokens AS t, unnest(range(0, len(d.tokens) - len(n.tokens) + 1)) AS i
   FROM cands c JOIN needed n USING (query_id) JOIN docs d USING (text_id) WHERE len(d.tokens) >= len(n.tokens)),
 near AS (SELECT * FROM places WHERE len(list_filter(range(1, len(q) + 1), lambda j: q[j] <> '■' AND q[j] <> t[i + j])) <= tol),
@@ -88,9 +93,36 @@ hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 {tail}"""
 
 
+def sql_token_search(tail: str) -> str:
+    """Hits of queries (asked) in ``docs`` by the token edit distance: its table, a row a step.
+
+    A cell takes a match or replacement, then a query token without counterpart, if that is less; then the nearest
+    cell to the left, if that and the way are less.
+    """
+    cost = "(CASE WHEN q[i + 1] IN ('■', t[j]) THEN 0 ELSE 1 END)"
+    way = "(own[k + 1] + j - k) * 1000000 + j - k"
+    return f"""{sql_candidates("tol")},
+aligned AS (
+  SELECT c.query_id, c.text_id, n.tokens AS q, n.tol, d.tokens AS t, 0 AS i, list_transform(range(0, len(d.tokens) + 1), lambda j: CAST(0 AS BIGINT)) AS d, range(0, len(d.tokens) + 1) AS s
+  FROM cands c JOIN needed n USING (query_id) JOIN docs d USING (text_id) WHERE len(d.tokens) > 0
+  UNION ALL
+  SELECT query_id, text_id, q, tol, t, i + 1, list_transform(least_way, lambda v: v // 1000000), list_transform(range(0, len(t) + 1), lambda j: start[j - least_way[j + 1] % 1000000 + 1])
+  FROM (SELECT *, list_transform(range(0, len(t) + 1), lambda j: list_min(list_transform(range(greatest(0, j - i - 1), j + 1), lambda k: {way}))) AS least_way
+    FROM (SELECT *, list_transform(range(0, len(t) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(d[j] + {cost}, d[j + 1] + 1) END) AS own,
+      list_transform(range(0, len(t) + 1), lambda j: CASE WHEN j = 0 THEN 0 WHEN d[j] + {cost} <= d[j + 1] + 1 THEN s[j] ELSE s[j + 1] END) AS start FROM aligned WHERE i < len(q)))),
+ends AS (SELECT query_id, text_id, t, d, s, list_min(d[2:]) AS best, unnest(range(1, len(t) + 1)) AS j FROM aligned WHERE i = len(q) AND list_min(d[2:]) <= tol),
+hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY text_id, j) - 1 AS INTEGER) AS result_id, text_id,
+  array_to_string(t[s[j + 1] + 1:j], ' ') AS matched_sequence, CAST(best AS INTEGER) AS edit_distance FROM ends WHERE d[j + 1] = best)
+{tail}"""
+
+
 K_WORDS = f"len({COUNTED})"
-ASKED_ITEMS = f"""{ITEMS}, {sql_windows("items", WINDOW, STRIDE)},
-asked AS (SELECT text_id || '#' || window_no AS query_id, tokens, CASE WHEN {K_WORDS} = 2 THEN 0 ELSE {TOLERANCE} END AS tol FROM wins WHERE {K_WORDS} >= 2)"""
+def sql_asked(tolerance: int) -> str:
+    return f"""{ITEMS}, {sql_windows("items", WINDOW, STRIDE)},
+asked AS (SELECT text_id || '#' || window_no AS query_id, tokens, CASE WHEN {K_WORDS} = 2 THEN 0 ELSE {tolerance} END AS tol FROM wins WHERE {K_WORDS} >= 2)"""
+
+
+ASKED_ITEMS = sql_asked(TOLERANCE)
 
 
 def query(name: str, sql: str | None = None):
@@ -206,7 +238,7 @@ def asked(spark: SparkSession, sf_dir: str, tolerance: int = TOLERANCE) -> DataF
 
 @query("candidates", f"WITH {DOCS}, {ASKED_ITEMS}, {sql_search('SELECT query_id, text_id, shared FROM cands')}")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.candidates(index.with_threshold(asked(spark, sf_dir), INNER, STOP), corpus.documents(spark, sf_dir))
+    return index.candidates(index.with_threshold(asked(spark, sf_dir), INNER, STOP), corpus.documents(spark, sf_dir)).select("query_id", "text_id", "shared")
 
 
 @query("search_inner", f"WITH {DOCS}, {ASKED_ITEMS}, {sql_search('SELECT * FROM hits')}")
@@ -214,7 +246,7 @@ def search_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(asked(spark, sf_dir), corpus.documents(spark, sf_dir), INNER, STOP)
 
 
-@query("search_tokens")
+@query("search_tokens", f"WITH RECURSIVE {DOCS}, {sql_asked(TOKEN_TOLERANCE)}, {sql_token_search('SELECT * FROM hits')}")
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(asked(spark, sf_dir, TOKEN_TOLERANCE), corpus.documents(spark, sf_dir), TOKENS, STOP)
 
@@ -260,7 +292,18 @@ def passage_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find_reuse(corpus.passages(spark, sf_dir), corpus.documents(spark, sf_dir), WINDOW, STRIDE, TOLERANCE, INNER, STOP, ignore_core_project=True)
 
 
-@query("both_distances")
+def sql_once(tolerance: int) -> str:
+    """Queries of passages, windows with the same tokens once."""
+    return f"""{ITEMS}, {sql_windows("items", WINDOW, STRIDE)},
+asked AS (SELECT text_id || '#' || min(window_no) AS query_id, text_id AS own_id, tokens, CASE WHEN {K_WORDS} = 2 THEN 0 ELSE {tolerance} END AS tol FROM wins WHERE {K_WORDS} >= 2 GROUP BY text_id, tokens)"""
+
+
+BOTH_TAIL = "SELECT own_id, array_to_string(a.tokens, ' ') AS query, result_id, h.text_id, matched_sequence, edit_distance, '{0}' AS distance FROM hits h JOIN asked a USING (query_id) WHERE h.text_id <> own_id"
+
+
+@query("both_distances", f"""WITH RECURSIVE {DOCS}, one AS (WITH {sql_once(TOLERANCE)}, {sql_search(BOTH_TAIL.format(INNER))}),
+two AS (WITH RECURSIVE {sql_once(TOKEN_TOLERANCE)}, {sql_token_search(BOTH_TAIL.format(TOKENS))})
+SELECT * FROM one UNION ALL SELECT * FROM two""")
 def both_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.both_distances(corpus.passages(spark, sf_dir), corpus.documents(spark, sf_dir), WINDOW, STRIDE, TOLERANCE, TOKEN_TOLERANCE, STOP)
 
@@ -304,6 +347,16 @@ def type_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.type_ahead(corpus.projects(spark, sf_dir), F.col("name"), F.col("project"), "SRC1")
 
 
+@query("type_ahead_index", """WITH d AS (SELECT DISTINCT 'Source ' || source AS label, source || '/' || doc_id AS value FROM documents)
+SELECT label, value FROM d WHERE contains(lower(label), 'c1/1') OR contains(lower(value), 'c1/1')""")
+def type_ahead_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the type-ahead of texts finds in an index of all texts."""
+    path = shared_dir(spark)
+    texts = corpus.documents(spark, sf_dir)
+    stats.write_type_ahead(texts, F.concat(F.lit("Source "), F.col("core_project")), F.col("text_id"), path)
+    return stats.look_ahead(spark, path, "C1/1", None)
+
+
 ENTITIES_SQL = rf"""ents AS (SELECT text_id, regexp_replace(t, {EDGE_SQL}, '', 'g') AS lemma FROM (SELECT text_id, unnest(tokens) AS t FROM docs) WHERE regexp_matches(t, '^\p{{Lu}}[\p{{Ll}}]')),
 rel AS (SELECT '{ENTITY}' AS query_ne, lemma AS rel_ne, count(DISTINCT text_id) AS hits FROM ents WHERE lemma <> '{ENTITY}' AND text_id IN (SELECT text_id FROM ents WHERE lemma = '{ENTITY}') GROUP BY lemma)"""
 
@@ -327,6 +380,13 @@ def network_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.network(company(spark, sf_dir), ENTITY)[1]
 
 
+@query("network_all_edges", rf"""WITH {DOCS}, ents AS (SELECT DISTINCT text_id, regexp_replace(t, {EDGE_SQL}, '', 'g') AS lemma FROM (SELECT text_id, unnest(tokens) AS t FROM docs) WHERE regexp_matches(t, '^\p{{Lu}}[\p{{Ll}}]'))
+SELECT a.lemma AS query_ne, b.lemma AS rel_ne, count(*) AS hits FROM ents a JOIN ents b ON a.text_id = b.text_id AND a.lemma <> b.lemma GROUP BY a.lemma, b.lemma HAVING count(*) >= 30""")
+def network_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of all entities' networks at once."""
+    return stats.all_co_occurrences(corpus.entities(corpus.documents(spark, sf_dir)), "PN_RN")
+
+
 # -- vectors ----------------------------------------------------------------------------------------
 
 
@@ -356,13 +416,25 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(rows.select("chunk_id", "label"), "chunk_id", "left").groupBy("query_id", "label").agg(F.count("*").alias("hits"))
 
 
+def cell_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All embeddings in cells, written by cell and read back, and the centres."""
+    path = shared_dir(spark)
+    rows = stored(spark, sf_dir).select("chunk_id", "vector")
+    sinks.write_cells(*vectors.build_cells(rows, vectors.cell_count(rows.count())), path)
+    return sinks.read_cells(spark, path)
+
+
 @query("vector_cells")
 def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(spark, sf_dir).select("chunk_id", "vector")
-    cells = vectors.cell_count(rows.count())
-    placed, centres = vectors.build_cells(rows, cells)
-    # Of 51,282 vectors' neighbours, 256 of 905 cells find 0.895, half of the cells 0.973.
-    return vectors.top_k_cells(vector_queries(spark, sf_dir), placed, centres, 10, max(vectors.MODELS["e5"]["probes"], cells // 2))
+    """The ten nearest by cells; the search stops where few results are left to expect."""
+    return vectors.search_cells(vector_queries(spark, sf_dir), *cell_index(spark, sf_dir), 10)
+
+
+@query("vector_cells_exact", f"WITH {TOP_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def vector_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by cells; the search stops where no cell can hold a better one."""
+    found = vectors.search_cells(vector_queries(spark, sf_dir), *cell_index(spark, sf_dir), 10, missed=0)
+    return found.select("query_id", "rank", "chunk_id", F.round("embed_score", 6).alias("score"))
 
 
 OVERLAP_WORDS = r"list_filter(list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')), lambda w: NOT regexp_matches(w, '^[\p{{Nd}}⁰¹²³⁴-⁹₀-₉]+$'))"
@@ -433,43 +505,55 @@ def json_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.prune_json(table(spark, sf_dir, "documents").select("doc_id", said.alias("json")))
 
 
-@query("json_modes", f"""WITH {DOCS}, m AS (
-  SELECT text_id, 'forms' AS mode, list_transform(tokens, lambda t: CASE WHEN t IN ('x', 'X') THEN '■' ELSE t END) AS t FROM docs
-  UNION ALL SELECT text_id, 'normalised', list_transform(list_transform(tokens, lambda t: regexp_replace(lower(t), {EDGE_SQL}, '', 'g')), lambda t: CASE WHEN t IN ('x', 'X') THEN '■' ELSE t END) FROM docs
-  UNION ALL SELECT text_id, 'forms_pos', list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '^\\p{{Lu}}') THEN 'PN_RN' WHEN t = 'x' THEN '■' ELSE t END) FROM docs
-  UNION ALL SELECT text_id, 'signs', list_transform(tokens, lambda t: CASE WHEN t IN ('x', 'X') THEN '■' ELSE t END) FROM docs)
-SELECT text_id, mode, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM m""")
-def json_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir)))
-    return project_modes(parsed, ("forms", "normalised", "forms_pos", "signs")).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
-
-
-FORM_SQL, CF_SQL, NORM_SQL = "t", "lower(t)", f"regexp_replace(lower(t), {EDGE_SQL}, '', 'g')"
+FORM_SQL, CF_SQL = "t", "lower(t)"
+NORM_SQL = f"(regexp_replace(lower(t), {EDGE_SQL}, '', 'g') || CASE WHEN length(t) % 2 = 0 THEN '' ELSE '~' END)"
+CLASS_SQL = r"CASE WHEN regexp_matches(t, '^\p{Lu}') THEN 'PN_RN' WHEN length(t) % 3 = 0 THEN 'PN_DN' END"
 
 
 def sql_marked(word: str, entities: bool = False, strip: bool = False) -> str:
     """Tokens by ``word``, with entity classes and without index digits where asked for."""
-    named = rf"WHEN regexp_matches(t, '^\p{{Lu}}') THEN 'PN_RN' " if entities else ""
-    marked = f"CASE {named}WHEN {word} IN ('x', 'X') THEN '■' ELSE {word} END"
-    return f"list_transform(tokens, lambda t: {f"translate({marked}, '{T.SUBSCRIPTS}', '')" if strip else marked})"
+    marked = f"CASE WHEN {word} IN ('x', 'X') THEN '■' ELSE {word} END"
+    named = f"coalesce({CLASS_SQL}, {marked})" if entities else marked
+    return f"list_transform(tokens, lambda t: {f"translate({named}, '{T.SUBSCRIPTS}', '')" if strip else named})"
+
+
+def sql_signs(strip: bool = False) -> str:
+    """Each token's sign, then those of its sequence; one of them is the letter for unknown signs."""
+    marked = lambda x: f"CASE WHEN {x} IN ('x', 'X') THEN '■' ELSE {x} END"
+    signs = f"flatten(list_transform(tokens, lambda t: CASE WHEN length(t) % 2 = 1 THEN CASE WHEN length(t) % 3 = 0 THEN [{marked('t')}, {marked("('s' || t)")}, '■'] ELSE [{marked('t')}, {marked("('s' || t)")}] END ELSE [{marked('t')}] END))"
+    return f"list_transform({signs}, lambda t: translate(t, '{T.SUBSCRIPTS}', ''))" if strip else signs
 
 
+GDL_SQL = "list_filter(flatten(list_transform(tokens, lambda t: [CASE WHEN length(t) % 4 <> 0 THEN 'G' || t END, CASE WHEN length(t) % 2 = 1 THEN 'S' || t END])), lambda s: s IS NOT NULL)"
 MODES_SQL = {
     "forms": sql_marked(FORM_SQL), "lemma": sql_marked(CF_SQL), "normalised": sql_marked(NORM_SQL),
     "forms_pos": sql_marked(FORM_SQL, True), "lemma_pos": sql_marked(CF_SQL, True), "normalised_pos": sql_marked(NORM_SQL, True),
-    "signs": sql_marked(FORM_SQL), "signs_gdl": "CAST([] AS VARCHAR[])", "signs_normalised": sql_marked(FORM_SQL, strip=True),
+    "signs": sql_signs(), "signs_gdl": GDL_SQL, "signs_normalised": sql_signs(True),
     "forms_normalised": sql_marked(FORM_SQL, strip=True), "forms_pos_normalised": sql_marked(FORM_SQL, True, True),
 }
 
 
-@query("json_all_modes", f"""WITH {DOCS}, m AS ({" UNION ALL ".join(f"SELECT text_id, '{m}' AS mode, {t} AS t FROM docs" for m, t in MODES_SQL.items())})
-SELECT text_id, mode, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM m""")
+def sql_modes(wanted: tuple[str, ...]) -> str:
+    return f"""WITH {DOCS}, m AS ({" UNION ALL ".join(f"SELECT text_id, '{m}' AS mode, {MODES_SQL[m]} AS t FROM docs" for m in wanted)})
+SELECT text_id, mode, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM m"""
+
+
+SOME_MODES = ("forms", "normalised", "forms_pos", "signs")
+
+
+@query("json_modes", sql_modes(SOME_MODES))
+def json_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir)))
+    return project_modes(parsed, SOME_MODES).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
+
+
+@query("json_all_modes", sql_modes(T.MODES))
 def json_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir)))
     return project_modes(parsed).select("text_id", "mode", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
 
 
-@query("json_entities", rf"""WITH {DOCS}, e AS (SELECT text_id, unnest(tokens) AS t FROM docs) SELECT text_id, 'PN_RN' AS category, lower(t) AS lemma FROM e WHERE regexp_matches(t, '^\p{{Lu}}')""")
+@query("json_entities", rf"""WITH {DOCS}, e AS (SELECT text_id, unnest(tokens) AS t FROM docs) SELECT text_id, {CLASS_SQL} AS category, lower(t) AS lemma FROM e WHERE {CLASS_SQL} IS NOT NULL""")
 def json_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named_entities(ingest.parse_texts(corpus.annotated(corpus.documents(spark, sf_dir))))
 
@@ -524,17 +608,40 @@ def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.text_id_of_path(path, F.lit("proj/")).alias("text_id"))
 
 
-@query("scanned_files", "SELECT 'proj/sub' AS folder, CAST(item_id AS VARCHAR) AS n FROM benchmark")
+#: Folders of a scanned corpus: some bear the root's own name or end in it, some have letters that a path writes otherwise.
+FOLDERS = ("proj/sub", "island", "x/land", "b c/d+e", "land")
+
+
+@query("scanned_files", "SELECT [" + ", ".join(f"'{f}'" for f in FOLDERS) + "][item_id % 5 + 1] AS folder, CAST(item_id AS VARCHAR) AS n FROM benchmark")
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages as files of their own in a corpusjson folder, beside a folder that is none, found by a scan."""
+    """Passages as files of their own in corpusjson folders, beside a folder that is none, found by a scan."""
     path = shared_dir(spark)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"))
-    for folder in ("corpusjson", "other"):
-        items.write.option("maxRecordsPerFile", 1).json(f"{path}/land/proj/sub/{folder}")
+    for i, folder in enumerate(FOLDERS):
+        items.where(F.col("n") % len(FOLDERS) == i).write.option("maxRecordsPerFile", 1).json(f"{path}/land/{folder}/corpusjson")
+    items.write.json(f"{path}/land/proj/sub/other")
     found = ingest.read_json_texts(spark, f"{path}/land")
     return found.select(T.core_project(F.col("text_id")).alias("folder"), F.get_json_object("json", "$.n").alias("n"))
 
 
+@query("grown_corpus", f"""WITH {DOCS}, n AS (SELECT *, CAST(string_split(text_id, '/')[2] AS BIGINT) AS i FROM docs), g AS (SELECT core_project, CAST(i // 500 AS INTEGER) AS file, list(text_id ORDER BY i) AS held, list(tokens ORDER BY i) AS texts FROM n GROUP BY ALL),
+u AS (SELECT core_project || '/' || file AS text_id, list_transform(flatten(texts), lambda t: CASE WHEN t IN ('x', 'X') THEN '■' ELSE t END) AS t FROM g),
+p AS (SELECT text_id, count(DISTINCT x) AS postings FROM (SELECT text_id, unnest(t) AS x FROM u) WHERE x NOT IN ('■', '') GROUP BY text_id)
+SELECT u.text_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest, CAST(coalesce(postings, 0) AS BIGINT) AS postings FROM u LEFT JOIN p USING (text_id)""")
+def grown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that come in two steps, each added to a corpus by a stream of its own; then the corpus with its postings."""
+    path = shared_dir(spark)
+    n = F.substring_index("text_id", "/", -1).cast("long")
+    docs = corpus.documents(spark, sf_dir).select("core_project", n.alias("n"), "tokens").withColumn("file", F.floor(F.col("n") / 500).cast("int"))
+    files = docs.groupBy("core_project", "file").agg(F.array_sort(F.collect_list(F.struct("n", "tokens"))).alias("e")).select("core_project", F.concat_ws("/", "core_project", F.col("file").cast("string")).alias("text_id"), "file", F.flatten(F.col("e.tokens")).alias("tokens"))
+    for step in (0, 1):
+        sinks.write_json_texts(corpus.annotated(files.where(F.col("file") % 2 == step)), f"{path}/land")
+        grow(spark, f"{path}/land", f"{path}/corpus", ("forms",)).awaitTermination()
+    held = read_grown(spark, f"{path}/corpus", "postings").groupBy("text_id").agg(F.count("*").alias("postings"))
+    texts = read_grown(spark, f"{path}/corpus").select("text_id", F.size("tokens").alias("n_tokens"), md5_of(F.col("tokens")).alias("digest"))
+    return texts.join(held, "text_id", "left").select("text_id", "n_tokens", "digest", F.coalesce("postings", F.lit(0)).alias("postings"))
+
+
 @query("metadata_fields", """SELECT DISTINCT source AS project, 'Source ' || source AS name FROM documents""")
 def metadata_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus.projects(spark, sf_dir).select("project", F.to_json(F.struct(F.struct(F.col("name"), F.lit(1).alias("v")).alias("config"))).alias("json"))

@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds at most: texts may be long, so batches stay small.
 ARROW_ROWS = 1000
@@ -83,3 +84,20 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``place``: the number of each row, from 0, by ``order``.
+
+    Rows are sorted by ranges and numbered within partitions; partitions begin after the rows of those before
+    them, so that no task sees all rows.
+    """
+    n = F.monotonically_increasing_id()
+    held = cut(df.orderBy(*order).select("*", F.shiftright(n, 33).alias("part"), n.bitwiseAND((1 << 33) - 1).alias("within")))
+    sizes = held.groupBy("part").agg(F.count("*").alias("n")).collect()  # a row a partition
+    begins, total = [], 0
+    for r in sorted(sizes):
+        begins.append((r.part, total))
+        total += r.n
+    starts = df.sparkSession.createDataFrame(begins, "part long, begin long")
+    return held.join(F.broadcast(starts), "part").withColumn("place", F.col("begin") + F.col("within")).drop("part", "within", "begin")

@@ -6,6 +6,8 @@ import csv
 import importlib.util
 import io
 import json
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +48,38 @@ def read_corpus(spark: SparkSession, root: str, prefix: str = "", mode: str | No
     return out
 
 
+def write_json_texts(texts: DataFrame, root: str) -> None:
+    """Rows (text_id, json), ids as project/TEXT, as files project/corpusjson/TEXT.json below ``root``.
+
+    Tasks write the texts; the driver only renames files, as many as there are texts, so that readers never see half of one.
+    """
+    project, name = F.regexp_extract("text_id", "^(.*)/[^/]*$", 1), F.substring_index("text_id", "/", -1)
+    rows = texts.select(F.concat(project, F.lit("/corpusjson/"), name, F.lit(".json")).alias("file"), "json")
+    spark = texts.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged = f"{root.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    rows.repartition("file").write.option("maxRecordsPerFile", 1).partitionBy("file").text(staged)
+    for folder in fs.listStatus(path(staged)):
+        if folder.isDirectory():
+            file = unquote(folder.getPath().getName().removeprefix("file="))
+            part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            to = path(f"{root.rstrip('/')}/{file}")
+            fs.mkdirs(to.getParent())
+            fs.delete(to, False)
+            fs.rename(part, to)
+    fs.delete(path(staged), True)
+
+
 def write_vectors(coded: DataFrame, path: str) -> None:
     """(chunk_id, vector): ids stand beside their vectors, so no order ties them."""
     coded.select("chunk_id", "vector").write.mode("overwrite").parquet(path)
 
 
 def write_cells(placed: DataFrame, centres: DataFrame, path: str) -> None:
-    """A cell index: vectors by cell, and centres. A search reads the folders of its cells only."""
-    placed.select("cell_id", "chunk_id", "vector").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
+    """A cell index: vectors by cell, and centres. A search reads the folders of its cells only; a large cell has several files."""
+    placed.select("cell_id", "chunk_id", "vector").hint("rebalance", "cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
     centres.write.mode("overwrite").parquet(f"{path}/centres")
 
 

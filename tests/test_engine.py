@@ -17,7 +17,9 @@ from palimpsest.functions import text as T
 from palimpsest.functions import thresholds as H
 from palimpsest.operators import index, search, stats, vectors, windows
 from palimpsest.plans import queries as plans
+from palimpsest.session import in_order
 from palimpsest.sources import ingest, sinks
+from palimpsest.streaming.grow import grow, read_grown
 from palimpsest.streaming.live import standing_search
 
 SMALL = "/root/testdata/sf0.001"
@@ -199,6 +201,23 @@ def test_distances(spark):
             assert [(h.start, h.edit_distance, h.matched) for h in r.h or []] == brute(r.q, r.t, r.tol), (r.q, r.t, r.tol)
 
 
+def test_alignments_in_long_texts():
+    rng = random.Random(9)
+    in_part = 0
+    for _ in range(400):
+        vocabulary = [f"w{i}" for i in range(rng.choice([3, 12, 60]))] + ["■"]
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(1, 160))]
+        at = rng.randrange(len(text))
+        query = [rng.choice(vocabulary) if rng.random() < 0.15 else t for t in text[at : at + rng.randint(1, 10)] if rng.random() > 0.1]
+        tol = rng.randint(0, 4)
+        places = distance.Places(text)
+        got = distance.alignments(query, places, tol)
+        assert [(s, got[0], text[s:e]) for s, e in got[1]] == brute_tokens(query, text, tol) if got else brute_tokens(query, text, tol) == [], (query, text, tol)
+        parts = distance.stretches([None if q == "■" else places.codes.get(q, -1) for q in query], places, tol)
+        in_part += parts is not None and 0 < sum(hi - lo for lo, hi in parts) < len(text)
+    assert in_part > 100  # stretches leave most of a text aside
+
+
 def test_worked_distances(spark):
     texts = texts_of(spark, {"p/1": "Šamšī-Addu rīm tuqumtim", "p/2": "inuma ilu ibnu awilutam"})
     hit = search.one_query(texts, QUERY, 7, "inner", T.stop_set("forms")).first()
@@ -238,6 +257,20 @@ def test_search_against_brute_force(spark):
             assert found == want_h
 
 
+def test_texts_that_repeat_an_id_are_searched_each(spark):
+    df = spark.createDataFrame([("a", "x y".split()), ("a", "z w".split()), ("b", "x y z q".split()), ("b", "x y z q".split())], "text_id string, tokens array<string>")
+    queries = spark.createDataFrame([(0, "x y z w".split(), 1)], "query_id int, tokens array<string>, tol int")
+    asked = index.with_threshold(queries, "tokens", ())
+    assert asked.first().need == 3
+    for posted in (None, index.kept_postings(df)):
+        assert [(r.text_id, r.shared) for r in index.candidates(asked, df, posted).collect()] == [("b", 3)]
+        hits = search.search(queries, df, "tokens", (), posted).collect()
+        assert [(r.result_id, r.text_id, r.matched_sequence, r.edit_distance) for r in sorted(hits)] == [(i, "b", m, 1) for i, m in enumerate(["x y z", "x y z", "x y z q", "x y z q"])]
+    many = spark.createDataFrame([(0, [f"t{i}" for i in range(80)], 0)], "query_id int, tokens array<string>, tol int")
+    texts = spark.createDataFrame([("c", [f"t{i}" for i in range(80)])] * 2, "text_id string, tokens array<string>")
+    assert index.candidates(index.with_threshold(many, "tokens", ()), texts).first().shared == 80
+
+
 def test_reuse_options(spark):
     same = "alpha beta gamma delta epsilon"
     df = texts_of(spark, {"p/a": f"{same} {same} {same}", "p/b": f"zeta {same}", "q/c": f"{same} eta", "d": "ina ana ina ana ina"})
@@ -281,6 +314,96 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got == batch
 
 
+# -- growing corpora, look-ups, networks --------------------------------------------------------------
+
+
+def put_texts(root, texts):
+    for name, json_text in texts.items():
+        path = os.path.join(root, os.path.dirname(name), "corpusjson", os.path.basename(name) + ".json")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(json_text)
+
+
+def one_text(words):
+    return json.dumps({"cdl": [{"node": "l", "f": {"form": w, "gdl": []}} for w in words.split()]})
+
+
+def test_scanned_ids_come_from_the_path_below_the_root(spark, tmp_path):
+    names = ["island/a", "x/land/a", "land/a", "b c/a", "p+q/r%20s/a", "deep/corpus/b", "umlaut-ä/a"]
+    put_texts(str(tmp_path / "land"), {n: one_text(n.replace(" ", "_")) for n in names})
+    got = {r.text_id: r.json for r in ingest.read_json_texts(spark, str(tmp_path / "land")).collect()}
+    assert set(got) == set(names)
+    assert set(ingest.read_json_texts(spark, f"file://{tmp_path}/land/").select("text_id").toPandas().text_id) == set(names)
+
+
+def test_corpus_grows_once_over_restarts(spark, tmp_path):
+    root, out = str(tmp_path / "land"), str(tmp_path / "corpus")
+    first = {"p/1": one_text("alpha beta x"), "p/2": "{broken", "q/3": one_text("beta beta gamma")}
+    put_texts(root, first)
+    grow(spark, root, out, ("forms", "lemma"), 2).awaitTermination()
+    assert read_grown(spark, out).select("text_id").distinct().count() == 2
+    more = {"q/4": one_text("delta alpha"), "r/5": one_text("alpha"), "r/6": "[]"}
+    put_texts(root, more)
+    # The second process stops after it wrote, before it noted that: the batch comes again.
+    grow(spark, root, out, ("forms", "lemma"), 2).awaitTermination()
+    commits = os.path.join(out, "read", "commits")
+    last = max((n for n in os.listdir(commits) if n.isdigit()), key=int)
+    os.remove(os.path.join(commits, last))
+    if os.path.exists(os.path.join(commits, f".{last}.crc")):
+        os.remove(os.path.join(commits, f".{last}.crc"))
+    grow(spark, root, out, ("forms", "lemma"), 2).awaitTermination()
+    grow(spark, root, out, ("forms", "lemma"), 2).awaitTermination()  # nothing new
+    parsed = ingest.parse_texts(ingest.read_json_texts(spark, root))
+    want = modes.project_modes(parsed.where("not has_error"), ("forms", "lemma"))
+    rows = lambda df, *c: sorted(tuple(map(str, r)) for r in df.select(*c).collect())
+    assert rows(read_grown(spark, out), "text_id", "mode", "tokens") == rows(want, "text_id", "mode", "tokens")
+    assert rows(read_grown(spark, out, "errors"), "text_id") == [("p/2",)]
+    posted = index.postings(want.where("mode = 'forms'"))
+    assert rows(read_grown(spark, out, "postings").where("mode = 'forms'"), "token", "text_id", "key") == rows(posted, "token", "text_id", "key")
+    # What was kept answers queries as postings made anew do.
+    texts = read_grown(spark, out).where("mode = 'forms'").select("text_id", "tokens")
+    found = search.one_query(texts, ["alpha", "beta"], 0, "inner", (), read_grown(spark, out, "postings").where("mode = 'forms'").select("token", "text_id", "key"))
+    assert [(r.text_id, r.matched_sequence) for r in found.collect()] == [("p/1", "alpha beta")]
+
+
+def test_type_ahead_index_equals_the_scan(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abA /ß.") for _ in range(rng.randint(0, 7))), f"p{i % 7}/{i}") for i in range(300)] + [("same", "same"), ("same", "same"), (None, "none")]
+    table = spark.createDataFrame(rows, "name string, id string")
+    stats.write_type_ahead(table, F.col("name"), F.col("id"), str(tmp_path))
+    for typed in ("", "a", "AB", "aba", "p3/1", "P3/10", "ab a", "ß.", "zzz", "same", "none"):
+        want = [(r.name, r.id) for r in stats.type_ahead(table.distinct(), F.col("name"), F.col("id"), typed, None).collect()]
+        got = stats.look_ahead(spark, str(tmp_path), typed, None)
+        assert sorted(map(str, ((r.label, r.value) for r in got.collect()))) == sorted(map(str, want)), typed
+    assert stats.look_ahead(spark, str(tmp_path), "p", 5).count() == 5
+    plan = stats.look_ahead(spark, str(tmp_path), "p3/1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [folder" in plan, plan
+    assert "PushedFilters: [In(gram" in plan or "PushedFilters: [In(gram" in stats.look_ahead(spark, str(tmp_path), "p3/1")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("at_once", [2_000_000, 7])
+def test_networks_of_all_entities(spark, monkeypatch, at_once):
+    monkeypatch.setattr(stats, "PAIRS_AT_ONCE", at_once)
+    rng = random.Random(6)
+    rows = [(f"t{i}", "PN_PN", rng.choice("ABCDEFGH")) for i in range(60) for _ in range(rng.randint(0, 6))] + [("t0", "PN_GN", "Z"), ("t1", "PN_GN", "Z")]
+    entities = spark.createDataFrame(rows, "text_id string, category string, lemma string").repartition(3)
+    got = {(r.query_ne, r.rel_ne): r.hits for r in stats.all_co_occurrences(entities, "PN_PN", 5).collect()}
+    want = {}
+    for ne in "ABCDEFGH":
+        want |= {(ne, r.rel_ne): r.hits for r in stats.co_occurrence(entities, ne, "PN_PN").collect() if r.hits >= 5}
+    assert got == want and got
+    assert stats.all_co_occurrences(entities.limit(0), "PN_PN").count() == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 50), i) for i in range(400)]
+    got = in_order(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == sorted(rows) and sorted(r.place for r in got) == list(range(400))
+    assert in_order(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
 # -- vectors ------------------------------------------------------------------------------------------
 
 
@@ -326,6 +449,63 @@ def test_registered_cells_find_the_neighbours(spark, sf):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_best_hands_on_no_more_than_k():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    scores = np.round(rng.normal(size=(7, 900)), 1)  # many ties
+    names = np.array([f"c{i:03}" for i in rng.permutation(900)])
+    best = vectors.Best(5)
+    for at in range(0, 900, 60):
+        best.add(pa.array(range(7)), pa.array(names[at : at + 60]), scores[:, at : at + 60])
+        if at % 180 == 0:
+            best.shrink()
+    out = pa.Table.from_batches(list(best.out(pa.int64()))).to_pylist()
+    assert len(out) == 35
+    for q in range(7):
+        want = sorted(zip(-scores[q], names, strict=True))[:5]
+        assert sorted((-r["embed_score"], r["chunk_id"]) for r in out if r["query_id"] == q) == want
+
+
+def test_cells_prune_the_scan_and_can_be_exact(spark, tmp_path):
+    rng = random.Random(15)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.15) for x in rng.choice(middles)]) for i in range(2000)]
+    chunks = spark.createDataFrame([*rows, (2000, None)], "chunk_id int, vector array<float>")
+    queries = chunks.where("chunk_id % 50 = 0 and vector is not null").select(F.col("chunk_id").alias("query_id"), "vector")
+    sinks.write_cells(*vectors.build_cells(chunks, 40), str(tmp_path))
+    placed, centres = sinks.read_cells(spark, str(tmp_path))
+    assert centres.agg(F.sum("n")).first()[0] == 2000
+    want = sorted((r.query_id, r["rank"], r.chunk_id) for r in vectors.top_k(queries, chunks, 6).collect())
+    exact = vectors.search_cells(queries, placed, centres, 6, missed=0)
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in exact.collect()) == want
+    near = vectors.search_cells(queries, placed, centres, 6)
+    got = sorted((r.query_id, r.chunk_id) for r in near.collect())
+    assert len({*got} & {(q, c) for q, _, c in want}) >= 0.9 * len(want)
+    wanted = spark.createDataFrame([(r.query_id, c) for r in queries.collect() for c in (3, 5)], "query_id int, cell_id int")
+    few = vectors.searched_cells(queries, placed, wanted, 6)
+    assert {r.cell_id for r in few.join(placed, "chunk_id").select("cell_id").distinct().collect()} <= {3, 5}
+    assert "dynamicpruning" in few._jdf.queryExecution().toString()
+    known = vectors.Known(centres.where("n > 0").collect())
+    import numpy as np
+
+    q = np.array([r.vector for r in queries.orderBy("query_id").collect()])
+    assert known.more(q, np.full(len(q), -np.inf), 6, 0).all()  # nothing is known: all cells
+    top = vectors.top_k(queries, chunks, 6).where(F.col("rank") == 6).orderBy("query_id").collect()
+    looked = known.first(q, 6) | known.more(q, np.array([r.embed_score for r in top]), 6, 0)
+    assert looked.mean() < 0.5  # vectors in groups: most cells hold nothing for a query
+
+
+def test_cells_of_odd_tables(spark):
+    kinds = "chunk_id int, vector array<float>"
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, vector array<float>")
+    for rows in ([], [(1, None)], [(1, [0.0, 0.0])] * 3, [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0, 1.0])]):
+        chunks = spark.createDataFrame(rows, kinds)
+        found = vectors.search_cells(queries, *vectors.build_cells(chunks, 4), 2).collect()
+        assert len(found) == min(2, sum(v is not None and len(v) == 2 for _, v in rows))
+
+
 def test_rerank(spark):
     meta = spark.createDataFrame([("c1", "t/1", 0, 5, "red green"), ("c2", "t/2", 0, 5, "blue")], "chunk_id string, text_id string, start int, stop int, text_display string")
     encoder = vectors.hashing_encoder(16)
