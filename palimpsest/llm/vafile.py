@@ -6,9 +6,11 @@
 2. The approximation file has blocks of vectors, each component quantised to one of ``CELLS`` cells of the
    block's range in its dimension: one byte a component.
 3. Blocks of queries meet blocks of the approximation file, which give a lower and an upper bound of every
-   inner product; what is above the kth lower bound of its block stays, then what is above that of all blocks.
+   inner product. A first pass keeps each query's k largest lower bounds, k of a task at most; the kth of all is
+   the query's floor. A second pass hands on the vectors whose upper bound reaches it, and nothing else.
 4. Exact vectors are read from the vector file by number in the order of their bounds: the k of largest upper
    bound first; the kth score that these give decides which of the others are read still. Then it is certain.
+   The file has a folder for each range of numbers; folders that no number asked for lies in are not read.
 
 Neither file, nor queries, nor what was found pass through the driver, and nothing of them is broadcast by hand.
 
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices
-from palimpsest.session import cut, ship, table
+from palimpsest.session import cut, shared_dir, ship, table
 
 K, EVERY = 5, 50
 CELLS = 256
@@ -37,8 +39,10 @@ CELLS = 256
 VECTOR_BLOCK, QUERY_BLOCK, BLOCK_BYTES = 8192, 1024, 4_000_000
 #: Queries whose bounds are computed at once.
 BOUND_ROWS = 256
-#: Shares that the pairs of blocks are dealt into, at most.
-SLOTS = 4096
+#: Shares that the pairs of blocks are dealt into, and folders of the vector file, at most.
+SLOTS, FOLDERS = 4096, 4096
+#: Lower bounds that a task holds.
+HELD_BOUNDS = 4_000_000
 #: Whole numbers below this are exact in floats.
 EXACT = 2.0**53
 LONG = 2**63 - 1
@@ -65,11 +69,19 @@ def integers(rows: DataFrame) -> DataFrame:
 
 
 def vector_file(rows: DataFrame, k: int) -> DataFrame:
-    """(cls, v, ids) of each distinct vector; ids: the k + 1 smallest with their rows, at most k."""
+    """(cls, v, ids, folder) of each distinct vector; ids: the k + 1 smallest with their rows, at most k."""
     once = integers(rows).groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
     few = once.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     whole = few.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
-    return cut(whole.select(F.monotonically_increasing_id().alias("cls"), "v", "ids"))
+    numbered = whole.select(F.monotonically_increasing_id().alias("cls"), "v", "ids").withColumn("folder", folder_of(F.col("cls")))
+    path = shared_dir(rows.sparkSession)
+    numbered.write.partitionBy("folder").parquet(path)
+    return rows.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def folder_of(cls: Column) -> Column:
+    """The folder of a number: numbers of one task follow each other and stand in one."""
+    return F.pmod(F.shiftright(cls, 33), F.lit(FOLDERS)).cast("int")
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -104,58 +116,108 @@ def approximation_file(vectors: DataFrame) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame) -> DataFrame:
+    """(dim, qids, floors, q) of queries (query_id, floor, v)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, rows in blocks_of(batches, QUERY_BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.array([r[0] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([np.stack([r[1] for r in rows]).tobytes()], pa.binary())], names=["dim", "qids", "q"])
+            parts = [np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), np.stack([r[2] for r in rows])]
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["dim", "qids", "floors", "q"])
 
-    return queries.mapInArrow(run, "dim int, qids binary, q binary")
+    return queries.select("query_id", "floor", "v").mapInArrow(run, "dim int, qids binary, floors binary, q binary")
 
 
 def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds [queries, vectors] of inner products, cell borders and rounding included."""
-    near = q @ (low + (code + 0.5) * width).T
-    size = np.abs(q)
-    slack = size @ (width * (0.5 + 1e-6) + 1e-6) + 1e-12 * (size @ np.maximum(np.abs(low), np.abs(low + CELLS * width))) + 1e-6
-    hold = lambda x: np.clip(x, -float(LONG), float(LONG))
-    return hold(near - slack[:, None]), hold(near + slack[:, None])
+    """Lower and upper bounds [queries, vectors] of inner products, cell borders and rounding included.
+
+    Where sums overflow nothing is known: the bounds are those of all scores, so the exact vector is read.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = q @ (low + (code + 0.5) * width).T
+        size = np.abs(q)
+        slack = size @ (width * (0.5 + 1e-6) + 1e-6) + 1e-12 * (size @ np.maximum(np.abs(low), np.abs(low + CELLS * width))) + 1e-6
+        below, above = near - slack[:, None], near + slack[:, None]
+    hold = lambda x, unknown: np.clip(np.nan_to_num(x, nan=unknown, posinf=LONG, neginf=-LONG), -float(LONG), float(LONG))
+    return hold(below, -float(LONG)), hold(above, float(LONG))
 
 
-def scanned(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, cls, low, high) of the vectors whose upper bound reaches the kth lower bound of their block."""
+def met(codes: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of queries with blocks of the approximation file, dealt over slots."""
     n = max(1, min(SLOTS, codes.count()))
     mine = codes.withColumn("slot", F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int"))
-    pairs = mine.join(asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ["dim", "slot"])
+    pairs = mine.join(query_blocks(asked).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ["dim", "slot"])
+    return pairs.select("dim", "low", "width", "cls", "single", "only", "code", "qids", "floors", "q")
+
+
+def bounded_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(query ids, floors, numbers, lower, upper bounds, which are the query's own) of some queries and a block of vectors."""
+    for part in slices(batches, 1):
+        row = part.to_pylist()[0]
+        dim = row["dim"]
+        cls, only = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["only"], np.int64)
+        single, code = np.frombuffer(row["single"], bool), np.frombuffer(row["code"], np.uint8).reshape(-1, dim)
+        qids, floors, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["floors"]), np.frombuffer(row["q"]).reshape(-1, dim)
+        for at in range(0, len(q), BOUND_ROWS):
+            low, high = bounds(q[at : at + BOUND_ROWS], np.frombuffer(row["low"]), np.frombuffer(row["width"]), code)
+            own = single & (only == qids[at : at + BOUND_ROWS, None])  # a query is no candidate of its own
+            low[own] = -np.inf
+            yield qids[at : at + BOUND_ROWS], floors[at : at + BOUND_ROWS], cls, low, high, own
+
+
+def floors_of(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): the kth largest lower bound of each query that has k; a task hands on k a query at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            row = part.to_pylist()[0]
-            dim = row["dim"]
-            cls, only = np.frombuffer(row["cls"], np.int64), np.frombuffer(row["only"], np.int64)
-            single, code = np.frombuffer(row["single"], bool), np.frombuffer(row["code"], np.uint8).reshape(-1, dim)
-            qids, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["q"], np.float64).reshape(-1, dim)
-            for at in range(0, len(q), BOUND_ROWS):
-                low, high = bounds(q[at : at + BOUND_ROWS], np.frombuffer(row["low"]), np.frombuffer(row["width"]), code)
-                own = single & (only == qids[at : at + BOUND_ROWS, None])  # a query is no candidate of its own
-                low[own] = high[own] = -np.inf
-                floor = np.partition(low, low.shape[1] - k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-                i, j = np.nonzero((high >= floor[:, None]) & ~own)
-                for s in range(0, len(i), 50_000):
-                    x, y = i[s : s + 50_000], j[s : s + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + x]), pa.array(cls[y]), pa.array(low[x, y]), pa.array(high[x, y])], names=["query_id", "cls", "low", "high"])
-
-    return pairs.select("dim", "low", "width", "cls", "single", "only", "code", "qids", "q").mapInArrow(run, "query_id long, cls long, low double, high double")
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, low = np.repeat(np.array(list(held), np.int64), k), np.concatenate(list(held.values()))
+            for at in range(0, len(ids), 50_000):
+                some = np.isfinite(low[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 50_000][some]), pa.array(low[at : at + 50_000][some])], names=["query_id", "low"])
+            held.clear()
+
+        for qids, _, _, low, _, _ in bounded_blocks(batches):
+            if low.shape[1] < k:
+                low = np.pad(low, ((0, 0), (0, k - low.shape[1])), constant_values=-np.inf)
+            best = np.partition(low, low.shape[1] - k, axis=1)[:, -k:]
+            for i, mine in zip(qids.tolist(), best, strict=True):
+                held[i] = np.partition(np.concatenate([held[i], mine]), k)[k:] if i in held else mine
+            if len(held) * k > HELD_BOUNDS:
+                yield from out()
+        if held:
+            yield from out()
+
+    lows = pairs.mapInArrow(run, "query_id long, low double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
+    return lows.withColumn("r", rank).where(F.col("r") == k).select("query_id", F.col("low").alias("floor"))
+
+
+def scanned(pairs: DataFrame) -> DataFrame:
+    """(query_id, cls, high) of the vectors whose upper bound reaches the query's floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qids, floors, cls, _, high, own in bounded_blocks(batches):
+            i, j = np.nonzero((high >= floors[:, None]) & ~own)
+            for s in range(0, len(i), 50_000):
+                x, y = i[s : s + 50_000], j[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[x]), pa.array(cls[y]), pa.array(high[x, y])], names=["query_id", "cls", "high"])
+
+    return pairs.mapInArrow(run, "query_id long, cls long, high double")
 
 
 def exact_dot(a: np.ndarray, b: np.ndarray) -> int:
     """Inner product of whole numbers, in Python's integers where floats would round; held to a long."""
-    if np.abs(a).max() * np.abs(b).max() * len(a) < EXACT:
+    with np.errstate(over="ignore"):
+        small = np.abs(a).max() * np.abs(b).max() * len(a) < EXACT
+    if small:
         return int(a @ b)
     return max(-LONG - 1, min(LONG, sum(int(x) * int(y) for x, y in zip(a, b, strict=True))))
 
 
 def read(found: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, vec_id, score), a row for each candidate row of the vectors (query_id, cls) that are read."""
-    rows = found.select("query_id", "cls").join(vectors, "cls").join(queries.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "ids", "v", "q")
+    folders = found.select(folder_of(F.col("cls")).alias("folder")).where("folder >= 0").distinct()  # at most FOLDERS, by which the scan is pruned
+    rows = found.select("query_id", "cls").join(vectors.join(F.broadcast(folders), "folder", "left_semi"), "cls").join(queries.select("query_id", F.col("v").alias("q")), "query_id").select("query_id", "ids", "v", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 4096):
@@ -171,11 +233,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ship(rows.sparkSession)
     vectors = vector_file(rows, k)
     asked = cut(integers(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")))
-    bounded = cut(scanned(approximation_file(vectors), query_blocks(asked), k))
+    codes = approximation_file(vectors)
+    floors = floors_of(met(codes, asked.withColumn("floor", F.lit(float("-inf")))), k)
     best = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    floor = bounded.withColumn("r", best(F.desc("low"), "cls")).where(F.col("r") == k).select("query_id", F.col("low").alias("floor"))
-    left = bounded.join(floor, "query_id", "left").where("floor is null or high >= floor")
-    order = cut(left.withColumn("r", best(F.desc("high"), "cls")).select("query_id", "cls", "high", "r"))
+    floored = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    order = cut(scanned(met(codes, floored)).withColumn("r", best(F.desc("high"), "cls")))
     first = cut(read(order.where(F.col("r") <= k), vectors, asked))
     certain = first.withColumn("r", best(F.desc("score"), "vec_id")).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
     rest = order.where(F.col("r") > k).join(certain, "query_id", "left").where("kth is null or high >= kth")
