@@ -92,6 +92,8 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâäçèéêëíî
 PLACE = {c: (k, i) for k, a in enumerate(ALPHABETS) for i, c in enumerate(a)}
 HEX = "0123456789abcdef"
 
+# What secrets begin with; FIND and MAY_HOLD both are made of these.
+_AWS, _PREFIXED, _JWT = "(?:AKIA|ASIA)", "(?:gh[pousr]|github_pat|glpat|sk|pk|xox[abprs])[_-]", "eyJ"
 FIND = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w+%-][\w.+%-]*@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
@@ -100,10 +102,12 @@ FIND = re.compile(
     r"|(?<![\w.+-])\d{3}(?P<gap>[ .-])\d{3}(?P=gap)\d{4}(?![\w-]|\.\d)|(?<![\w.+-])0\d(?P<pair>[ .-])\d\d(?:(?P=pair)\d\d){3}(?![\w-]|\.\d)"
     r"|(?<![\w.+-])0\d{2,4}[ /-]\d{3,4} ?\d{3,4}(?![\w-]|\.\d| \d{4}(?!\d)))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)|(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)|(?<!\w)(?:gh[pousr]|github_pat|glpat|sk|pk|xox[abprs])[_-][\w-]{16,}|(?<!\w)eyJ[\w-]{8,}(?:\.[\w-]{4,}){1,2})"
+    rf"|(?P<secret>(?<!\w)(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?!\w)|(?<!\w){_AWS}[0-9A-Z]{{16}}(?!\w)|(?<!\w){_PREFIXED}[\w-]{{16,}}|(?<!\w){_JWT}[\w-]{{8,}}(?:\.[\w-]{{4,}}){{1,2}})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-]))"
 )
+#: Whatever FIND matches holds one of these: an at sign, a digit of any script, or what a secret without digits begins with.
+MAY_HOLD = re.compile(rf"[@\d]|{_AWS}|{_PREFIXED}|{_JWT}|[a-f]{{32}}|[A-F]{{32}}")
 #: What introduces a secret, and the values that count: quoted ones of any length, others of six characters, or four with a digit.
 ASSIGNED = re.compile(
     r"(?i)(?<![a-z0-9])(?:(?:api|access|secret|private|auth|client|encryption)[_ -]?key|(?:\w{1,40}[_-])?(?:token|secret|password|passwd|passphrase|pwd))\b[\"']?\s*[:=]\s*"
@@ -328,7 +332,7 @@ class Surrogates:
         if not text:
             return []
         spans: list[tuple[int, int, str, str]] = []
-        low = text.lower()
+        low = text.casefold()  # folds what the pattern's own case folding does
         # Assigned values come first, whatever they look like; what is found is blanked for what comes after.
         if ("=" in text or ":" in text) and any(w in low for w in ("token", "secret", "pass", "pwd", "key")):
             for m in ASSIGNED.finditer(text):
@@ -338,7 +342,7 @@ class Surrogates:
                 start = m.start(m.lastgroup)
                 spans.append((start, start + len(value), "secret", value))
             text = blanked(text, spans)
-        if "@" in text or any(d in text for d in "0123456789") or "eyJ" in text or re.search(r"[0-9A-Fa-f]{32}|gh[pousr]_|_pat_|glpat|[sp]k[_-]|xox", text):
+        if MAY_HOLD.search(text):
             found = [(m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else "phone", m[0]) for m in FIND.finditer(text)]
             spans += [(a, b, kind, self.identity(kind, surface)) for a, b, kind, surface in found]
             text = blanked(text, found)
