@@ -8,8 +8,9 @@
 3. Nodes of ``NODE`` classes at most are compared exhaustively on minwise values. Those that agree on a share of
    ``NEAR`` are candidates. Nodes that hold the same classes, as those of different trees often do, are compared once.
 4. In larger nodes all classes are compared with ``PIVOTS`` of them. What agrees with one on ``COPY`` leaves the
-   node with it: whatever is like it is a candidate of that pivot too. All others branch again, each to the
-   children of its tokens at ``CHILDREN`` positions that the node chooses, and so on.
+   node with it: whatever links with it agrees with that pivot on ``AROUND`` and so stands in the pivot's cluster,
+   which is confirmed as a whole. All others branch again, each to the children of its tokens at ``CHILDREN``
+   positions that the node chooses, and so on.
 5. Candidates are confirmed on their full sets: pairs where they are few, blocks of a cluster where many classes
    resemble each other. Links join documents to components.
 
@@ -40,9 +41,12 @@ K, SHARE = 5, (85, 100)
 #: Minwise values of a class, trees, and positions at which a class of a large node branches.
 VALUES, TREES, CHILDREN = 128, 10, 2
 #: Classes of a node that is compared exhaustively, pivots of a larger one, and levels after which a node that is still larger is compared as a cluster.
-NODE, PIVOTS, LEVELS = 64, 4, 20
-#: Shares of minwise values that make candidates of two classes, and that let a class leave a node with a pivot.
-NEAR, COPY = 0.68, 0.92
+NODE, PIVOTS, LEVELS = 128, 64, 20
+#: Share of minwise values that makes candidates of two classes of a small node.
+NEAR = 0.68
+#: Share that lets a class leave a large node with a pivot, and share that puts a class into the pivot's cluster: what
+#: links with a class at distance 0.25 from a pivot is at most 0.40 from it, and values tell that within 0.1.
+COPY, AROUND = 0.75, 0.5
 #: Nodes with more candidate pairs than this for each class are confirmed as clusters.
 PAIRS_EACH = 4
 #: Shingles hashed at once.
@@ -164,24 +168,38 @@ def branched(large: DataFrame, values: DataFrame) -> DataFrame:
     """Candidates (a, b) with pivots, and children (node, cls) of those that stay, from large nodes (node, cls)."""
     order = F.xxhash64("cls", "node")
     pivots = large.groupBy("node", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(order.alias("h"), "cls")).alias("e")).select("node", F.col("e.cls").alias("cls"))
-    known = pivots.join(values, "cls").groupBy("node").agg(F.collect_list(F.struct("cls", "values")).alias("pivots"))
-    rows = large.join(known, "node").join(values, "cls").select("node", "cls", "values", "pivots")
+    known = low_bytes(pivots.join(values, "cls")).groupBy("node").agg(F.collect_list(F.struct("cls", "low")).alias("pivots"))
+    rows = large.join(values, "cls").join(known, "node").select("node", "cls", "values", "pivots")
     names = ["a", "b", "node", "cls"]
 
+    def meet(keys: np.ndarray, v: np.ndarray, pivots: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates (a, b) of some classes of a node with its pivots, one for each cluster of pivots, and which classes stay."""
+        at, p = np.array([e["cls"] for e in pivots]), np.frombuffer(b"".join(e["low"] for e in pivots), np.uint8).reshape(-1, VALUES)
+        around = (p[:, None] == p[None]).mean(2) >= AROUND
+        name = np.arange(len(at))
+        while (joined := np.where(around, name, len(at)).min(1)).tolist() != name.tolist():
+            name = joined
+        low = v.astype(np.uint8)
+        share = np.stack([(low == x).mean(1) for x in p], 1)
+        own = keys[:, None] == at
+        first = np.where(share >= AROUND, name, len(at))  # the cluster of each pivot that a class is around
+        edges = [np.flatnonzero((first == c).any(1)) for c in np.unique(name)]
+        a = np.concatenate([keys[i] for i in edges])
+        b = np.concatenate([np.full(len(i), at[c]) for i, c in zip(edges, np.unique(name), strict=True)])
+        return a[a != b], b[a != b], ~(own | (share >= COPY)).any(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
             node, keys, v = part["node"].to_numpy(), part["cls"].to_numpy(), matrix(part["values"])
-            flat = part["pivots"].flatten()
-            owner = np.repeat(np.arange(part.num_rows), part["pivots"].value_lengths().to_numpy())
-            pivot, share = flat.field("cls").to_numpy(), (matrix(flat.field("values")) == v[owner]).mean(1)
-            own = pivot == keys[owner]
-            near = (share >= NEAR) & ~own
-            a, b = keys[owner[near]], pivot[near]
             stay = np.ones(part.num_rows, bool)
-            stay[owner[own | (share >= COPY)]] = False
+            found = []
+            for one in np.unique(node):
+                mine = np.flatnonzero(node == one)
+                a, b, stay[mine] = meet(keys[mine], v[mine], part["pivots"][int(mine[0])].as_py())
+                found.append((a, b))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             at = positions(node[stay])
-            values = np.take_along_axis(v[stay], at, 1)
-            to = child(np.repeat(node[stay], CHILDREN), at.ravel(), values.ravel())
+            to = child(np.repeat(node[stay], CHILDREN), at.ravel(), np.take_along_axis(v[stay], at, 1).ravel())
             members = np.repeat(keys[stay], CHILDREN)
             pad = lambda n: pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in ((pa.array(a), pad(len(to))), (pa.array(b), pad(len(to))), (pad(len(a)), pa.array(to)), (pad(len(a)), pa.array(members)))], names=names)
@@ -189,6 +207,17 @@ def branched(large: DataFrame, values: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, node long, cls long")
 
 
+def low_bytes(rows: DataFrame) -> DataFrame:
+    """(node, cls, low): the low bytes of the minwise values, enough for a comparison (one of 256 agrees by chance)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4096):
+            low = [x.tobytes() for x in matrix(part["values"]).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([part["node"], part["cls"], pa.array(low, pa.binary())], names=["node", "cls", "low"])
+
+    return rows.select("node", "cls", "values").mapInArrow(run, "node long, cls long, low binary")
+
+
 def candidates(values: DataFrame) -> DataFrame:
     """(a, b, dense) of classes (cls, values): what the trees find, before it is confirmed."""
     level, small, found = met(roots(values)), [], []

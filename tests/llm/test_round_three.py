@@ -86,7 +86,7 @@ def test_settled_letters_are_encoded_alike_by_both_libraries():
 # -- chosen path ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("node, levels, copy, each", [(64, 20, 0.92, 4), (3, 20, 0.92, 0), (2, 3, 1.01, 4)])
+@pytest.mark.parametrize("node, levels, copy, each", [(128, 20, 0.75, 4), (3, 20, 0.75, 0), (2, 3, 1.01, 4)])
 def test_chosen_path_against_brute_force(spark, monkeypatch, node, levels, copy, each):
     monkeypatch.setattr(chosenpath, "NODE", node)
     monkeypatch.setattr(chosenpath, "LEVELS", levels)
