@@ -8,6 +8,7 @@ from collections import OrderedDict
 from collections.abc import Callable
 from threading import Event, Thread
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from palimpsest.operators import search
 from palimpsest.operators.index import kept_postings
 from palimpsest.operators.vectors import REQUESTS, VectorIndex, search_vectors
 from palimpsest.sources.sinks import to_csv, to_xlsx
+from palimpsest.sources.store import Store
 
 #: Names of the distances in requests.
 PROCESSING = {"edit_distance_inner": INNER, "edit_distance_tokens": TOKENS, "edit_distance": TOKENS}
@@ -56,6 +58,10 @@ class Results:
             self.held.popitem(last=False)[1][1].unpersist()
         return name
 
+    def drop(self, name: str | None) -> None:
+        if name in self.held:
+            self.held.pop(name)[1].unpersist()
+
     def get(self, name: str) -> DataFrame | None:
         at, result = self.held.get(name, (0.0, None))
         if result is not None and self.clock() - at > self.seconds:
@@ -64,14 +70,37 @@ class Results:
         return result
 
 
+class StoredResults:
+    """Results by id in a store; they outlive this process."""
+
+    def __init__(self, store: Store, seconds: float = 3600):
+        self.store, self.seconds, self.clock = store, seconds, time.monotonic
+
+    def put(self, result: DataFrame) -> str:
+        return self.store.put(result)
+
+    def get(self, name: str) -> DataFrame | None:
+        return self.store.get(name, self.seconds)
+
+    def drop(self, name: str | None) -> None:
+        """Nothing to do: what was not written whole is not noted."""
+
+
+def open_engine(store: Store, encoders: dict[str, Callable[[list[str]], np.ndarray]], seconds: float = 60) -> Engine:
+    """The engine of a stored corpus, with the stored indexes of the models that have an encoder."""
+    indexes = {(mode, model): store.index(mode, model, encoders[model]) for mode, model in store.listed("indexes") if model in encoders}
+    return Engine(store.texts(), seconds, indexes, store)
+
+
 class Engine:
     """Searches one corpus, a table (text_id, mode, tokens).
 
-    Postings of the modes last asked for are kept. ``indexes``: vector indexes by mode and model.
+    Postings of the modes last asked for are kept. ``indexes``: vector indexes by mode and model. With a ``store``
+    postings come from there if it has them, and results go there, where other processes find them too.
     """
 
-    def __init__(self, corpus: DataFrame, seconds: float = 60, indexes: dict[tuple[str, str], VectorIndex] | None = None):
-        self.corpus, self.seconds, self.results, self.indexes = corpus, seconds, Results(), indexes or {}
+    def __init__(self, corpus: DataFrame, seconds: float = 60, indexes: dict[tuple[str, str], VectorIndex] | None = None, store: Store | None = None):
+        self.corpus, self.seconds, self.results, self.indexes, self.store = corpus, seconds, Results() if store is None else StoredResults(store), indexes or {}, store
         self.posted: OrderedDict[str, DataFrame] = OrderedDict()
 
     def texts(self, mode: str) -> DataFrame:
@@ -80,7 +109,8 @@ class Engine:
 
     def postings(self, mode: str) -> DataFrame:
         if mode not in self.posted:
-            self.posted[mode] = kept_postings(self.texts(mode))
+            stored = None if self.store is None else self.store.postings(mode)
+            self.posted[mode] = kept_postings(self.texts(mode)) if stored is None else stored
         self.posted.move_to_end(mode)
         while len(self.posted) > KEPT_MODES:
             self.posted.popitem(last=False)
@@ -136,8 +166,7 @@ class Engine:
         except Exception:
             if self.results.clock() < end:
                 raise
-            if name in self.results.held:
-                self.results.held.pop(name)[1].unpersist()
+            self.results.drop(name)
             return {"status": "timeout"}
         finally:
             timer.stop()

@@ -31,9 +31,9 @@ def search(queries: DataFrame, texts: DataFrame, kind: str, stop: tuple[str, ...
     pairs = candidates(asked, texts, posted).select("query_id", "text_id", "key")
     keyed = texts.select("text_id", text_key().alias("key"), F.col("tokens").alias("t"))
     if kind == INNER:
-        able = pairs.join(asked.select("query_id", F.col("tokens").alias("q"), "tol"), "query_id").join(keyed, ["text_id", "key"])
-        hits = inner_hits(F.col("q"), F.col("t"), F.col("tol"))
-        rows = able.select("query_id", "text_id", "key", hits.alias("hits")).select("query_id", "text_id", "key", F.posexplode("hits").alias("place", "h"))
+        able = visits(pairs, asked, keyed).select("text_id", "key", "t", F.explode("queries").alias("q"))
+        hits = inner_hits(F.col("q.tokens"), F.col("t"), F.col("q.tol"))
+        rows = able.select("q.query_id", "text_id", "key", hits.alias("hits")).select("query_id", "text_id", "key", F.posexplode("hits").alias("place", "h"))
         rows = rows.select("query_id", "text_id", "key", "place", "h.edit_distance", join_tokens(F.col("h.matched")).alias("matched_sequence"))
     else:
         rows = aligned_rows(visits(pairs, asked, keyed))

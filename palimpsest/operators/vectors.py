@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.text import ENTITY_CLASSES, SIGN_MODES, UNKNOWN_CHUNK, join_tokens, to_entities, tokens, words_for_overlap
 from palimpsest.operators.centres import MEASURES, SCORES, cell_count, matrix, measured, place, train
-from palimpsest.session import cut, ship
+from palimpsest.session import cut, shared_dir, ship
+from palimpsest.sources import sinks
 
 #: Shares of the vector score and the lexical score, and how many candidates and cells a search looks at.
 MODELS = {
@@ -455,13 +456,19 @@ class VectorIndex:
     model: str
 
 
-def build_index(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], model: str) -> VectorIndex:
-    """Encode chunks (chunk_id, text_id, start, stop, text_display, text_embed) and deal them into cells."""
-    share = MODELS[model]
-    coded = cut(encode(chunks.select("chunk_id", "text_embed"), "text_embed", encoder, share["passage_prefix"]).select("chunk_id", "vector"))
+def build_index(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray], model: str, path: str | None = None) -> VectorIndex:
+    """Encode chunks (chunk_id, text_id, start, stop, text_display, text_embed) and deal them into cells, on disk below ``path``.
+
+    Vectors stand there too, as they come from the encoder: an index can be made anew without it.
+    """
+    share, spark = MODELS[model], chunks.sparkSession
+    path = path or shared_dir(spark)
+    sinks.write_vectors(encode(chunks.select("chunk_id", "text_embed"), "text_embed", encoder, share["passage_prefix"]), f"{path}/encoded")
+    coded = sinks.read_vectors(spark, f"{path}/encoded")
     n = coded.count()
-    placed, centres = build_cells(coded, min(cell_count(n), max(1, n)))
-    return VectorIndex(cut(placed), centres, chunks.select("chunk_id", "text_id", "start", "stop", "text_display"), encoder, model)
+    sinks.write_cells(*build_cells(coded, min(cell_count(n), max(1, n))), f"{path}/cells")
+    placed, centres = sinks.read_cells(spark, f"{path}/cells")
+    return VectorIndex(placed, centres, chunks.select("chunk_id", "text_id", "start", "stop", "text_display"), encoder, model)
 
 
 def search_vectors(index: VectorIndex, query: str, k: int = TOP_K, display: int | None = None) -> DataFrame:
@@ -471,7 +478,7 @@ def search_vectors(index: VectorIndex, query: str, k: int = TOP_K, display: int
     words = tokens(F.lit(query))
     asked = spark.range(1).select(F.lit(0).alias("query_id"), join_tokens(to_entities(words) if index.model == "e5" else words).alias("text"))
     coded = encode(asked, "text", index.encoder, share["query_prefix"])
-    return rerank(top_k_cells(coded, index.placed, index.centres, max(k, share["candidates"]), share["probes"]), index.meta, coded, index.model, k, display)
+    return rerank(search_cells(coded, index.placed, index.centres, max(k, share["candidates"])), index.meta, coded, index.model, k, display)
 
 
 def compare_models(indexes: dict[tuple[str, str], VectorIndex], queries: dict[str, list[str]], k: int = TOP_K) -> DataFrame:

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from palimpsest import render
 from palimpsest.functions import text as T
 from palimpsest.functions.modes import named_entities, project_modes
+from palimpsest.functions.tables import register_tables
 from palimpsest.functions.thresholds import INNER, TOKENS, benchmark_column, required_column
 from palimpsest.operators import index, search, stats, vectors, windows
 from palimpsest.plans import corpus
 from palimpsest.session import shared_dir, ship, table
 from palimpsest.sources import ingest, sinks
+from palimpsest.sources.store import Store
 from palimpsest.streaming.grow import grow, read_grown
 
 STOP = T.stop_set("forms")
@@ -251,6 +253,29 @@ def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(asked(spark, sf_dir, TOKEN_TOLERANCE), corpus.documents(spark, sf_dir), TOKENS, STOP)
 
 
+@query("candidates_kept", f"WITH {DOCS}, {ASKED_ITEMS}, {sql_search('SELECT query_id, text_id, shared FROM cands')}")
+def candidates_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by postings that a store keeps in buckets by token."""
+    store = Store(spark, shared_dir(spark))
+    store.write_texts(corpus.documents(spark, sf_dir).select("text_id", F.lit("forms").alias("mode"), "tokens"))
+    store.write_postings("forms")
+    found = index.candidates(index.with_threshold(asked(spark, sf_dir), INNER, STOP), store.texts("forms"), store.postings("forms"))
+    return found.select("query_id", "text_id", "shared")
+
+
+@query("search_tokens_lateral", f"WITH RECURSIVE {DOCS}, {sql_asked(TOKEN_TOLERANCE)}, {sql_token_search('SELECT query_id, text_id, matched_sequence, edit_distance FROM hits')}")
+def search_tokens_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of :func:`search_tokens` by the table function, as a user of SQL asks for them."""
+    register_tables(spark)
+    wanted, texts = index.with_threshold(asked(spark, sf_dir, TOKEN_TOLERANCE), TOKENS, STOP), corpus.documents(spark, sf_dir)
+    pairs = index.candidates(wanted, texts).select("query_id", "text_id")
+    return spark.sql(
+        """SELECT p.query_id, p.text_id, h.matched_sequence, h.edit_distance
+        FROM {pairs} p JOIN {wanted} q ON p.query_id = q.query_id JOIN {texts} t ON p.text_id = t.text_id, LATERAL token_hits(q.tokens, t.tokens, q.tol) h""",
+        pairs=pairs, wanted=wanted, texts=texts,
+    )
+
+
 @query("best_hits", f"WITH {DOCS}, {ASKED_ITEMS}, {sql_search('SELECT * FROM hits ORDER BY edit_distance, text_id, query_id, result_id LIMIT 100')}")
 def best_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_inner(spark, sf_dir).orderBy("edit_distance", "text_id", "query_id", "result_id").limit(100)

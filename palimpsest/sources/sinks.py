@@ -77,6 +77,11 @@ def write_vectors(coded: DataFrame, path: str) -> None:
     coded.select("chunk_id", "vector").write.mode("overwrite").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_vectors` wrote."""
+    return spark.read.parquet(path)
+
+
 def write_cells(placed: DataFrame, centres: DataFrame, path: str) -> None:
     """A cell index: vectors by cell, and centres. A search reads the folders of its cells only; a large cell has several files."""
     placed.select("cell_id", "chunk_id", "vector").hint("rebalance", "cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")

@@ -18,7 +18,9 @@ from palimpsest.functions import thresholds as H
 from palimpsest.operators import index, search, stats, vectors, windows
 from palimpsest.plans import queries as plans
 from palimpsest.session import in_order
+from palimpsest.functions.tables import register_tables
 from palimpsest.sources import ingest, sinks
+from palimpsest.sources.store import Store
 from palimpsest.streaming.grow import grow, read_grown
 from palimpsest.streaming.live import standing_search
 
@@ -686,6 +688,76 @@ def test_vector_blocks_do_not_change_results(spark, monkeypatch):
         assert {(r.query_id, r["rank"]): r.chunk_id for r in vectors.top_k_cells(queries, placed, centres, 4, 5).collect()} == want
 
 
+def test_stored_corpus_is_opened_by_another_process(spark, tmp_path):
+    base = texts_of(spark, {f"p/{i}": f"w{i} rīm tuqumtim red green {'blue' if i % 2 else 'white'}" for i in range(8)})
+    texts = base.withColumn("mode", F.lit("forms")).select("text_id", "mode", "tokens")
+    encoder = vectors.hashing_encoder(16)
+    first = Store(spark, str(tmp_path / "it's here"))
+    first.write_texts(texts)
+    first.write_postings("forms", 4)
+    first.write_index("forms", vectors.build_index(windows.chunks(base, "f", 3, 2), encoder, "minilm", str(tmp_path / "built")))
+    assert sinks.read_vectors(spark, str(tmp_path / "built" / "encoded")).columns == ["chunk_id", "vector"]
+    name = first.put(spark.range(5).select((4 - F.col("id")).alias("n")))
+    other = spark.newSession()
+    for t in other.catalog.listTables():
+        if t.name.startswith("palimpsest_"):
+            other.sql(f"DROP TABLE {t.name}")  # the catalog of another process knows no tables
+    store = Store(other, str(tmp_path / "it's here"))
+    assert [r.n for r in store.get(name).collect()] == [4, 3, 2, 1, 0] and store.get("results_none") is None and store.get("../x") is None
+    assert store.listed("indexes") == [("forms", "minilm")] and store.listed("postings") == [("forms",)]
+    assert store.index("forms", "e5", encoder) is None and store.index("forms", "other", encoder) is None and store.postings("lemma") is None
+    for wrong in (lambda: store.index("other", "e5", encoder), lambda: store.postings("other")):
+        with pytest.raises(ValueError):
+            wrong()
+    rows = lambda df: sorted(tuple(r) for r in df.select("token", "text_id", "key").collect())
+    assert rows(store.postings("forms")) == rows(index.postings(base))
+    engine = api.open_engine(store, {"minilm": encoder})
+    got = engine.analyse_query("rīm tuqumtim", "forms", "edit_distance_tokens", 0)
+    assert got["status"] == "ok" and "8 results" in got["results_html"]
+    assert api.open_engine(first, {}).download_csv(got["data_for_download"]).count("\n") == 9
+    assert engine.analyse_query("red green blue", "forms", "vect_MiniLM")["status"] == "ok"
+    assert store.get(name, clock=lambda: time.time() + 4000) is None and store.get(name) is None
+
+
+def test_bucketed_postings_join_without_a_shuffle(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write_texts(texts_of(spark, {f"p/{i}": f"a{i % 5} b{i % 3} c" for i in range(40)}).withColumn("mode", F.lit("forms")))
+    store.write_postings("forms", 4)
+    wanted = spark.createDataFrame([(f"a{i}",) for i in range(3)], "token string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        counted = store.postings("forms").join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
+        assert {r.token: r.n for r in counted.collect()} == {"a0": 8, "a1": 8, "a2": 8}
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        initial = plan.split("== Initial Plan ==")[-1]
+        scan = initial.index("FileScan parquet")
+        assert "Bucketed: true" in initial and initial.count("Exchange hashpartitioning") == 1  # of the wanted tokens
+        before = initial[:scan].rsplit("SortMergeJoin", 1)[-1] if "SortMergeJoin" in initial[:scan] else initial[:scan]
+        assert "Exchange" not in before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_table_function_gives_hits_as_rows(spark):
+    register_tables(spark)
+    rng = random.Random(12)
+    rows = [(i, [rng.choice("abc■") for _ in range(rng.randint(0, 3))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))], rng.randint(0, 2)) for i in range(80)] + [(80, None, ["a"], 1)]
+    df = spark.createDataFrame(rows, "i int, q array<string>, t array<string>, tol int")
+    got = spark.sql("SELECT d.i, h.* FROM {d} d, LATERAL token_hits(d.q, d.t, d.tol) h", d=df).collect()
+    want = [(i, n, s, s + len(m), b, " ".join(m)) for i, q, t, tol in rows if q is not None for n, (s, b, m) in enumerate(brute_tokens(q, t, tol))]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_variants_lose_the_order_of_keys(spark):
+    """Why annotated trees are walked in Arrow: a variant sorts the keys of an object, and document order is what modes are made of."""
+    tree = '{"z":[{"node":"l","f":{"form":"first"}}],"a":[{"node":"l","f":{"form":"second"}}]}'
+    df = spark.createDataFrame([("t", tree)], "text_id string, json string")
+    assert [x.form for x in ingest.parse_texts(df).first().lemmas] == ["first", "second"]
+    keys = spark.sql("SELECT key FROM {d}, LATERAL variant_explode(parse_json(json)) ORDER BY pos", d=df).collect()
+    assert [r.key for r in keys] == ["a", "z"]
+
+
 def test_results_are_dropped(spark):
     now = [0.0]
     results = api.Results(most=2, seconds=10, clock=lambda: now[0])
@@ -728,8 +800,8 @@ def test_document_reuse_asks_with_every_hundredth_document(spark, tmp_path):
 
 def test_registered_modes_and_entities(spark, tmp_path):
     spark.createDataFrame([(1, "Big x wo₂rds", "src0")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.mode: r.n_tokens for r in plans.QUERIES["json_all_modes"](spark, str(tmp_path)).collect()} == {m: 0 if m == "signs_gdl" else 3 for m in T.MODES}
-    assert [tuple(r) for r in plans.QUERIES["json_entities"](spark, str(tmp_path)).collect()] == [("src0/1", "PN_RN", "big")]
+    assert {r.mode: r.n_tokens for r in plans.QUERIES["json_all_modes"](spark, str(tmp_path)).collect()} == {m: {"signs_gdl": 5, "signs": 6, "signs_normalised": 6}.get(m, 3) for m in T.MODES}
+    assert sorted(tuple(r) for r in plans.QUERIES["json_entities"](spark, str(tmp_path)).collect()) == [("src0/1", "PN_DN", "wo₂rds"), ("src0/1", "PN_RN", "big")]
 
 
 def test_entry(spark):
