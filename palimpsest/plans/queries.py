@@ -749,6 +749,26 @@ def rendered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(render.query_hits(hits, "<all> passages", "forms", "edit_distance_inner", TOLERANCE),)], "html string")
 
 
+REUSE_CELLS = " || ".join(f"'<td>' || {sql_html(c)} || '</td>'" for c in ("query", "text_id", "matched_sequence", "edit_distance"))
+
+
+@query("rendered_text_hits", f"""WITH {DOCS}, {REUSE_ASKED}, {sql_search(f"""SELECT '<h3>text: {TEXT_ID}, mode: forms, distance: edit_distance_inner, itself left out: True, core project left out: False</h3><p>' || count(*) || ' results' || CASE WHEN count(*) > 50 THEN ', the first 50 are shown' ELSE '' END
+|| '</p><table><thead><tr><th>query</th><th>text_id</th><th>matched_sequence</th><th>edit_distance</th></tr></thead><tbody>' || string_agg(CASE WHEN r <= 50 THEN '<tr>' || {REUSE_CELLS} || '</tr>' END, '' ORDER BY r) || '</tbody></table>' AS html
+FROM (SELECT *, row_number() OVER (ORDER BY edit_distance, text_id, query, result_id) AS r FROM (SELECT h.*, array_to_string(a.tokens, ' ') AS query FROM hits h JOIN asked a USING (query_id) WHERE text_id <> '{TEXT_ID}'))""")}""")
+def rendered_text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of a text's windows as the page shows them, the first fifty."""
+    hits = text_reuse(spark, sf_dir).orderBy("edit_distance", "text_id", "query", "result_id")
+    return spark.createDataFrame([(render.text_hits(hits, TEXT_ID, "forms", "edit_distance_inner", True, False),)], "html string")
+
+
+@query("exported_hits", f"WITH {DOCS}, {ASKED_ITEMS}, {sql_search('SELECT query_id, CAST(result_id AS VARCHAR) AS result_id, text_id, matched_sequence, CAST(edit_distance AS VARCHAR) AS edit_distance FROM hits')}")
+def exported_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of all passages exported as CSV by the tasks, and read back."""
+    path = shared_dir(spark)
+    sinks.export_csv(search_inner(spark, sf_dir), path)
+    return sinks.read_chunks(spark, path)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages found again in documents."""
     return search_inner(spark, sf_dir)

@@ -131,8 +131,13 @@ def map_document(listed: DataFrame) -> str:
     return json.dumps(out, ensure_ascii=False)
 
 
+def export_csv(result: DataFrame, path: str) -> None:
+    """A result of any size as CSV files with headers, written by the tasks; their names keep its order."""
+    result.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
 def to_csv(result: DataFrame) -> str:
-    """A result as CSV text, streamed row by row."""
+    """A result that a page shows as CSV text, row by row; :func:`export_csv` is for large ones."""
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(result.columns)
@@ -140,10 +145,21 @@ def to_csv(result: DataFrame) -> str:
     return out.getvalue()
 
 
+#: Rows that a sheet can hold, the header besides.
+SHEET_ROWS = 1_048_575
+
+
 def to_xlsx(result: DataFrame, path: str) -> None:
-    """A result as a sheet whose first column counts the rows; needs openpyxl."""
+    """A result as a sheet whose first column counts the rows, a row at a time; needs openpyxl. More rows than a sheet holds are an error."""
     if importlib.util.find_spec("openpyxl") is None:
         raise RuntimeError("openpyxl is needed to write spreadsheets")
-    frame = result.toPandas()
-    frame.insert(0, "res_id", range(len(frame)))
-    frame.to_excel(path, sheet_name="Sheet1", index=False)
+    from openpyxl import Workbook
+
+    book = Workbook(write_only=True)
+    sheet = book.create_sheet("Sheet1")
+    sheet.append(["res_id", *result.columns])
+    for i, row in enumerate(result.toLocalIterator()):
+        if i >= SHEET_ROWS:
+            raise ValueError(f"more than {SHEET_ROWS} rows")
+        sheet.append([i, *row])
+    book.save(path)

@@ -215,6 +215,8 @@ def test_alignments_in_long_texts():
         places = distance.Places(text)
         got = distance.alignments(query, places, tol)
         assert [(s, got[0], text[s:e]) for s, e in got[1]] == brute_tokens(query, text, tol) if got else brute_tokens(query, text, tol) == [], (query, text, tol)
+        inner = distance.in_place(query, places, tol)
+        assert [(s, inner[0], text[s:e]) for s, e in inner[1]] == brute_inner(query, text, tol) if inner else brute_inner(query, text, tol) == [], (query, text, tol)
         parts = distance.stretches([None if q == "■" else places.codes.get(q, -1) for q in query], places, tol)
         in_part += parts is not None and 0 < sum(hi - lo for lo, hi in parts) < len(text)
     assert in_part > 100  # stretches leave most of a text aside
