@@ -30,7 +30,7 @@ SLOT_BLOCKS, HELD_RESULTS = 16, 2_000_000
 #: A query's first cells: deviations above the mean by which they are ordered, and vectors that they hold for each result.
 FIRST_REACH, FIRST_EACH = 2.0, 16
 #: Share of the results that an inexact search expects to miss at most.
-MISSED = 0.02
+MISSED = 0.1
 #: Letters of a chunk that a result shows, where a cut is asked for.
 DISPLAY = 180
 ENTITY_WEIGHT = 0.3
