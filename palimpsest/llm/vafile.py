@@ -39,8 +39,8 @@ CELLS = 256
 VECTOR_BLOCK, QUERY_BLOCK, BLOCK_BYTES = 8192, 1024, 4_000_000
 #: Queries whose bounds are computed at once.
 BOUND_ROWS = 256
-#: Shares that the pairs of blocks are dealt into, and folders of the vector file, at most.
-SLOTS, FOLDERS = 4096, 4096
+#: Shares that the pairs of blocks are dealt into, and folders of the vector file, at most; blocks of vectors of a share.
+SLOTS, FOLDERS, SLOT_BLOCKS = 4096, 4096, 16
 #: Lower bounds that a task holds.
 HELD_BOUNDS = 4_000_000
 #: Whole numbers below this are exact in floats.
@@ -141,10 +141,14 @@ def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, code: np.ndarray)
 
 
 def met(codes: DataFrame, asked: DataFrame) -> DataFrame:
-    """Blocks of queries with blocks of the approximation file, dealt over slots."""
-    n = max(1, min(SLOTS, codes.count()))
+    """Blocks of queries with blocks of the approximation file, dealt over slots.
+
+    Both sides are shuffled: Spark sizes the queries by their file, not by their copies for all slots, and would broadcast those.
+    """
+    found = codes.count()
+    n = max(1, min(SLOTS, found, max(codes.sparkSession.sparkContext.defaultParallelism, found // SLOT_BLOCKS)))
     mine = codes.withColumn("slot", F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int"))
-    pairs = mine.join(query_blocks(asked).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ["dim", "slot"])
+    pairs = mine.hint("merge").join(query_blocks(asked).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), ["dim", "slot"])
     return pairs.select("dim", "low", "width", "cls", "single", "only", "code", "qids", "floors", "q")
 
 
