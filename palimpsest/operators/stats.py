@@ -20,8 +20,9 @@ def corpus_statistics(texts: DataFrame) -> DataFrame:
 
 
 def parse_statistics(parsed: DataFrame) -> DataFrame:
-    """One row: texts, texts with errors, texts without lemmas, lemmas of parsed texts (lemmas, has_error)."""
-    return parsed.agg(F.count("*").alias("texts"), F.count_if("has_error").alias("errors"), F.count_if(F.size("lemmas") == 0).alias("empty"), F.coalesce(F.sum(F.size("lemmas").cast("long")), F.lit(0)).alias("lemmas"))
+    """One row: texts, texts with errors, texts without lemmas, lemmas of parsed texts (lemmas or n_lemmas, has_error)."""
+    n = F.col("n_lemmas") if "n_lemmas" in parsed.columns else F.size("lemmas")
+    return parsed.agg(F.count("*").alias("texts"), F.count_if("has_error").alias("errors"), F.count_if(n == 0).alias("empty"), F.coalesce(F.sum(n.cast("long")), F.lit(0)).alias("lemmas"))
 
 
 def project_statistics(projects: DataFrame, texts: DataFrame) -> DataFrame:
