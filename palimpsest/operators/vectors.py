@@ -27,6 +27,8 @@ TOP_K = 50
 QUERY_BLOCK, CHUNK_BLOCK, HELD_ROWS, SLOTS = 512, 4096, 100_000, 4096
 #: Blocks of chunks of a slot, and results that a task holds.
 SLOT_BLOCKS, HELD_RESULTS = 16, 2_000_000
+#: Blocks of queries that come to the chunks where they stand, and chunks of a block there; candidates whose chunks are looked up by broadcast.
+FEW_BLOCKS, NEAR_BLOCK, FEW_CANDIDATES = 16, 500, 500_000
 #: A query's first cells: deviations above the mean by which they are ordered, and vectors that they hold for each result.
 FIRST_REACH, FIRST_EACH = 2.0, 16
 #: Share of the results that an inexact search expects to miss at most.
@@ -189,18 +191,21 @@ def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
 def top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, embed_score, rank): exact search of a set of queries over all chunks.
 
-    Blocks of chunks are dealt over slots, a task each, and blocks of queries come to every slot; nothing goes
-    through the driver. A slot hands on k results a query, however many blocks it has. Scores have nine decimals,
-    ties go to the smaller id.
+    A few blocks of queries are broadcast to the chunks, which stay where they are: no vector is written or moved. With
+    more queries, blocks of chunks are dealt over slots, a task each, and blocks of queries come to every slot. A task
+    hands on k results a query, however many blocks it has. Scores have nine decimals, ties go to the smaller id.
     """
     spark = chunks.sparkSession
     ship(spark)
+    asked = cut(blocks(queries, "query_id", QUERY_BLOCK)).select("dim", F.col("ids").alias("qids"), F.col("v").alias("q"))
+    if asked.count() <= FEW_BLOCKS:
+        return best_of_pairs(blocks(chunks, "chunk_id", NEAR_BLOCK).join(F.broadcast(asked), "dim"), k)
     held = cut(blocks(chunks, "chunk_id", CHUNK_BLOCK))
     n = held.count()
     slots = max(1, min(SLOTS, n, max(spark.sparkContext.defaultParallelism, n // SLOT_BLOCKS)))
-    asked = blocks(queries, "query_id", QUERY_BLOCK).select("dim", F.col("ids").alias("qids"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    everywhere = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     dealt = held.withColumn("slot", F.pmod(F.xxhash64("v"), F.lit(slots)).cast("int"))
-    return best_of_pairs(asked.join(dealt.hint("merge"), ["dim", "slot"]), k)
+    return best_of_pairs(everywhere.join(dealt.hint("merge"), ["dim", "slot"]), k)
 
 
 def build_cells(chunks: DataFrame, cells: int, sample: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -428,7 +433,11 @@ def rerank(found: DataFrame, meta: DataFrame, queries: DataFrame, model: str, k:
     if model not in MODELS:
         raise ValueError(f"unknown model: {model}")
     share = MODELS[model]
-    rows = found.drop("rank").join(meta, "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    found = cut(found.drop("rank"))
+    wanted = found.select("chunk_id").distinct()
+    if found.count() <= FEW_CANDIDATES:  # other chunks are left out before they move
+        meta = meta.join(F.broadcast(wanted), "chunk_id", "left_semi")
+    rows = found.join(meta, "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     shown = F.coalesce("text_display", F.lit(""))
     lex = weighted_overlap(F.col("query_text"), shown) if model == "e5" else lexical_column(F.col("query_text"), shown)
     scored = rows.withColumn("lex", lex).withColumn("score", F.lit(share["embed"]) * F.col("embed_score") + F.lit(share["lex"]) * F.col("lex"))

@@ -2,9 +2,10 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import index
+from palimpsest.operators import index, vectors
 from palimpsest.plans import corpus
 from palimpsest.sources import ingest
 
@@ -63,3 +64,26 @@ def test_annotated_json_is_written_once_for_each_token(spark):
     ]
     assert nodes[4]["gdl"] == [{"v": 'q"\\', "gdl_sign": 'Gq"\\', "seq": [{"v": 'sq"\\', "gdl_sign": 'Sq"\\'}, {"v": "x"}]}]
     assert nodes[5]["gdl"] == [{"v": "ab1²"}]
+
+
+def test_few_queries_come_to_the_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(f"c{i:04d}", rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(1500)], "chunk_id string, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(7)], "query_id long, vector array<float>")
+    near = vectors.top_k(queries, chunks, 20)
+    assert "BroadcastHashJoin" in plan_of(near) and "SortMergeJoin" not in plan_of(near)  # no block of chunks is sorted or moved
+    monkeypatch.setattr(vectors, "FEW_BLOCKS", 0)
+    dealt = vectors.top_k(queries, chunks, 20)
+    assert "SortMergeJoin" in plan_of(dealt)
+    rows = [sorted(tuple(r) for r in x.select("query_id", "rank", "chunk_id", "embed_score").collect()) for x in (near, dealt)]
+    assert rows[0] == rows[1] and len(rows[0]) == 140
+
+
+def test_rerank_moves_the_chunks_of_candidates_alone(spark, monkeypatch):
+    found = spark.createDataFrame([(1, "a", 0.5, 1), (1, "gone", 0.4, 2)], "query_id long, chunk_id string, embed_score double, rank int")
+    meta = spark.createDataFrame([(c, "t", 0, 1, "x y") for c in ("a", "b")], "chunk_id string, text_id string, start int, stop int, text_display string")
+    queries = spark.createDataFrame([(1, "x")], "query_id long, text string")
+    near = vectors.rerank(found, meta, queries, "e5")
+    assert "LeftSemi" in plan_of(near)
+    monkeypatch.setattr(vectors, "FEW_CANDIDATES", 0)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, vectors.rerank(found, meta, queries, "e5").collect()))
