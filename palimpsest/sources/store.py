@@ -18,7 +18,7 @@ from palimpsest.operators.vectors import MODELS, VectorIndex
 from palimpsest.sources.sinks import read_cells, read_corpus, write_cells, write_corpus
 
 #: Buckets of postings, if their number is not given: one for so many rows, between these bounds.
-BUCKET_ROWS, BUCKETS = 5_000_000, (8, 4096)
+BUCKET_ROWS, BUCKETS = 2_000_000, (8, 4096)
 
 
 class Store:
@@ -67,9 +67,11 @@ class Store:
     def write_postings(self, mode: str, buckets: int | None = None) -> None:
         """Postings of a mode in buckets by token, sorted within: joins by token move no posting."""
         stop_set(mode)
-        rows = postings(self.texts(mode))
-        if buckets is None:
-            buckets = max(BUCKETS[0], min(BUCKETS[1], rows.count() // BUCKET_ROWS))
+        texts = self.texts(mode)
+        rows = postings(texts)
+        if buckets is None:  # by the tokens, of which there are no fewer than postings: these are made once, to be written
+            tokens = texts.agg(F.sum(F.size("tokens"))).first()[0] or 0
+            buckets = max(BUCKETS[0], min(BUCKETS[1], tokens // BUCKET_ROWS))
         where = f"postings/{mode}-{uuid.uuid4().hex}"
         table = self.table(where)
         rows.repartition(buckets, "token").write.format("parquet").bucketBy(buckets, "token").sortBy("token").option("path", f"{self.root}/{where}").saveAsTable(table)
