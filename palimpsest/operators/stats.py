@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import UNKNOWN
-from palimpsest.session import cut, ship
+from palimpsest.session import ARROW_ROWS, cut, in_order, ship
 
 
 def corpus_statistics(texts: DataFrame) -> DataFrame:
@@ -114,68 +114,89 @@ def co_occurrence(entities: DataFrame, wanted: str, category: str) -> DataFrame:
     return own.join(with_it, "text_id", "left_semi").where(F.col("lemma") != wanted).groupBy(F.lit(wanted).alias("query_ne"), F.col("lemma").alias("rel_ne")).agg(F.count("*").alias("hits"))
 
 
-#: Pairs of lemmas that a task counts at once.
-PAIRS_AT_ONCE = 2_000_000
+#: Pairs of lemmas that a task counts at once, and about how many each task has.
+PAIRS_AT_ONCE, PAIRS_A_TASK = 4_000_000, 8_000_000
+#: Tiles along a side of the table of pairs, and least and most lemmas along a tile.
+TILES, LEAST_SIDE, MOST_SIDE = 128, 8, 1024
 
 
 def all_co_occurrences(entities: DataFrame, category: str, least: int = 30) -> DataFrame:
     """(query_ne, rel_ne, hits): every two lemmas of a category that at least ``least`` texts name both, in both directions.
 
-    A lemma in fewer texts than that is in no such pair and goes first. A task counts the pairs of its texts
-    together before it hands them on, as a row for each lemma with its partners; these are added by pair, so a
-    lemma that most texts name is dealt by its partners and is no hot key.
+    A lemma in fewer texts than that is in no such pair and goes first; the others are numbered, and the table of
+    their pairs is cut into tiles. A task counts ``PAIRS_AT_ONCE`` pairs of its texts together and hands on a packed row
+    a tile; tasks then add up one tile after the other. So no task keeps the pairs that it has met, there are the more
+    tasks the more pairs there are, and a lemma that most texts name is dealt over tiles as any other. Rows without
+    a text are left out.
     """
-    ship(entities.sparkSession)
-    own = cut(entities.where(F.col("category") == category).select("text_id", "lemma").distinct())
-    often = own.groupBy("lemma").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lemma")
-    texts = own.join(often, "lemma").groupBy("text_id").agg(F.array_sort(F.collect_list("lemma")).alias("lemmas")).where(F.size("lemmas") > 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
-        names: dict[str, int] = {}
-        waiting, size = [], 0
-
-        def count() -> None:
-            codes, n = np.unique(np.concatenate(waiting), return_counts=True)
+    spark = entities.sparkSession
+    ship(spark)
+    own = cut(entities.where((F.col("category") == category) & F.col("text_id").isNotNull()).select("text_id", "lemma").distinct())
+    often = own.groupBy("lemma").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lemma", F.xxhash64("lemma").alias("h"))
+    numbered = cut(in_order(often, ["h", "lemma"]).select("lemma", F.col("place").cast("int").alias("place")))
+    texts = cut(own.join(numbered, "lemma").groupBy("text_id").agg(F.sort_array(F.collect_list("place")).alias("places")).where(F.size("places") > 1).select("places"))
+    n = F.size("places").cast("long")
+    pairs = texts.agg(F.coalesce(F.sum(n * (n - 1)), F.lit(0))).first()[0] // 2
+    tasks = max(spark.sparkContext.defaultParallelism, -(-pairs // PAIRS_A_TASK))
+    lemmas = numbered.count()
+    side = min(MOST_SIDE, max(LEAST_SIDE, -(-lemmas // TILES)))
+    across, area = -(-lemmas // side), side * side
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            codes, hits = np.unique(np.concatenate(waiting), return_counts=True)
             waiting.clear()
-            for c, m in zip(codes.tolist(), n.tolist(), strict=True):
-                held[c] = held.get(c, 0) + m
-
-        def stripes() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            lemma = pa.array(list(names), pa.string())
-            codes = np.sort(np.fromiter(held, np.int64, len(held)))
-            hits = np.array([held[c] for c in codes.tolist()], np.int64)
-            first, other = codes >> 32, codes & 0xFFFFFFFF
-            starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-            offsets = pa.array(np.append(starts, len(codes)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([lemma.take(pa.array(first[starts])), pa.ListArray.from_arrays(offsets, lemma.take(pa.array(other))), pa.ListArray.from_arrays(offsets, pa.array(hits))], names=["a", "partners", "hits"])
-            held.clear()
-            names.clear()
+            tile = codes // area
+            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            offsets = pa.py_buffer((4 * np.append(starts, len(codes))).astype(np.int32))
+            columns = [pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(x.astype(np.int32))]) for x in (codes - tile * area, hits)]
+            whole = pa.RecordBatch.from_arrays([pa.array(tile[starts]), *columns], names=["tile", "cells", "hits"])
+            yield from (whole.slice(at, ARROW_ROWS) for at in range(0, len(starts), ARROW_ROWS))
 
         for batch in batches:
-            for lemmas in batch["lemmas"].to_pylist():  # sorted, so pairs have one direction in every task
-                at = np.array([names.setdefault(x, len(names)) for x in lemmas], np.int64)
+            places = batch["places"]
+            for k in range(batch.num_rows):
+                at = places[k].values.to_numpy().astype(np.int64)  # sorted, so pairs have one direction in every task
+                row, column = at // side * across * area + at % side * side, at // side * area + at % side
                 step = max(1, PAIRS_AT_ONCE // len(at))
                 for lo in range(0, len(at), step):
                     i, j = np.nonzero(np.arange(len(at))[lo : lo + step, None] < np.arange(len(at)))
-                    waiting.append(at[lo + i] << 32 | at[j])
+                    waiting.append(row[lo + i] + column[j])
                     size += len(i)
-                    if size > PAIRS_AT_ONCE:
-                        count()
+                    if size >= PAIRS_AT_ONCE:
+                        yield from packed()
                         size = 0
-                        if len(held) > PAIRS_AT_ONCE:
-                            yield from stripes()
-                            at = np.array([names.setdefault(x, len(names)) for x in lemmas], np.int64)
-        if waiting:
-            count()
-        yield from stripes()
-
-    some = texts.select("lemmas").mapInArrow(run, "a string, partners array<string>, hits array<long>")
-    each = some.select("a", F.explode(F.arrays_zip("partners", "hits")).alias("e")).groupBy("a", F.col("e.partners").alias("b")).agg(F.sum("e.hits").alias("hits"))
-    kept = cut(each.where(F.col("hits") >= least))
-    return kept.select(F.col("a").alias("query_ne"), F.col("b").alias("rel_ne"), "hits").unionByName(kept.select(F.col("b").alias("query_ne"), F.col("a").alias("rel_ne"), "hits"))
+        if size:
+            yield from packed()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, hits = None, np.zeros(area, np.int64)
+
+        def enough() -> pa.RecordBatch:
+            cells = np.flatnonzero(hits >= max(1, least))
+            a, b = tile // across * side + cells // side, tile % across * side + cells % side
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(hits[cells])], names=["a", "b", "hits"])
+
+        for batch in batches:
+            for k, t in enumerate(batch["tile"].to_pylist()):
+                if t != tile:
+                    if tile is not None:
+                        yield enough()
+                    tile = t
+                    hits[:] = 0
+                hits[np.frombuffer(batch["cells"][k].as_buffer(), np.int32)] += np.frombuffer(batch["hits"][k].as_buffer(), np.int32)
+        if tile is not None:
+            yield enough()
+
+    counted = texts.repartition(tasks).mapInArrow(count, "tile long, cells binary, hits binary")
+    kept = cut(counted.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(add, "a int, b int, hits long"))
+    for place, name in (("a", "query_ne"), ("b", "rel_ne")):
+        kept = kept.join(numbered.select(F.col("place").alias(place), F.col("lemma").alias(name)), place)
+    kept = cut(kept.select("query_ne", "rel_ne", "hits"))
+    return kept.unionByName(kept.select(F.col("rel_ne").alias("query_ne"), F.col("query_ne").alias("rel_ne"), "hits"))
 
 
 def network(relations: DataFrame, wanted: str, least: int = 30) -> tuple[DataFrame, DataFrame]:
