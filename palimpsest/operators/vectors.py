@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.text import ENTITY_CLASSES, SIGN_MODES, UNKNOWN_CHUNK, join_tokens, to_entities, tokens, words_for_overlap
-from palimpsest.operators.centres import MEASURES, SCORES, cell_count, matrix, measured, place, train
+from palimpsest.operators.centres import MEASURES, cell_count, matrix, measured, place, train
 from palimpsest.session import cut, shared_dir, ship
 from palimpsest.sources import sinks
 
@@ -23,14 +23,16 @@ MODELS = {
     "minilm": {"embed": 0.7, "lex": 0.3, "candidates": 1000, "probes": 128, "query_prefix": "", "passage_prefix": ""},
 }
 TOP_K = 50
-#: Queries and chunks of a block, rows that a task holds while it makes blocks, and most shares of the pairs of blocks.
-QUERY_BLOCK, CHUNK_BLOCK, HELD_ROWS, SLOTS = 512, 4096, 100_000, 4096
+#: Queries and chunks of a block, bytes of vectors that a task holds while it makes blocks, and most shares of the pairs of blocks.
+QUERY_BLOCK, CHUNK_BLOCK, HELD_BYTES, SLOTS = 512, 4096, 32_000_000, 4096
 #: Blocks of chunks of a slot, and results that a task holds.
 SLOT_BLOCKS, HELD_RESULTS = 16, 2_000_000
 #: Blocks of queries that come to the chunks where they stand, and chunks of a block there; candidates whose chunks are looked up by broadcast.
 FEW_BLOCKS, NEAR_BLOCK, FEW_CANDIDATES = 16, 500, 500_000
 #: A query's first cells: deviations above the mean by which they are ordered, and vectors that they hold for each result.
 FIRST_REACH, FIRST_EACH = 2.0, 16
+#: Pairs of a query and a cell that a task looks at together.
+PAIRS_AT_ONCE = 250_000
 #: Share of the results that an inexact search expects to miss at most.
 MISSED = 0.1
 #: Letters of a chunk that a result shows, where a cut is asked for.
@@ -85,38 +87,49 @@ def hashing_encoder(dimensions: int = 64, seed: int = 7) -> Callable[[list[str]]
 def blocks(rows: DataFrame, name: str, most: int, cell: str | None = None) -> DataFrame:
     """(dim, cell, ids, v): rows (name, vector) put together to blocks of one length, and of one cell if there are cells.
 
-    Rows without an id or a vector are left out. A task holds at most ``HELD_ROWS`` rows.
+    Rows without an id or a vector are left out. A task holds at most ``HELD_BYTES`` of vectors, packed as they come:
+    floats stay floats.
     """
     kind = dict(rows.dtypes)[name]
+    number = np.dtype(np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64)
     chosen = rows.select(F.col(name).alias("id"), "vector", (F.col(cell) if cell else F.lit(0)).cast("int").alias("cell")).where("id is not null and vector is not null and cell is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
-        n, ids_type = 0, None
+        held: dict[tuple[int, int], tuple[list, bytearray]] = {}
+        size, ids_type = 0, None
 
         def flush(keys: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             for key in keys:
-                ids, vs = held.pop(key)
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids], pa.list_(ids_type)), pa.array([np.asarray(vs, np.float64).tobytes()], pa.binary())], names=["dim", "cell", "ids", "v"])
+                ids, packed = held.pop(key)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids], pa.list_(ids_type)), pa.array([bytes(packed)], pa.binary())], names=["dim", "cell", "ids", "v"])
 
         for batch in batches:
             ids_type = batch["id"].type
-            for i, v, c in zip(batch["id"].to_pylist(), batch["vector"].to_pylist(), batch["cell"].to_pylist(), strict=True):
-                ids, vs = held.setdefault((len(v), c), ([], []))
+            numbers = memoryview(batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(number).tobytes())
+            at = 0
+            for i, n, c in zip(batch["id"].to_pylist(), batch["vector"].value_lengths().to_pylist(), batch["cell"].to_pylist(), strict=True):
+                ids, packed = held.setdefault((n, c), ([], bytearray()))
                 ids.append(i)
-                vs.append(v)
-                n += 1
+                packed += numbers[at : at + n * number.itemsize]
+                at += n * number.itemsize
+                size += n * number.itemsize
                 if len(ids) >= most:
-                    n -= len(ids)
-                    yield from flush([(len(v), c)])
-            if n > HELD_ROWS:
+                    size -= len(packed)
+                    yield from flush([(n, c)])
+            if size > HELD_BYTES:
                 yield from flush(list(held))
-                n = 0
+                size = 0
         yield from flush(list(held))
 
     return chosen.mapInArrow(run, f"dim int, cell int, ids array<{kind}>, v binary")
 
 
+def unpacked(block: pa.Scalar, n: int, dim: int) -> np.ndarray:
+    """[n, dim] doubles of what :func:`blocks` packed."""
+    packed = block.as_buffer()
+    return np.frombuffer(packed, np.float32 if packed.size == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
 class Best:
     """The ``k`` best of each query that a task has met so far, as a table that is sorted and cut when it has grown.
 
@@ -176,7 +189,7 @@ def best_of_pairs(pairs: DataFrame, k: int) -> DataFrame:
                 dim = batch["dim"][at].as_py()
                 qids, names = batch["qids"][at].values, batch["ids"][at].values
                 kind = qids.type
-                block, rows = (np.frombuffer(batch[c][at].as_buffer(), np.float64).reshape(-1, dim) for c in ("q", "v"))
+                block, rows = unpacked(batch["q"][at], len(qids), dim), unpacked(batch["v"][at], len(names), dim)
                 best.add(qids, names, np.round(block @ rows.T, 9))
                 if best.cut_at > HELD_RESULTS:
                     yield from best.out(kind)
@@ -300,7 +313,7 @@ def chosen_cells(queries: DataFrame, known: Known, choose: Callable[[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sent.value.cells
         for batch in batches:
-            step = max(1, SCORES // max(1, len(cells)))
+            step = max(1, PAIRS_AT_ONCE // max(1, len(cells)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 i, j = np.nonzero(choose(matrix(part["vector"]), part["kth"].to_numpy(zero_copy_only=False)))
