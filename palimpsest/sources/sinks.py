@@ -48,19 +48,21 @@ def read_corpus(spark: SparkSession, root: str, prefix: str = "", mode: str | No
     return out
 
 
-def write_json_texts(texts: DataFrame, root: str) -> None:
-    """Rows (text_id, json), ids as project/TEXT, as files project/corpusjson/TEXT.json below ``root``.
+def write_json_texts(texts: DataFrame, root: str, packed: bool = False) -> None:
+    """Rows (text_id, json), ids as project/TEXT, as files project/corpusjson/TEXT.json below ``root``, as .json.gz if ``packed``.
 
-    Tasks write the texts; the driver only renames files, as many as there are texts, so that readers never see half of one.
+    Tasks write the texts where they stand; the driver only renames files, as many as there are texts, so that readers never see half of one.
     """
+    ending = ".json.gz" if packed else ".json"
     project, name = F.regexp_extract("text_id", "^(.*)/[^/]*$", 1), F.substring_index("text_id", "/", -1)
-    rows = texts.select(F.concat(project, F.lit("/corpusjson/"), name, F.lit(".json")).alias("file"), "json")
+    rows = texts.select(F.concat(project, F.lit("/corpusjson/"), name, F.lit(ending)).alias("file"), "json")
     spark = texts.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     staged = f"{root.rstrip('/')}.staged-{uuid.uuid4().hex}"
     path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    rows.repartition("file").write.option("maxRecordsPerFile", 1).partitionBy("file").text(staged)
+    rows.write.option("maxRecordsPerFile", 1).option("compression", "gzip" if packed else "none").partitionBy("file").text(staged)
+    fs.mkdirs(target)  # also where there are no texts
     for folder in fs.listStatus(path(staged)):
         if folder.isDirectory():
             file = unquote(folder.getPath().getName().removeprefix("file="))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from palimpsest.functions.modes import project_modes
 from palimpsest.functions.text import MODES
 from palimpsest.operators.index import postings
-from palimpsest.session import cut, ship
+from palimpsest.session import gone, shared_dir, ship
 from palimpsest.sources.ingest import JSON_FILES, named_texts, parse_texts
 
 #: Tables of a grown corpus, and the schema of each.
@@ -23,6 +23,9 @@ TABLES = {
     "postings": "mode string, token string, text_id string, key long",
 }
 
+#: What a batch holds until its tables are written: a row a text and mode; a text with an error has no tokens.
+HELD = "text_id string, parse_error string, mode string, tokens array<string>"
+
 
 def grow(spark: SparkSession, root: str, out: str, modes: tuple[str, ...] = MODES, files_a_batch: int = 100_000) -> StreamingQuery:
     """Add the JSON files below ``root`` that are not in the corpus ``out`` yet, and stop when there are none left.
@@ -31,17 +34,24 @@ def grow(spark: SparkSession, root: str, out: str, modes: tuple[str, ...] = MODE
     itself; another process can go on from there.
     """
     ship(spark)
+    first = next(m for m in MODES if m in modes)
     files = spark.readStream.format("text").options(**JSON_FILES).option("maxFilesPerTrigger", files_a_batch).load(root)
 
     def add(batch: DataFrame, number: int) -> None:
-        parsed = cut(parse_texts(batch))
-        texts = cut(project_modes(parsed.where("not has_error"), modes))
-        held = None
+        parsed = parse_texts(batch).withColumn("text", F.struct("text_id", "parse_error"))  # goes through the readings as an id
+        rows = project_modes(parsed.select(F.col("text").alias("text_id"), F.when(~F.col("has_error"), F.col("lemmas")).alias("lemmas")), modes)
+        path = shared_dir(spark)
+        rows.select("text_id.*", "mode", "tokens").write.option("compression", "zstd").parquet(path)
+        held = spark.read.schema(HELD).parquet(path)
+        texts = held.where("parse_error is null").select("text_id", "mode", "tokens")
+        posted = None
         for mode in modes:
             mine = postings(texts.where(F.col("mode") == mode)).select(F.lit(mode).alias("mode"), "token", "text_id", "key")
-            held = mine if held is None else held.unionByName(mine)
-        for name, rows in (("texts", texts), ("errors", parsed.where("has_error").select("text_id", "parse_error")), ("postings", held.sortWithinPartitions("mode", "token"))):
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+            posted = mine if posted is None else posted.unionByName(mine)
+        errors = held.where(F.col("parse_error").isNotNull() & (F.col("mode") == first)).select("text_id", "parse_error")
+        for name, made in (("texts", texts), ("errors", errors), ("postings", posted.sortWithinPartitions("mode", "token"))):
+            made.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch={number}")
+        gone(spark, path)
 
     return named_texts(files, root).writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/read").trigger(availableNow=True).start()
 
