@@ -7,6 +7,7 @@ import random
 import pytest
 
 from palimpsest.functions.modes import project_modes
+from palimpsest.operators import windows
 from palimpsest.plans.corpus import lemma_json
 from palimpsest.session import shared_dir
 from palimpsest.sources import ingest, sinks
@@ -57,3 +58,15 @@ def test_lemma_nodes_are_parsed_once_and_read_as_ever():
             assert str(got.value) == str(e)
         else:
             assert known.array([known.numbers(raw)]).to_pylist() == held.array().to_pylist()
+
+
+def test_chunk_files_are_packed(spark, tmp_path):
+    said = " ".join(f"token{i}" for i in range(2000))
+    texts = spark.createDataFrame([("p/1", said.split()), ("p/2", ["null", '"', "a,b"])], "text_id string, tokens array<string>")
+    made = windows.chunks(texts, "f", 10, 5)
+    sinks.write_chunks(made, str(tmp_path / "embed"), str(tmp_path / "meta"))
+    for name, column in (("embed", "text"), ("meta", "text_display")):
+        size = sum(os.path.getsize(tmp_path / name / f) for f in os.listdir(tmp_path / name) if f.startswith("part-"))
+        assert size < len(said)
+        got = sinks.read_chunks(spark, str(tmp_path / name)).select("chunk_id", column)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.select("chunk_id", "text_display").collect()))
