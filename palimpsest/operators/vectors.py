@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ MISSED = 0.1
 #: Letters of a chunk that a result shows, where a cut is asked for.
 DISPLAY = 180
 ENTITY_WEIGHT = 0.3
+#: Words and letter triples whose hashes an encoder keeps.
+KEPT_PIECES = 500_000
 #: Parts of tokens that stand for entity classes.
 ENTITY_PARTS = tuple(c.lower() for c in ENTITY_CLASSES)
 
@@ -70,16 +73,25 @@ def encode(rows: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray
 def hashing_encoder(dimensions: int = 64, seed: int = 7) -> Callable[[list[str]], np.ndarray]:
     """A deterministic encoder for tests and offline use: signed hashes of words and letter triples."""
 
+    known: dict[str, int] = {}  # twice the place of a piece's hash, and one more where it counts upwards
+
+    def place(piece: str) -> int:
+        h = zlib.crc32(piece.encode(), seed)
+        known[piece] = found = h % dimensions * 2 + (h >> 16 & 1)
+        return found
+
     def encoder(texts: list[str]) -> np.ndarray:
-        import zlib
-
-        out = np.zeros((len(texts), dimensions), np.float32)
-        for i, t in enumerate(texts):
-            low = t.lower()
-            for piece in [*low.split(), *(low[j : j + 3] for j in range(len(low) - 2))]:
-                h = zlib.crc32(piece.encode(), seed)
-                out[i, h % dimensions] += 1 if h >> 16 & 1 else -1
-        return out
+        if len(known) > KEPT_PIECES:
+            known.clear()
+        out, sizes = [], []
+        for t in texts:
+            low, before = t.lower(), len(out)
+            for pieces in (low.split(), map("".join, zip(low, low[1:], low[2:], strict=False))):
+                out += [known[p] if p in known else place(p) for p in pieces]
+            sizes.append(len(out) - before)
+        at = np.array(out, np.int64) + 2 * dimensions * np.repeat(np.arange(len(texts)), sizes)
+        counts = np.bincount(at, minlength=2 * dimensions * len(texts)).reshape(len(texts), dimensions, 2)
+        return (counts[:, :, 1] - counts[:, :, 0]).astype(np.float32)
 
     return encoder
 

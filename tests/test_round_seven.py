@@ -3,11 +3,13 @@
 import json
 import os
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from palimpsest.functions.modes import project_modes
-from palimpsest.operators import windows
+from palimpsest.operators import vectors, windows
 from palimpsest.plans.corpus import lemma_json
 from palimpsest.session import shared_dir
 from palimpsest.sources import ingest, sinks
@@ -70,3 +72,21 @@ def test_chunk_files_are_packed(spark, tmp_path):
         assert size < len(said)
         got = sinks.read_chunks(spark, str(tmp_path / name)).select("chunk_id", column)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, made.select("chunk_id", "text_display").collect()))
+
+
+def test_an_encoder_hashes_a_piece_once(monkeypatch):
+    rng = random.Random(2)
+    texts = ["", "a", "ab", " ", *(" ".join(rng.choice(["The", "König", "token", "ß", "İx", "a"]) for _ in range(rng.randint(1, 12))) for _ in range(200))]
+    want = np.zeros((len(texts), 64), np.float32)
+    for i, t in enumerate(texts):
+        low = t.lower()
+        for piece in [*low.split(), *(low[j : j + 3] for j in range(len(low) - 2))]:
+            h = zlib.crc32(piece.encode(), 7)
+            want[i, h % 64] += 1 if h >> 16 & 1 else -1
+    met = []
+    monkeypatch.setattr(zlib, "crc32", lambda piece, seed, f=zlib.crc32: met.append(piece) or f(piece, seed))
+    encoder = vectors.hashing_encoder()
+    for part in (texts[:50], texts[50:], texts[:50]):
+        got = encoder(part)
+        assert got.dtype == np.float32 and (got == want[:50] if part == texts[:50] else got == want[50:]).all()
+    assert len(met) == len(set(met)) and encoder([]).shape == (0, 64)
